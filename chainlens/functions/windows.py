@@ -11,6 +11,13 @@ with the data.  :func:`running_sum` is the two-phase prefix sum used instead:
 3. per-partition totals (P rows) -> exclusive prefix over P rows -> offsets;
 4. broadcast the P offsets (bounded by the partition count) and add them.
 
+Steps 2 and 3 both read the range-partitioned rows, and the partition id is
+only meaningful if they read the *same* partitioning.  The ranged rows are
+therefore checkpointed (reliable checkpoint in the session's checkpoint
+directory) together with their partition id: both branches read one
+materialisation, the range bounds are sampled once, and the lineage above is
+cut, so a lost executor re-reads the checkpoint instead of re-running the scan.
+
 :func:`exact_quantiles` builds on it: value -> count (map-side combined),
 cumulative counts, then the two order statistics around each requested
 probability, interpolated linearly (``quantile_cont`` / R type 7).
@@ -24,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlens.functions.numeric import col_
+from chainlens.session import materialize
 
 _PID = "_cl_pid"
 
@@ -43,7 +51,7 @@ def running_sum(df: DataFrame, value, order_by: Sequence[Column], out: str,
     """
     n = _partition_count(df, num_partitions)
     v = col_(value)
-    ranged = df.repartitionByRange(n, *order_by).withColumn(_PID, F.spark_partition_id())
+    ranged = materialize(df.repartitionByRange(n, *order_by).withColumn(_PID, F.spark_partition_id()))
     local_w = Window.partitionBy(_PID).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("_cl_local", F.sum(v).over(local_w))
     totals = ranged.groupBy(_PID).agg(F.sum(v).alias("_cl_ptot"))
@@ -56,7 +64,8 @@ def running_sum(df: DataFrame, value, order_by: Sequence[Column], out: str,
 
 
 def exact_quantiles(df: DataFrame, value, probs: Sequence[float], names: Sequence[str],
-                    by: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+                    by: Sequence[str] = (), num_partitions: int | None = None,
+                    mean_name: str | None = None) -> DataFrame:
     """Exact linearly-interpolated quantiles of ``value`` (NULLs ignored).
 
     Returns one row per ``by`` group (one row overall when ``by`` is empty)
@@ -65,8 +74,8 @@ def exact_quantiles(df: DataFrame, value, probs: Sequence[float], names: Sequenc
     them, and nothing is collected to the driver.
     """
     by = list(by)
-    v = col_(value).cast("double")
-    counts = (df.select(*by, v.alias("_cl_v")).where(F.col("_cl_v").isNotNull())
+    # Group on the exact value (integer / decimal), interpolate in DOUBLE.
+    counts = (df.select(*by, col_(value).alias("_cl_v")).where(F.col("_cl_v").isNotNull())
               .groupBy(*by, "_cl_v").agg(F.count(F.lit(1)).alias("_cl_c")))
     order = [F.col(b).asc() for b in by] + [F.col("_cl_v").asc()]
     cum = running_sum(counts, F.col("_cl_c"), order, "_cl_cum", num_partitions)
@@ -86,10 +95,15 @@ def exact_quantiles(df: DataFrame, value, probs: Sequence[float], names: Sequenc
     for i, p in enumerate(probs):
         pos = (F.col("_cl_n") - F.lit(1)).cast("double") * F.lit(float(p))
         fl, ce = F.floor(pos), F.ceil(pos)
-        aggs.append(F.max(F.when((fl >= lo_rank) & (fl <= hi_rank), F.col("_cl_v"))).alias(f"_cl_lo{i}"))
-        aggs.append(F.max(F.when((ce >= lo_rank) & (ce <= hi_rank), F.col("_cl_v"))).alias(f"_cl_hi{i}"))
+        vd = F.col("_cl_v").cast("double")
+        aggs.append(F.max(F.when((fl >= lo_rank) & (fl <= hi_rank), vd)).alias(f"_cl_lo{i}"))
+        aggs.append(F.max(F.when((ce >= lo_rank) & (ce <= hi_rank), vd)).alias(f"_cl_hi{i}"))
         aggs.append(F.max(pos - fl).alias(f"_cl_fr{i}"))
+    if mean_name:
+        # Exact sum of value x count over the distinct values, divided in DOUBLE.
+        aggs.append(F.try_divide(F.sum(F.col("_cl_v") * F.col("_cl_c")).cast("double"),
+                                 F.sum("_cl_c").cast("double")).alias(mean_name))
     picked = ranked.groupBy(*by).agg(*aggs)
     outs = [(F.col(f"_cl_lo{i}") + (F.col(f"_cl_hi{i}") - F.col(f"_cl_lo{i}")) * F.col(f"_cl_fr{i}")).alias(name)
             for i, name in enumerate(names)]
-    return picked.select(*by, *outs)
+    return picked.select(*by, *outs, *([mean_name] if mean_name else []))

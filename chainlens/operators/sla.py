@@ -35,6 +35,5 @@ def sla_breach(orders: DataFrame, threshold: int = K.SLA_THRESHOLD_DAYS) -> Data
 def lead_time_stats(orders: DataFrame, p: float = K.LEAD_TIME_PERCENTILE) -> DataFrame:
     """Mean lead days and the exact ``p`` percentile (linear interpolation)."""
     ld = delivered_lead_days(orders)
-    q = exact_quantiles(ld, "lead_days", [p], ["_p"])
-    mean = ld.select(F.avg("lead_days")).scalar()
-    return q.select(round_half_up(mean, 4).alias("avg_lead_days"), round_half_up("_p", 4).alias("p95_lead_days"))
+    q = exact_quantiles(ld, "lead_days", [p], ["_p"], mean_name="_mean")
+    return q.select(round_half_up("_mean", 4).alias("avg_lead_days"), round_half_up("_p", 4).alias("p95_lead_days"))

@@ -19,11 +19,8 @@ def six_number_summary(df: DataFrame, column, digits: int = 6) -> DataFrame:
     Exact and distributed (see :func:`exact_quantiles`); ``df.summary()`` is not
     used because its quartiles do not interpolate.
     """
-    q = exact_quantiles(df, column, [0.0, 0.25, 0.5, 0.75, 1.0], SUMMARY_NAMES)
-    mean = df.select(F.avg(column)).scalar()
-    cols = {n: round_half_up(n, digits) for n in SUMMARY_NAMES}
-    return q.select(cols["min"].alias("min"), cols["q1"].alias("q1"), cols["median"].alias("median"),
-                    round_half_up(mean, digits).alias("mean"), cols["q3"].alias("q3"), cols["max"].alias("max"))
+    q = exact_quantiles(df, column, [0.0, 0.25, 0.5, 0.75, 1.0], SUMMARY_NAMES, mean_name="mean")
+    return q.select(*[round_half_up(n, digits).alias(n) for n in ["min", "q1", "median", "mean", "q3", "max"]])
 
 
 def revenue_summary(orders: DataFrame) -> DataFrame:

@@ -127,17 +127,17 @@ def q_customer_cohort_all_status(spark, d):
 
 def q_plant_efficiency(spark, d):
     t = _t(spark, d)
-    return plant.plant_efficiency(td.order_heads(t, DELIVERED), td.inspections(t))
+    return plant.plant_efficiency(td.order_heads(t, DELIVERED), td.inspections(t, dims=()))
 
 
 def q_plant_efficiency_slim(spark, d):
     t = _t(spark, d)
-    return plant.plant_efficiency(td.order_heads(t, DELIVERED), td.inspections(t), slim=True)
+    return plant.plant_efficiency(td.order_heads(t, DELIVERED), td.inspections(t, dims=()), slim=True)
 
 
 def q_plant_efficiency_dedup(spark, d):
     t = _t(spark, d)
-    return plant.plant_efficiency(td.order_heads(t, DELIVERED), td.inspections(t), dedupe_orders=True)
+    return plant.plant_efficiency(td.order_heads(t, DELIVERED), td.inspections(t, dims=()), dedupe_orders=True)
 
 
 def q_events_flat(spark, d):
@@ -264,7 +264,7 @@ def q_supplier_correlations(spark, d):
 
 
 def q_defect_stats_by_product(spark, d):
-    return quality.defect_stats_by_product(td.inspections(_t(spark, d)), digits=6)
+    return quality.defect_stats_by_product(td.inspections(_t(spark, d), dims=("product",)), digits=6)
 
 
 def q_monthly_trend(spark, d):
@@ -292,7 +292,7 @@ def q_panel_oee(spark, d):
 
 
 def q_panel_defects(spark, d):
-    return dashboard.panel_defects(quality.defect_pct_by_product(td.inspections(_t(spark, d))))
+    return dashboard.panel_defects(quality.defect_pct_by_product(td.inspections(_t(spark, d), dims=("product",))))
 
 
 def q_panel_rolling(spark, d):
@@ -305,7 +305,7 @@ def q_panel_customers(spark, d):
 
 def q_kpi_table(spark, d):
     t = _t(spark, d)
-    return dashboard.kpi_table(_lines(t, dims=()), td.inspections(t), _oee(t))
+    return dashboard.kpi_table(_lines(t, dims=()), td.inspections(t, dims=()), _oee(t))
 
 
 def q_net_revenue(spark, d):
@@ -318,21 +318,21 @@ def q_net_revenue(spark, d):
 
 
 def q_row_defect_rate(spark, d):
-    return quality.row_defect_rate(td.inspections(_t(spark, d)))
+    return quality.row_defect_rate(td.inspections(_t(spark, d), dims=()))
 
 
 def q_check_pk(spark, d):
     t = _t(spark, d)
     return (checks.check_pk(td.order_heads(t), "order_id", "orders")
             .unionByName(checks.check_pk(td.suppliers(t), "supplier_id", "suppliers"))
-            .unionByName(checks.check_pk(td.inspections(t), "inspection_id", "quality_inspections")))
+            .unionByName(checks.check_pk(td.inspections(t, dims=()), "inspection_id", "quality_inspections")))
 
 
 def q_check_fk(spark, d):
     t = _t(spark, d)
     return (checks.check_fk(_lines(t, status=None, dims=()), "supplier_id", td.suppliers(t), "supplier_id",
                             "orders.supplier_id->suppliers")
-            .unionByName(checks.check_fk(td.inspections(t), "order_id", td.order_heads(t), "order_id",
+            .unionByName(checks.check_fk(td.inspections(t, dims=()), "order_id", td.order_heads(t), "order_id",
                                          "quality_inspections.order_id->orders")))
 
 

@@ -58,3 +58,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="chainlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Reliable checkpoint of ``df`` (eager) in the session's checkpoint directory.
+
+    Used where two branches of a plan must read one identical materialisation
+    (e.g. partition ids of a range partitioning) and to cut long lineage.
+    Never a local checkpoint: the files live in the shared folder the cluster
+    names in ``spark.checkpoint.dir``, so they survive the loss of an executor.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

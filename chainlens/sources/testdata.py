@@ -117,9 +117,16 @@ def order_heads(t: Tables, status=None) -> DataFrame:
     return o.join(c, "c_custkey").join(nr, "c_nationkey").drop("c_nationkey")
 
 
-def inspections(t: Tables) -> DataFrame:
-    """One inspection per line: order_id, inspection_id, product, plant (supplier's region),
-    supplier_id, inspection_date, batch_size, defects_found, defect_rate, passed."""
+def inspections(t: Tables, dims=("product", "plant")) -> DataFrame:
+    """One inspection per line: order_id, inspection_id, supplier_id, inspection_date,
+    batch_size, defects_found, defect_rate, passed, plus the requested ``dims``
+    (product = part type, plant = supplier's region).
+
+    Each dimension is joined to the fact side as a plain scan first and only
+    then to the 25-row nation/region map: without CBO statistics Spark
+    estimates a joined dimension as the product of its inputs, which would
+    turn a broadcastable supplier table into a sort-merge join.
+    """
     li = t["lineitem"].select(
         F.col("l_orderkey").alias("order_id"),
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("inspection_id"),
@@ -130,10 +137,15 @@ def inspections(t: Tables) -> DataFrame:
         .cast(DecimalType(10, 4)).alias("defects_found"),
         F.col("l_tax").cast(DecimalType(6, 4)).alias("defect_rate"),
         F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("passed"))
-    p = t["part"].select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("product"))
-    s = t["supplier"].select(F.col("s_suppkey").alias("supplier_id"), F.col("s_nationkey").alias("n_nationkey"))
-    nr = nation_regions(t).select("n_nationkey", F.col("r_name").alias("plant"))
-    return li.join(p, "l_partkey").join(s.join(nr, "n_nationkey"), "supplier_id").drop("l_partkey", "n_nationkey")
+    df = li
+    if "product" in dims:
+        p = t["part"].select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("product"))
+        df = df.join(p, "l_partkey")
+    if "plant" in dims:
+        s = t["supplier"].select(F.col("s_suppkey").alias("supplier_id"), F.col("s_nationkey").alias("n_nationkey"))
+        nr = nation_regions(t).select("n_nationkey", F.col("r_name").alias("plant"))
+        df = df.join(s, "supplier_id").join(nr, "n_nationkey").drop("n_nationkey")
+    return df.drop("l_partkey")
 
 
 def suppliers(t: Tables) -> DataFrame:
