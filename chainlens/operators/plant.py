@@ -25,12 +25,23 @@ def plant_efficiency(order_heads: DataFrame, insp: DataFrame, dedupe_orders: boo
                  .agg(F.count(F.lit(1)).alias("_n"), F.sum("defect_rate").alias("_sdr"),
                       F.count("defect_rate").alias("_cdr"),
                       F.sum(F.when(F.col("passed") == 0, 1).otherwise(0)).alias("_failed")))
-    j = delivered(order_heads).join(per_order, "order_id", "left")
+    heads = delivered(order_heads)
+    j = heads.join(per_order, "order_id", "left")
     w = F.lit(1) if dedupe_orders else F.greatest(F.coalesce(F.col("_n"), F.lit(0)), F.lit(1))
-    g = (j.groupBy("plant")
-         .agg(F.countDistinct("order_id").alias("total_orders"), F.sum(F.col("revenue") * w).alias("_rev"),
-              F.sum(w).alias("_w"), F.countDistinct("customer").alias("unique_customers"),
+    # COUNT(DISTINCT order_id) without an Expand: one row per (plant, order) first.  The join
+    # output is already hash-partitioned on order_id, which satisfies this grouping, so the
+    # per-order rows are formed without another shuffle of the orders.
+    per_plant_order = (j.groupBy("plant", "order_id")
+                       .agg(F.sum(F.col("revenue") * w).alias("_rev"), F.sum(w).alias("_w"),
+                            F.sum("_sdr").alias("_sdr"), F.sum("_cdr").alias("_cdr"),
+                            F.sum("_failed").alias("_failed")))
+    g = (per_plant_order.groupBy("plant")
+         .agg(F.count("order_id").alias("total_orders"), F.sum("_rev").alias("_rev"), F.sum("_w").alias("_w"),
               F.sum("_sdr").alias("_sdr"), F.sum("_cdr").alias("_cdr"), F.sum("_failed").alias("_failed")))
+    # A LEFT JOIN keeps every order head, so the distinct customers per plant come from the
+    # heads alone (map-side distinct on (plant, customer), one plant-grain row each).
+    customers = heads.groupBy("plant").agg(F.countDistinct("customer").alias("unique_customers"))
+    g = g.join(customers, "plant", "left")
     cols = [F.col("plant"), as_long("total_orders").alias("total_orders"),
             round_half_up("_rev", 2).alias("total_revenue")]
     if not slim:
