@@ -86,7 +86,8 @@ def exact_quantiles(df: DataFrame, value, probs: Sequence[float], names: Sequenc
         ranked = cum.join(starts, by).select(
             *by, "_cl_v", "_cl_c", (F.col("_cl_cum") - F.col("_cl_start")).alias("_cl_cum"), "_cl_n")
     else:
-        total = counts.select(F.sum("_cl_c")).scalar()
+        # Row count from the materialised cumulative table, not a second pass over ``df``.
+        total = cum.select(F.max("_cl_cum")).scalar()
         ranked = cum.withColumn("_cl_n", total)
     # 0-based ranks covered by a distinct value: [cum - c, cum - 1].
     lo_rank = F.col("_cl_cum") - F.col("_cl_c")

@@ -11,6 +11,7 @@ from chainlens.functions.classify import chart_defect_colour, growth_sign_class
 from chainlens.functions.dates import lead_days, month_label
 from chainlens.functions.numeric import as_double, mean, ratio, round_half_up
 from chainlens.operators.revenue import customer_revenue, delivered
+from chainlens.session import materialize
 
 
 def panel_monthly(monthly: DataFrame) -> DataFrame:
@@ -57,10 +58,11 @@ def panel_rolling(rolling: DataFrame) -> DataFrame:
 def panel_customers(orders: DataFrame, top: int = K.HIGHLIGHT_TOP, customer: str = "customer") -> DataFrame:
     """Revenue in Mn per customer, the top ``top`` flagged.
 
-    The top rows come from TakeOrderedAndProject (``top`` rows, a proven bound),
-    so broadcasting them back onto the per-customer table is safe.
+    The per-customer rows are materialised once and read by both branches; the
+    top rows come from TakeOrderedAndProject (``top`` rows, a proven bound), so
+    broadcasting them back onto the per-customer table is safe.
     """
-    rev = customer_revenue(orders, customer)
+    rev = materialize(customer_revenue(orders, customer))
     best = (rev.orderBy(F.col("revenue").desc_nulls_last(), F.col(customer)).limit(top)
             .select(F.col(customer).alias("_top"), F.lit(True).alias("_hit")))
     j = rev.join(F.broadcast(best), F.col(customer) == F.col("_top"), "left")
@@ -72,16 +74,20 @@ def panel_customers(orders: DataFrame, top: int = K.HIGHLIGHT_TOP, customer: str
 def kpi_table(orders: DataFrame, insp: DataFrame, oee: DataFrame) -> DataFrame:
     """Six executive KPIs as rows: label, value, value_text, status.
 
-    Each KPI is a single-row aggregate inlined as a scalar subquery; the six
-    are stacked with ``inline`` — no join between them.
+    Each source is aggregated once (one row, materialised); the KPIs are scalar
+    subqueries over those rows, stacked with ``inline`` — no join between them.
     """
-    d = delivered(orders)
-    total_cr = d.select(ratio(F.sum("revenue"), F.lit(K.CRORE))).scalar()
-    n_orders = d.select(F.count(F.lit(1))).scalar()
-    avg_oee = oee.select(F.avg("avg_oee") * 100).scalar()
-    avg_defect = insp.select(mean("defect_rate") * 100).scalar()
-    red = oee.select(F.count_if(F.col("oee_rag") == "RED")).scalar()
-    avg_lead = d.select(F.avg(lead_days("delivery_date", "order_date"))).scalar()
+    # One aggregate pass per source, materialised as one row; the KPI values
+    # are scalar subqueries over those one-row checkpoints.
+    d = materialize(delivered(orders).agg(
+        ratio(F.sum("revenue"), F.lit(K.CRORE)).alias("total_cr"), F.count(F.lit(1)).alias("n_orders"),
+        F.avg(lead_days("delivery_date", "order_date")).alias("avg_lead")))
+    o = materialize(oee.agg((F.avg("avg_oee") * 100).alias("avg_oee"),
+                            F.count_if(F.col("oee_rag") == "RED").alias("red")))
+    q = materialize(insp.agg((mean("defect_rate") * 100).alias("avg_defect")))
+    total_cr, n_orders, avg_lead = (d.select(c).scalar() for c in ("total_cr", "n_orders", "avg_lead"))
+    avg_oee, red = (o.select(c).scalar() for c in ("avg_oee", "red"))
+    avg_defect = q.select("avg_defect").scalar()
 
     def fmt(pattern, value, digits):
         return F.format_string(pattern, round_half_up(value, digits))

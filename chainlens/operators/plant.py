@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlens.functions.numeric import as_long, pct, ratio, round_half_up
@@ -28,20 +28,22 @@ def plant_efficiency(order_heads: DataFrame, insp: DataFrame, dedupe_orders: boo
     heads = delivered(order_heads)
     j = heads.join(per_order, "order_id", "left")
     w = F.lit(1) if dedupe_orders else F.greatest(F.coalesce(F.col("_n"), F.lit(0)), F.lit(1))
-    # COUNT(DISTINCT order_id) without an Expand: one row per (plant, order) first.  The join
-    # output is already hash-partitioned on order_id, which satisfies this grouping, so the
-    # per-order rows are formed without another shuffle of the orders.
-    per_plant_order = (j.groupBy("plant", "order_id")
-                       .agg(F.sum(F.col("revenue") * w).alias("_rev"), F.sum(w).alias("_w"),
-                            F.sum("_sdr").alias("_sdr"), F.sum("_cdr").alias("_cdr"),
-                            F.sum("_failed").alias("_failed")))
-    g = (per_plant_order.groupBy("plant")
-         .agg(F.count("order_id").alias("total_orders"), F.sum("_rev").alias("_rev"), F.sum("_w").alias("_w"),
-              F.sum("_sdr").alias("_sdr"), F.sum("_cdr").alias("_cdr"), F.sum("_failed").alias("_failed")))
-    # A LEFT JOIN keeps every order head, so the distinct customers per plant come from the
-    # heads alone (map-side distinct on (plant, customer), one plant-grain row each).
-    customers = heads.groupBy("plant").agg(F.countDistinct("customer").alias("unique_customers"))
-    g = g.join(customers, "plant", "left")
+    # Two COUNT(DISTINCT)s without an Expand and in one pass over the orders:
+    # 1. one row per (plant, order, customer) — the join output is already
+    #    hash-partitioned on order_id, which satisfies this grouping (no shuffle);
+    # 2. a window over (plant, order) on the same partitioning marks one row per
+    #    order, so distinct orders become a plain sum;
+    # 3. one row per (plant, customer) (map-side combined, small shuffle), then
+    #    distinct customers are a plain count per plant.
+    lvl1 = (j.groupBy("plant", "order_id", "customer")
+            .agg(F.sum(F.col("revenue") * w).alias("_rev"), F.sum(w).alias("_w"), F.sum("_sdr").alias("_sdr"),
+                 F.sum("_cdr").alias("_cdr"), F.sum("_failed").alias("_failed")))
+    first = F.row_number().over(Window.partitionBy("plant", "order_id").orderBy("customer")) == 1
+    lvl1 = lvl1.withColumn("_order", (first & F.col("order_id").isNotNull()).cast("long"))
+    sums = [F.sum(c).alias(c) for c in ("_rev", "_w", "_sdr", "_cdr", "_failed")]
+    lvl2 = lvl1.groupBy("plant", "customer").agg(F.sum("_order").alias("_orders"), *sums)
+    g = lvl2.groupBy("plant").agg(F.sum("_orders").alias("total_orders"),
+                                  F.count("customer").alias("unique_customers"), *sums)
     cols = [F.col("plant"), as_long("total_orders").alias("total_orders"),
             round_half_up("_rev", 2).alias("total_revenue")]
     if not slim:
