@@ -71,6 +71,11 @@ def q_revenue_by_customer(spark, d):
     return revenue.revenue_by_customer(_lines(_t(spark, d), dims=("customer",)))
 
 
+def q_revenue_by_customer_key(spark, d):
+    # Same analysis per customer key: thousands of rows through the distributed running total.
+    return revenue.revenue_by_customer(_lines(_t(spark, d), dims=()), customer="c_custkey")
+
+
 def q_revenue_by_customer_share(spark, d):
     return revenue.revenue_share_by_customer(_lines(_t(spark, d), dims=("customer",)))
 
@@ -121,6 +126,10 @@ def q_customer_cohort(spark, d):
     return cohort.customer_cohort(_lines(_t(spark, d), dims=()), customer="c_custkey")
 
 
+def q_customer_cohort_segment(spark, d):
+    return cohort.customer_cohort(_lines(_t(spark, d), dims=("customer",)))
+
+
 def q_customer_cohort_all_status(spark, d):
     return cohort.customer_cohort(_lines(_t(spark, d), status=None, dims=()), customer="c_custkey", status=None)
 
@@ -202,6 +211,10 @@ def q_top_customers(spark, d):
     return revenue.top_customers(_lines(_t(spark, d), dims=("customer",)))
 
 
+def q_top_customers_by_key(spark, d):
+    return revenue.top_customers(_lines(_t(spark, d), dims=()), customer="c_custkey")
+
+
 def q_daily_revenue(spark, d):
     return _daily(_t(spark, d)).select("date", as_double("revenue").alias("revenue"))
 

@@ -139,20 +139,20 @@ def _scorecard_join():
     return ("FROM v_suppliers s LEFT JOIN v_orders o ON s.supplier_id = o.supplier_id WHERE s.active = 1")
 
 
-def _cohort(where):
+def _cohort(where, cust="c_custkey"):
     return sql(f"""
-    SELECT c_custkey, CAST(active_months AS BIGINT) AS active_months, CAST(total_orders AS BIGINT) AS total_orders,
+    SELECT {cust}, CAST(active_months AS BIGINT) AS active_months, CAST(total_orders AS BIGINT) AS total_orders,
            lifetime_value, avg_monthly_revenue, first_order_month, last_order_month,
            CASE WHEN active_months >= 18 THEN 'Champion' WHEN active_months >= 12 THEN 'Loyal'
                 WHEN active_months >= 6 THEN 'Developing' ELSE 'New / At Risk' END AS customer_tier
     FROM cs""",
-               ("cm", f"""SELECT c_custkey, strftime(order_date, '%Y-%m') AS order_month,
+               ("cm", f"""SELECT {cust}, strftime(order_date, '%Y-%m') AS order_month,
                      COUNT(order_id) AS orders_in_month, SUM(revenue) AS revenue_in_month
                      FROM v_orders {where} GROUP BY 1, 2"""),
-               ("cs", f"""SELECT c_custkey, COUNT(DISTINCT order_month) AS active_months,
+               ("cs", f"""SELECT {cust}, COUNT(DISTINCT order_month) AS active_months,
                      SUM(orders_in_month) AS total_orders, {R("SUM(revenue_in_month)", 2)} AS lifetime_value,
                      {R("AVG(revenue_in_month)", 2)} AS avg_monthly_revenue, MIN(order_month) AS first_order_month,
-                     MAX(order_month) AS last_order_month FROM cm GROUP BY c_custkey"""))
+                     MAX(order_month) AS last_order_month FROM cm GROUP BY {cust}"""))
 
 
 def _plant(dedup: bool, slim: bool):
@@ -250,13 +250,30 @@ def _six(expr: str, where: str) -> str:
         FROM v_orders WHERE {where}""")
 
 
-ORACLE: dict[str, str] = {
-    "revenue_by_customer": sql(f"""
-        SELECT customer, CAST(n AS BIGINT) AS total_orders, CAST(rev AS DOUBLE) AS total_revenue,
+def _revenue_by(cust: str) -> str:
+    return sql(f"""
+        SELECT {cust}, CAST(n AS BIGINT) AS total_orders, CAST(rev AS DOUBLE) AS total_revenue,
                {R("av", 2)} AS avg_order_value, {R("rev * 100.0 / SUM(rev) OVER ()", 2)} AS revenue_share_pct,
-               {R("SUM(rev) OVER (ORDER BY rev DESC, customer ROWS UNBOUNDED PRECEDING)", 2)} AS running_total
-        FROM agg""", ("agg", f"""SELECT customer, COUNT(order_id) AS n, SUM(revenue) AS rev, AVG(revenue) AS av
-                          FROM v_orders WHERE {DEL} GROUP BY customer""")),
+               {R(f"SUM(rev) OVER (ORDER BY rev DESC, {cust} ROWS UNBOUNDED PRECEDING)", 2)} AS running_total
+        FROM agg""", ("agg", f"""SELECT {cust}, COUNT(order_id) AS n, SUM(revenue) AS rev, AVG(revenue) AS av
+                          FROM v_orders WHERE {DEL} GROUP BY {cust}"""))
+
+
+def _top_customers(cust: str) -> str:
+    return sql(f"""
+        SELECT {cust}, CAST(revenue AS DOUBLE) AS revenue,
+               CAST(ROW_NUMBER() OVER (ORDER BY revenue DESC, {cust}) AS BIGINT) AS rank
+        FROM (SELECT {cust}, SUM(revenue) AS revenue FROM v_orders WHERE {DEL} AND {cust} IS NOT NULL
+              GROUP BY {cust} ORDER BY revenue DESC, {cust} LIMIT 5) t""")
+
+
+def _cohort_segment() -> str:
+    return _cohort(f"WHERE {DEL}", "customer")
+
+
+ORACLE: dict[str, str] = {
+    "revenue_by_customer": _revenue_by("customer"),
+    "revenue_by_customer_key": _revenue_by("c_custkey"),
     "revenue_by_customer_share": sql(f"""
         SELECT customer, CAST(COUNT(order_id) AS BIGINT) AS total_orders, {R("SUM(revenue)", 2)} AS total_revenue,
                {R("AVG(revenue)", 2)} AS avg_order_value,
@@ -306,6 +323,7 @@ ORACLE: dict[str, str] = {
         FROM v_orders WHERE {DEL} GROUP BY 1, 2"""),
     "customer_cohort": _cohort(f"WHERE {DEL}"),
     "customer_cohort_all_status": _cohort(""),
+    "customer_cohort_segment": _cohort_segment(),
     "plant_efficiency": _plant(False, False),
     "plant_efficiency_slim": _plant(False, True),
     "plant_efficiency_dedup": _plant(True, False),
@@ -350,11 +368,8 @@ ORACLE: dict[str, str] = {
         SELECT smp.sample_key, smp.order_id, smp.line_number, smp.supplier_id, s.supplier_name, s.tier,
                CAST(s.quality_score AS DOUBLE) AS quality_score, CAST(s.on_time_rate AS DOUBLE) AS on_time_rate
         FROM smp LEFT JOIN v_suppliers s ON smp.supplier_id = s.supplier_id""", SAMPLE),
-    "top_customers": sql(f"""
-        SELECT customer, CAST(revenue AS DOUBLE) AS revenue,
-               CAST(ROW_NUMBER() OVER (ORDER BY revenue DESC, customer) AS BIGINT) AS rank
-        FROM (SELECT customer, SUM(revenue) AS revenue FROM v_orders WHERE {DEL} AND customer IS NOT NULL
-              GROUP BY customer ORDER BY revenue DESC, customer LIMIT 5) t"""),
+    "top_customers": _top_customers("customer"),
+    "top_customers_by_key": _top_customers("c_custkey"),
     "daily_revenue": sql("SELECT date, CAST(revenue AS DOUBLE) AS revenue FROM d", DAILY),
     "rolling_30d_revenue": sql("SELECT * FROM r", DAILY, ROLLING),
     "rolling_summary": sql(f"""
