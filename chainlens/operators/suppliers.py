@@ -24,6 +24,11 @@ def _orders_per_supplier(orders: DataFrame) -> DataFrame:
                  F.sum(ld).alias("_lead_sum"), F.count(ld).alias("_lead_n")))
 
 
+def _row_key(df: DataFrame) -> list[str]:
+    """Columns that identify an order row: (order_id, line_number) for line-grain orders."""
+    return [c for c in ("order_id", "line_number") if c in df.columns]
+
+
 def _scorecard_base(suppliers: DataFrame, orders: DataFrame) -> DataFrame:
     s = suppliers.where(F.col("active") == 1).select(*_SUPPLIER_COLS)
     j = s.join(_orders_per_supplier(orders), "supplier_id", "left")
@@ -71,7 +76,7 @@ def enrich_orders(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
     s = suppliers.select(F.col("supplier_id").alias("_sid"), "tier", "quality_score", "on_time_rate")
     j = delivered(orders).join(s, F.col("supplier_id") == F.col("_sid"), "left")
     return j.select(
-        "order_id", "line_number", "supplier_id", "customer", as_double("revenue").alias("revenue"),
+        *_row_key(orders), "supplier_id", "customer", as_double("revenue").alias("revenue"),
         F.when(F.col("_sid").isNull(), F.lit(K.UNKNOWN_TIER)).otherwise(F.col("tier")).alias("supplier_tier"),
         as_double("quality_score").alias("supplier_quality"), as_double("on_time_rate").alias("supplier_ontime"))
 
@@ -83,13 +88,22 @@ def portable_hash(cols, seed: int) -> "F.Column":
     reproduces it exactly — unlike an engine-specific hash function.
     """
     p = F.lit(2147483647)
-    h = F.lit(seed)
+    h = F.lit(seed).cast("long")
     for i, c in enumerate(cols):
         mult = F.lit([48271, 69621, 16807][i % 3])
         h = ((h * mult) % p + (F.col(c) % p)) % p
     return ((h * F.lit(48271)) % p).cast("long")
 
 
+def _sample_key(df: DataFrame, cols: list[str], seed: int) -> "F.Column":
+    """Portable modular hash for integer keys; Spark's seeded xxhash64 for text keys."""
+    from pyspark.sql.types import IntegralType
+
+    if all(isinstance(df.schema[c].dataType, IntegralType) for c in cols):
+        return portable_hash(cols, seed)
+    return F.abs(F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]))
+
+
 def sample_supplier_ids(orders: DataFrame, n: int = K.SAMPLE_SIZE, seed: int = K.SAMPLE_SEED) -> DataFrame:
     """Seeded sample of ``n`` order lines (without replacement) -> their supplier ids.
 
@@ -97,16 +111,17 @@ def sample_supplier_ids(orders: DataFrame, n: int = K.SAMPLE_SIZE, seed: int = K
     ``n`` smallest hashes, so the sample is stable under any partitioning.
     """
     o = orders.where(F.col("supplier_id").isNotNull())
-    h = portable_hash(["order_id", "line_number"], seed)
-    return (o.select(h.alias("sample_key"), "order_id", "line_number", "supplier_id")
-            .orderBy("sample_key", "order_id", "line_number", "supplier_id").limit(n))
+    key = _row_key(orders)
+    h = _sample_key(orders, key, seed)
+    return (o.select(h.alias("sample_key"), *key, "supplier_id")
+            .orderBy("sample_key", *key, "supplier_id").limit(n))
 
 
 def lookup_suppliers(lookups: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Batch point lookup: every lookup row with its supplier record (NULLs when absent)."""
     s = suppliers.select(F.col("supplier_id").alias("_sid"), "supplier_name", "tier", "quality_score", "on_time_rate")
     j = lookups.join(s, F.col("supplier_id") == F.col("_sid"), "left")
-    return j.select("sample_key", "order_id", "line_number", "supplier_id", "supplier_name", "tier",
+    return j.select(*lookups.columns, "supplier_name", "tier",
                     as_double("quality_score").alias("quality_score"), as_double("on_time_rate").alias("on_time_rate"))
 
 
