@@ -65,18 +65,21 @@ def running_sum(df: DataFrame, value, order_by: Sequence[Column], out: str,
 
 def exact_quantiles(df: DataFrame, value, probs: Sequence[float], names: Sequence[str],
                     by: Sequence[str] = (), num_partitions: int | None = None,
-                    mean_name: str | None = None) -> DataFrame:
+                    mean_name: str | None = None, weight: str | None = None) -> DataFrame:
     """Exact linearly-interpolated quantiles of ``value`` (NULLs ignored).
 
     Returns one row per ``by`` group (one row overall when ``by`` is empty)
     with a DOUBLE column per name.  Work is proportional to the number of
     distinct values; no task ever holds more than one range partition of
-    them, and nothing is collected to the driver.
+    them, and nothing is collected to the driver.  With ``weight`` the input
+    is already a value -> count table (``weight`` holds the counts).
     """
     by = list(by)
     # Group on the exact value (integer / decimal), interpolate in DOUBLE.
-    counts = (df.select(*by, col_(value).alias("_cl_v")).where(F.col("_cl_v").isNotNull())
-              .groupBy(*by, "_cl_v").agg(F.count(F.lit(1)).alias("_cl_c")))
+    tally = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    cols = [*by, col_(value).alias("_cl_v")] + ([F.col(weight)] if weight else [])
+    counts = (df.select(*cols).where(F.col("_cl_v").isNotNull())
+              .groupBy(*by, "_cl_v").agg(tally.alias("_cl_c")))
     order = [F.col(b).asc() for b in by] + [F.col("_cl_v").asc()]
     cum = running_sum(counts, F.col("_cl_c"), order, "_cl_cum", num_partitions)
     if by:

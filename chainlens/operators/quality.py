@@ -10,6 +10,7 @@ from chainlens.functions import constants as K
 from chainlens.functions.classify import below_rag
 from chainlens.functions.numeric import as_double, as_long, mean, pct, ratio, round_half_up
 from chainlens.functions.windows import exact_quantiles
+from chainlens.session import materialize
 
 
 def _failed():
@@ -48,11 +49,28 @@ def defects_by_product_plant_rounded(insp: DataFrame, green_below: float = K.QUA
 
 def defect_stats_by_product(insp: DataFrame, digits: int | None = None) -> DataFrame:
     """Per product: mean, exact median and sample sd of the row defect rate, totals and
-    the overall rate (ratio of sums); by mean descending."""
-    agg = (insp.groupBy("product")
-           .agg(mean("defect_rate").alias("mean_defect_rate"), F.stddev_samp("defect_rate").alias("sd_defect_rate"),
-                F.sum("defects_found").alias("total_defects"), F.sum("batch_size").alias("total_units")))
-    med = exact_quantiles(insp, "defect_rate", [0.5], ["median_defect_rate"], by=["product"])
+    the overall rate (ratio of sums); by mean descending.
+
+    One pass over the inspections builds a (product, defect rate) -> count table
+    that also carries the defect and unit sums (bounded by products x the
+    DECIMAL(6,4) domain); it is materialised once and every statistic — the
+    median through the distributed cumulative counts, mean and sd from exact
+    moment sums — is computed from it.
+    """
+    rate = F.col("defect_rate")
+    tally = materialize(
+        insp.where(rate.isNotNull() | F.col("defects_found").isNotNull() | F.col("batch_size").isNotNull())
+        .groupBy("product", "defect_rate")
+        .agg(F.count(rate).alias("_c"), F.sum("defects_found").alias("_d"), F.sum("batch_size").alias("_u")))
+    c, v = F.col("_c"), F.col("defect_rate")
+    n = F.sum(c)
+    s1, s2 = F.sum(v * c), F.sum(v * v * c)
+    # sample variance = (n*S2 - S1^2) / (n*(n-1)); the numerator is exact in DECIMAL
+    var = F.try_divide((n * s2 - s1 * s1).cast("double"), (n * (n - F.lit(1))).cast("double"))
+    agg = tally.groupBy("product").agg(
+        ratio(s1, n).alias("mean_defect_rate"), F.sqrt(var).alias("sd_defect_rate"),
+        F.sum("_d").alias("total_defects"), F.sum("_u").alias("total_units"))
+    med = exact_quantiles(tally, "defect_rate", [0.5], ["median_defect_rate"], by=["product"], weight="_c")
     j = agg.join(med, "product", "left")
     r = (lambda c: round_half_up(c, digits)) if digits is not None else as_double
     return (j.select("product", r("mean_defect_rate").alias("mean_defect_rate"),
