@@ -69,3 +69,12 @@ def decimal_conformity(df: DataFrame, spec: dict, table: str) -> DataFrame:
     return (counts.unpivot([], names, "column_name", "non_conforming")
             .select(F.lit(table).alias("table_name"), "column_name",
                     types[F.col("column_name")].alias("declared_type"), "non_conforming"))
+
+
+def row_counts(tables: dict) -> DataFrame:
+    """Row count per named table: table_name, rows (one aggregate job per table, unioned)."""
+    out = None
+    for name, df in tables.items():
+        c = df.agg(F.count(F.lit(1)).cast("long").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        out = c if out is None else out.unionByName(c)
+    return out

@@ -9,6 +9,7 @@ from chainlens.functions.dates import lead_days, month_start
 from chainlens.functions.numeric import as_double, as_long, ratio, round_half_up
 from chainlens.functions.windows import exact_quantiles
 from chainlens.operators.revenue import delivered
+from chainlens.session import materialize
 
 SUMMARY_NAMES = ["min", "q1", "median", "q3", "max"]
 
@@ -115,7 +116,9 @@ def revenue_trend_pvalues(orders: DataFrame) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    m = monthly_series(orders).select(as_double("revenue").alias("revenue"), as_double("t").alias("t"))
+    # The fit and its summary make several passes over the input: materialise the
+    # monthly series (one row per month) once so they never re-read the orders.
+    m = materialize(monthly_series(orders).select(as_double("revenue").alias("revenue"), as_double("t").alias("t")))
     data = VectorAssembler(inputCols=["t"], outputCol="features").transform(m)
     model = LinearRegression(featuresCol="features", labelCol="revenue", solver="normal",
                              regParam=0.0, standardization=False).fit(data)

@@ -367,6 +367,13 @@ def q_defaults_filled(spark, d):
     return checks.apply_defaults(heads, "orders")
 
 
+def q_table_row_counts(spark, d):
+    t = _t(spark, d)
+    return checks.row_counts({"orders": _lines(t, status=None, dims=()), "suppliers": td.suppliers(t),
+                              "quality_inspections": td.inspections(t, dims=()),
+                              "machine_events": td.machine_events(t), "customer_feedback": td.customer_feedback(t)})
+
+
 def q_decimal_conformity(spark, d):
     li = _t(spark, d)["lineitem"]
     spec = {"l_extendedprice": (10, 2), "l_discount": (5, 3), "l_tax": (6, 4), "l_quantity": (4, 0)}

@@ -151,6 +151,10 @@ DOMAIN_QUERIES: dict[str, Callable[[Domain], DataFrame]] = {
     "check_enum": lambda d: (checks.check_enum(d.suppliers, "tier", K.SUPPLIER_TIERS, "suppliers")
                              .unionByName(checks.check_enum(d.orders, "status", K.ORDER_STATUSES, "orders"))),
     "defaults_filled": lambda d: checks.apply_defaults(d.orders, "orders"),
+    "table_row_counts": lambda d: checks.row_counts({"orders": d.orders, "suppliers": d.suppliers,
+                                                     "quality_inspections": d.inspections,
+                                                     "machine_events": d.event_docs,
+                                                     "customer_feedback": d.feedback_docs}),
     "decimal_conformity": lambda d: (checks.decimal_conformity(d.raw_csv("suppliers"), _declared_decimals("suppliers"), "suppliers")
                                      .unionByName(checks.decimal_conformity(d.raw_csv("orders"), _declared_decimals("orders"), "orders"))
                                      .unionByName(checks.decimal_conformity(d.raw_csv("quality_inspections"),

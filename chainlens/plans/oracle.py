@@ -518,6 +518,12 @@ ORACLE: dict[str, str] = {
     "defaults_filled": sql("""
         SELECT order_id, customer, plant, CAST(revenue AS DOUBLE) AS revenue, status, 0 AS discount_pct
         FROM v_order_heads"""),
+    "table_row_counts": sql("""
+        SELECT 'orders' AS table_name, CAST(COUNT(*) AS BIGINT) AS "rows" FROM v_orders
+        UNION ALL SELECT 'suppliers', CAST(COUNT(*) AS BIGINT) FROM v_suppliers
+        UNION ALL SELECT 'quality_inspections', CAST(COUNT(*) AS BIGINT) FROM v_inspections
+        UNION ALL SELECT 'machine_events', CAST(COUNT(*) AS BIGINT) FROM v_events
+        UNION ALL SELECT 'customer_feedback', CAST(COUNT(*) AS BIGINT) FROM v_feedback"""),
     "decimal_conformity": " UNION ALL ".join(
         f"""SELECT 'lineitem' AS table_name, '{c}' AS column_name, 'DECIMAL({p},{s})' AS declared_type,
                CAST(COUNT(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST({c} AS DECIMAL({p},{s})) IS NULL) AS BIGINT)

@@ -232,3 +232,11 @@ def test_invariants_on_testdata(spark):
     assert edges == pytest.approx(daily, rel=1e-9)
     sb = q["sla_breach"](spark, d).first()
     assert sb.within_sla + sb.breaches == sb.total
+
+
+def test_round_every_numeric_column(spark):
+    from chainlens.functions.numeric import round_numeric_columns
+
+    df = spark.createDataFrame([("p", 0.123456, Decimal("1.23455"), 7)], "product string, a double, b decimal(10,5), n int")
+    r = round_numeric_columns(df, 4).first()
+    assert (r.product, r.a, r.b, r.n) == ("p", 0.1235, 1.2346, 7)
