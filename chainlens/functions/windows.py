@@ -36,12 +36,6 @@ from chainlens.session import materialize
 _PID = "_cl_pid"
 
 
-def _partition_count(df: DataFrame, requested: int | None) -> int:
-    if requested:
-        return requested
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def running_sum(df: DataFrame, value, order_by: Sequence[Column], out: str,
                 num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = running sum of ``value`` in ``order_by`` order (ROWS UNBOUNDED PRECEDING).
@@ -49,9 +43,13 @@ def running_sum(df: DataFrame, value, order_by: Sequence[Column], out: str,
     ``order_by`` must be a total order (append key columns as tie-breakers) so
     the result does not depend on how ties fall into partitions.
     """
-    n = _partition_count(df, num_partitions)
     v = col_(value)
-    ranged = materialize(df.repartitionByRange(n, *order_by).withColumn(_PID, F.spark_partition_id()))
+    # Without an explicit count the range shuffle is AQE-coalescible: small inputs
+    # get few tasks, and coalescing only merges *adjacent* ranges, so partition
+    # ids stay in key order.
+    ranged = (df.repartitionByRange(num_partitions, *order_by) if num_partitions
+              else df.repartitionByRange(*order_by))
+    ranged = materialize(ranged.withColumn(_PID, F.spark_partition_id()))
     local_w = Window.partitionBy(_PID).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumn("_cl_local", F.sum(v).over(local_w))
     totals = ranged.groupBy(_PID).agg(F.sum(v).alias("_cl_ptot"))

@@ -48,3 +48,22 @@ def test_quantiles_ignore_nulls_and_empty(spark):
     assert r.med == 2.0
     empty = spark.createDataFrame([], "x long")
     assert exact_quantiles(empty, "x", [0.5], ["med"]).first().med is None
+
+
+def test_running_sum_with_coalesced_range_partitions(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(i, rng.randint(-50, 50)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(7)
+    order = [F.col("v").asc(), F.col("k").desc()]
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = dict(running_sum(df, F.col("v"), order, "run").select("k", "run").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    expect, acc = {}, 0
+    for k, v in sorted(rows, key=lambda r: (r[1], -r[0])):
+        acc += v
+        expect[k] = acc
+    assert got == expect
