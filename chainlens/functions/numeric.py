@@ -9,9 +9,9 @@ exact decimal — and only then cast to DOUBLE.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+from pyspark.sql.types import DecimalType, IntegralType, NumericType
 
 EXACT = DecimalType(38, 10)
 
@@ -55,10 +55,8 @@ def mean(c) -> Column:
     return ratio(F.sum(col_(c)), F.count(col_(c)))
 
 
-def round_numeric_columns(df, digits: int):
-    """Round every numeric column of ``df`` (HALF_UP), keeping others as they are."""
-    from pyspark.sql.types import NumericType, IntegralType
-
+def round_numeric_columns(df: DataFrame, digits: int) -> DataFrame:
+    """Round every non-integral numeric column of ``df`` (HALF_UP), keeping others as they are."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, NumericType) and not isinstance(f.dataType, IntegralType):

@@ -3,12 +3,13 @@ daily series and top-k customers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from chainlens.functions import constants as K
 from chainlens.functions.dates import month_key
-from chainlens.functions.numeric import as_double, as_long, mean, pct, ratio, round_half_up
+from chainlens.functions.numeric import as_double, as_long, col_, mean, pct, ratio, round_half_up
 from chainlens.functions.windows import running_sum
 from chainlens.session import materialize
 
@@ -118,12 +119,11 @@ def daily_revenue(orders: DataFrame) -> DataFrame:
             .orderBy("date"))
 
 
-def net_revenue(quantity, unit_price, discount) -> "F.Column":
-    """round(quantity x unit price x (1 - discount), 2) on exact decimals."""
-    from chainlens.functions.numeric import col_
-    from pyspark.sql.types import DecimalType
-
-    q = col_(quantity).cast(DecimalType(18, 4))
-    p = col_(unit_price).cast(DecimalType(18, 4))
-    d = col_(discount).cast(DecimalType(8, 4))
-    return F.round(q * p * (F.lit(1) - d), 2).cast(DecimalType(14, 2))
+def net_revenue(quantity, unit_price, discount) -> Column:
+    """round(quantity x unit price x (1 - discount), 2) on exact decimals (declared
+    DECIMAL(10,2) price, DECIMAL(5,3) discount; the product stays well inside 38 digits,
+    so no intermediate rounding happens before the final one)."""
+    q = col_(quantity).cast(DecimalType(12, 2))
+    p = col_(unit_price).cast(DecimalType(12, 2))
+    d = col_(discount).cast(DecimalType(5, 3))
+    return F.round(q * p * (F.lit(1) - d), 2).cast(DecimalType(18, 2))
