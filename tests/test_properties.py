@@ -67,3 +67,54 @@ def test_running_sum_with_coalesced_range_partitions(spark):
         acc += v
         expect[k] = acc
     assert got == expect
+
+
+@settings(**SETTINGS)
+@given(heads=st.lists(st.tuples(st.one_of(st.none(), st.integers(1, 12)), st.sampled_from(["A", "B", None]),
+                                st.sampled_from(["P1", "P2"]), st.integers(0, 500)), min_size=1, max_size=40),
+       insp=st.lists(st.tuples(st.integers(1, 14), st.integers(0, 80), st.sampled_from([0, 1])), max_size=40),
+       dedupe=st.booleans())
+def test_plant_efficiency_equals_literal_join(spark, heads, insp, dedupe):
+    """Single-pass rewrite == LEFT JOIN + COUNT(DISTINCT) x2 written literally (random data with
+    duplicate order ids, NULL ids/customers, orders with 0..n inspections)."""
+    from decimal import Decimal
+
+    from chainlens.operators import plant
+
+    h = spark.createDataFrame([(o, c, p, Decimal(r), "Delivered") for o, c, p, r in heads],
+                              "order_id long, customer string, plant string, revenue decimal(14,2), status string")
+    i = spark.createDataFrame([(o, Decimal(dr) / 1000, ps) for o, dr, ps in insp],
+                              "order_id long, defect_rate decimal(6,4), passed int")
+    got = {r.plant: r for r in plant.plant_efficiency(h, i, dedupe_orders=dedupe).collect()}
+    j = h.join(i, "order_id", "left")
+    if dedupe:
+        j = h.join(i.groupBy("order_id").agg(F.sum("defect_rate").alias("s"), F.count("defect_rate").alias("c"),
+                                             F.sum(F.when(F.col("passed") == 0, 1).otherwise(0)).alias("f")),
+                   "order_id", "left")
+        want = j.groupBy("plant").agg(F.countDistinct("order_id").alias("o"), F.sum("revenue").alias("rev"),
+                                      F.avg("revenue").alias("aov"), F.countDistinct("customer").alias("u"),
+                                      (F.sum("s") * 100 / F.sum("c")).alias("adr"), F.coalesce(F.sum("f"), F.lit(0)).alias("fb"))
+    else:
+        want = j.groupBy("plant").agg(F.countDistinct("order_id").alias("o"), F.sum("revenue").alias("rev"),
+                                      F.avg("revenue").alias("aov"), F.countDistinct("customer").alias("u"),
+                                      (F.avg("defect_rate") * 100).alias("adr"),
+                                      F.sum(F.when(F.col("passed") == 0, 1).otherwise(0)).alias("fb"))
+    want = {r.plant: r for r in want.collect()}
+    assert set(got) == set(want)
+    for p, w in want.items():
+        g = got[p]
+        assert g.total_orders == w.o and g.unique_customers == w.u and g.failed_batches == w.fb
+        assert g.total_revenue == pytest.approx(float(w.rev))
+        assert g.avg_order_value == pytest.approx(float(round(w.aov, 2)), abs=0.006)
+        if w.adr is None:
+            assert g.avg_defect_rate_pct is None
+        else:
+            assert g.avg_defect_rate_pct == pytest.approx(float(w.adr), abs=0.0006)
+
+
+def test_weighted_quantiles_equal_expanded(spark):
+    rows = [("a", 1, 3), ("a", 5, 1), ("b", 2, 2), ("b", 9, 2)]
+    df = spark.createDataFrame(rows, "g string, x long, w long")
+    got = {r.g: (r.med, r.m) for r in exact_quantiles(df, "x", [0.5], ["med"], by=["g"], weight="w",
+                                                       mean_name="m").collect()}
+    assert got == {"a": (1.0, 2.0), "b": (5.5, 5.5)}
