@@ -161,6 +161,11 @@ def q_oee_by_machine_cutoffs(spark, d):
     return _oee(_t(spark, d), OEE_CUTOFFS)
 
 
+def q_oee_bottom5(spark, d):
+    # Preview of the worst machines: the sorted result's first rows (TakeOrderedAndProject).
+    return _oee(_t(spark, d)).limit(5)
+
+
 def q_downtime_by_plant(spark, d):
     return events.downtime_by_plant(_events(_t(spark, d), "downtime_start"))
 
@@ -185,6 +190,15 @@ def q_sentiment_by_customer(spark, d):
     return feedback.sentiment_by_customer(_feedback_flat(_t(spark, d)))
 
 
+def q_sentiment_top5(spark, d):
+    s = feedback.sentiment_by_customer(_feedback_flat(_t(spark, d)))
+    return s.select("customer", "total", "neg_rate").limit(5)
+
+
+def q_tag_top5(spark, d):
+    return feedback.tag_frequency(td.customer_feedback(_t(spark, d))).limit(5)
+
+
 def q_tag_frequency(spark, d):
     return feedback.tag_frequency(td.customer_feedback(_t(spark, d)))
 

@@ -97,6 +97,7 @@ DOMAIN_QUERIES: dict[str, Callable[[Domain], DataFrame]] = {
     "plant_efficiency_dedup": lambda d: plant.plant_efficiency(d.orders, d.inspections, dedupe_orders=True),
     "events_flat": lambda d: d.events,
     "oee_by_machine": _oee,
+    "oee_bottom5": lambda d: _oee(d).limit(5),
     "downtime_by_plant": lambda d: events.downtime_by_plant(d.events),
     "top_alerts": lambda d: events.top_alerts(d.events),
     "sensor_anomaly_flags": lambda d: events.sensor_anomaly_flags(d.events),
@@ -104,6 +105,8 @@ DOMAIN_QUERIES: dict[str, Callable[[Domain], DataFrame]] = {
     "feedback_flat": lambda d: d.feedback,
     "sentiment_by_customer": lambda d: feedback.sentiment_by_customer(d.feedback),
     "tag_frequency": lambda d: feedback.tag_frequency(d.feedback_docs),
+    "sentiment_top5": lambda d: feedback.sentiment_by_customer(d.feedback).select("customer", "total", "neg_rate").limit(5),
+    "tag_top5": lambda d: feedback.tag_frequency(d.feedback_docs).limit(5),
     "resolution_summary": lambda d: feedback.resolution_summary(d.feedback),
     "orders_enriched": lambda d: suppliers.enrich_orders(d.orders, d.suppliers),
     "sampled_supplier_ids": _sample,

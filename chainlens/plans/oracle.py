@@ -330,6 +330,7 @@ ORACLE: dict[str, str] = {
     "events_flat": sql("SELECT * FROM v_events"),
     "oee_by_machine": sql("SELECT * FROM oee", OEE_CTE(0.85, 0.70)),
     "oee_by_machine_cutoffs": sql("SELECT * FROM oee", OEE_CTE(0.76, 0.73)),
+    "oee_bottom5": sql("SELECT * FROM oee ORDER BY avg_oee, machine_id LIMIT 5", OEE_CTE(0.85, 0.70)),
     "downtime_by_plant": sql(f"""
         SELECT plant, CAST(COUNT(event_id) AS BIGINT) AS downtime_events,
                {R("COALESCE(SUM(duration_min), 0)", 2)} AS total_duration, {R("AVG(duration_min)", 2)} AS avg_duration
@@ -352,6 +353,14 @@ ORACLE: dict[str, str] = {
                CAST(COUNT(sentiment) AS BIGINT) AS total,
                {R("COUNT(*) FILTER (WHERE sentiment = 'negative') * 100.0 / COUNT(sentiment)", 1)} AS neg_rate
         FROM v_feedback WHERE customer IS NOT NULL AND sentiment IS NOT NULL GROUP BY customer"""),
+    "sentiment_top5": sql(f"""
+        SELECT customer, CAST(COUNT(sentiment) AS BIGINT) AS total,
+               {R("COUNT(*) FILTER (WHERE sentiment = 'negative') * 100.0 / COUNT(sentiment)", 1)} AS neg_rate
+        FROM v_feedback WHERE customer IS NOT NULL AND sentiment IS NOT NULL GROUP BY customer
+        ORDER BY neg_rate DESC NULLS LAST, customer LIMIT 5"""),
+    "tag_top5": sql("""
+        SELECT trim(tag) AS tag, CAST(COUNT(*) AS BIGINT) AS "count"
+        FROM (SELECT unnest(tag_list) AS tag FROM v_feedback) u GROUP BY 1 ORDER BY "count" DESC, tag LIMIT 5"""),
     "tag_frequency": sql("""
         SELECT trim(tag) AS tag, CAST(COUNT(*) AS BIGINT) AS "count"
         FROM (SELECT unnest(tag_list) AS tag FROM v_feedback) u GROUP BY 1"""),
