@@ -26,8 +26,13 @@ OEE_CUTOFFS = (0.76, 0.73)
 CRITICAL_BY_KEY_MIN = 200
 
 
+DATABASE_CONF = "spark.chainlens.database"
+
+
 def _t(spark, sf_dir) -> Tables:
-    return Tables(spark, sf_dir)
+    """Test tables; when the session names a database holding the bucketed fact tables
+    (``spark.chainlens.database``, see ``chainlens.sources.layout``) they are read from it."""
+    return Tables(spark, sf_dir, database=spark.conf.get(DATABASE_CONF, None) or None)
 
 
 def _lines(t, status=DELIVERED, dims=td.ALL_DIMS):

@@ -34,13 +34,20 @@ ALL_DIMS = ("customer", "product", "plant")
 
 
 class Tables:
-    """Lazy access to ``{sf_dir}/{name}.parquet``."""
+    """Lazy access to ``{sf_dir}/{name}.parquet``.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+    With ``database`` set, tables present there (e.g. the bucketed fact tables
+    of :mod:`chainlens.sources.layout`) are read from the catalog instead, so
+    their bucketing is visible to the planner.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, database: str | None = None):
+        self.spark, self.sf_dir, self.database = spark, sf_dir.rstrip("/"), database
 
     @lru_cache(maxsize=None)
     def __getitem__(self, name: str) -> DataFrame:
+        if self.database and self.spark.catalog.tableExists(f"{self.database}.{name}"):
+            return self.spark.table(f"{self.database}.{name}")
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
