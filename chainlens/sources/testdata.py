@@ -19,7 +19,6 @@ Two scale rules shape the builders:
 from __future__ import annotations
 
 from decimal import Decimal
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +42,15 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str, database: str | None = None):
         self.spark, self.sf_dir, self.database = spark, sf_dir.rstrip("/"), database
+        self._frames: dict[str, DataFrame] = {}
 
-    @lru_cache(maxsize=None)
     def __getitem__(self, name: str) -> DataFrame:
-        if self.database and self.spark.catalog.tableExists(f"{self.database}.{name}"):
-            return self.spark.table(f"{self.database}.{name}")
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._frames:
+            if self.database and self.spark.catalog.tableExists(f"{self.database}.{name}"):
+                self._frames[name] = self.spark.table(f"{self.database}.{name}")
+            else:
+                self._frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._frames[name]
 
 
 def _map(col: Column, mapping: dict) -> Column:
