@@ -9,13 +9,14 @@ from chainlens.functions.classify import customer_tier
 from chainlens.functions.dates import month_key
 from chainlens.functions.numeric import as_double, as_long, mean, round_half_up
 from chainlens.functions import constants as K
+from chainlens.operators.revenue import order_count
 
 
 def customer_months(orders: DataFrame, customer: str = "customer", status=K.DELIVERED) -> DataFrame:
     """customer, order_month, orders_in_month, revenue_in_month (``status=None`` keeps all statuses)."""
     src = orders if status is None else orders.where(F.col("status") == status)
     return (src.groupBy(customer, month_key("order_date").alias("order_month"))
-            .agg(F.count("order_id").alias("orders_in_month"), F.sum("revenue").alias("revenue_in_month")))
+            .agg(order_count(orders).alias("orders_in_month"), F.sum("revenue").alias("revenue_in_month")))
 
 
 def customer_cohort(orders: DataFrame, customer: str = "customer", status=K.DELIVERED) -> DataFrame:

@@ -18,6 +18,19 @@ def delivered(orders: DataFrame) -> DataFrame:
     return orders.where(F.col("status") == K.DELIVERED)
 
 
+def order_count(orders: DataFrame) -> Column:
+    """COUNT(order_id) over order rows; over per-order totals (``line_count`` present)
+    the same number is the sum of the line counts."""
+    return F.sum("line_count") if "line_count" in orders.columns else F.count("order_id")
+
+
+def revenue_mean(orders: DataFrame) -> Column:
+    """AVG(revenue) as exact sum / count, also over per-order totals (``revenue_count``)."""
+    if "revenue_count" in orders.columns:
+        return ratio(F.sum("revenue"), F.sum("revenue_count"))
+    return mean("revenue")
+
+
 def revenue_by_customer(orders: DataFrame, customer: str = "customer") -> DataFrame:
     """Delivered revenue per customer with share of total and running total.
 
@@ -28,8 +41,8 @@ def revenue_by_customer(orders: DataFrame, customer: str = "customer") -> DataFr
     neither funnels the customers through one task.
     """
     agg = (delivered(orders).groupBy(customer)
-           .agg(F.count("order_id").alias("total_orders"), F.sum("revenue").alias("_rev"),
-                mean("revenue").alias("_avg")))
+           .agg(order_count(orders).alias("total_orders"), F.sum("revenue").alias("_rev"),
+                revenue_mean(orders).alias("_avg")))
     order = [F.col("_rev").desc_nulls_last(), F.col(customer).asc()]
     # running_sum materialises the per-customer rows once; the grand total is
     # then read from that materialisation rather than from a second fact scan.
@@ -51,8 +64,8 @@ def revenue_share_by_customer(orders: DataFrame, customer: str = "customer") ->
     scanned a second time for it.
     """
     agg = materialize(delivered(orders).groupBy(customer)
-                      .agg(F.count("order_id").alias("_n"), F.sum("revenue").alias("_rev"),
-                           mean("revenue").alias("_avg")))
+                      .agg(order_count(orders).alias("_n"), F.sum("revenue").alias("_rev"),
+                           revenue_mean(orders).alias("_avg")))
     grand = agg.select(F.sum("_rev")).scalar()
     return (agg.select(customer, as_long("_n").alias("total_orders"), round_half_up("_rev", 2).alias("total_revenue"),
                        round_half_up("_avg", 2).alias("avg_order_value"),
@@ -76,7 +89,7 @@ def monthly_revenue_mom(orders: DataFrame) -> DataFrame:
 def monthly_revenue_orders(orders: DataFrame) -> DataFrame:
     """Script variant: rounded revenue and order count per month; growth on the rounded revenue."""
     m = (delivered(orders).groupBy(month_key("order_date").alias("month"))
-         .agg(round_half_up(F.sum("revenue"), 2).alias("revenue"), as_long(F.count("order_id")).alias("orders")))
+         .agg(round_half_up(F.sum("revenue"), 2).alias("revenue"), as_long(order_count(orders)).alias("orders")))
     prev = F.lag("revenue").over(Window.orderBy("month"))
     return (m.select("month", "revenue", "orders",
                      round_half_up(ratio(F.col("revenue") - prev, prev) * 100, 2).alias("mom_growth_pct"))

@@ -39,6 +39,11 @@ def _lines(t, status=DELIVERED, dims=td.ALL_DIMS):
     return td.orders_lines(t, status=status, dims=dims)
 
 
+def _totals(t, status=DELIVERED, dims=()):
+    """Per-order totals (lines combined before the orders join) for order-level analyses."""
+    return td.order_totals(t, status=status, dims=dims)
+
+
 def _events(t, types=None):
     return events.flatten_events(td.machine_events(t, types))
 
@@ -48,7 +53,7 @@ def _feedback_flat(t):
 
 
 def _daily(t):
-    return revenue.daily_revenue(_lines(t, dims=()))
+    return revenue.daily_revenue(_totals(t))
 
 
 def _rolling(t):
@@ -73,16 +78,16 @@ def _supplier_agg(t):
 
 
 def q_revenue_by_customer(spark, d):
-    return revenue.revenue_by_customer(_lines(_t(spark, d), dims=("customer",)))
+    return revenue.revenue_by_customer(_totals(_t(spark, d), dims=("customer",)))
 
 
 def q_revenue_by_customer_key(spark, d):
     # Same analysis per customer key: thousands of rows through the distributed running total.
-    return revenue.revenue_by_customer(_lines(_t(spark, d), dims=()), customer="c_custkey")
+    return revenue.revenue_by_customer(_totals(_t(spark, d)), customer="c_custkey")
 
 
 def q_revenue_by_customer_share(spark, d):
-    return revenue.revenue_share_by_customer(_lines(_t(spark, d), dims=("customer",)))
+    return revenue.revenue_share_by_customer(_totals(_t(spark, d), dims=("customer",)))
 
 
 def q_supplier_scorecard(spark, d):
@@ -96,11 +101,11 @@ def q_supplier_scorecard_top10(spark, d):
 
 
 def q_monthly_revenue_mom(spark, d):
-    return revenue.monthly_revenue_mom(_lines(_t(spark, d), dims=()))
+    return revenue.monthly_revenue_mom(_totals(_t(spark, d)))
 
 
 def q_monthly_revenue_orders(spark, d):
-    return revenue.monthly_revenue_orders(_lines(_t(spark, d), dims=()))
+    return revenue.monthly_revenue_orders(_totals(_t(spark, d)))
 
 
 def q_defects_by_product_plant(spark, d):
@@ -124,19 +129,19 @@ def q_top_products_per_customer(spark, d):
 
 
 def q_customer_months(spark, d):
-    return cohort.customer_months_out(_lines(_t(spark, d), dims=("customer",)))
+    return cohort.customer_months_out(_totals(_t(spark, d), dims=("customer",)))
 
 
 def q_customer_cohort(spark, d):
-    return cohort.customer_cohort(_lines(_t(spark, d), dims=()), customer="c_custkey")
+    return cohort.customer_cohort(_totals(_t(spark, d)), customer="c_custkey")
 
 
 def q_customer_cohort_segment(spark, d):
-    return cohort.customer_cohort(_lines(_t(spark, d), dims=("customer",)))
+    return cohort.customer_cohort(_totals(_t(spark, d), dims=("customer",)))
 
 
 def q_customer_cohort_all_status(spark, d):
-    return cohort.customer_cohort(_lines(_t(spark, d), status=None, dims=()), customer="c_custkey", status=None)
+    return cohort.customer_cohort(_totals(_t(spark, d), status=None), customer="c_custkey", status=None)
 
 
 def q_plant_efficiency(spark, d):
@@ -227,11 +232,11 @@ def q_supplier_lookup(spark, d):
 
 
 def q_top_customers(spark, d):
-    return revenue.top_customers(_lines(_t(spark, d), dims=("customer",)))
+    return revenue.top_customers(_totals(_t(spark, d), dims=("customer",)))
 
 
 def q_top_customers_by_key(spark, d):
-    return revenue.top_customers(_lines(_t(spark, d), dims=()), customer="c_custkey")
+    return revenue.top_customers(_totals(_t(spark, d)), customer="c_custkey")
 
 
 def q_daily_revenue(spark, d):
@@ -300,23 +305,23 @@ def q_defect_stats_by_product(spark, d):
 
 
 def q_monthly_trend(spark, d):
-    return stats.monthly_trend(_lines(_t(spark, d), dims=()))
+    return stats.monthly_trend(_totals(_t(spark, d)))
 
 
 def q_revenue_trend_ols(spark, d):
-    return stats.revenue_trend_ols(_lines(_t(spark, d), dims=()))
+    return stats.revenue_trend_ols(_totals(_t(spark, d)))
 
 
 def q_revenue_trend_fit(spark, d):
-    return stats.revenue_trend_fit(_lines(_t(spark, d), dims=()))
+    return stats.revenue_trend_fit(_totals(_t(spark, d)))
 
 
 def q_revenue_trend_pvalues(spark, d):
-    return stats.revenue_trend_pvalues(_lines(_t(spark, d), dims=()))
+    return stats.revenue_trend_pvalues(_totals(_t(spark, d)))
 
 
 def q_panel_monthly(spark, d):
-    return dashboard.panel_monthly(revenue.monthly_revenue_orders(_lines(_t(spark, d), dims=())))
+    return dashboard.panel_monthly(revenue.monthly_revenue_orders(_totals(_t(spark, d))))
 
 
 def q_panel_oee(spark, d):
@@ -332,7 +337,7 @@ def q_panel_rolling(spark, d):
 
 
 def q_panel_customers(spark, d):
-    return dashboard.panel_customers(_lines(_t(spark, d), dims=("customer",)))
+    return dashboard.panel_customers(_totals(_t(spark, d), dims=("customer",)))
 
 
 def q_kpi_table(spark, d):

@@ -112,6 +112,40 @@ def orders_lines(t: Tables, status=None, dims=ALL_DIMS) -> DataFrame:
     return df.drop("l_partkey")
 
 
+def order_totals(t: Tables, status=None, dims=("customer", "plant")) -> DataFrame:
+    """Line items combined per order *before* the orders join, for analyses that only
+    need order-level attributes: order_id, order_date, c_custkey, status, revenue
+    (sum over the lines), line_count, revenue_count, plus ``dims`` (customer, plant).
+
+    The per-order aggregate is combined map-side and its order-key partitioning is
+    reused by the join, so every later shuffle (customer join, grouping) carries
+    one row per order instead of one per line.  Operators read ``line_count`` /
+    ``revenue_count`` as weights, so counts and averages stay line-level.
+    """
+    if "product" in dims:
+        raise ValueError("product is a line attribute; use orders_lines")
+    li = (t["lineitem"].select(F.col("l_orderkey").alias("order_id"), net_line_revenue().alias("revenue"))
+          .groupBy("order_id").agg(F.sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("line_count"),
+                                   F.count("revenue").alias("revenue_count")))
+    o = t["orders"]
+    if status is not None:
+        o = o.where(F.col("o_orderstatus").isin(_codes_for(status, STATUS_BY_CODE)))
+    o = o.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("c_custkey"),
+                 F.to_date("o_orderdate").alias("order_date"),
+                 _map(F.col("o_orderstatus"), STATUS_BY_CODE).alias("status"))
+    df = li.join(o, "order_id")
+    if "customer" in dims or "plant" in dims:
+        c = t["customer"].select("c_custkey", F.col("c_mktsegment").alias("customer"), "c_nationkey")
+        df = df.join(c, "c_custkey")
+        if "plant" in dims:
+            nr = nation_regions(t).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("plant"))
+            df = df.join(nr, "c_nationkey")
+        df = df.drop("c_nationkey")
+        if "customer" not in dims:
+            df = df.drop("customer")
+    return df
+
+
 def order_heads(t: Tables, status=None) -> DataFrame:
     """Order-grain orders: order_id, order_date, c_custkey, customer, plant, revenue, status."""
     o = t["orders"]
