@@ -38,3 +38,20 @@ def test_no_python_udfs_anywhere(spark):
 def test_scan_is_pruned(spark):
     p = plan_of(spark, "sla_breach")
     assert "ReadSchema: struct<l_orderkey:bigint,l_shipdate:timestamp_ntz>" in p
+
+
+def test_order_totals_reuse_partitioning_for_the_join(spark):
+    """Lines are combined per order before the orders join, and that aggregate's
+    order-key partitioning feeds the join directly (no second exchange)."""
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(k, "-1")
+    try:
+        p = plan_of(spark, "monthly_revenue_mom")
+    finally:
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(k, prev)
+    lines = p.splitlines()
+    smj = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
+    left = lines[smj + 1]
+    assert "HashAggregate(keys=[order_id" in left and "Exchange" not in left, p
