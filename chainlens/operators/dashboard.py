@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chainlens.functions import constants as K
 from chainlens.functions.classify import chart_defect_colour, growth_sign_class
 from chainlens.functions.dates import lead_days, month_label
-from chainlens.functions.numeric import as_double, mean, ratio, round_half_up
+from chainlens.functions.numeric import mean, ratio, round_half_up
 from chainlens.operators.revenue import customer_revenue, delivered
 from chainlens.session import materialize
 

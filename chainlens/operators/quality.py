@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chainlens.functions import constants as K
 from chainlens.functions.classify import below_rag
-from chainlens.functions.numeric import as_double, as_long, mean, pct, ratio, round_half_up
+from chainlens.functions.numeric import as_double, as_long, pct, ratio, round_half_up
 from chainlens.functions.windows import exact_quantiles
 from chainlens.session import materialize
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlens.functions.dates import lead_days, month_start
-from chainlens.functions.numeric import as_double, as_long, ratio, round_half_up
+from chainlens.functions.numeric import as_double, as_long, round_half_up
 from chainlens.functions.windows import exact_quantiles
 from chainlens.operators.revenue import delivered
 from chainlens.session import materialize

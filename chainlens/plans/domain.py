@@ -14,7 +14,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chainlens.functions import constants as K
 from chainlens.functions.numeric import as_double

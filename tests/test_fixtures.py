@@ -1,7 +1,6 @@
 """Hand-computed micro fixtures for the semantic traps (FIXTURES.md §3) and invariants."""
 
 import datetime as dt
-import os
 import random
 from decimal import Decimal
 

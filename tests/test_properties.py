@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chainlens.functions.windows import exact_quantiles, running_sum

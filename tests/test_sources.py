@@ -4,7 +4,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from chainlens.functions.classify import supplier_rag
 from chainlens.operators import events, feedback
