@@ -28,6 +28,20 @@ DEFAULT_CONF = {
 }
 
 
+def sized_conf(input_bytes: int, cores: int, target_partition_mb: int = 256) -> dict:
+    """Shuffle sizing for a run over ``input_bytes`` on ``cores`` executor cores.
+
+    One shuffle partition per ~``target_partition_mb`` of input (so a reduce task
+    fits in executor memory without spilling), never fewer than 2 waves of tasks
+    across the cores; AQE then coalesces small partitions and splits skewed
+    ones.  E.g. 100 TB on 4,000 cores -> 409,600 partitions.
+    """
+    parts = max(2 * cores, -(-input_bytes // (target_partition_mb * 2**20)))
+    return {"spark.sql.shuffle.partitions": str(parts),
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_partition_mb}m",
+            "spark.sql.files.maxPartitionBytes": f"{min(target_partition_mb, 512)}m"}
+
+
 def get_session(master: str | None = None, app: str = "chainlens", conf: dict | None = None) -> SparkSession:
     """Return (or create) a session with :data:`DEFAULT_CONF` applied.
 

@@ -239,3 +239,11 @@ def test_round_every_numeric_column(spark):
     df = spark.createDataFrame([("p", 0.123456, Decimal("1.23455"), 7)], "product string, a double, b decimal(10,5), n int")
     r = round_numeric_columns(df, 4).first()
     assert (r.product, r.a, r.b, r.n) == ("p", 0.1235, 1.2346, 7)
+
+
+def test_sized_conf():
+    from chainlens.session import sized_conf
+
+    c = sized_conf(100 * 2**40, 4000)
+    assert c["spark.sql.shuffle.partitions"] == str(100 * 2**40 // (256 * 2**20))
+    assert sized_conf(10 * 2**20, 8)["spark.sql.shuffle.partitions"] == "16"
