@@ -17,10 +17,13 @@ def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Read a headed CSV with the declared schema of ``table``.
 
     Only the empty field is NULL: the literal text ``None`` is a real value
-    (a defect type), not a missing one.
+    (a defect type), not a missing one.  The header is checked against the
+    declared column names (``enforceSchema=false``), so a file with reordered
+    columns fails instead of loading shifted values.
     """
     return (spark.read.schema(schemas.BY_NAME[table])
-            .option("header", True).option("nullValue", "").option("mode", "FAILFAST")
+            .option("header", True).option("enforceSchema", False)
+            .option("nullValue", "").option("mode", "FAILFAST")
             .option("dateFormat", "yyyy-MM-dd")
             .csv(path))
 

@@ -92,3 +92,12 @@ def test_sql_registration(spark):
     readers.register(testdata.suppliers(t), "suppliers_v")
     n = readers.run_sql(spark, "SELECT COUNT(*) AS n FROM suppliers_v WHERE active = 1").first().n
     assert n == testdata.suppliers(t).where("active = 1").count()
+
+
+def test_csv_header_must_match_schema(spark, tmpdir_fresh):
+    p = os.path.join(tmpdir_fresh, "bad.csv")
+    with open(p, "w") as f:
+        f.write("supplier_name,supplier_id,country,tier,on_time_rate,quality_score,avg_lead_days,contract_value,active\n")
+        f.write("Name,S1,India,Tier 1,0.9,4.0,10,1000.00,1\n")
+    with pytest.raises(Exception):
+        readers.read_csv(spark, p, "suppliers").collect()
