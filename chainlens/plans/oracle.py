@@ -77,7 +77,7 @@ VIEWS = {
     FROM (SELECT *, CAST(props->>'k' AS INTEGER) AS k FROM events) e""",
     "v_feedback": """
     SELECT d.doc_id AS feedback_id, d.source AS customer, d.lang AS product,
-           DATE '2024-01-01' + CAST(d.doc_id % 365 AS INTEGER) AS date,
+           strftime(DATE '2024-01-01' + CAST(d.doc_id % 365 AS INTEGER), '%Y-%m-%d') AS date,
            (['email', 'portal', 'call', 'site_visit'])[CAST(d.doc_id % 4 + 1 AS INTEGER)] AS channel,
            CAST(d.doc_id % 5 + 1 AS INTEGER) AS rating,
            CASE WHEN lb.toxic = 1 THEN 'negative' WHEN lb.quality = 1 THEN 'positive' ELSE 'neutral' END AS sentiment,

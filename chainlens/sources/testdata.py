@@ -251,7 +251,8 @@ def customer_feedback(t: Tables) -> DataFrame:
         F.concat(F.lit("CSM_"), (doc % 5 + 1).cast("string")).alias("owner")))
     return j.select(
         doc.alias("feedback_id"), F.col("source").alias("customer"), F.col("lang").alias("product"),
-        F.date_add(F.lit("2024-01-01").cast("date"), (doc % 365).cast("int")).alias("date"),
+        # documents carry the date as ISO text, as the feedback collection does
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (doc % 365).cast("int")), "yyyy-MM-dd").alias("date"),
         F.element_at(F.array(*[F.lit(c) for c in CHANNELS]), (doc % 4 + 1).cast("int")).alias("channel"),
         (doc % 5 + 1).cast("int").alias("rating"),
         tags.alias("tags"),

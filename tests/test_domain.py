@@ -43,7 +43,7 @@ def domain_dir(spark, tmp_path_factory):
      .write.json(f"{out}/machine_events.json"))
     fb = td.customer_feedback(t)
     (fb.select(F.col("feedback_id").cast("string").alias("feedback_id"), "customer", "product",
-               F.col("date").cast("string").alias("date"), *[c for c in fb.columns
+               "date", *[c for c in fb.columns
                                                               if c not in ("feedback_id", "customer", "product", "date")])
      .write.json(f"{out}/customer_feedback.json"))
     return out
