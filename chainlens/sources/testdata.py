@@ -192,7 +192,13 @@ def inspections(t: Tables, dims=("product", "plant")) -> DataFrame:
 
 
 def suppliers(t: Tables) -> DataFrame:
-    """supplier_id, supplier_name, country, tier, on_time_rate, quality_score, avg_lead_days, active."""
+    """supplier_id, supplier_name, country, tier, on_time_rate, quality_score, avg_lead_days, active.
+
+    The test tables have no supplier tier, rates or active flag, so these are
+    *derived attributes* (deterministic functions of the key and balance, fixed
+    in FIXTURES.md).  Every supplier row is kept; ``active`` is only read by the
+    analyses that the domain restricts to active suppliers.
+    """
     k = F.col("s_suppkey")
     on_time = (_dec("0.72") + (F.lit(27) * ((k * 37) % 101)).cast(DecimalType(9, 0)) * _dec("0.0001")).cast(DecimalType(5, 3))
     quality = (_dec("3.2") + (F.col("s_acctbal") + 1000).cast(DecimalType(12, 2)) * _dec("0.00016")).cast(DecimalType(3, 2))
