@@ -4,6 +4,10 @@ FIXED VALUES — these must equal the reference analyses for identical results.
 They are business thresholds, labels and domains, listed in natural order.
 """
 
+# Machine event types and feedback channels of the document collections.
+EVENT_TYPES = ("cycle_complete", "downtime_start", "downtime_end", "maintenance", "alert", "shift_start", "shift_end")
+FEEDBACK_CHANNELS = ("email", "portal", "call", "site_visit")
+
 # Order status domain and the status every revenue analysis keeps.
 ORDER_STATUSES = ("Delivered", "Pending", "Cancelled")
 DELIVERED = "Delivered"

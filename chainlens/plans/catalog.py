@@ -382,7 +382,8 @@ def q_check_not_null(spark, d):
 def q_check_enum(spark, d):
     t = _t(spark, d)
     return (checks.check_enum(td.suppliers(t), "tier", K.SUPPLIER_TIERS, "suppliers")
-            .unionByName(checks.check_enum(td.order_heads(t), "status", K.ORDER_STATUSES, "orders")))
+            .unionByName(checks.check_enum(td.order_heads(t), "status", K.ORDER_STATUSES, "orders"))
+            .unionByName(checks.check_enum(td.machine_events(t), "event_type", K.EVENT_TYPES, "machine_events")))
 
 
 def q_defaults_filled(spark, d):

@@ -151,7 +151,8 @@ DOMAIN_QUERIES: dict[str, Callable[[Domain], DataFrame]] = {
     "check_not_null": lambda d: (checks.check_not_null(d.suppliers, ["supplier_name"], "suppliers")
                                  .unionByName(checks.check_not_null(d.orders, ["order_date"], "orders"))),
     "check_enum": lambda d: (checks.check_enum(d.suppliers, "tier", K.SUPPLIER_TIERS, "suppliers")
-                             .unionByName(checks.check_enum(d.orders, "status", K.ORDER_STATUSES, "orders"))),
+                             .unionByName(checks.check_enum(d.orders, "status", K.ORDER_STATUSES, "orders"))
+                             .unionByName(checks.check_enum(d.event_docs, "event_type", K.EVENT_TYPES, "machine_events"))),
     "defaults_filled": lambda d: checks.apply_defaults(d.orders, "orders"),
     "table_row_counts": lambda d: checks.row_counts({"orders": d.orders, "suppliers": d.suppliers,
                                                      "quality_inspections": d.inspections,

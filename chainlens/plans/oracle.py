@@ -523,7 +523,11 @@ ORACLE: dict[str, str] = {
         FROM v_suppliers WHERE tier IS NOT NULL AND tier NOT IN ('Tier 1', 'Tier 2', 'Tier 3') GROUP BY tier
         UNION ALL
         SELECT 'orders', 'status', status, CAST(COUNT(*) AS BIGINT) FROM v_order_heads
-        WHERE status IS NOT NULL AND status NOT IN ('Delivered', 'Pending', 'Cancelled') GROUP BY status"""),
+        WHERE status IS NOT NULL AND status NOT IN ('Delivered', 'Pending', 'Cancelled') GROUP BY status
+        UNION ALL
+        SELECT 'machine_events', 'event_type', event_type, CAST(COUNT(*) AS BIGINT) FROM v_events
+        WHERE event_type IS NOT NULL AND event_type NOT IN ('cycle_complete', 'downtime_start', 'downtime_end',
+              'maintenance', 'alert', 'shift_start', 'shift_end') GROUP BY event_type"""),
     "defaults_filled": sql("""
         SELECT order_id, customer, plant, CAST(revenue AS DOUBLE) AS revenue, status, 0 AS discount_pct
         FROM v_order_heads"""),

@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DecimalType, DoubleType, StringType
 
+from chainlens.functions import constants as K
+
 # Adapter mappings (our own, mirrored in the oracle SQL).
 STATUS_BY_CODE = {"F": "Delivered", "O": "Pending", "P": "Cancelled"}
 EVENT_TYPE_BY_SOURCE = {"click": "cycle_complete", "error": "alert", "purchase": "downtime_start",
                         "signup": "downtime_end", "view": "maintenance"}
-CHANNELS = ("email", "portal", "call", "site_visit")
+CHANNELS = K.FEEDBACK_CHANNELS
 ALL_DIMS = ("customer", "product", "plant")
 
 
