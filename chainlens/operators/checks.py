@@ -10,11 +10,22 @@ from pyspark.sql import functions as F
 from chainlens.functions import constants as K
 
 
-def check_pk(df: DataFrame, key: str, table: str) -> DataFrame:
-    """Keys that are NULL or occur more than once: table, key, n."""
-    g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return g.where((F.col("n") > 1) | F.col(key).isNull()).select(
-        F.lit(table).alias("table_name"), F.col(key).cast("string").alias("key"), F.col("n").cast("long").alias("n"))
+def check_pk(df: DataFrame, key, table: str) -> DataFrame:
+    """Keys that are NULL or occur more than once: table, key, n.
+
+    ``key`` may be several columns (a composite key, e.g. the integer parts of a
+    text id): the shuffle then carries the narrow typed columns, and the text
+    form ``a-b`` is built only for the violating keys.
+    """
+    cols = [key] if isinstance(key, str) else list(key)
+    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    any_null = None
+    for c in cols:
+        any_null = F.col(c).isNull() if any_null is None else (any_null | F.col(c).isNull())
+    text = (F.col(cols[0]).cast("string") if len(cols) == 1
+            else F.concat_ws("-", *[F.col(c).cast("string") for c in cols]))
+    return g.where((F.col("n") > 1) | any_null).select(
+        F.lit(table).alias("table_name"), text.alias("key"), F.col("n").cast("long").alias("n"))
 
 
 def check_fk(child: DataFrame, fk: str, parent: DataFrame, pk: str, relation: str) -> DataFrame:

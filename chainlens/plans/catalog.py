@@ -362,7 +362,9 @@ def q_check_pk(spark, d):
     t = _t(spark, d)
     return (checks.check_pk(td.order_heads(t), "order_id", "orders")
             .unionByName(checks.check_pk(td.suppliers(t), "supplier_id", "suppliers"))
-            .unionByName(checks.check_pk(td.inspections(t, dims=()), "inspection_id", "quality_inspections")))
+            # inspection_id is "order_id-line_number": check the integer pair, text only for hits
+            .unionByName(checks.check_pk(td.inspections(t, dims=()), ["order_id", "line_number"],
+                                         "quality_inspections")))
 
 
 def q_check_fk(spark, d):

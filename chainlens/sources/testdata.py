@@ -163,8 +163,9 @@ def order_heads(t: Tables, status=None) -> DataFrame:
 
 
 def inspections(t: Tables, dims=("product", "plant")) -> DataFrame:
-    """One inspection per line: order_id, inspection_id, supplier_id, inspection_date,
-    batch_size, defects_found, defect_rate, passed, plus the requested ``dims``
+    """One inspection per line: order_id, inspection_id (= ``order_id-line_number``),
+    line_number, supplier_id, inspection_date, batch_size, defects_found, defect_rate,
+    passed, plus the requested ``dims``
     (product = part type, plant = supplier's region).
 
     Each dimension is joined to the fact side as a plain scan first and only
@@ -175,6 +176,7 @@ def inspections(t: Tables, dims=("product", "plant")) -> DataFrame:
     li = t["lineitem"].select(
         F.col("l_orderkey").alias("order_id"),
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("inspection_id"),
+        F.col("l_linenumber").alias("line_number"),
         "l_partkey", F.col("l_suppkey").alias("supplier_id"),
         F.to_date("l_shipdate").alias("inspection_date"),
         F.col("l_quantity").cast("int").alias("batch_size"),
