@@ -26,6 +26,8 @@ def main(argv=None) -> int:
     ap.add_argument("--format", choices=["csv", "parquet", "json"], default="csv")
     ap.add_argument("--json-lines", action="store_true", help="documents are JSON Lines, not one array per file")
     ap.add_argument("--master", default=None)
+    ap.add_argument("--dashboard", action="store_true",
+                    help="write the six dashboard datasets from one pass over each source")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args(argv)
 
@@ -37,10 +39,23 @@ def main(argv=None) -> int:
 
         d = domain.load(spark, a.data_dir, json_lines=a.json_lines)
         run = {k: (lambda f=f: f(d)) for k, f in domain.DOMAIN_QUERIES.items()}
+        bundle_inputs = lambda: (d.orders, d.inspections, d.events)
     else:
-        from chainlens.plans.catalog import QUERIES
+        from chainlens.plans.catalog import QUERIES, _t
+        from chainlens.operators import events
+        from chainlens.sources import testdata as td
 
         run = {k: (lambda f=f: f(spark, a.sf_dir)) for k, f in QUERIES.items()}
+
+        def bundle_inputs():
+            t = _t(spark, a.sf_dir)
+            return (td.order_totals(t, "Delivered", dims=("customer",)), td.inspections(t, dims=("product",)),
+                    events.flatten_events(td.machine_events(t, "cycle_complete")))
+    if a.dashboard:
+        from chainlens.operators.dashboard import dashboard_bundle
+
+        built = dashboard_bundle(*bundle_inputs())
+        run = {k: (lambda v=v: v) for k, v in built.items()}
     writer = {"csv": sinks.write_csv, "parquet": sinks.write_parquet, "json": sinks.write_json}[a.format]
     for name in (a.names or list(run)):
         t0 = time.perf_counter()

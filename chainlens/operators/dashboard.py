@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 from chainlens.functions import constants as K
 from chainlens.functions.classify import chart_defect_colour, growth_sign_class
-from chainlens.functions.dates import lead_days, month_label
-from chainlens.functions.numeric import mean, ratio, round_half_up
-from chainlens.operators.revenue import customer_revenue, delivered
+from chainlens.functions.dates import month_label
+from chainlens.functions.numeric import ratio, round_half_up
+from chainlens.operators.events import oee_by_machine
+from chainlens.operators.quality import defect_pct_by_product, defect_rate_mean
+from chainlens.operators.revenue import (customer_revenue, daily_revenue, delivered, lead_mean,
+                                         monthly_revenue_orders, order_count, with_order_weights)
+from chainlens.operators.rolling import rolling_revenue
 from chainlens.session import materialize
 
 
@@ -80,11 +84,11 @@ def kpi_table(orders: DataFrame, insp: DataFrame, oee: DataFrame) -> DataFrame:
     # One aggregate pass per source, materialised as one row; the KPI values
     # are scalar subqueries over those one-row checkpoints.
     d = materialize(delivered(orders).agg(
-        ratio(F.sum("revenue"), F.lit(K.CRORE)).alias("total_cr"), F.count(F.lit(1)).alias("n_orders"),
-        F.avg(lead_days("delivery_date", "order_date")).alias("avg_lead")))
+        ratio(F.sum("revenue"), F.lit(K.CRORE)).alias("total_cr"), order_count(orders).alias("n_orders"),
+        lead_mean(orders).alias("avg_lead")))
     o = materialize(oee.agg((F.avg("avg_oee") * 100).alias("avg_oee"),
                             F.count_if(F.col("oee_rag") == "RED").alias("red")))
-    q = materialize(insp.agg((mean("defect_rate") * 100).alias("avg_defect")))
+    q = materialize(insp.agg((defect_rate_mean(insp) * 100).alias("avg_defect")))
     total_cr, n_orders, avg_lead = (d.select(c).scalar() for c in ("total_cr", "n_orders", "avg_lead"))
     avg_oee, red = (o.select(c).scalar() for c in ("avg_oee", "red"))
     avg_defect = q.select("avg_defect").scalar()
@@ -110,3 +114,45 @@ def kpi_table(orders: DataFrame, insp: DataFrame, oee: DataFrame) -> DataFrame:
     )
     spark = orders.sparkSession
     return spark.range(1).select(F.inline(rows))
+
+
+_ORDER_SUMS = ("revenue", "line_count", "revenue_count", "lead_day_sum", "lead_day_count")
+
+
+def dashboard_bundle(order_totals: DataFrame, insp: DataFrame, events_flat: DataFrame,
+                     customer: str = "customer") -> dict[str, DataFrame]:
+    """All six dashboard datasets from one pass over each source.
+
+    Built separately, the panels would scan the orders four times, the
+    inspections twice and the events twice.  Here:
+
+    * one GROUPING SETS aggregate over the delivered per-order totals gives the
+      per-day and the per-customer sums together (materialised; days and
+      customers only) — monthly, rolling, customer and KPI figures derive from it;
+    * one pass over the events gives OEE per machine (materialised);
+    * one pass over the inspections gives per-product sums (materialised).
+
+    The same operators run on these partial sums: they read ``line_count`` /
+    ``revenue_count`` / ``lead_day_*`` / ``defect_rate_*`` as weights, so every
+    dataset equals the stand-alone panel query.
+    """
+    d = delivered(with_order_weights(order_totals))
+    sums = [F.sum(c).alias(c) for c in _ORDER_SUMS]
+    both = materialize(d.groupingSets([["order_date"], [customer]], "order_date", customer)
+                       .agg(F.grouping_id().alias("_g"), *sums))
+    status = F.lit(K.DELIVERED).alias("status")
+    by_day = both.where(F.col("_g") == 1).select("order_date", *_ORDER_SUMS, status)
+    by_customer = both.where(F.col("_g") == 2).select(customer, *_ORDER_SUMS, status)
+    oee = materialize(oee_by_machine(events_flat))
+    by_product = materialize(insp.groupBy("product").agg(
+        F.sum("defects_found").alias("defects_found"), F.sum("batch_size").alias("batch_size"),
+        F.sum("defect_rate").alias("defect_rate_sum"), F.count("defect_rate").alias("defect_rate_count")))
+    rolling = rolling_revenue(daily_revenue(by_day))
+    return {
+        "panel_monthly": panel_monthly(monthly_revenue_orders(by_day)),
+        "panel_oee": panel_oee(oee),
+        "panel_defects": panel_defects(defect_pct_by_product(by_product)),
+        "panel_rolling": panel_rolling(rolling),
+        "panel_customers": panel_customers(by_customer, customer=customer),
+        "kpi_table": kpi_table(by_day, by_product, oee),
+    }

@@ -86,6 +86,14 @@ def defect_pct_by_product(insp: DataFrame) -> DataFrame:
     return g.select("product", pct("_d", "_u").alias("defect_pct")).orderBy("defect_pct", "product")
 
 
+def defect_rate_mean(insp: DataFrame):
+    """AVG(defect_rate) over inspections, also over pre-aggregated rows
+    (``defect_rate_sum`` / ``defect_rate_count``)."""
+    if "defect_rate_sum" in insp.columns:
+        return ratio(F.sum("defect_rate_sum"), F.sum("defect_rate_count"))
+    return ratio(F.sum("defect_rate"), F.count("defect_rate"))
+
+
 def row_defect_rate(insp: DataFrame) -> DataFrame:
     """defect_rate = round(defects_found / batch_size, 4) per inspection row."""
     return insp.select("order_id", "inspection_id", as_long("batch_size").alias("batch_size"),

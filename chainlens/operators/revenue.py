@@ -24,6 +24,25 @@ def order_count(orders: DataFrame) -> Column:
     return F.sum("line_count") if "line_count" in orders.columns else F.count("order_id")
 
 
+def with_order_weights(orders: DataFrame) -> DataFrame:
+    """Give row-level orders the weight columns of per-order totals (a row counts as
+    one order line if it has an id, its revenue if present, its lead days if dated),
+    so code written for pre-aggregated rows runs on them unchanged."""
+    if "line_count" in orders.columns:
+        return orders
+    lead = F.datediff("delivery_date", "order_date")
+    return orders.select("*", F.col("order_id").isNotNull().cast("long").alias("line_count"),
+                         F.col("revenue").isNotNull().cast("long").alias("revenue_count"),
+                         lead.cast("long").alias("lead_day_sum"), lead.isNotNull().cast("long").alias("lead_day_count"))
+
+
+def lead_mean(orders: DataFrame) -> Column:
+    """AVG(delivery_date - order_date) in days, also over per-order totals (lead-day sums)."""
+    if "lead_day_sum" in orders.columns:
+        return ratio(F.sum("lead_day_sum"), F.sum("lead_day_count"))
+    return F.avg(F.datediff("delivery_date", "order_date"))
+
+
 def revenue_mean(orders: DataFrame) -> Column:
     """AVG(revenue) as exact sum / count, also over per-order totals (``revenue_count``)."""
     if "revenue_count" in orders.columns:

@@ -117,7 +117,8 @@ def orders_lines(t: Tables, status=None, dims=ALL_DIMS) -> DataFrame:
 def order_totals(t: Tables, status=None, dims=("customer", "plant")) -> DataFrame:
     """Line items combined per order *before* the orders join, for analyses that only
     need order-level attributes: order_id, order_date, c_custkey, status, revenue
-    (sum over the lines), line_count, revenue_count, plus ``dims`` (customer, plant).
+    (sum over the lines), line_count, revenue_count, lead_day_sum / lead_day_count
+    (lead days summed over the lines), plus ``dims`` (customer, plant).
 
     The per-order aggregate is combined map-side and its order-key partitioning is
     reused by the join, so every later shuffle (customer join, grouping) carries
@@ -126,16 +127,22 @@ def order_totals(t: Tables, status=None, dims=("customer", "plant")) -> DataFram
     """
     if "product" in dims:
         raise ValueError("product is a line attribute; use orders_lines")
-    li = (t["lineitem"].select(F.col("l_orderkey").alias("order_id"), net_line_revenue().alias("revenue"))
+    ship = F.unix_date(F.to_date("l_shipdate"))
+    li = (t["lineitem"].select(F.col("l_orderkey").alias("order_id"), net_line_revenue().alias("revenue"),
+                               ship.alias("_ship"))
           .groupBy("order_id").agg(F.sum("revenue").alias("revenue"), F.count(F.lit(1)).alias("line_count"),
-                                   F.count("revenue").alias("revenue_count")))
+                                   F.count("revenue").alias("revenue_count"),
+                                   F.sum("_ship").alias("_ship_sum"), F.count("_ship").alias("lead_day_count")))
     o = t["orders"]
     if status is not None:
         o = o.where(F.col("o_orderstatus").isin(_codes_for(status, STATUS_BY_CODE)))
     o = o.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("c_custkey"),
                  F.to_date("o_orderdate").alias("order_date"),
                  _map(F.col("o_orderstatus"), STATUS_BY_CODE).alias("status"))
-    df = li.join(o, "order_id")
+    # sum over lines of (ship day - order day) = sum(ship days) - n x order day: exact integers
+    df = (li.join(o, "order_id")
+          .withColumn("lead_day_sum", F.col("_ship_sum") - F.col("lead_day_count") * F.unix_date("order_date"))
+          .drop("_ship_sum"))
     if "customer" in dims or "plant" in dims:
         c = t["customer"].select("c_custkey", F.col("c_mktsegment").alias("customer"), "c_nationkey")
         df = df.join(c, "c_custkey")

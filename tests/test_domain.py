@@ -78,3 +78,16 @@ def test_cli_exports(spark, domain_dir, tmp_path):
     assert cli.main(["--data-dir", domain_dir, "--json-lines", "--out", out, "revenue_by_customer", "events_flat"]) == 0
     assert spark.read.option("header", True).csv(f"{out}/revenue_by_customer").count() == 5
     assert os.path.isdir(f"{out}/events_flat")
+
+
+def test_domain_dashboard_bundle(spark, domain_dir, tmp_path):
+    from chainlens.operators import dashboard
+
+    d = domain.load(spark, domain_dir, json_lines=True)
+    built = dashboard.dashboard_bundle(d.orders, d.inspections, d.events)
+    for name, df in built.items():
+        want = {tuple(str(v) for v in r) for r in domain.DOMAIN_QUERIES[name](d).collect()}
+        assert {tuple(str(v) for v in r) for r in df.collect()} == want, name
+    out = str(tmp_path / "dash")
+    assert cli.main(["--data-dir", domain_dir, "--json-lines", "--dashboard", "--out", out]) == 0
+    assert spark.read.option("header", True).csv(f"{out}/kpi_table").count() == 6
