@@ -82,9 +82,12 @@ def exact_quantiles(df: DataFrame, value, probs: Sequence[float], names: Sequenc
     cum = running_sum(counts, F.col("_cl_c"), order, "_cl_cum", num_partitions)
     if by:
         # Rank within a group = global rank - rows of all earlier groups.
+        # NULL is a group of its own (as in GROUP BY), hence the null-safe join.
         starts = cum.groupBy(*by).agg(F.min(F.col("_cl_cum") - F.col("_cl_c")).alias("_cl_start"),
                                       F.sum("_cl_c").alias("_cl_n"))
-        ranked = cum.join(starts, by).select(
+        starts = starts.select(*[F.col(b).alias(f"_cl_s_{b}") for b in by], "_cl_start", "_cl_n")
+        cond = [F.col(b).eqNullSafe(F.col(f"_cl_s_{b}")) for b in by]
+        ranked = cum.join(starts, cond).select(
             *by, "_cl_v", "_cl_c", (F.col("_cl_cum") - F.col("_cl_start")).alias("_cl_cum"), "_cl_n")
     else:
         # Row count from the materialised cumulative table, not a second pass over ``df``.

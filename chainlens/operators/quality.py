@@ -71,7 +71,8 @@ def defect_stats_by_product(insp: DataFrame, digits: int | None = None) -> DataF
         ratio(s1, n).alias("mean_defect_rate"), F.sqrt(var).alias("sd_defect_rate"),
         F.sum("_d").alias("total_defects"), F.sum("_u").alias("total_units"))
     med = exact_quantiles(tally, "defect_rate", [0.5], ["median_defect_rate"], by=["product"], weight="_c")
-    j = agg.join(med, "product", "left")
+    med = med.withColumnRenamed("product", "_m_product")
+    j = agg.join(med, agg["product"].eqNullSafe(med["_m_product"]), "left").drop("_m_product")
     r = (lambda c: round_half_up(c, digits)) if digits is not None else as_double
     return (j.select("product", r("mean_defect_rate").alias("mean_defect_rate"),
                      r("median_defect_rate").alias("median_defect_rate"), r("sd_defect_rate").alias("sd_defect_rate"),

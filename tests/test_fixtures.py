@@ -247,3 +247,12 @@ def test_sized_conf():
     c = sized_conf(100 * 2**40, 4000)
     assert c["spark.sql.shuffle.partitions"] == str(100 * 2**40 // (256 * 2**20))
     assert sized_conf(10 * 2**20, 8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_defect_stats_null_product_is_a_group(spark):
+    ins = spark.createDataFrame([(None, 10, Decimal("1"), Decimal("0.0100")), (None, 10, Decimal("3"), Decimal("0.0300")),
+                                 ("P", 10, Decimal("2"), Decimal("0.0200"))],
+                                "product string, batch_size int, defects_found decimal(10,4), defect_rate decimal(6,4)")
+    got = {r.product: (r.mean_defect_rate, r.median_defect_rate, r.total_units)
+           for r in quality.defect_stats_by_product(ins, digits=6).collect()}
+    assert got == {None: (0.02, 0.02, 20), "P": (0.02, 0.02, 10)}

@@ -117,3 +117,9 @@ def test_weighted_quantiles_equal_expanded(spark):
     got = {r.g: (r.med, r.m) for r in exact_quantiles(df, "x", [0.5], ["med"], by=["g"], weight="w",
                                                        mean_name="m").collect()}
     assert got == {"a": (1.0, 2.0), "b": (5.5, 5.5)}
+
+
+def test_grouped_quantiles_keep_null_group(spark):
+    df = spark.createDataFrame([(None, 1), (None, 3), ("a", 5)], "g string, x long")
+    got = {r.g: r.med for r in exact_quantiles(df, "x", [0.5], ["med"], by=["g"]).collect()}
+    assert got == {None: 2.0, "a": 5.0}
