@@ -11,10 +11,14 @@ as ``OUT/<name>`` by a distributed sink — nothing is collected to the driver.
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 import time
 
-from chainlens.sources import sinks
+if __package__ in (None, ""):  # run as a script (spark-submit chainlens/cli.py): import the package
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from chainlens.sources import sinks  # noqa: E402
 
 
 def main(argv=None) -> int:
