@@ -360,7 +360,7 @@ def q_row_defect_rate(spark, d):
 
 def q_check_pk(spark, d):
     t = _t(spark, d)
-    return (checks.check_pk(td.order_heads(t), "order_id", "orders")
+    return (checks.check_pk(td.order_heads(t, dims=()), "order_id", "orders")
             .unionByName(checks.check_pk(td.suppliers(t), "supplier_id", "suppliers"))
             # inspection_id is "order_id-line_number": check the integer pair, text only for hits
             .unionByName(checks.check_pk(td.inspections(t, dims=()), ["order_id", "line_number"],
@@ -371,20 +371,20 @@ def q_check_fk(spark, d):
     t = _t(spark, d)
     return (checks.check_fk(_lines(t, status=None, dims=()), "supplier_id", td.suppliers(t), "supplier_id",
                             "orders.supplier_id->suppliers")
-            .unionByName(checks.check_fk(td.inspections(t, dims=()), "order_id", td.order_heads(t), "order_id",
+            .unionByName(checks.check_fk(td.inspections(t, dims=()), "order_id", td.order_heads(t, dims=()), "order_id",
                                          "quality_inspections.order_id->orders")))
 
 
 def q_check_not_null(spark, d):
     t = _t(spark, d)
     return (checks.check_not_null(td.suppliers(t), ["supplier_name"], "suppliers")
-            .unionByName(checks.check_not_null(td.order_heads(t), ["order_date"], "orders")))
+            .unionByName(checks.check_not_null(td.order_heads(t, dims=()), ["order_date"], "orders")))
 
 
 def q_check_enum(spark, d):
     t = _t(spark, d)
     return (checks.check_enum(td.suppliers(t), "tier", K.SUPPLIER_TIERS, "suppliers")
-            .unionByName(checks.check_enum(td.order_heads(t), "status", K.ORDER_STATUSES, "orders"))
+            .unionByName(checks.check_enum(td.order_heads(t, dims=()), "status", K.ORDER_STATUSES, "orders"))
             .unionByName(checks.check_enum(td.machine_events(t), "event_type", K.EVENT_TYPES, "machine_events")))
 
 

@@ -9,6 +9,8 @@ counts as BIGINT, exactly as the Spark side does.
 
 from __future__ import annotations
 
+import re
+
 
 def R(expr: str, n: int) -> str:
     return f"CAST(ROUND(CAST({expr} AS DECIMAL(38,10)), {n}) AS DOUBLE)"
@@ -31,6 +33,9 @@ VIEWS = {
     JOIN part p ON l.l_partkey = p.p_partkey
     JOIN nation n ON c.c_nationkey = n.n_nationkey
     JOIN region r ON n.n_regionkey = r.r_regionkey""",
+    "v_orders_table": f"""
+    SELECT o.o_orderkey AS order_id, CAST(o.o_orderdate AS DATE) AS order_date, {STATUS} AS status
+    FROM orders o""",
     "v_order_heads": f"""
     SELECT o.o_orderkey AS order_id, CAST(o.o_orderdate AS DATE) AS order_date, c.c_custkey,
            c.c_mktsegment AS customer, r.r_name AS plant, CAST(o.o_totalprice AS DECIMAL(14,2)) AS revenue,
@@ -98,7 +103,7 @@ _VIEW_ORDER = list(VIEWS)
 def sql(body: str, *ctes: tuple[str, str]) -> str:
     """``WITH <views used> , <ctes> <body>`` — only the adapter views the text mentions."""
     text = body + " ".join(c for _, c in ctes)
-    used = [v for v in _VIEW_ORDER if v in text]
+    used = [v for v in _VIEW_ORDER if re.search(rf"\b{v}\b", text)]
     parts = [f"{v} AS ({VIEWS[v]})" for v in used] + [f"{n} AS ({c})" for n, c in ctes]
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
 
@@ -497,7 +502,7 @@ ORACLE: dict[str, str] = {
                {R("defects_found / NULLIF(batch_size, 0)", 4)} AS defect_rate FROM v_inspections"""),
     "check_pk": sql("""
         SELECT 'orders' AS table_name, CAST(order_id AS VARCHAR) AS key, CAST(COUNT(*) AS BIGINT) AS n
-        FROM v_order_heads GROUP BY order_id HAVING COUNT(*) > 1 OR order_id IS NULL
+        FROM v_orders_table GROUP BY order_id HAVING COUNT(*) > 1 OR order_id IS NULL
         UNION ALL
         SELECT 'suppliers', CAST(supplier_id AS VARCHAR), CAST(COUNT(*) AS BIGINT)
         FROM v_suppliers GROUP BY supplier_id HAVING COUNT(*) > 1 OR supplier_id IS NULL
@@ -512,17 +517,17 @@ ORACLE: dict[str, str] = {
         UNION ALL
         SELECT 'quality_inspections.order_id->orders', CAST(i.order_id AS VARCHAR), CAST(COUNT(*) AS BIGINT)
         FROM v_inspections i WHERE i.order_id IS NOT NULL
-          AND NOT EXISTS (SELECT 1 FROM v_order_heads h WHERE h.order_id = i.order_id) GROUP BY i.order_id"""),
+          AND NOT EXISTS (SELECT 1 FROM v_orders_table h WHERE h.order_id = i.order_id) GROUP BY i.order_id"""),
     "check_not_null": sql("""
         SELECT 'suppliers' AS table_name, 'supplier_name' AS column_name,
                CAST(COUNT(*) FILTER (WHERE supplier_name IS NULL) AS BIGINT) AS null_count FROM v_suppliers
         UNION ALL
-        SELECT 'orders', 'order_date', CAST(COUNT(*) FILTER (WHERE order_date IS NULL) AS BIGINT) FROM v_order_heads"""),
+        SELECT 'orders', 'order_date', CAST(COUNT(*) FILTER (WHERE order_date IS NULL) AS BIGINT) FROM v_orders_table"""),
     "check_enum": sql("""
         SELECT 'suppliers' AS table_name, 'tier' AS column_name, tier AS value, CAST(COUNT(*) AS BIGINT) AS n
         FROM v_suppliers WHERE tier IS NOT NULL AND tier NOT IN ('Tier 1', 'Tier 2', 'Tier 3') GROUP BY tier
         UNION ALL
-        SELECT 'orders', 'status', status, CAST(COUNT(*) AS BIGINT) FROM v_order_heads
+        SELECT 'orders', 'status', status, CAST(COUNT(*) AS BIGINT) FROM v_orders_table
         WHERE status IS NOT NULL AND status NOT IN ('Delivered', 'Pending', 'Cancelled') GROUP BY status
         UNION ALL
         SELECT 'machine_events', 'event_type', event_type, CAST(COUNT(*) AS BIGINT) FROM v_events

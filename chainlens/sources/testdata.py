@@ -155,8 +155,9 @@ def order_totals(t: Tables, status=None, dims=("customer", "plant")) -> DataFram
     return df
 
 
-def order_heads(t: Tables, status=None) -> DataFrame:
-    """Order-grain orders: order_id, order_date, c_custkey, customer, plant, revenue, status."""
+def order_heads(t: Tables, status=None, dims=("customer", "plant")) -> DataFrame:
+    """Order-grain orders: order_id, order_date, c_custkey, revenue, status, plus ``dims``
+    (customer = market segment, plant = customer's region)."""
     o = t["orders"]
     if status is not None:
         o = o.where(F.col("o_orderstatus").isin(_codes_for(status, STATUS_BY_CODE)))
@@ -164,9 +165,15 @@ def order_heads(t: Tables, status=None) -> DataFrame:
                  F.col("o_custkey").alias("c_custkey"),
                  F.col("o_totalprice").cast(DecimalType(14, 2)).alias("revenue"),
                  _map(F.col("o_orderstatus"), STATUS_BY_CODE).alias("status"))
+    if not dims:
+        return o
     c = t["customer"].select("c_custkey", F.col("c_mktsegment").alias("customer"), "c_nationkey")
-    nr = nation_regions(t).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("plant"))
-    return o.join(c, "c_custkey").join(nr, "c_nationkey").drop("c_nationkey")
+    o = o.join(c, "c_custkey")
+    if "plant" in dims:
+        nr = nation_regions(t).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("plant"))
+        o = o.join(nr, "c_nationkey")
+    o = o.drop("c_nationkey")
+    return o if "customer" in dims else o.drop("customer")
 
 
 def inspections(t: Tables, dims=("product", "plant")) -> DataFrame:
