@@ -11,6 +11,7 @@ from chainlens.functions.classify import supplier_rag
 from chainlens.functions.dates import lead_days
 from chainlens.functions.numeric import as_double, as_long, ratio, round_half_up
 from chainlens.operators.revenue import delivered
+from chainlens.session import materialize
 
 _SUPPLIER_COLS = ["supplier_id", "supplier_name", "tier", "country", "on_time_rate", "quality_score", "avg_lead_days"]
 
@@ -116,6 +117,27 @@ def sample_supplier_ids(orders: DataFrame, n: int = K.SAMPLE_SIZE, seed: int = K
             .orderBy("sample_key", *key, "supplier_id").limit(n))
 
 
+def sample_supplier_ids_with_parent(lines: DataFrame, parent_keys: DataFrame, joined, n: int = K.SAMPLE_SIZE,
+                                    seed: int = K.SAMPLE_SEED, key: str = "order_id") -> DataFrame:
+    """The seeded sample of the rows of ``lines`` whose ``key`` exists in ``parent_keys``,
+    without joining the two tables.
+
+    The top-``n`` rows by the seeded hash are taken from ``lines`` alone
+    (TakeOrderedAndProject: no shuffle) and their at most ``n`` keys are looked
+    up in the parent with a broadcast semi-join (a proven bound of ``n``).  If
+    every candidate has its parent, they are exactly the top-``n`` of the
+    joined rows (a subset whose best rows are all present).  Otherwise the
+    sample is taken from ``joined()`` — the full join — so the result is exact
+    either way.
+    """
+    cand = materialize(sample_supplier_ids(lines, n, seed))
+    keys = cand.select(key).distinct()
+    present = parent_keys.join(F.broadcast(keys), key, "left_semi")
+    if cand.join(present, key, "left_semi").count() == cand.count():
+        return cand
+    return sample_supplier_ids(joined(), n, seed)
+
+
 def lookup_suppliers(lookups: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Batch point lookup: every lookup row with its supplier record (NULLs when absent)."""
     s = suppliers.select(F.col("supplier_id").alias("_sid"), "supplier_name", "tier", "quality_score", "on_time_rate")

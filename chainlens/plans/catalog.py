@@ -70,7 +70,11 @@ def _oee(t, cutoffs=(K.OEE_GREEN_FROM, K.OEE_AMBER_FROM)):
 
 
 def _sample(t):
-    return suppliers.sample_supplier_ids(_lines(t, status=None, dims=()))
+    # sample the line items alone, confirm the sampled order keys exist (exact; no fact join)
+    lines = t["lineitem"].select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_number"),
+                                 F.col("l_suppkey").alias("supplier_id"))
+    order_keys = t["orders"].select(F.col("o_orderkey").alias("order_id"))
+    return suppliers.sample_supplier_ids_with_parent(lines, order_keys, lambda: _lines(t, status=None, dims=()))
 
 
 def _supplier_agg(t):

@@ -256,3 +256,15 @@ def test_defect_stats_null_product_is_a_group(spark):
     got = {r.product: (r.mean_defect_rate, r.median_defect_rate, r.total_units)
            for r in quality.defect_stats_by_product(ins, digits=6).collect()}
     assert got == {None: (0.02, 0.02, 20), "P": (0.02, 0.02, 10)}
+
+
+def test_sample_with_parent_is_exact_with_and_without_orphans(spark):
+    rows = [(o, ln, o % 7) for o in range(1, 400) for ln in (1, 2)]
+    lines = spark.createDataFrame(rows, "order_id long, line_number int, supplier_id long")
+    full = spark.createDataFrame([(o,) for o in range(1, 400)], "order_id long")
+    part = spark.createDataFrame([(o,) for o in range(1, 400) if o % 5], "order_id long")  # orphans
+    for parent in (full, part):
+        joined = lambda p=parent: lines.join(p, "order_id", "left_semi")
+        got = {tuple(r) for r in suppliers.sample_supplier_ids_with_parent(lines, parent, joined, n=50).collect()}
+        want = {tuple(r) for r in suppliers.sample_supplier_ids(joined(), n=50).collect()}
+        assert got == want and len(got) == 50
