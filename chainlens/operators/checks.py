@@ -87,9 +87,13 @@ def decimal_conformity(df: DataFrame, spec: dict, table: str) -> DataFrame:
 
 
 def row_counts(tables: dict) -> DataFrame:
-    """Row count per named table: table_name, rows (one aggregate job per table, unioned)."""
+    """Row count per named table: table_name, rows (one aggregate job per table, unioned).
+
+    A table given as per-order totals (``line_count`` present) counts its lines.
+    """
     out = None
     for name, df in tables.items():
-        c = df.agg(F.count(F.lit(1)).cast("long").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        n = F.sum("line_count") if "line_count" in df.columns else F.count(F.lit(1))
+        c = df.agg(F.coalesce(n, F.lit(0)).cast("long").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
         out = c if out is None else out.unionByName(c)
     return out

@@ -400,7 +400,7 @@ def q_defaults_filled(spark, d):
 
 def q_table_row_counts(spark, d):
     t = _t(spark, d)
-    return checks.row_counts({"orders": _lines(t, status=None, dims=()), "suppliers": td.suppliers(t),
+    return checks.row_counts({"orders": _totals(t, status=None), "suppliers": td.suppliers(t),
                               "quality_inspections": td.inspections(t, dims=()),
                               "machine_events": td.machine_events(t), "customer_feedback": td.customer_feedback(t)})
 
