@@ -346,7 +346,7 @@ def q_panel_customers(spark, d):
 
 def q_kpi_table(spark, d):
     t = _t(spark, d)
-    return dashboard.kpi_table(_lines(t, dims=()), td.inspections(t, dims=()), _oee(t))
+    return dashboard.kpi_table(_totals(t), td.inspections(t, dims=()), _oee(t))
 
 
 def q_net_revenue(spark, d):
