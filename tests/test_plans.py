@@ -20,11 +20,25 @@ def test_event_type_filter_reaches_parquet_scan(spark):
     assert "EqualTo(event_type,click)" in plan_of(spark, "oee_by_machine")
 
 
-@pytest.mark.parametrize("name", ["top_customers", "top_alerts", "supplier_scorecard_top10", "sampled_supplier_ids"])
+@pytest.mark.parametrize("name", ["top_customers", "top_alerts", "supplier_scorecard_top10", "oee_bottom5"])
 def test_topk_is_take_ordered(spark, name):
     assert "TakeOrderedAndProject" in plan_of(spark, name)
 
 
+def test_sample_is_take_ordered_over_lines_alone(spark):
+    """The seeded sample is a TakeOrderedAndProject over the line items, with no join."""
+    from pyspark.sql import functions as F
+
+    from chainlens.operators import suppliers
+    from chainlens.sources import testdata as td
+
+    li = td.Tables(spark, SF)["lineitem"].select(F.col("l_orderkey").alias("order_id"),
+                                                 F.col("l_linenumber").alias("line_number"),
+                                                 F.col("l_suppkey").alias("supplier_id"))
+    p = suppliers.sample_supplier_ids(li)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in p and "Join" not in p and "Exchange" not in p
+
+
 def test_rank_filter_uses_window_group_limit(spark):
     assert "WindowGroupLimit" in plan_of(spark, "top_products_per_customer")
 
