@@ -223,7 +223,7 @@ def q_resolution_summary(spark, d):
 
 def q_orders_enriched(spark, d):
     t = _t(spark, d)
-    return suppliers.enrich_orders(_lines(t, dims=("customer",)), td.suppliers(t))
+    return suppliers.enrich_orders(_lines(t, dims=("customer",)), td.suppliers(t, dims=()))
 
 
 def q_sampled_supplier_ids(spark, d):
@@ -232,7 +232,7 @@ def q_sampled_supplier_ids(spark, d):
 
 def q_supplier_lookup(spark, d):
     t = _t(spark, d)
-    return suppliers.lookup_suppliers(_sample(t), td.suppliers(t))
+    return suppliers.lookup_suppliers(_sample(t), td.suppliers(t, dims=()))
 
 
 def q_top_customers(spark, d):
@@ -285,7 +285,7 @@ def q_critical_suppliers_by_key(spark, d):
 
 def q_supplier_dependency(spark, d):
     t = _t(spark, d)
-    return network.supplier_dependency(_edges(t), td.suppliers(t))
+    return network.supplier_dependency(_edges(t), td.suppliers(t, dims=()))
 
 
 def q_revenue_summary(spark, d):
@@ -365,7 +365,7 @@ def q_row_defect_rate(spark, d):
 def q_check_pk(spark, d):
     t = _t(spark, d)
     return (checks.check_pk(td.order_heads(t, dims=()), "order_id", "orders")
-            .unionByName(checks.check_pk(td.suppliers(t), "supplier_id", "suppliers"))
+            .unionByName(checks.check_pk(td.suppliers(t, dims=()), "supplier_id", "suppliers"))
             # inspection_id is "order_id-line_number": check the integer pair, text only for hits
             .unionByName(checks.check_pk(td.inspections(t, dims=()), ["order_id", "line_number"],
                                          "quality_inspections")))
@@ -373,7 +373,7 @@ def q_check_pk(spark, d):
 
 def q_check_fk(spark, d):
     t = _t(spark, d)
-    return (checks.check_fk(_lines(t, status=None, dims=()), "supplier_id", td.suppliers(t), "supplier_id",
+    return (checks.check_fk(_lines(t, status=None, dims=()), "supplier_id", td.suppliers(t, dims=()), "supplier_id",
                             "orders.supplier_id->suppliers")
             .unionByName(checks.check_fk(td.inspections(t, dims=()), "order_id", td.order_heads(t, dims=()), "order_id",
                                          "quality_inspections.order_id->orders")))
@@ -381,13 +381,13 @@ def q_check_fk(spark, d):
 
 def q_check_not_null(spark, d):
     t = _t(spark, d)
-    return (checks.check_not_null(td.suppliers(t), ["supplier_name"], "suppliers")
+    return (checks.check_not_null(td.suppliers(t, dims=()), ["supplier_name"], "suppliers")
             .unionByName(checks.check_not_null(td.order_heads(t, dims=()), ["order_date"], "orders")))
 
 
 def q_check_enum(spark, d):
     t = _t(spark, d)
-    return (checks.check_enum(td.suppliers(t), "tier", K.SUPPLIER_TIERS, "suppliers")
+    return (checks.check_enum(td.suppliers(t, dims=()), "tier", K.SUPPLIER_TIERS, "suppliers")
             .unionByName(checks.check_enum(td.order_heads(t, dims=()), "status", K.ORDER_STATUSES, "orders"))
             .unionByName(checks.check_enum(td.machine_events(t), "event_type", K.EVENT_TYPES, "machine_events")))
 

@@ -209,7 +209,7 @@ def inspections(t: Tables, dims=("product", "plant")) -> DataFrame:
     return df.drop("l_partkey")
 
 
-def suppliers(t: Tables) -> DataFrame:
+def suppliers(t: Tables, dims=("country",)) -> DataFrame:
     """supplier_id, supplier_name, country, tier, on_time_rate, quality_score, avg_lead_days, active.
 
     The test tables have no supplier tier, rates or active flag, so these are
@@ -220,9 +220,12 @@ def suppliers(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
     on_time = (_dec("0.72") + (F.lit(27) * ((k * 37) % 101)).cast(DecimalType(9, 0)) * _dec("0.0001")).cast(DecimalType(5, 3))
     quality = (_dec("3.2") + (F.col("s_acctbal") + 1000).cast(DecimalType(12, 2)) * _dec("0.00016")).cast(DecimalType(3, 2))
-    nr = t["nation"].select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("country"))
-    return (t["supplier"].join(nr, "s_nationkey")
-            .select(k.alias("supplier_id"), F.col("s_name").alias("supplier_name"), "country",
+    src, country = t["supplier"], []
+    if "country" in dims:
+        nr = t["nation"].select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("country"))
+        src, country = src.join(nr, "s_nationkey"), ["country"]
+    return (src
+            .select(k.alias("supplier_id"), F.col("s_name").alias("supplier_name"), *country,
                     F.concat(F.lit("Tier "), (k % 3 + 1).cast("string")).alias("tier"),
                     on_time.alias("on_time_rate"), quality.alias("quality_score"),
                     (F.lit(5) + k % 21).cast("int").alias("avg_lead_days"),
