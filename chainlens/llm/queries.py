@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from chainlens.llm.exact_dedup import exact_dedup
+from chainlens.llm.ngram_join import ngram_jaccard_classes
 from chainlens.llm.token_cache import cached_token_counts
 from chainlens.llm.token_output import token_output
 
@@ -15,6 +16,10 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark, sf_dir):
+    return ngram_jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,7 @@ def op9_token_output(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_token_counts": op5_token_counts,
     "op9_token_output": op9_token_output,
