@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from chainlens.llm.decontaminate import decontaminated
 from chainlens.llm.exact_dedup import exact_dedup
 from chainlens.llm.ngram_join import ngram_jaccard_classes
 from chainlens.llm.token_cache import cached_token_counts
@@ -28,6 +29,10 @@ def op5_token_counts(spark, sf_dir):
     return cached_token_counts(_table(spark, sf_dir, "documents"), COUNT_TOKENIZER)
 
 
+def op8_decontamination(spark, sf_dir):
+    return decontaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_output(spark, sf_dir):
     return token_output(_table(spark, sf_dir, "documents"), OUTPUT_TOKENIZER, OUTPUT_END)
 
@@ -36,6 +41,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_token_counts": op5_token_counts,
+    "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
 }
 
