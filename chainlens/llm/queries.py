@@ -7,6 +7,7 @@ from chainlens.llm.exact_dedup import exact_dedup
 from chainlens.llm.ngram_join import ngram_jaccard_classes
 from chainlens.llm.token_cache import cached_token_counts
 from chainlens.llm.token_output import token_output
+from chainlens.llm.warc import warc_round_trip
 
 #: file name and end id of the tokenizer the pipeline and op9 write
 OUTPUT_TOKENIZER, OUTPUT_END = "byte_bpe_50k.json", 2
@@ -25,6 +26,11 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark, sf_dir):
+    return warc_round_trip(_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_token_counts(spark, sf_dir):
     return cached_token_counts(_table(spark, sf_dir, "documents"), COUNT_TOKENIZER)
 
@@ -40,6 +46,7 @@ def op9_token_output(spark, sf_dir):
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
