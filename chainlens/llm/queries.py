@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from chainlens.llm.decontaminate import decontaminated
 from chainlens.llm.exact_dedup import exact_dedup
+from chainlens.llm.mixing import mix_sources
 from chainlens.llm.ngram_join import ngram_jaccard_classes
 from chainlens.llm.token_cache import cached_token_counts
 from chainlens.llm.token_output import token_output
@@ -35,6 +36,10 @@ def op5_token_counts(spark, sf_dir):
     return cached_token_counts(_table(spark, sf_dir, "documents"), COUNT_TOKENIZER)
 
 
+def op7_mixing(spark, sf_dir):
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark, sf_dir):
     return decontaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +53,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
+    "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
 }
