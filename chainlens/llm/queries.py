@@ -6,6 +6,7 @@ from chainlens.llm.decontaminate import decontaminated
 from chainlens.llm.exact_dedup import exact_dedup
 from chainlens.llm.mixing import mix_sources
 from chainlens.llm.ngram_join import ngram_jaccard_classes
+from chainlens.llm.quality import quality_scores
 from chainlens.llm.token_cache import cached_token_counts
 from chainlens.llm.token_output import token_output
 from chainlens.llm.warc import warc_round_trip
@@ -48,6 +49,10 @@ def op9_token_output(spark, sf_dir):
     return token_output(_table(spark, sf_dir, "documents"), OUTPUT_TOKENIZER, OUTPUT_END)
 
 
+def op10_quality(spark, sf_dir):
+    return quality_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_dedup": op2_exact_dedup,
@@ -56,6 +61,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
+    "op10_quality": op10_quality,
 }
 
 ORACLE = {}
