@@ -9,10 +9,14 @@ from chainlens.llm.ngram_join import ngram_jaccard_classes
 from chainlens.llm.quality import quality_scores
 from chainlens.llm.token_cache import cached_token_counts
 from chainlens.llm.token_output import token_output
+from chainlens.llm.url_filter import filter_urls
 from chainlens.llm.warc import warc_round_trip
 
 #: file name and end id of the tokenizer the pipeline and op9 write
 OUTPUT_TOKENIZER, OUTPUT_END = "byte_bpe_50k.json", 2
+#: (action, host, path)
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
+             ("allow", "org", "/fr/"))
 COUNT_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -37,6 +41,10 @@ def op5_token_counts(spark, sf_dir):
     return cached_token_counts(_table(spark, sf_dir, "documents"), COUNT_TOKENIZER)
 
 
+def op6_url_filter(spark, sf_dir):
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_mixing(spark, sf_dir):
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +66,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
+    "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
