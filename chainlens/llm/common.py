@@ -18,11 +18,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark removes a job's shuffle files as soon as the job has ended, not when the driver next
+#: collects garbage; safe for a table that is written once and then only read from its files.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back (cuts the lineage, survives executors)."""
-    path = path or shared_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = path or shared_path(spark, name)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(col: str):

@@ -178,14 +178,14 @@ _SPANS = "id bigint, row bigint, n_words bigint, spans array<struct<start:bigint
 def benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id",
                     text_col: str = "text", item_col: str = "item_id", block_rows: int = 200_000,
                     shard_words: int = 1_000_000) -> DataFrame:
-    """Per document: ``id``, ``n_words``, removal ``spans`` (word positions, end excluded) and ``items`` that occur."""
+    """Per document: ``id``, ``row`` (hash of the text), ``n_words``, removal ``spans`` (word positions, end excluded) and ``items`` that occur."""
     phrases = written(benchmark_phrases(benchmark, window, item_col), "phrases")
     n_blocks = -(-phrases.count() // block_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("text"))
     if not n_blocks:
-        return (rows.mapInArrow(_count_words, "id bigint, n_words bigint")
-                .select("id", "n_words", F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"),
+        return (rows.mapInArrow(_count_words, "id bigint, row bigint, n_words bigint")
+                .select("id", "row", "n_words", F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"),
                         F.array().cast("array<string>").alias("items")))
     passes = []
     for k in range(n_blocks):
@@ -194,7 +194,7 @@ def benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_
         if block:
             passes.append(rows.mapInArrow(_search(block, shard_words), _SPANS))
     if len(passes) == 1:
-        return passes[0].drop("row")
+        return passes[0]
     return _merged(reduce(DataFrame.union, passes), len(passes))
 
 
@@ -205,7 +205,7 @@ def _merged(every: DataFrame, passes: int) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.count(F.lit(1)).alias("n"))
         # identical rows met in one group: as many come out as went in
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.expr(f"cast(n / {passes} as int)"))))
-        .select("id", "n_words", F.expr("""
+        .select("id", "row", "n_words", F.expr("""
             aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) ->
               if(size(acc) > 0 and acc[size(acc) - 1].end >= x.start,
                  concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', acc[size(acc) - 1].start,
@@ -213,19 +213,21 @@ def _merged(every: DataFrame, passes: int) -> DataFrame:
                  concat(acc, array(x))))""").alias("spans"), "items"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", share: int = 20,
-                   **kw) -> DataFrame:
-    """Per document: ``n_words``, ``n_hit`` (words in spans), ``n_items``, ``items_sha256``, ``contaminated``.
+def benchmark_verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", share: int = 20,
+                       **kw) -> DataFrame:
+    """Per document: ``n_words``, ``n_hit`` (words in spans), ``n_items``, ``items_sha256``, ``contaminated``, ``text_hash``.
 
     ``items_sha256`` is over the ids of the items that occur, sorted as strings and joined by commas.
-    A document is contaminated when a word is hit and ``share * n_hit >= n_words``.
+    A document is contaminated when a word is hit and ``share * n_hit >= n_words``; ``text_hash`` is the
+    xxhash64 of its text.
     """
     spans = benchmark_spans(docs, benchmark, id_col=id_col, **kw)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return (spans.withColumn("n_hit", n_hit).select(
         F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")))
+        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.col("row").alias("text_hash")))
 
 
 def _count_words(batches):
@@ -233,4 +235,5 @@ def _count_words(batches):
         n = []
         for _, data, offsets in text_chunks(b.column("text")):
             n += np.diff(word_fingerprints(data, offsets, ALNUM)[1]).tolist()
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64())], ["id", "n_words"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array(n, pa.int64())],
+                                         ["id", "row", "n_words"])

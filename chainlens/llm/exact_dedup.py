@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import shared_path, text_or_empty, written
+from chainlens.llm.common import text_or_empty, written
 
 MAX_DEPTH = 63
 
@@ -54,7 +54,6 @@ def build_index(rows: DataFrame, capacity: int = 1_000_000, path: str | None = N
     Columns: ``depth``, ``prefix`` (the bucket), ``key``, ``sha256``, ``chain`` (entries with this
     key), ``keep_id``, ``group_size``.
     """
-    spark = rows.sparkSession
     entries = (rows.select(F.xxhash64("text").alias("key"), "text", "id")
                .groupBy("key", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
                .select("key", F.sha2("text", 256).alias("sha256"), "keep_id", "group_size"))
@@ -67,11 +66,8 @@ def build_index(rows: DataFrame, capacity: int = 1_000_000, path: str | None = N
               .join(directory.select("depth", "prefix"), ["depth", "prefix"], "left_semi"))
     chains = placed.groupBy("key").agg(F.count(F.lit(1)).alias("chain")).where("chain > 1")
     placed = placed.join(chains, "key", "left").withColumn("chain", F.coalesce("chain", F.lit(1).cast("long")))
-    path = path or shared_path(spark, "hash-index")
-    (placed.select("depth", "prefix", "key", "sha256", "chain", "keep_id", "group_size")
-     .repartitionByRange("key").sortWithinPartitions("key", "sha256")
-     .write.mode("overwrite").parquet(path))
-    return spark.read.parquet(path)
+    return written(placed.select("depth", "prefix", "key", "sha256", "chain", "keep_id", "group_size")
+                   .repartitionByRange("key").sortWithinPartitions("key", "sha256"), "hash-index", path)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -84,8 +84,9 @@ def _prefixes(size: int, percent: int, loads: np.ndarray):
                 cut.append(cut[-1] + (len(keys[-1]) if len(s) else 0))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat))], ["id", "n", "digest", "prefix"])
+                [b.column("id"), b.column("text_hash"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat))],
+                ["id", "text_hash", "n", "digest", "prefix"])
 
     return rows
 
@@ -138,7 +139,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
 
 def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
                           percent: int = 80) -> DataFrame:
-    """One row per input row: ``id_col``, ``n_shingles``, ``component_id`` (smallest id reachable by links).
+    """One row per input row: ``id_col``, ``n_shingles``, ``component_id`` (smallest id reachable by links),
+    ``text_hash`` (xxhash64 of the text).
 
     Two rows link when ``100 * intersection >= percent * union`` of their ``size``-word shingle sets.
     """
@@ -147,22 +149,27 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     loads = np.zeros(1 << BLOCK_BITS, dtype=np.int64)
     for block, load in counted.collect():  # at most 2**BLOCK_BITS rows
         loads[block] = load
-    schema = "id bigint, n bigint, digest binary, prefix array<bigint>"
-    matrix = written(rows.mapInArrow(_prefixes(size, percent, loads), schema), "matrix")
+    schema = "id bigint, text_hash bigint, n bigint, digest binary, prefix array<bigint>"
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    matrix = written(hashed.mapInArrow(_prefixes(size, percent, loads), schema), "matrix")
 
     named = matrix.where("n > 0 and id is not null")
-    classes = written(named.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    classes = written(named.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
     entries = (named.join(classes, (named["digest"] == classes["digest"]) & (named["id"] == classes["rep"]), "left_semi")
                .select(F.col("id").alias("rep"), F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key")))
     columns = (entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("rep").alias("pivot"))
                .where("rows > 1").select("key", "pivot"))
     product = written(entries.join(columns, "key"), "product")
 
-    # One pivot for each row: the one it shares most prefix shingles with.
-    shared = product.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("c"))
-    nearest = shared.groupBy("rep").agg(F.max(F.struct("c", "pivot")).alias("best"))
+    # One pivot for each row: the one it shares most prefix shingles with.  Pairs that these don't
+    # show to be within reach are left to the exact rest below.
+    shared = product.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("c"),
+                                                                       F.max("n").alias("n"))
+    nearest = shared.groupBy("rep").agg(F.max(F.struct("c", "pivot", "n")).alias("best")).select("rep", "best.*")
+    near = nearest.join(classes.groupBy(F.col("rep").alias("pivot")).agg(F.max("n").alias("np")), "pivot").where(
+        _bounds(F.col("c"), F.col("n"), F.col("np"), percent))
     stars = connected_components(_verified(
-        nearest.select(F.col("best.pivot").alias("a"), F.col("rep").alias("b")), rows, size, percent))
+        near.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), rows, size, percent))
 
     # The rest: rows outside the component of a column's pivot, with that column's other components.
     def joined(df, col, name):
@@ -179,12 +186,12 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     counts = met.groupBy("x", F.col("rep").alias("y"), "nx", F.col("n").alias("ny"), "cx",
                          F.col("own").alias("cy")).agg(F.count(F.lit(1)).alias("c"))
     rest = counts.where(_bounds(F.col("c"), F.col("nx"), F.col("ny"), percent))
-    rest = written(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "rest")
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = _verified(rest, rows, size, percent)
     links = joined(joined(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     merged = connected_components(links).select(F.col("node").alias("_m"), F.col("component").alias("_mc"))
     final = (joined(classes, "rep", "component").join(merged, F.col("component") == F.col("_m"), "left")
              .select("digest", F.coalesce("_mc", "component").alias("component")))
-    return (matrix.select("id", "n", "digest").join(final, "digest", "left")
+    return (matrix.select("id", "text_hash", "n", "digest").join(final, "digest", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")))
+                    F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), "text_hash"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainlens.llm.decontaminate import decontaminated
+from chainlens.llm.decontaminate import benchmark_verdicts
 from chainlens.llm.exact_dedup import exact_dedup
 from chainlens.llm.mixing import mix_sources
 from chainlens.llm.ngram_join import ngram_jaccard_classes
@@ -50,7 +50,7 @@ def op7_mixing(spark, sf_dir):
 
 
 def op8_decontamination(spark, sf_dir):
-    return decontaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return benchmark_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op9_token_output(spark, sf_dir):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainlens.llm import tokens
-from chainlens.llm.common import shared_path, text_or_empty
+from chainlens.llm.common import shared_path, text_or_empty, written
 
 _CACHE_SCHEMA = "digest binary, n_tokens bigint, version string"
 
@@ -57,5 +57,6 @@ def cached_token_counts(docs: DataFrame, tokenizer: str, cache: str | None = Non
     (misses.mapInArrow(_counter(tokenizer), "digest binary, n_tokens bigint")
      .withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache))
     ids = rows.select(id_col, F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    return ids.join(stored(), "digest").select(
+    # written, so that the join alone deals the rows out and a hot digest can be split
+    return ids.join(written(stored(), "counts"), "digest").select(
         id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

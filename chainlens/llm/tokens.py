@@ -14,11 +14,11 @@ import re
 
 import numpy as np
 
-CACHE_PIECES = 350_000
+CACHE_PIECES = 600_000
 #: bytes the kept pieces may take, by the estimate of ``_PIECE_BYTES`` and their length
-CACHE_BYTES = 80 << 20
+CACHE_BYTES = 140 << 20
 _PIECE_BYTES = 200
-_CHUNK = 1000
+_CHUNK = 200
 
 #: a space after white space of any kind (also of characters that only some libraries count so)
 _UNSAFE = re.compile("[\\s\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿] ")
@@ -69,30 +69,49 @@ class _Pieces(dict):
         return len(ids) if self.counts else _as_bytes(ids)
 
     def fill(self, pieces) -> None:
-        """Add ``pieces``.  Those that end in a safe character go to the library many at a time."""
+        """Add ``pieces``.  Those that end in no white space go to the library many at a time."""
         pieces = list(dict.fromkeys(pieces))
         if self.last:
             self.update((p, self.last[p]) for p in pieces if p in self.last)
             pieces = [p for p in pieces if p not in self]
         self.bytes += sum(map(len, pieces)) + _PIECE_BYTES * len(pieces)
-        alone = [p for p in pieces if not self.lead or not p or _UNSAFE.match(p[-1] + " ")]
-        skip = set(alone)
-        many = [p for p in pieces if p not in skip] if skip else pieces
-        for i in range(0, len(many), _CHUNK):
-            some = many[i:i + _CHUNK]
+        if self.lead:
+            safe = [p for p in pieces if p and ("!" <= p[-1] <= "~" or p[-1].isalnum())]
+            letters = [p for p in safe if p.isalpha()]
+            self._together(letters, True)
+            if len(letters) < len(safe):
+                self._together([p for p in safe if not p.isalpha()], False)
+            alone = [p for p in pieces if p not in self] if len(safe) < len(pieces) else []
+        else:
+            alone = pieces
+        for i in range(0, len(alone), 256):
+            some = alone[i:i + 256]
+            for p, e in zip(some, self.tok.encode_batch([self.lead + p for p in some], add_special_tokens=False)):
+                self[p] = self.value(e.ids)
+
+    def _together(self, pieces: list, letters: bool) -> None:
+        """Encode many pieces in one call and cut the ids at the pieces.
+
+        Pieces of letters alone are one word of the library each (checked), others are told apart
+        by the offsets.
+        """
+        for i in range(0, len(pieces), _CHUNK):
+            some = pieces[i:i + _CHUNK]
             e = self.tok.encode(self.lead + self.lead.join(some), add_special_tokens=False)
-            ends = np.cumsum([len(p) + len(self.lead) for p in some])
-            at = np.searchsorted(ends, np.fromiter((o[1] for o in e.offsets), np.int64, len(e)), side="left")
-            cut = np.searchsorted(at, np.arange(len(some) + 1)).tolist()
+            cut = None
+            if letters:
+                at = e.word_ids
+                if at[-1] == len(some) - 1:
+                    cut = [0, *[k for k in range(1, len(at)) if at[k] != at[k - 1]], len(at)]
+            if cut is None or len(cut) != len(some) + 1:
+                ends = np.cumsum([len(p) + len(self.lead) for p in some])
+                at = np.searchsorted(ends, [o[1] for o in e.offsets], side="left")
+                cut = np.searchsorted(at, np.arange(len(some) + 1)).tolist()
             if self.counts:
                 self.update(zip(some, (b - a for a, b in zip(cut, cut[1:]))))
             else:
                 ids = _as_bytes(e.ids)
                 self.update(zip(some, (ids[4 * a:4 * b] for a, b in zip(cut, cut[1:]))))
-        for i in range(0, len(alone), 256):
-            some = alone[i:i + 256]
-            for p, e in zip(some, self.tok.encode_batch([self.lead + p for p in some], add_special_tokens=False)):
-                self[p] = self.value(e.ids)
 
     def trim(self) -> None:
         """Start a new generation when this one is full; the last one stays for look-ups."""
