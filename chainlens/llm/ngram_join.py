@@ -12,13 +12,10 @@ small by bounds that follow from the set sizes alone (t = percent / 100):
 * overlap bound: with ``c`` common prefix shingles the overlap is at most
   ``c + max(n_a - p_a, n_b - p_b)``; pairs that can't reach ``t / (1 + t) (n_a + n_b)`` are dropped.
 
-Equal sets are one row of the matrix.  A column's documents are never paired with each other at
-once: first every row is compared with one *pivot* only (the smallest id in its columns), which
-joins most near copies into components, however many there are.  Then the exact rest: a row whose
-component differs from that of a column's pivot is paired with the rows of that column in other
-components.  Overlaps are accumulated by counting, pairs below the bounds are discarded, and the
-others are compared by their whole sets.  Every pair above t either ends in one component
-without being looked at or is compared, so no link between different sets is lost.
+Equal sets are one row of the matrix.  A column's rows are never paired with each other at once
+(:mod:`chainlens.llm.pivots`): pivots first, then exactly the rows that pivots left apart.  Overlaps
+are accumulated by counting, pairs below the bounds are discarded, and the others are compared by
+their whole sets, so no link between different sets is lost.
 
 Shingles are 64-bit fingerprints (:mod:`chainlens.llm.common`).
 
@@ -38,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainlens.llm.common import shingle_fingerprints, text_chunks, text_or_empty, word_fingerprints, written
-from chainlens.llm.components import connected_components
+from chainlens.llm.pivots import pivot_classes, shared_rows
 
 BLOCK_BITS = 16
 _SHIFT = np.uint64(64 - BLOCK_BITS)
@@ -156,42 +153,14 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = matrix.where("n > 0 and id is not null")
     classes = written(named.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
     entries = (named.join(classes, (named["digest"] == classes["digest"]) & (named["id"] == classes["rep"]), "left_semi")
-               .select(F.col("id").alias("rep"), F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key")))
-    columns = (entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("rep").alias("pivot"))
-               .where("rows > 1").select("key", "pivot"))
-    product = written(entries.join(columns, "key"), "product")
-
-    # One pivot for each row: the one it shares most prefix shingles with.  Pairs that these don't
-    # show to be within reach are left to the exact rest below.
-    shared = product.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("c"),
-                                                                       F.max("n").alias("n"))
-    nearest = shared.groupBy("rep").agg(F.max(F.struct("c", "pivot", "n")).alias("best")).select("rep", "best.*")
-    near = nearest.join(classes.groupBy(F.col("rep").alias("pivot")).agg(F.max("n").alias("np")), "pivot").where(
-        _bounds(F.col("c"), F.col("n"), F.col("np"), percent))
-    stars = connected_components(_verified(
-        near.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), rows, size, percent))
-
-    # The rest: rows outside the component of a column's pivot, with that column's other components.
-    def joined(df, col, name):
-        s = stars.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        return df.join(s, F.col(col) == F.col("_n"), "left").withColumn(name, F.coalesce("_c", col)).drop("_n", "_c")
-
-    product = joined(joined(product, "rep", "own"), "pivot", "main")
-    product = written(product.select("key", "rep", "n", "own", "main"), "product")
-    strays = product.where("own <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"),
-                                                 F.col("own").alias("cx"))
-    met = strays.join(product, "key").where(
-        (F.col("own") != F.col("cx")) & ((F.col("own") == F.col("main")) | (F.col("x") < F.col("rep")))
-        & (F.least("nx", "n") * 100 >= F.greatest("nx", "n") * percent))
-    counts = met.groupBy("x", F.col("rep").alias("y"), "nx", F.col("n").alias("ny"), "cx",
-                         F.col("own").alias("cy")).agg(F.count(F.lit(1)).alias("c"))
-    rest = counts.where(_bounds(F.col("c"), F.col("nx"), F.col("ny"), percent))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = _verified(rest, rows, size, percent)
-    links = joined(joined(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    merged = connected_components(links).select(F.col("node").alias("_m"), F.col("component").alias("_mc"))
-    final = (joined(classes, "rep", "component").join(merged, F.col("component") == F.col("_m"), "left")
-             .select("digest", F.coalesce("_mc", "component").alias("component")))
+               .select(F.col("id").alias("node"), F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key")))
+    found = pivot_classes(
+        shared_rows(entries), classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")),
+        lambda c, a, b: _bounds(c, a, b, percent),
+        lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent,
+        lambda pairs: _verified(pairs, rows, size, percent))
+    final = (classes.join(found, F.col("rep") == F.col("node"), "left")
+             .select("digest", F.coalesce("component", "rep").alias("component")))
     return (matrix.select("id", "text_hash", "n", "digest").join(final, "digest", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), "text_hash"))
