@@ -7,6 +7,7 @@ from chainlens.llm.exact_dedup import exact_dedup
 from chainlens.llm.mixing import mix_sources
 from chainlens.llm.ngram_join import ngram_jaccard_classes
 from chainlens.llm.quality import quality_scores
+from chainlens.llm.substring_dedup import repeated_passages
 from chainlens.llm.token_cache import cached_token_counts
 from chainlens.llm.token_output import token_output
 from chainlens.llm.url_filter import filter_urls
@@ -32,6 +33,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark, sf_dir):
     return warc_round_trip(_table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -64,6 +69,7 @@ def op10_quality(spark, sf_dir):
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
     "op6_url_filter": op6_url_filter,
