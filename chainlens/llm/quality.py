@@ -241,16 +241,19 @@ def _fit(epochs: int = 60, rate: float = 0.5, decay: float = 1e-4):
 
 
 def _scores(weights: np.ndarray, posterior: dict, fitted: bool):
+    # sums of whole units of 2**-32 don't depend on what else is in the batch
+    fixed = np.round(weights * 2.0**32).astype(np.int64)
+
     def rows(batches):
         for b, first, data, offsets, stats, n_words in _scan()(batches):
             post = np.array([posterior[int(c)] for c in votes(stats, n_words)])
             if fitted:
                 z = weights[_buckets(stats)].sum(axis=1) + weights[-1]
                 if len(data) > 2:
-                    gram = np.concatenate([weights[_trigrams(data)], [0.0, 0.0]])
-                    total = np.concatenate([[0.0], np.cumsum(gram)])
+                    total = np.concatenate([[0], np.cumsum(fixed[_trigrams(data)]), [0, 0]])
                     last = np.maximum(offsets[1:] - 2, offsets[:-1])
-                    z += GAIN * (total[last] - total[offsets[:-1]]) / np.maximum(last - offsets[:-1], 1)
+                    total[-2:] = total[-3]
+                    z += GAIN * (total[last] - total[offsets[:-1]]) / 2.0**32 / np.maximum(last - offsets[:-1], 1)
                 score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             else:
                 score = post.copy()

@@ -26,11 +26,11 @@ def _table(spark, sf_dir, name):
 
 
 def op1_ngram_jaccard(spark, sf_dir):
-    return ngram_jaccard_classes(_table(spark, sf_dir, "documents"))
+    return ngram_jaccard_classes(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op2_exact_dedup(spark, sf_dir):
-    return exact_dedup(_table(spark, sf_dir, "documents"))
+    return exact_dedup(_table(spark, sf_dir, "documents")).drop("bucket_depth")
 
 
 def op3_substring_dedup(spark, sf_dir):
@@ -55,7 +55,8 @@ def op7_mixing(spark, sf_dir):
 
 
 def op8_decontamination(spark, sf_dir):
-    return benchmark_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return benchmark_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop(
+        "text_hash")
 
 
 def op9_token_output(spark, sf_dir):
@@ -79,4 +80,65 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE = {}
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: the queries that SQL can express (op3, op5, op6, op7, op9 and op10 have models or libraries in them)
+ORACLE = {
+    "op1_ngram_jaccard": rf"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(list_transform(range(greatest(len(w) - 4, least(len(w), 1))),
+                lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s FROM words),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+            JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        reach AS (
+            SELECT a AS doc_id, b AS other FROM links
+            UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+        SELECT d.doc_id, coalesce(any_value(z.n), 0) AS n_shingles,
+               least(d.doc_id, coalesce(min(r.other), d.doc_id)) AS component_id
+        FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN reach r ON r.doc_id = d.doc_id
+        GROUP BY d.doc_id""",
+    "op2_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+        d AS (SELECT page_id, strlen(body) AS payload_bytes, max(page_id) OVER (PARTITION BY body) AS top,
+                     array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+                         ((('0x' || substr(hex, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)), '')
+                     AS payload_digest FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> top THEN top END AS refers_to FROM d""",
+    "op8_decontamination": rf"""
+        WITH item AS (
+            SELECT item_id, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark),
+        phrase AS (
+            SELECT DISTINCT item_id, least(len(w), 13) AS k, unnest(list_transform(range(greatest(len(w) - 12, 1)),
+                lambda i: array_to_string(w[i + 1 : i + 13], ' '))) AS p FROM item WHERE len(w) > 0),
+        doc AS (
+            SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        at AS (
+            SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS i
+            FROM doc, (SELECT DISTINCT k FROM phrase) WHERE len(w) >= k),
+        met AS (
+            SELECT a.doc_id, a.i, a.k, f.item_id FROM at a
+            JOIN phrase f ON f.k = a.k AND f.p = array_to_string(a.w[a.i + 1 : a.i + a.k], ' ')),
+        hit AS (
+            SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM met)
+            GROUP BY doc_id),
+        items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+            FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM met) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+        FROM doc d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
+}

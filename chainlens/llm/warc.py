@@ -186,10 +186,11 @@ def assemble_transactions(records: DataFrame) -> DataFrame:
     responses = (captures.where("type = 'response'").groupBy(F.col("record_id").alias("_id"))
                  .agg(F.max("page_id").alias("_page"), F.max("payload_bytes").alias("_bytes"),
                       F.max("payload_digest").alias("_digest")))
-    return (captures.join(responses, F.col("refers_to") == F.col("_id"), "left").select(
+    # a response looks itself up, so that captures without a reference don't meet under one NULL key
+    return (captures.join(responses, F.coalesce("refers_to", "record_id") == F.col("_id"), "left").select(
         "page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"),
         F.coalesce("payload_digest", "_digest").alias("payload_digest"), F.col("type").alias("record_type"),
-        F.col("_page").alias("refers_to"), F.struct("record_id", "target_uri", "payload").alias("capture"),
+        F.when(F.col("type") == "revisit", F.col("_page")).alias("refers_to"), F.struct("record_id", "target_uri", "payload").alias("capture"),
         "request", "metadata"))
 
 
