@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +15,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import chainlens
 from chainlens.session import ensure_checkpoint_dir
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, so that they import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_chainlens_shipped", False):
+        return
+    package = Path(chainlens.__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="chainlens-py-"), "chainlens.zip")  # on the driver, which sends it out
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    sc.addPyFile(str(target))
+    sc._chainlens_shipped = True
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder the cluster names in ``spark.checkpoint.dir``."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -36,6 +57,39 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: slots of a key filter for each key, and the bounds of their number (2**27 slots are 16 MiB)
+_SLOTS_PER_KEY, _LEAST_SLOTS, _MOST_SLOTS = 16, 1 << 16, 1 << 27
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit for each slot that some key (the one bigint column, distinct or not, no NULLs) falls into.
+
+    Rows without a wanted key are passed over with it before they are shuffled or worked on.  It holds
+    at most 16 MiB; where keys are more than it tells apart (about 2**25), it lets more rows through,
+    which costs time and changes no result.
+    """
+    key = F.col(keys.columns[0])
+    slots = _LEAST_SLOTS
+    wanted = min(_SLOTS_PER_KEY * keys.count(), _MOST_SLOTS)
+    while slots < wanted:
+        slots *= 2
+    folded = key.bitwiseXOR(F.shiftrightunsigned(key, 32)).bitwiseXOR(F.shiftrightunsigned(key, 15))
+    words = (keys.select(folded.bitwiseAND(F.lit(slots - 1)).alias("slot"))
+             .groupBy(F.shiftright("slot", 5).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 AS int))")).alias("bits")))
+    found = words.toArrow()  # at most slots / 32 rows
+    out = np.zeros(slots // 32, dtype=np.uint32)
+    out[np.asarray(found.column("word"), dtype=np.int64)] = np.asarray(found.column("bits"), dtype=np.int64).astype(np.uint32)
+    return out
+
+
+def may_be_wanted(bits: np.ndarray, keys: pa.Array) -> pa.Array:
+    """For an Arrow bigint column without NULLs: whether each key may be among the filter's."""
+    k = np.asarray(keys).astype(np.int64).view(np.uint64)
+    slot = (k ^ (k >> _U(32)) ^ (k >> _U(15))) & _U(len(bits) * 32 - 1)
+    return pa.array(((bits[(slot >> _U(5)).astype(np.int64)] >> (slot & _U(31)).astype(np.uint32)) & np.uint32(1)) == 1)
+
+
 def text_or_empty(col: str):
     """The text column with NULL read as the empty string."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import ALNUM, text_chunks, text_or_empty, word_fingerprints, written
+from chainlens.llm.common import ALNUM, ship, text_chunks, text_or_empty, word_fingerprints, written
 from chainlens.llm.fm_index import FmIndex
 
 
@@ -50,6 +50,7 @@ def _phrases(window: int):
 def benchmark_phrases(benchmark: DataFrame, window: int = 13, item_col: str = "item_id",
                       text_col: str = "text") -> DataFrame:
     """Distinct ``(phrase, item)``: a phrase is its words' fingerprints."""
+    ship(benchmark.sparkSession)
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(_phrases(window), "phrase binary, item string").distinct()
 
@@ -179,6 +180,7 @@ def benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_
                     text_col: str = "text", item_col: str = "item_id", block_rows: int = 200_000,
                     shard_words: int = 1_000_000) -> DataFrame:
     """Per document: ``id``, ``row`` (hash of the text), ``n_words``, removal ``spans`` (word positions, end excluded) and ``items`` that occur."""
+    ship(docs.sparkSession)
     phrases = written(benchmark_phrases(benchmark, window, item_col), "phrases")
     n_blocks = -(-phrases.count() // block_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))

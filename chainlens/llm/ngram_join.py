@@ -28,13 +28,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import shingle_fingerprints, text_chunks, text_or_empty, word_fingerprints, written
+from chainlens.llm.common import (key_filter, may_be_wanted, shingle_fingerprints,
+                                  ship, text_chunks, text_or_empty, word_fingerprints, written)
 from chainlens.llm.pivots import pivot_classes, shared_rows
 
 BLOCK_BITS = 16
@@ -88,9 +90,10 @@ def _prefixes(size: int, percent: int, loads: np.ndarray):
     return rows
 
 
-def _whole_sets(size: int):
+def _whole_sets(size: int, wanted: np.ndarray):
     def rows(batches):
         for b in batches:
+            b = b.filter(may_be_wanted(wanted, b.column("id")))
             out = [s.tobytes() for _, s in _sets(b, size)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], ["id", "shingles"])
 
@@ -121,17 +124,29 @@ def _prefix(n, percent: int):
     return n - F.ceil(n * percent / 100) + 1
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``) whose whole sets are similar enough."""
-    pairs = written(pairs.select("a", "b"), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(rows.join(ids, "id", "left_semi").mapInArrow(_whole_sets(size), "id bigint, shingles binary"),
-                   "sets")
-    whole = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-             .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b"))
-    found = whole.select("a", "b", "set_a", "set_b").mapInArrow(
-        _overlaps, "a bigint, b bigint, inter bigint, `union` bigint")
-    return found.where(F.col("inter") * 100 >= F.col("union") * percent).select("a", "b")
+class _Verifier:
+    """Compares pairs by their whole sets, which are made once for each row that needs them."""
+
+    def __init__(self, rows: DataFrame, size: int, percent: int):
+        self.rows = rows.where("id is not null")
+        self.size, self.percent, self.tables = size, percent, []
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.select("a", "b"), "pairs")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        for have in self.tables:
+            ids = ids.join(have.select("id"), "id", "left_anti")
+        ids = written(ids, "ids")
+        if not ids.isEmpty():
+            sets = self.rows.mapInArrow(_whole_sets(self.size, key_filter(ids)), "id bigint, shingles binary")
+            # rows that only share a slot with a wanted one go, so that no row is in two tables
+            self.tables.append(written(sets.join(ids, "id", "left_semi"), "sets"))
+        sets = reduce(DataFrame.union, self.tables, self.rows.sparkSession.createDataFrame([], "id long, shingles binary"))
+        whole = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
+                 .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b"))
+        found = whole.select("a", "b", "set_a", "set_b").mapInArrow(
+            _overlaps, "a bigint, b bigint, inter bigint, `union` bigint")
+        return found.where(F.col("inter") * 100 >= F.col("union") * self.percent).select("a", "b")
 
 
 def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -141,6 +156,7 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Two rows link when ``100 * intersection >= percent * union`` of their ``size``-word shingle sets.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     counted = rows.mapInArrow(_block_loads(size), "block int, load bigint").groupBy("block").agg(F.sum("load"))
     loads = np.zeros(1 << BLOCK_BITS, dtype=np.int64)
@@ -158,7 +174,7 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         shared_rows(entries), classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")),
         lambda c, a, b: _bounds(c, a, b, percent),
         lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent,
-        lambda pairs: _verified(pairs, rows, size, percent))
+        _Verifier(rows, size, percent))
     final = (classes.join(found, F.col("rep") == F.col("node"), "left")
              .select("digest", F.coalesce("component", "rep").alias("component")))
     return (matrix.select("id", "text_hash", "n", "digest").join(final, "digest", "left")

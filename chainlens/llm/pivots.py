@@ -1,12 +1,13 @@
 """Classes of a similarity join over an inverted table, without pairing a column's rows with each other.
 
-The table has a row for each (key, node): nodes that may be linked share a key.  Every node is first
-compared with one *pivot* only, the smallest node of its keys that it shares most keys with; that
-joins most near copies into components, however many there are.  Then the rest, completely: a node
-whose component differs from that of a key's pivot is paired with the key's nodes in other
-components, and their common keys are counted.  So every pair that shares a key either ends in one
-component without being looked at, or is judged; pairs are about as many as the table's rows unless
-many nodes share keys without being similar.
+The table has a row for each (key, node): nodes that may be linked share a key.  Nodes are first
+compared with *pivots* only.  A key's pivot is its most central node, that whose keys have the most
+rows; every node is compared with the one pivot it shares most keys with, and that joins most near
+copies into components, however many there are.  A few more rounds with other pivots follow for the
+nodes left apart.  Then the rest, completely: a node whose component differs from that of a key's
+pivot is paired with the key's nodes in other components, and their common keys are counted.  So
+every pair that shares a key either ends in one component without being looked at, or is judged;
+pairs are about as many as the table's rows unless many nodes share keys without being similar.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 from chainlens.llm.common import written
 from chainlens.llm.components import connected_components
 
+ROUNDS = 3
+
 
 def shared_rows(entries: DataFrame) -> DataFrame:
-    """The rows of ``entries`` (``key``, ``node``, ``n``) whose key at least two nodes have, with the key's ``pivot``."""
-    columns = (entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most"))
-               .where("pivot <> most").select("key", "pivot"))
+    """The rows of ``entries`` (``key``, ``node``, ``n``) whose key at least two nodes have, with the number of ``rows``."""
+    columns = (entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("low"),
+                                          F.max("node").alias("high")).where("low <> high").select("key", "rows"))
     return written(entries.join(columns, "key"), "product")
 
 
@@ -32,6 +35,15 @@ def _labelled(df: DataFrame, labels: DataFrame, col: str, name: str) -> DataFram
     return df.join(s, F.col(col) == F.col("_n"), "left").withColumn(name, F.coalesce("_c", col)).drop("_n", "_c")
 
 
+def _merged(labels: DataFrame | None, more: DataFrame) -> DataFrame:
+    """``labels`` after the components of links between their components."""
+    if labels is None:
+        return more
+    known = labels.union(more.select("node", F.col("node").alias("component"))).groupBy("node").agg(
+        F.min("component").alias("component"))
+    return written(_labelled(known, more, "component", "top").select("node", F.col("top").alias("component")), "labels")
+
+
 def pivot_classes(product: DataFrame, sizes: DataFrame, reachable: Callable[[Column, Column, Column], Column],
                   similar_sizes: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame]
                   ) -> DataFrame:
@@ -41,27 +53,41 @@ def pivot_classes(product: DataFrame, sizes: DataFrame, reachable: Callable[[Col
     pair with ``c`` common keys may be similar, ``similar_sizes(n_a, n_b)`` the same from the sizes
     alone, and ``verified`` returns the similar ones of pairs (``a``, ``b``).
     """
-    shared = product.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c"),
-                                                                        F.max("n").alias("n"))
-    nearest = shared.groupBy("node").agg(F.max(F.struct("c", "pivot", "n")).alias("best")).select("node", "best.*")
-    # ``c`` may miss keys here; what this leaves out is met again below
-    near = nearest.join(sizes.select(F.col("node").alias("pivot"), F.col("n").alias("np")), "pivot").where(
-        reachable(F.col("c"), F.col("n"), F.col("np")))
-    stars = connected_components(verified(near.select(F.col("pivot").alias("a"), F.col("node").alias("b"))))
-
-    rows = written(_labelled(_labelled(product, stars, "node", "own"), stars, "pivot", "main")
-                   .select("key", "node", "n", "own", "main"), "labelled")
+    # every row with its node's weight (how many rows the node meets in all its keys) and the number of
+    # keys it shares with anyone, which bounds the keys it can share with another node
+    weight = product.groupBy("node").agg(F.sum("rows").alias("weight"), F.count(F.lit(1)).alias("held"))
+    rows = written(product.drop("rows").join(weight, "node").withColumn("own", F.col("node")), "weighted")
+    labels = None
+    for k in range(ROUNDS):
+        # the first time the heaviest node of a key, then pseudo-random ones
+        place = F.struct("weight", (-F.col("node")).alias("x")) if k == 0 else F.struct(
+            F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("x"))
+        pivots = rows.groupBy("key").agg(F.max(F.struct(place.alias("p"), "node", "own")).alias("t")).select(
+            "key", F.col("t.node").alias("pivot"), F.col("t.own").alias("main"))
+        met = rows.join(pivots, "key").where("own <> main")
+        shared = met.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+        nearest = shared.groupBy("node").agg(F.max(F.struct("c", "pivot", "n")).alias("best")).select("node", "best.*")
+        # ``c`` may miss keys here; what this leaves out is met again below
+        near = nearest.join(sizes.select(F.col("node").alias("pivot"), F.col("n").alias("np")), "pivot").where(
+            reachable(F.col("c"), F.col("n"), F.col("np")))
+        links = verified(near.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        if labels is not None:
+            links = _labelled(_labelled(links, labels, "a", "ca"), labels, "b", "cb").select(
+                F.col("ca").alias("a"), F.col("cb").alias("b"))
+        labels = _merged(labels, connected_components(links))
+        rows = _labelled(rows.drop("own"), labels, "node", "own")
+        rows = written(rows, "labelled")
+    pivots = rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("x"), "own")).alias("t")).select(
+        "key", F.col("t.own").alias("main"))
+    rows = written(rows.drop("weight").join(pivots, "key"), "labelled")
     strays = rows.where("own <> main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"),
-                                              F.col("own").alias("cx"))
+                                              F.col("own").alias("cx"), F.col("held").alias("hx"))
     met = strays.join(rows, "key").where(
         (F.col("own") != F.col("cx")) & ((F.col("own") == F.col("main")) | (F.col("x") < F.col("node")))
-        & similar_sizes(F.col("nx"), F.col("n")))
+        & similar_sizes(F.col("nx"), F.col("n")) & reachable(F.least("hx", "held"), F.col("nx"), F.col("n")))
     counts = met.groupBy("x", F.col("node").alias("y"), "nx", F.col("n").alias("ny")).agg(F.count(F.lit(1)).alias("c"))
     rest = counts.where(reachable(F.col("c"), F.col("nx"), F.col("ny")))
     links = verified(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    links = _labelled(_labelled(links, stars, "a", "ca"), stars, "b", "cb").select(F.col("ca").alias("a"),
-                                                                                  F.col("cb").alias("b"))
-    merged = connected_components(links)
-    known = stars.union(merged.select("node", F.col("node").alias("component"))).groupBy("node").agg(
-        F.min("component").alias("component"))
-    return _labelled(known, merged, "component", "top").select("node", F.col("top").alias("component"))
+    links = _labelled(_labelled(links, labels, "a", "ca"), labels, "b", "cb").select(F.col("ca").alias("a"),
+                                                                                    F.col("cb").alias("b"))
+    return _merged(labels, connected_components(links))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import text_chunks, text_or_empty, word_fingerprints, written
+from chainlens.llm.common import ship, text_chunks, text_or_empty, word_fingerprints, written
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 
@@ -272,6 +272,7 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     With ``carry`` the input row comes along in the struct ``row``.
     """
+    ship(docs.sparkSession)
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     patterns = rows.mapInArrow(_vote_rows, "code bigint").groupBy("code").count().collect()  # at most 3**8 rows

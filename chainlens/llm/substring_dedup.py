@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import mix, shingle_fingerprints, text_chunks, text_or_empty, word_fingerprints, written
+from chainlens.llm.common import (key_filter, may_be_wanted, mix, shingle_fingerprints, ship, text_chunks,
+                                  text_or_empty, word_fingerprints, written)
 from chainlens.llm.pivots import pivot_classes, shared_rows
 
 SHORTEST = 5
@@ -133,18 +134,32 @@ def _unit_rows(percent: int, bands: int, rows: int):
     return scan
 
 
-def _contents(batches):
-    """The shingle sets of the wanted units of each text."""
-    for b in batches:
-        nodes, sets = [], []
-        wanted = b.column("wanted")
-        for start, data, offsets in text_chunks(b.column("text")):
-            words, starts = word_fingerprints(data, offsets)
-            for d in range(len(offsets) - 1):
-                for u in wanted[start + d].as_py():
-                    nodes.append(u["node"])
-                    sets.append(_content(words[starts[d] + u["first"]:starts[d] + u["end"]]).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
+def _contents(wanted: np.ndarray):
+    """The shingle sets of the wanted units, each once per task and chunk of it."""
+    def rows(batches):
+        for b in batches:
+            for _, data, offsets in text_chunks(b.column("text")):
+                words, _, units = _units(data, offsets)
+                found = {}
+                for u in units:
+                    for a, z in u:
+                        s = _content(words[a:z])
+                        found.setdefault(_node(s), s)
+                nodes = pa.array(list(found), pa.int64())
+                out = pa.array([s.tobytes() for s in found.values()], pa.binary())
+                keep = may_be_wanted(wanted, nodes)
+                yield pa.RecordBatch.from_arrays([nodes.filter(keep), out.filter(keep)], ["node", "set"])
+
+    return rows
+
+
+def _rows_of(wanted: np.ndarray):
+    """Units whose node may be wanted."""
+    def rows(batches):
+        for b in batches:
+            yield b.filter(may_be_wanted(wanted, b.column("node")))
+
+    return rows
 
 
 def _jaccard(batches):
@@ -202,6 +217,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     ``repeated_words`` also counts the spans that stay here and repeat elsewhere.
     """
+    ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     bands = tuned_bands(percent, recall, rows)
@@ -222,16 +238,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def verified(pairs):
         pairs = written(pairs.select("a", "b"), "pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        # one occurrence of every node is read again: that of the largest (id, text)
-        where = (units.select("id", "text_hash", "u.node", "u.first", "u.end").join(nodes, "node", "left_semi")
-                 .groupBy("node").agg(F.max(F.struct("id", "text_hash", "first", "end")).alias("o")))
-        wanted = where.groupBy(F.col("o.id").alias("id"), F.col("o.text_hash").alias("text_hash")).agg(
-            F.collect_list(F.struct("node", "o.first", "o.end")).alias("wanted"))
-        once = texts.join(wanted.withColumnRenamed("id", "_id").withColumnRenamed("text_hash", "_h"),
-                          F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_h")))
-        sets = written(once.select("text", "wanted").mapInArrow(_contents, "node bigint, set binary")
-                       .dropDuplicates(["node"]), "contents")
+        nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+        if nodes.isEmpty():
+            return pairs
+        sets = texts.select("text").mapInArrow(_contents(key_filter(nodes)), "node bigint, set binary")
+        sets = written(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "contents")
         whole = (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
                  .join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"))
         found = whole.select("a", "b", "set_a", "set_b").mapInArrow(
@@ -239,15 +250,24 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return found.where(F.col("inter") * 100 >= F.col("union") * percent).select("a", "b")
 
     classes = pivot_classes(product, sizes, lambda c, a, b: near(a, b), near, verified)
-    placed = (units.select("id", "text_hash", "u.first", "u.end", "u.node")
-              .join(classes.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left")
-              .select("id", "text_hash", "first", "end", F.coalesce("component", "node").alias("component")))
-    placed = written(placed, "placed")
-    heads = (placed.groupBy("component").agg(
-        F.count(F.lit(1)).alias("n"), F.min("id").alias("keeper"),
-        F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
-        .where("n > 1").select("component", "keeper"))
-    grouped = (placed.join(heads, "component").groupBy("id", "text_hash").agg(
+
+    # Contents that stand in more than one place (a row repeated with one id and text is one place) ...
+    places = units.select("id", "text_hash", "u.first", F.col("u.node").alias("node")).groupBy("node").agg(
+        F.min("id").alias("id0"), F.max("id").alias("id1"), F.count("id").alias("ids"), F.count(F.lit(1)).alias("n"),
+        F.min("text_hash").alias("text0"), F.max("text_hash").alias("text1"),
+        F.min("first").alias("first0"), F.max("first").alias("first1"))
+    places = places.join(classes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
+    many = ((F.col("id0") != F.col("id1")) | (F.col("text0") != F.col("text1")) | (F.col("first0") != F.col("first1"))
+            | ((F.col("ids") > 0) & (F.col("ids") < F.col("n"))))
+    places = written(places.where(many | F.col("component").isNotNull()).select(
+        "node", F.coalesce("component", "node").alias("component"), F.col("id0").alias("keeper")), "places")
+    heads = places.groupBy("component").agg(F.min("keeper").alias("keeper"))
+    heads = written(places.select("node", "component").join(heads, "component"), "heads")
+    # ... and where they do.
+    hit = units.select("id", "text_hash", "u.first", "u.end", F.col("u.node").alias("node"))
+    hit = hit.mapInArrow(_rows_of(key_filter(heads.select("node"))),
+                         "id bigint, text_hash bigint, first int, end int, node bigint")
+    grouped = (hit.join(heads, "node").groupBy("id", "text_hash").agg(
         F.collect_set(F.struct("first", "end", "component", "keeper")).alias("units")))
     found = written(grouped.mapInArrow(
         _spans(min_words), "id bigint, text_hash bigint, removed array<struct<start:bigint,end:bigint>>, "

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainlens.llm import tokens
-from chainlens.llm.common import shared_path, text_or_empty, written
+from chainlens.llm.common import shared_path, ship, text_or_empty, written
 
 _CACHE_SCHEMA = "digest binary, n_tokens bigint, version string"
 
@@ -42,6 +42,7 @@ def cached_token_counts(docs: DataFrame, tokenizer: str, cache: str | None = Non
     folder of the cache table (None: a new one in the shared folder, so all texts are misses).
     """
     spark = docs.sparkSession
+    ship(spark)
     cache = cache or shared_path(spark, "token-cache")
     version = tokens.digest(tokenizer)
     spark.createDataFrame([], _CACHE_SCHEMA).write.mode("append").partitionBy("version").parquet(cache)

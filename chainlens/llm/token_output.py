@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chainlens.llm import rans, tokens
-from chainlens.llm.common import shared_path, text_or_empty
+from chainlens.llm.common import shared_path, ship, text_or_empty
 
 _FILE = ("part int, segment int, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, symbols binary, "
          "frequencies binary, blocks array<struct<n:bigint,words:binary,states:binary,offsets:array<bigint>,"
@@ -76,6 +76,7 @@ def _segments(tokenizer: str, end_id: int, segment_tokens: int):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id",
                       text_col: str = "text", segment_tokens: int = 2_000_000) -> None:
     """Write the ids of every document, each followed by ``end_id``, to ``path``."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     ordered = (rows.repartitionByRange(F.col("id").asc_nulls_first())
                .sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text")))
@@ -120,6 +121,7 @@ def _documents(batches):
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a file set: ``doc_id``, ``ids`` (array, end id included)."""
+    ship(spark)
     return (spark.read.schema(_FILE).parquet(path).select("doc_ids", "doc_tokens", "symbols", "frequencies", "blocks")
             .mapInArrow(_documents, "doc_id bigint, ids array<bigint>"))
 
@@ -130,6 +132,7 @@ def token_file_index(spark: SparkSession, path: str) -> DataFrame:
     ``start`` counts the ids of all documents before it: totals by partition (one row each) are
     added up first, then segments inside a partition, then documents inside a segment.
     """
+    ship(spark)
     files = spark.read.schema(_FILE).parquet(path)
     sizes = files.select("part", "segment", "n_tokens")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -27,22 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import shared_path, text_or_empty, written
+from chainlens.llm.common import shared_path, ship, text_or_empty, written
 
 _END = "\r\n\r\n"
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def sha1_base32(col):
-    """Bare upper-case base32 SHA-1 of a string column: 4 x 40 bits, 8 letters of 5 bits each."""
-    hexed = F.sha1(col)
-    letters = []
-    for g in range(4):
-        part = F.conv(F.substring(hexed, 10 * g + 1, 10), 16, 10).cast("long")
-        for i in range(8):
-            five = F.shiftright(part, 35 - 5 * i).bitwiseAND(F.lit(31)).cast("int")
-            letters.append(F.substr(F.lit(_B32), five + 1, F.lit(1)))
-    return F.concat(*letters)
+def with_sha1_base32(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the bare upper-case base32 SHA-1 of a string column: 4 x 40 bits, 8 letters of 5 bits each.
+
+    In steps of their own, so that each hash and number is computed once a row.
+    """
+    parts = {f"_p{g}": F.conv(F.substring("_hex", 10 * g + 1, 10), 16, 10).cast("long") for g in range(4)}
+    letters = [F.substr(F.lit(_B32), (F.shiftright(f"_p{g}", 35 - 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
+               for g in range(4) for i in range(8)]
+    return (df.withColumn("_hex", F.sha1(text)).withColumns(parts).withColumn(out, F.concat(*letters))
+            .drop("_hex", *parts))
 
 
 def _record_id(kind: str):
@@ -69,7 +69,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.col(id_col).cast("long").alias("page"),
         F.regexp_replace(F.regexp_replace(F.col(url_col).cast("string"), "\r", "%0D"), "\n", "%0A").alias("url"),
         text_or_empty(payload_col).alias("payload"))
-    rows = rows.withColumn("digest", sha1_base32(F.col("payload"))).withColumn("size", F.octet_length("payload"))
+    rows = with_sha1_base32(rows, "payload", "digest").withColumn("size", F.octet_length("payload"))
     first = (rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page").alias("response"))
              .where(F.col("response").isNotNull()))
     # the record id of a response is made from its own url
@@ -163,6 +163,7 @@ def _parsed(payloads: bool):
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """One row per record of the archives below ``path``; payload bytes only on demand."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_parsed(payloads), _RECORDS)
 

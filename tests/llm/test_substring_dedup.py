@@ -27,10 +27,10 @@ def test_passages_are_found_and_clean_documents_left(spark):
     assert all(by[i].removed_words == 0 and by[i].repeated_words == 0 for i in range(20))
     assert by[100].removed_words == 0 and by[100].repeated_words >= 20
     for i in range(101, 112):
-        assert by[i].kept_in == [100]
+        assert 100 in by[i].kept_in and set(by[i].kept_in) <= set(range(100, i))
         assert all(35 <= s.start and s.end <= 93 for s in by[i].removed)
     assert by[201].kept_in == [200] and by[201].removed_words == 80
-    assert by[None].kept_in == [100] and by[300].removed == [] and by[301].n_words == 0
+    assert 100 in by[None].kept_in and by[300].removed == [] and by[301].n_words == 0
     text = {r.doc_id: r.text for r in without_removals(fx.frame(spark, data), spark.createDataFrame(
         got, repeated_passages(fx.frame(spark, [])).schema)).collect()}
     assert len(text[201].split()) == 30 and text[100] == dict((i, t) for i, t, _ in data)[100]
