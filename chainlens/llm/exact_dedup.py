@@ -80,7 +80,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     index = build_index(rows, capacity).select(
         "key", F.col("sha256").alias("text_sha256"), "keep_id", "group_size", F.col("depth").alias("bucket_depth"))
-    probes = rows.select("id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("text_sha256"))
+    # never NULL by its type: the join needs no NULL filter, which would compute the hash again
+    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
+    probes = rows.select("id", F.xxhash64("text").alias("key"), digest.alias("text_sha256"))
     return probes.join(index, ["key", "text_sha256"]).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256", "bucket_depth")

@@ -10,7 +10,8 @@ small by bounds that follow from the set sizes alone (t = percent / 100):
   that order (any common order is exact), so only this prefix enters the product;
 * size bound: sizes must not differ by more than the factor t;
 * overlap bound: with ``c`` common prefix shingles the overlap is at most
-  ``c + max(n_a - p_a, n_b - p_b)``; pairs that can't reach ``t / (1 + t) (n_a + n_b)`` are dropped.
+  ``c + max(n_a - p_a, n_b - p_b)``; pairs that can't reach ``t / (1 + t) (n_a + n_b)`` are dropped,
+  most of them before they are formed.
 
 Equal sets are one row of the matrix.  A column's rows are never paired with each other at once
 (:mod:`chainlens.llm.pivots`): pivots first, then exactly the rows that pivots left apart.  Overlaps
@@ -39,7 +40,7 @@ from chainlens.llm.common import (key_filter, may_be_wanted, shingle_fingerprint
                                   ship, text_chunks, text_or_empty, word_fingerprints, written)
 from chainlens.llm.pivots import pivot_classes, shared_rows
 
-BLOCK_BITS = 16
+BLOCK_BITS = 18
 _SHIFT = np.uint64(64 - BLOCK_BITS)
 
 
@@ -113,11 +114,10 @@ def _overlaps(batches: Iterable) -> Iterator:
             ["a", "b", "inter", "union"])
 
 
-def _bounds(c, n_a, n_b, percent: int):
-    """Whether a pair with ``c`` common prefix shingles can still reach the similarity."""
+def _needed(n_a, n_b, percent: int):
+    """Prefix shingles that two sets of these sizes must share to be similar enough."""
     rest = F.greatest(n_a - _prefix(n_a, percent), n_b - _prefix(n_b, percent))
-    most = F.least(c + rest, n_a, n_b)
-    return most * (100 + percent) >= (n_a + n_b) * percent
+    return F.greatest(F.ceil((n_a + n_b) * percent / (100 + percent) - 1e-9) - rest, F.lit(1))
 
 
 def _prefix(n, percent: int):
@@ -172,7 +172,7 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                .select(F.col("id").alias("node"), F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key")))
     found = pivot_classes(
         shared_rows(entries), classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")),
-        lambda c, a, b: _bounds(c, a, b, percent),
+        lambda a, b: _needed(a, b, percent),
         lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent,
         _Verifier(rows, size, percent))
     final = (classes.join(found, F.col("rep") == F.col("node"), "left")

@@ -5,9 +5,12 @@ compared with *pivots* only.  A key's pivot is its most central node, that whose
 rows; every node is compared with the one pivot it shares most keys with, and that joins most near
 copies into components, however many there are.  A few more rounds with other pivots follow for the
 nodes left apart.  Then the rest, completely: a node whose component differs from that of a key's
-pivot is paired with the key's nodes in other components, and their common keys are counted.  So
-every pair that shares a key either ends in one component without being looked at, or is judged;
-pairs are about as many as the table's rows unless many nodes share keys without being similar.
+pivot is paired with the key's nodes in other components.  A pair that must share ``c`` keys is
+found at the first of them in a common order (rarest key first), which for both nodes is among all
+but the last ``c - 1`` of the keys they share with anyone; other places aren't looked at.  The common
+keys of the pairs found are then counted.  So every pair that shares enough keys either ends in one
+component without being looked at, or is judged; pairs are about as many as the table's rows unless
+many nodes share many keys without being similar.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chainlens.llm.common import written
 from chainlens.llm.components import connected_components
@@ -44,32 +48,34 @@ def _merged(labels: DataFrame | None, more: DataFrame) -> DataFrame:
     return written(_labelled(known, more, "component", "top").select("node", F.col("top").alias("component")), "labels")
 
 
-def pivot_classes(product: DataFrame, sizes: DataFrame, reachable: Callable[[Column, Column, Column], Column],
+def pivot_classes(product: DataFrame, sizes: DataFrame, needed: Callable[[Column, Column], Column],
                   similar_sizes: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame]
                   ) -> DataFrame:
     """``(node, component)`` of all nodes with links; ``component`` is the smallest node.
 
-    ``product``: :func:`shared_rows`; ``sizes``: ``node``, ``n``; ``reachable(c, n_a, n_b)`` says whether a
-    pair with ``c`` common keys may be similar, ``similar_sizes(n_a, n_b)`` the same from the sizes
-    alone, and ``verified`` returns the similar ones of pairs (``a``, ``b``).
+    ``product``: :func:`shared_rows`, without repeated rows; ``sizes``: ``node``, ``n``; ``needed(n_a, n_b)``
+    is the least number of common keys of a similar pair (1 or more), ``similar_sizes(n_a, n_b)`` says
+    whether the sizes allow one, and ``verified`` returns the similar ones of pairs (``a``, ``b``).
     """
-    # every row with its node's weight (how many rows the node meets in all its keys) and the number of
-    # keys it shares with anyone, which bounds the keys it can share with another node
-    weight = product.groupBy("node").agg(F.sum("rows").alias("weight"), F.count(F.lit(1)).alias("held"))
-    rows = written(product.drop("rows").join(weight, "node").withColumn("own", F.col("node")), "weighted")
+    # every row with its node's weight (how many rows the node meets in all its keys), the number of keys
+    # the node shares with anyone, and the key's place among them
+    own = Window.partitionBy("node")
+    rows = written(product.select(
+        "key", "node", "n", F.sum("rows").over(own).alias("weight"), F.count(F.lit(1)).over(own).alias("held"),
+        F.row_number().over(own.orderBy("rows", "key")).alias("place"), F.col("node").alias("own")), "weighted")
     labels = None
     for k in range(ROUNDS):
         # the first time the heaviest node of a key, then pseudo-random ones
-        place = F.struct("weight", (-F.col("node")).alias("x")) if k == 0 else F.struct(
+        first = F.struct("weight", (-F.col("node")).alias("x")) if k == 0 else F.struct(
             F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("x"))
-        pivots = rows.groupBy("key").agg(F.max(F.struct(place.alias("p"), "node", "own")).alias("t")).select(
+        pivots = rows.groupBy("key").agg(F.max(F.struct(first.alias("p"), "node", "own")).alias("t")).select(
             "key", F.col("t.node").alias("pivot"), F.col("t.own").alias("main"))
         met = rows.join(pivots, "key").where("own <> main")
         shared = met.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
         nearest = shared.groupBy("node").agg(F.max(F.struct("c", "pivot", "n")).alias("best")).select("node", "best.*")
         # ``c`` may miss keys here; what this leaves out is met again below
         near = nearest.join(sizes.select(F.col("node").alias("pivot"), F.col("n").alias("np")), "pivot").where(
-            reachable(F.col("c"), F.col("n"), F.col("np")))
+            (F.col("c") >= needed(F.col("n"), F.col("np"))) & similar_sizes(F.col("n"), F.col("np")))
         links = verified(near.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         if labels is not None:
             links = _labelled(_labelled(links, labels, "a", "ca"), labels, "b", "cb").select(
@@ -80,13 +86,20 @@ def pivot_classes(product: DataFrame, sizes: DataFrame, reachable: Callable[[Col
     pivots = rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("x"), "own")).alias("t")).select(
         "key", F.col("t.own").alias("main"))
     rows = written(rows.drop("weight").join(pivots, "key"), "labelled")
-    strays = rows.where("own <> main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"),
-                                              F.col("own").alias("cx"), F.col("held").alias("hx"))
+    strays = rows.where("own <> main").select(
+        "key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("own").alias("cx"),
+        (F.col("held") - F.col("place") + 1).alias("leftx"))
+    need = needed(F.col("nx"), F.col("n"))
     met = strays.join(rows, "key").where(
         (F.col("own") != F.col("cx")) & ((F.col("own") == F.col("main")) | (F.col("x") < F.col("node")))
-        & similar_sizes(F.col("nx"), F.col("n")) & reachable(F.least("hx", "held"), F.col("nx"), F.col("n")))
-    counts = met.groupBy("x", F.col("node").alias("y"), "nx", F.col("n").alias("ny")).agg(F.count(F.lit(1)).alias("c"))
-    rest = counts.where(reachable(F.col("c"), F.col("nx"), F.col("ny")))
+        & similar_sizes(F.col("nx"), F.col("n"))
+        # from here on, this key included, both have keys enough left
+        & (F.col("leftx") >= need) & (F.col("held") - F.col("place") + 1 >= need))
+    pairs = met.select("x", F.col("node").alias("y"), "nx", F.col("n").alias("ny")).distinct()
+    keys = rows.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most those of one node's prefix
+    pairs = (pairs.join(keys.select(F.col("node").alias("x"), F.col("keys").alias("kx")), "x")
+             .join(keys.select(F.col("node").alias("y"), F.col("keys").alias("ky")), "y"))
+    rest = pairs.where(F.size(F.array_intersect("kx", "ky")) >= needed(F.col("nx"), F.col("ny")))
     links = verified(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     links = _labelled(_labelled(links, labels, "a", "ca"), labels, "b", "cb").select(F.col("ca").alias("a"),
                                                                                     F.col("cb").alias("b"))

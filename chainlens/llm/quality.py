@@ -218,19 +218,20 @@ def _fit(epochs: int = 60, rate: float = 0.5, decay: float = 1e-4):
                 lens.append(len(idx[-1]))
         w = np.zeros(N_WEIGHTS)
         if post:
-            order = np.lexsort((np.array(lens), np.array(post)))  # any order of arrival gives one result
-            key = sorted(order, key=lambda k: (post[k], idx[k].tobytes(), val[k].tobytes()))
+            # any order of arrival gives one result
+            key = sorted(range(len(post)), key=lambda k: (post[k], idx[k].tobytes(), val[k].tobytes()))
             y = np.array([post[k] for k in key])
-            x, f = np.concatenate([idx[k] for k in key]), np.concatenate([val[k] for k in key]).astype(np.float64)
+            x, f = np.concatenate([idx[k] for k in key]), np.concatenate([val[k] for k in key])
             at = np.concatenate([[0], np.cumsum([lens[k] for k in key])])[:-1]
-            row = np.repeat(np.arange(len(y)), [lens[k] for k in key])
+            row = np.repeat(np.arange(len(y), dtype=np.int32), [lens[k] for k in key])
+            del idx, val
             # both classes weigh the same
             weight = np.where(y > 0.5, 0.5 / max(1e-9, (y > 0.5).mean()), 0.5 / max(1e-9, (y <= 0.5).mean()))
             seen = np.full(N_WEIGHTS, 1e-8)
             for _ in range(epochs):
-                z = np.add.reduceat(w[x] * f, at) + w[-1]
+                z = np.add.reduceat(w.astype(np.float32)[x] * f, at) + w[-1]
                 g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * weight / len(y)
-                grad = np.bincount(x, weights=g[row] * f, minlength=N_WEIGHTS) + decay * w / N_WEIGHTS
+                grad = np.bincount(x, weights=g.astype(np.float32)[row] * f, minlength=N_WEIGHTS) + decay * w / N_WEIGHTS
                 grad[-1] += g.sum()
                 seen += grad * grad
                 w -= rate * grad / np.sqrt(seen)

@@ -5,7 +5,7 @@ longer lines, each line is cut further at content-defined places (a word whose f
 smallest among its ``REACH`` neighbours on both sides), so the same passage gives the same pieces
 wherever it stands.  A paragraph's or piece's content is its set of 5-word shingles.
 
-Equal contents are one node.  Contents of at least ``1 / (1 - t)`` shingles times two can differ and
+Equal word sequences are one node.  Contents of at least ``2 / (1 - t)`` shingles can differ inside and
 still have Jaccard >= t = ``percent`` / 100; they get ``bands`` MinHash keys of ``rows`` values.  The
 number of bands is the smallest that finds a pair of similarity t with probability ``recall``:
 ``1 - (1 - t**rows)**bands``.  Colliding contents are compared by their exact Jaccard similarity and
@@ -20,7 +20,6 @@ and text count as one document; an empty table gives an empty result; other colu
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import (key_filter, may_be_wanted, mix, shingle_fingerprints, ship, text_chunks,
+from chainlens.llm.common import (NOT_SPACE, key_filter, may_be_wanted, mix, shingle_fingerprints, ship, text_chunks,
                                   text_or_empty, word_fingerprints, written)
 from chainlens.llm.pivots import pivot_classes, shared_rows
 
@@ -61,94 +60,115 @@ def _cuts(words: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def _units(data: np.ndarray, offsets: np.ndarray):
-    """Per text ``(number of words, [(first word, end), ...])`` of lines and their pieces, and all words."""
+    """``(words, starts of the texts, unit text, unit first word, unit end)`` of lines and their pieces."""
     words, starts = word_fingerprints(data, offsets)
-    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    n_words = np.diff(starts)
+    doc = np.repeat(np.arange(len(n_words)), n_words)
+    if not len(words):
+        none = np.zeros(0, dtype=np.int64)
+        return words, starts, none, none, none
     # a word's line: line breaks before its first byte
-    inside = ~np.isin(data, np.array([9, 10, 11, 12, 13, 32], dtype=np.uint8))
+    inside = NOT_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edge = offsets[:-1][offsets[:-1] < len(data)]
     begins[edge] = inside[edge]
-    line = np.cumsum(data == 10)[np.flatnonzero(begins)] if len(data) else np.zeros(0, dtype=np.int64)
-    line = line + doc * (len(data) + 1)
-    if not len(words):
-        return words, starts, [[] for _ in range(len(starts) - 1)]
-    piece_at = np.flatnonzero(_cuts(words, line))
-    line_at = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-    out: list = [[] for _ in range(len(starts) - 1)]
-    for at in (line_at, piece_at):
-        ends = np.append(at[1:], len(words))
-        long = ends - at >= SHORTEST
-        for a, z, d in zip(at[long].tolist(), ends[long].tolist(), doc[at[long]].tolist()):
-            out[d].append((a, z))
-    return words, starts, [sorted(set(u)) for u in out]
-
-
-def _content(words: np.ndarray):
-    shingles, _ = shingle_fingerprints(words, np.array([0, len(words)]), SHINGLE)
-    return np.unique(shingles)
-
-
-def _node(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
-def _least(percent: int) -> int:
-    """Shingles from which on different contents can be similar enough after a change inside them."""
-    return 2 * math.ceil(100 / (100 - percent)) if percent < 100 else 1 << 30
+    line = np.cumsum(data == 10)[np.flatnonzero(begins)] + doc * (len(data) + 1)
+    first, end = [], []
+    for at in (np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])), np.flatnonzero(_cuts(words, line))):
+        stop = np.append(at[1:], len(words))
+        long = stop - at >= SHORTEST
+        first.append(at[long])
+        end.append(stop[long])
+    # a line of one piece is one unit
+    both = np.unique(np.concatenate(first) * (len(words) + 1) + np.concatenate(end))
+    first, end = both // (len(words) + 1), both % (len(words) + 1)
+    return words, starts, doc[first], first, end
+
+
+def _nodes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of the units' word sequences (Python-independent, 64 bits)."""
+    if not len(first):
+        return np.zeros(0, dtype=np.int64)
+    # sum of word * base**position over the unit, from running sums of word * base**index
+    index = np.arange(len(words), dtype=np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _power(index), dtype=np.uint64)])
+    value = (total[end] - total[first]) * _power((-first).astype(np.uint64))
+    return mix(value + mix((end - first).astype(np.uint64))).view(np.int64)
+
+
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _power(exponent: np.ndarray) -> np.ndarray:
+    """``_ODD ** exponent`` modulo 2**64, element by element; exponents modulo 2**62, the order of an odd number."""
+    out, base = np.ones(len(exponent), dtype=np.uint64), _ODD
+    left = exponent & np.uint64((1 << 62) - 1)
+    while left.any():
+        odd = (left & np.uint64(1)).astype(bool)
+        out[odd] *= np.uint64(base)
+        base = base * base % (1 << 64)
+        left = left >> np.uint64(1)
+    return out
+
+
+def _large(first: np.ndarray, end: np.ndarray, percent: int) -> np.ndarray:
+    """Units with shingles enough that two different ones can be similar after a change inside them."""
+    least = 2 * math.ceil(100 / (100 - percent)) if percent < 100 else 1 << 30
+    return end - first - SHINGLE + 1 >= least
 
 
 def _unit_rows(percent: int, bands: int, rows: int):
-    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    least = _least(percent)
-    unit = pa.struct([("first", pa.int32()), ("end", pa.int32()), ("node", pa.int64()), ("n", pa.int32()),
-                      ("keys", pa.list_(pa.int64()))])
+    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(_ODD))
 
     def scan(batches):
         for b in batches:
-            ids, hashes = b.column("id"), b.column("text_hash")
             for start, data, offsets in text_chunks(b.column("text")):
-                words, starts, units = _units(data, offsets)
-                out = []
-                for d, found in enumerate(units):
-                    own = []
-                    for a, z in found:
-                        s = _content(words[a:z])
-                        keys = None
-                        if len(s) >= least:
-                            sketch = mix(s[:, None] ^ seeds).min(axis=0).reshape(bands, rows)
-                            band = np.arange(bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-                            folded = sketch[:, 0]
-                            for r in range(1, rows):
-                                folded = mix(folded) + sketch[:, r]
-                            keys = mix(folded ^ band).view(np.int64).tolist()
-                        own.append({"first": a - int(starts[d]), "end": z - int(starts[d]), "node": _node(s),
-                                    "n": len(s), "keys": keys})
-                    out.append(own)
+                words, starts, doc, first, end = _units(data, offsets)
+                shingles, at = shingle_fingerprints(words, starts, SHINGLE)
+                large = np.flatnonzero(_large(first, end, percent))
+                # a large unit's shingles are one range; the least hash of each range, for each seed
+                low = at[doc[large]] + first[large] - starts[doc[large]]
+                edges = np.stack([low, low + end[large] - first[large] - SHINGLE + 1], axis=1).ravel()
+                shingles = np.append(shingles, np.uint64(0))
+                keys = np.zeros((len(large), bands), dtype=np.uint64)
+                for k in range(bands):
+                    for r in range(rows if len(large) else 0):
+                        least = np.minimum.reduceat(mix(shingles ^ seeds[k * rows + r]), edges)[::2]
+                        keys[:, k] = mix(keys[:, k] + least)
+                    keys[:, k] = mix(keys[:, k] ^ np.uint64(k + 1))
+                n_keys = np.zeros(len(first), dtype=np.int32)
+                n_keys[large] = bands
                 k = len(offsets) - 1
+                units = pa.StructArray.from_arrays([
+                    pa.array((first - starts[doc]).astype(np.int32)), pa.array((end - starts[doc]).astype(np.int32)),
+                    pa.array(_nodes(words, first, end)),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_keys)]).astype(np.int32)),
+                                             pa.array(keys.ravel().view(np.int64)))], ["first", "end", "node", "keys"])
+                cut = np.searchsorted(doc, np.arange(k + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, k), hashes.slice(start, k), pa.array(np.diff(starts), pa.int64()),
-                     pa.array(out, pa.list_(unit))], ["id", "text_hash", "n_words", "units"])
+                    [b.column("id").slice(start, k), b.column("text_hash").slice(start, k),
+                     pa.array(np.diff(starts), pa.int64()), pa.ListArray.from_arrays(pa.array(cut), units)],
+                    ["id", "text_hash", "n_words", "units"])
 
     return scan
 
 
-def _contents(wanted: np.ndarray):
-    """The shingle sets of the wanted units, each once per task and chunk of it."""
+def _contents(percent: int, wanted: np.ndarray):
+    """The shingle sets of the large units whose node may be wanted, each once per chunk."""
     def rows(batches):
         for b in batches:
             for _, data, offsets in text_chunks(b.column("text")):
-                words, _, units = _units(data, offsets)
-                found = {}
-                for u in units:
-                    for a, z in u:
-                        s = _content(words[a:z])
-                        found.setdefault(_node(s), s)
-                nodes = pa.array(list(found), pa.int64())
-                out = pa.array([s.tobytes() for s in found.values()], pa.binary())
-                keep = may_be_wanted(wanted, nodes)
-                yield pa.RecordBatch.from_arrays([nodes.filter(keep), out.filter(keep)], ["node", "set"])
+                words, _, _, first, end = _units(data, offsets)
+                nodes = _nodes(words, first, end)
+                some = np.flatnonzero(_large(first, end, percent)
+                                      & np.asarray(may_be_wanted(wanted, pa.array(nodes, pa.int64()))))
+                _, once = np.unique(nodes[some], return_index=True)
+                some = some[once]
+                sets = [np.unique(shingle_fingerprints(words[a:z], np.array([0, z - a]), SHINGLE)[0]).tobytes()
+                        for a, z in zip(first[some], end[some])]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[some], pa.int64()), pa.array(sets, pa.binary())],
+                                                 ["node", "set"])
 
     return rows
 
@@ -222,26 +242,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     bands = tuned_bands(percent, recall, rows)
     schema = ("id bigint, text_hash bigint, n_words bigint, "
-              "units array<struct<first:int,end:int,node:bigint,n:int,keys:array<bigint>>>")
+              "units array<struct<first:int,end:int,node:bigint,keys:array<bigint>>>")
     table = written(texts.mapInArrow(_unit_rows(percent, bands, rows), schema), "units")
     # rows repeated with one id and text are one document
     units = table.select("id", "text_hash", F.explode("units").alias("u"))
 
-    entries = (units.where("u.keys is not null").select(F.col("u.node").alias("node"), F.col("u.n").alias("n"),
-                                                        F.explode("u.keys").alias("key")))
-    product = shared_rows(entries)
-    product = written(product.distinct(), "collisions")
+    entries = units.select(F.col("u.node").alias("node"), (F.col("u.end") - F.col("u.first")).alias("n"),
+                           F.explode("u.keys").alias("key"))
+    product = written(shared_rows(entries).distinct(), "collisions")
     sizes = written(product.groupBy("node").agg(F.max("n").alias("n")), "sizes")
 
-    def near(a, b):
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
     def verified(pairs):
         pairs = written(pairs.select("a", "b"), "pairs")
         nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
         if nodes.isEmpty():
             return pairs
-        sets = texts.select("text").mapInArrow(_contents(key_filter(nodes)), "node bigint, set binary")
+        sets = texts.select("text").mapInArrow(_contents(percent, key_filter(nodes)), "node bigint, set binary")
         sets = written(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "contents")
         whole = (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
                  .join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"))
@@ -249,7 +265,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             _jaccard, "a bigint, b bigint, inter bigint, `union` bigint")
         return found.where(F.col("inter") * 100 >= F.col("union") * percent).select("a", "b")
 
-    classes = pivot_classes(product, sizes, lambda c, a, b: near(a, b), near, verified)
+    classes = pivot_classes(product, sizes, lambda a, b: F.lit(1), lambda a, b: F.lit(True), verified)
 
     # Contents that stand in more than one place (a row repeated with one id and text is one place) ...
     places = units.select("id", "text_hash", "u.first", F.col("u.node").alias("node")).groupBy("node").agg(

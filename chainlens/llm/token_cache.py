@@ -25,7 +25,7 @@ _CACHE_SCHEMA = "digest binary, n_tokens bigint, version string"
 
 def _counter(tokenizer: str):
     def count(batches):
-        enc = tokens.encoder(tokenizer, counts=True)
+        enc = tokens.Encoder(tokenizer, counts=True)
         for b in batches:
             texts = b.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
@@ -52,7 +52,9 @@ def cached_token_counts(docs: DataFrame, tokenizer: str, cache: str | None = Non
                 .select("digest", "n_tokens").dropDuplicates(["digest"]))
 
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    # never NULL by its type: the joins need no NULL filter, which would compute the hash again
+    digest = F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
+    rows = docs.select(F.col(id_col), text.alias("text"), digest.alias("digest"))
     # Equal texts meet in the map tasks already: (digest, text) has no other columns to carry.
     misses = rows.select("digest", "text").distinct().join(stored().select("digest"), "digest", "left_anti")
     (misses.mapInArrow(_counter(tokenizer), "digest binary, n_tokens bigint")

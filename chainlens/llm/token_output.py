@@ -41,7 +41,7 @@ def _segments(tokenizer: str, end_id: int, segment_tokens: int):
 
     def write(batches):
         part = TaskContext.get().partitionId()
-        enc = tokens.encoder(tokenizer)
+        enc = tokens.Encoder(tokenizer)
         number, ids, parts, held = 0, [], [], 0
 
         def segment():

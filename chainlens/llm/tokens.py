@@ -2,8 +2,8 @@
 
 The library encodes at about 3 MB/s a core.  Both vocabulary kinds used here split a text at white
 space before anything else, so a text cut before a single ASCII space that follows a character
-which is no white space encodes to the concatenation of its parts.  Each worker keeps the parts it
-has met (two generations of at most ``CACHE_PIECES``) and gives only new ones to the library; a text for which the
+which is no white space encodes to the concatenation of its parts.  Each task keeps the parts it
+has met (two generations of at most ``CACHE_PIECES``, gone with the task) and gives only new ones to the library; a text for which the
 cut isn't safe goes to the library whole.  ``tests/llm`` compares both on whole texts.
 """
 
@@ -14,9 +14,9 @@ import re
 
 import numpy as np
 
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 #: bytes the kept pieces may take, by the estimate of ``_PIECE_BYTES`` and their length
-CACHE_BYTES = 140 << 20
+CACHE_BYTES = 100 << 20
 _PIECE_BYTES = 200
 _CHUNK = 200
 
@@ -165,13 +165,3 @@ class Encoder:
             for j in m:
                 v[j] = self.spaced[p[j]] if j else self.first[p[0]]
             out[i] = sum(v) if self.counts else b"".join(v)
-
-
-_encoders: dict = {}
-
-
-def encoder(name: str, counts: bool = False) -> Encoder:
-    """The worker's encoder; its pieces stay for the worker's next tasks."""
-    if (name, counts) not in _encoders:
-        _encoders[name, counts] = Encoder(name, counts)
-    return _encoders[name, counts]

@@ -219,7 +219,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelle
         features = lexical_features(F.col("_u"), F.col("host"), F.col("path"))
         features["suffix_block_rate"] = F.coalesce("rate", F.lit(0.5))
         features["suffix_share"] = F.coalesce("share", F.lit(0.0))
-        return df.withColumns({c: _binned(v, c) for c, v in features.items()})
+        # in a step of its own, so that a feature is computed once a row and not at each threshold
+        return df.withColumns(features).withColumns({c: _binned(F.col(c), c) for c in features})
 
     n = known.count()
     if n > train_rows:

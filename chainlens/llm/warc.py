@@ -36,12 +36,13 @@ _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 def with_sha1_base32(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add the bare upper-case base32 SHA-1 of a string column: 4 x 40 bits, 8 letters of 5 bits each.
 
-    In steps of their own, so that each hash and number is computed once a row.
+    In steps of their own, so that each hash and number is computed once a row; and never NULL by its
+    type, so that a join on it needs no NULL filter, which would compute it again.
     """
     parts = {f"_p{g}": F.conv(F.substring("_hex", 10 * g + 1, 10), 16, 10).cast("long") for g in range(4)}
     letters = [F.substr(F.lit(_B32), (F.shiftright(f"_p{g}", 35 - 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
                for g in range(4) for i in range(8)]
-    return (df.withColumn("_hex", F.sha1(text)).withColumns(parts).withColumn(out, F.concat(*letters))
+    return (df.withColumn("_hex", F.sha1(text)).withColumns(parts).withColumn(out, F.coalesce(F.concat(*letters), F.lit("")))
             .drop("_hex", *parts))
 
 
