@@ -133,7 +133,8 @@ def decode(blocks: list[dict], present: np.ndarray, freq: np.ndarray) -> np.ndar
         if need.any():
             rank = np.cumsum(need, axis=1)
             rows, cols = np.nonzero(need)
-            got = stream[at[rows] + rank[rows, cols] - 1].astype(np.uint64)
+            # a damaged stream may ask for words behind its end; the checksum tells
+            got = stream[np.minimum(at[rows] + rank[rows, cols] - 1, len(stream) - 1)].astype(np.uint64)
             y[rows, cols] = (y[rows, cols] << _U(32)) | got
             at += rank[:, -1]
         x = np.where(active, y, x)
