@@ -53,7 +53,7 @@ def main(argv=None) -> int:
 
         def bundle_inputs():
             t = _t(spark, a.sf_dir)
-            return (td.order_totals(t, "Delivered", dims=("customer",)), td.inspections(t, dims=("product",)),
+            return (td.order_totals(t, "Delivered", dims=("customer",)), td.inspection_totals(t, dims=("product",)),
                     events.flatten_events(td.machine_events(t, "cycle_complete")))
     if a.dashboard:
         from chainlens.operators.dashboard import dashboard_bundle

@@ -19,6 +19,12 @@ COLUMN_DEFAULTS = {
     "orders": {"discount_pct": 0, "status": "Pending"},
     "quality_inspections": {"defects_found": 0, "defect_rate": 0, "passed": 1},
 }
+# Declared types of the columns that have defaults.
+DEFAULT_TYPES = {
+    "suppliers": {"tier": "string", "active": "tinyint"},
+    "orders": {"discount_pct": "decimal(5,3)", "status": "string"},
+    "quality_inspections": {"defects_found": "int", "defect_rate": "decimal(6,4)", "passed": "tinyint"},
+}
 
 # Supplier RAG: GREEN when quality >= 4.5 and on-time >= 0.95,
 # AMBER when quality >= 3.8 and on-time >= 0.85, else RED.
@@ -70,6 +76,10 @@ KPI_DEFECT_GREEN_BELOW_PCT = 1.0
 KPI_RED_MACHINES_ABOVE = 2
 KPI_LEAD_GREEN_MAX_DAYS = 15.0
 
+# Labels of the KPI table.
+KPI_LABELS = ("Total Revenue (Delivered)", "Total Delivered Orders", "Avg OEE Score", "Avg Defect Rate",
+              "Machines Below 70% OEE", "Avg Lead Time")
+
 # Units: rupees per million ("Mn") and per crore ("Cr").
 MILLION = 1_000_000
 CRORE = 10_000_000

@@ -1,4 +1,4 @@
-"""Order-dependent aggregates that stay distributed.
+"""Order-dependent aggregates that stay distributed and lazy.
 
 An un-partitioned window (``OVER (ORDER BY ...)``) moves every row into one
 task.  That is fine for calendar series (one row per day or month: the row
@@ -6,17 +6,17 @@ count is bounded by the date range), but not for a running total over
 customers or a cumulative count over distinct values, whose row count grows
 with the data.  :func:`running_sum` is the two-phase prefix sum used instead:
 
-1. range-partition the rows on the (total) sort order;
-2. per partition, a window running sum (a partition holds ~1/P of the rows);
-3. per-partition totals (P rows) -> exclusive prefix over P rows -> offsets;
-4. broadcast the P offsets (bounded by the partition count) and add them.
+1. every row gets a *bucket*, a non-decreasing function of its sort value alone
+   (256 buckets per factor of two), so bucket order is sort order;
+2. per bucket, a window running sum;
+3. per-bucket totals -> exclusive prefix over the buckets -> offsets (bounded
+   by the number of buckets, about 2**19 for all finite doubles);
+4. the offsets are joined back on the bucket and added.
 
-Steps 2 and 3 both read the range-partitioned rows, and the partition id is
-only meaningful if they read the *same* partitioning.  The ranged rows are
-therefore checkpointed (reliable checkpoint in the session's checkpoint
-directory) together with their partition id: both branches read one
-materialisation, the range bounds are sampled once, and the lineage above is
-cut, so a lost executor re-reads the checkpoint instead of re-running the scan.
+The bucket depends on the row only, not on a sampled range partitioning, so the
+two branches need no common materialisation: the plan is lazy, recomputable
+after the loss of an executor, and its result does not depend on how many
+partitions a shuffle has.
 
 :func:`exact_quantiles` builds on it: value -> count (map-side combined),
 cumulative counts, then the two order statistics around each requested
@@ -31,39 +31,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlens.functions.numeric import col_
-from chainlens.session import materialize
 
-_PID = "_cl_pid"
+_BUCKET = "_cl_bucket"
+_PER_OCTAVE = 256
+_ZERO = 1100 * _PER_OCTAVE  # beyond the buckets of the smallest positive double
+_NULLS_LAST = 1 << 30
 
 
-def running_sum(df: DataFrame, value, order_by: Sequence[Column], out: str,
-                num_partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = running sum of ``value`` in ``order_by`` order (ROWS UNBOUNDED PRECEDING).
+def sort_bucket(value, descending: bool = False) -> Column:
+    """Bucket of a numeric sort value: non-decreasing in sort order, NULL last."""
+    v = col_(value).cast("double")
+    level = lambda x: F.floor(F.log2(x) * _PER_OCTAVE).cast("int") + _ZERO + 1
+    b = F.when(v > 0, level(v)).when(v < 0, -level(-v)).otherwise(F.lit(0))
+    return F.when(v.isNull(), F.lit(_NULLS_LAST)).otherwise(-b if descending else b)
 
-    ``order_by`` must be a total order (append key columns as tie-breakers) so
-    the result does not depend on how ties fall into partitions.
+
+def running_sum(df: DataFrame, value, sort_by, out: str, descending: bool = False, ties: Sequence[str] = (),
+                by: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """Add ``out`` = running sum of ``value`` (ROWS UNBOUNDED PRECEDING) in the order of the numeric ``sort_by``.
+
+    NULL sort values come last, ``ties`` (columns) make the order total, ``by``
+    restarts it per group (NULL is a group).  As in SQL, NULL values add nothing
+    and the sum is NULL until the first value.  ``total`` adds the group's sum.
     """
-    v = col_(value)
-    # Without an explicit count the range shuffle is AQE-coalescible: small inputs
-    # get few tasks, and coalescing only merges *adjacent* ranges, so partition
-    # ids stay in key order.
-    ranged = (df.repartitionByRange(num_partitions, *order_by) if num_partitions
-              else df.repartitionByRange(*order_by))
-    ranged = materialize(ranged.withColumn(_PID, F.spark_partition_id()))
-    local_w = Window.partitionBy(_PID).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("_cl_local", F.sum(v).over(local_w))
-    totals = ranged.groupBy(_PID).agg(F.sum(v).alias("_cl_ptot"))
-    # P rows only: the exclusive prefix over partitions is a tiny single-task window.
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(_PID, F.coalesce(F.sum("_cl_ptot").over(before), F.lit(0)).alias("_cl_off"))
-    return (local.join(F.broadcast(offsets), _PID)
-            .withColumn(out, F.col("_cl_local") + F.col("_cl_off"))
-            .drop(_PID, "_cl_local", "_cl_off"))
+    v, by = col_(value), list(by)
+    rows = df.withColumn(_BUCKET, sort_bucket(sort_by, descending))
+    order = col_(sort_by).desc_nulls_last() if descending else col_(sort_by).asc_nulls_last()
+    inside = Window.partitionBy(*by, _BUCKET).orderBy(order, *[F.col(c).asc() for c in ties]).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumn("_cl_local", F.sum(v).over(inside))
+    sums = rows.groupBy(*by, _BUCKET).agg(F.sum(v).alias("_cl_ptot"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(b).alias(f"_cl_o_{b}") for b in by], F.col(_BUCKET).alias("_cl_o_bucket"),
+                          F.sum("_cl_ptot").over(before).alias("_cl_off"),
+                          *([F.sum("_cl_ptot").over(group).alias(total)] if total else []))
+    cond = F.col(_BUCKET) == F.col("_cl_o_bucket")
+    for b in by:
+        cond = cond & F.col(b).eqNullSafe(F.col(f"_cl_o_{b}"))
+    joined = local.join(offsets, cond)
+    off = F.col("_cl_off")
+    return (joined.withColumn(out, F.when(off.isNull(), F.col("_cl_local")).otherwise(
+        off + F.coalesce(F.col("_cl_local"), F.lit(0))))
+        .drop(_BUCKET, "_cl_local", "_cl_off", "_cl_o_bucket", *[f"_cl_o_{b}" for b in by]))
 
 
 def exact_quantiles(df: DataFrame, value, probs: Sequence[float], names: Sequence[str],
-                    by: Sequence[str] = (), num_partitions: int | None = None,
-                    mean_name: str | None = None, weight: str | None = None) -> DataFrame:
+                    by: Sequence[str] = (), mean_name: str | None = None, weight: str | None = None) -> DataFrame:
     """Exact linearly-interpolated quantiles of ``value`` (NULLs ignored).
 
     Returns one row per ``by`` group (one row overall when ``by`` is empty)
@@ -78,21 +92,8 @@ def exact_quantiles(df: DataFrame, value, probs: Sequence[float], names: Sequenc
     cols = [*by, col_(value).alias("_cl_v")] + ([F.col(weight)] if weight else [])
     counts = (df.select(*cols).where(F.col("_cl_v").isNotNull())
               .groupBy(*by, "_cl_v").agg(tally.alias("_cl_c")))
-    order = [F.col(b).asc() for b in by] + [F.col("_cl_v").asc()]
-    cum = running_sum(counts, F.col("_cl_c"), order, "_cl_cum", num_partitions)
-    if by:
-        # Rank within a group = global rank - rows of all earlier groups.
-        # NULL is a group of its own (as in GROUP BY), hence the null-safe join.
-        starts = cum.groupBy(*by).agg(F.min(F.col("_cl_cum") - F.col("_cl_c")).alias("_cl_start"),
-                                      F.sum("_cl_c").alias("_cl_n"))
-        starts = starts.select(*[F.col(b).alias(f"_cl_s_{b}") for b in by], "_cl_start", "_cl_n")
-        cond = [F.col(b).eqNullSafe(F.col(f"_cl_s_{b}")) for b in by]
-        ranked = cum.join(starts, cond).select(
-            *by, "_cl_v", "_cl_c", (F.col("_cl_cum") - F.col("_cl_start")).alias("_cl_cum"), "_cl_n")
-    else:
-        # Row count from the materialised cumulative table, not a second pass over ``df``.
-        total = cum.select(F.max("_cl_cum")).scalar()
-        ranked = cum.withColumn("_cl_n", total)
+    # cumulative counts in value order inside every group; NULL is a group of its own (as in GROUP BY)
+    ranked = running_sum(counts, "_cl_c", "_cl_v", "_cl_cum", by=by, total="_cl_n")
     # 0-based ranks covered by a distinct value: [cum - c, cum - 1].
     lo_rank = F.col("_cl_cum") - F.col("_cl_c")
     hi_rank = F.col("_cl_cum") - F.lit(1)

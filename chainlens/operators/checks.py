@@ -55,15 +55,16 @@ def check_enum(df: DataFrame, column: str, domain, table: str) -> DataFrame:
 
 
 def apply_defaults(df: DataFrame, table: str, defaults: dict | None = None) -> DataFrame:
-    """Add declared DEFAULT columns that are absent on ingest.
+    """Add declared DEFAULT columns that are absent on ingest, in their declared types.
 
     Like a SQL DEFAULT, an explicit NULL in a present column is left alone.
     """
     defaults = K.COLUMN_DEFAULTS[table] if defaults is None else defaults
+    types = K.DEFAULT_TYPES.get(table, {})
     present = set(df.columns)
     for name, value in defaults.items():
         if name not in present:
-            df = df.withColumn(name, F.lit(value))
+            df = df.withColumn(name, F.lit(value).cast(types[name]) if name in types else F.lit(value))
     return df
 
 
@@ -73,13 +74,19 @@ def with_load_timestamp(df: DataFrame, column: str = "created_at") -> DataFrame:
 
 
 def decimal_conformity(df: DataFrame, spec: dict, table: str) -> DataFrame:
-    """Per column: values that do not fit the declared DECIMAL(p,s) (``try_cast`` -> NULL).
+    """Per column: values that DECIMAL(p,s) can't hold as they are, by too many digits before the point
+    (``try_cast`` gives NULL) or after it (the cast differs from the value).
 
     Output: table, column_name, declared_type, non_conforming.
     """
     names = list(spec)
-    counts = df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(f"decimal({p},{s})").isNull())
-                      .cast("long").alias(c) for c, (p, s) in spec.items()])
+
+    def misfit(c, p, s):
+        cast = F.col(c).try_cast(f"decimal({p},{s})")
+        exact = F.col(c).try_cast("decimal(38,18)")
+        return F.col(c).isNotNull() & (cast.isNull() | (cast.cast("decimal(38,18)") != exact))
+
+    counts = df.agg(*[F.count_if(misfit(c, p, s)).cast("long").alias(c) for c, (p, s) in spec.items()])
     types = F.create_map(*[x for c, (p, s) in spec.items() for x in (F.lit(c), F.lit(f"DECIMAL({p},{s})"))])
     return (counts.unpivot([], names, "column_name", "non_conforming")
             .select(F.lit(table).alias("table_name"), "column_name",
@@ -87,13 +94,9 @@ def decimal_conformity(df: DataFrame, spec: dict, table: str) -> DataFrame:
 
 
 def row_counts(tables: dict) -> DataFrame:
-    """Row count per named table: table_name, rows (one aggregate job per table, unioned).
-
-    A table given as per-order totals (``line_count`` present) counts its lines.
-    """
+    """Row count per named table: table_name, rows (one aggregate per table, unioned)."""
     out = None
     for name, df in tables.items():
-        n = F.sum("line_count") if "line_count" in df.columns else F.count(F.lit(1))
-        c = df.agg(F.coalesce(n, F.lit(0)).cast("long").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        c = df.agg(F.count(F.lit(1)).cast("long").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
         out = c if out is None else out.unionByName(c)
     return out

@@ -11,7 +11,7 @@ from chainlens.functions.classify import chart_defect_colour, growth_sign_class
 from chainlens.functions.dates import month_label
 from chainlens.functions.numeric import ratio, round_half_up
 from chainlens.operators.events import oee_by_machine
-from chainlens.operators.quality import defect_pct_by_product, defect_rate_mean
+from chainlens.operators.quality import defect_pct_by_product, defect_rate_mean, with_inspection_weights
 from chainlens.operators.revenue import (customer_revenue, daily_revenue, delivered, lead_mean,
                                          monthly_revenue_orders, order_count, with_order_weights)
 from chainlens.operators.rolling import rolling_revenue
@@ -62,11 +62,11 @@ def panel_rolling(rolling: DataFrame) -> DataFrame:
 def panel_customers(orders: DataFrame, top: int = K.HIGHLIGHT_TOP, customer: str = "customer") -> DataFrame:
     """Revenue in Mn per customer, the top ``top`` flagged.
 
-    The per-customer rows are materialised once and read by both branches; the
-    top rows come from TakeOrderedAndProject (``top`` rows, a proven bound), so
-    broadcasting them back onto the per-customer table is safe.
+    The top rows come from TakeOrderedAndProject (``top`` rows, a proven bound), so
+    broadcasting them back onto the per-customer rows is safe; both branches
+    share the aggregation's shuffle.
     """
-    rev = materialize(customer_revenue(orders, customer))
+    rev = customer_revenue(orders, customer)
     best = (rev.orderBy(F.col("revenue").desc_nulls_last(), F.col(customer)).limit(top)
             .select(F.col(customer).alias("_top"), F.lit(True).alias("_hit")))
     j = rev.join(F.broadcast(best), F.col(customer) == F.col("_top"), "left")
@@ -78,20 +78,16 @@ def panel_customers(orders: DataFrame, top: int = K.HIGHLIGHT_TOP, customer: str
 def kpi_table(orders: DataFrame, insp: DataFrame, oee: DataFrame) -> DataFrame:
     """Six executive KPIs as rows: label, value, value_text, status.
 
-    Each source is aggregated once (one row, materialised); the KPIs are scalar
-    subqueries over those rows, stacked with ``inline`` — no join between them.
+    Each source is aggregated to one row in one pass; the three rows are put side
+    by side and stacked with ``inline``.
     """
-    # One aggregate pass per source, materialised as one row; the KPI values
-    # are scalar subqueries over those one-row checkpoints.
-    d = materialize(delivered(orders).agg(
+    d = delivered(orders).agg(
         ratio(F.sum("revenue"), F.lit(K.CRORE)).alias("total_cr"), order_count(orders).alias("n_orders"),
-        lead_mean(orders).alias("avg_lead")))
-    o = materialize(oee.agg((F.avg("avg_oee") * 100).alias("avg_oee"),
-                            F.count_if(F.col("oee_rag") == "RED").alias("red")))
-    q = materialize(insp.agg((defect_rate_mean(insp) * 100).alias("avg_defect")))
-    total_cr, n_orders, avg_lead = (d.select(c).scalar() for c in ("total_cr", "n_orders", "avg_lead"))
-    avg_oee, red = (o.select(c).scalar() for c in ("avg_oee", "red"))
-    avg_defect = q.select("avg_defect").scalar()
+        lead_mean(orders).alias("avg_lead"))
+    o = oee.agg((F.avg("avg_oee") * 100).alias("avg_oee"), F.count_if(F.col("oee_rag") == "RED").alias("red"))
+    q = insp.agg((defect_rate_mean(insp) * 100).alias("avg_defect"))
+    total_cr, n_orders, avg_lead, avg_oee, red, avg_defect = (
+        F.col(c) for c in ("total_cr", "n_orders", "avg_lead", "avg_oee", "red", "avg_defect"))
 
     def fmt(pattern, value, digits):
         return F.format_string(pattern, round_half_up(value, digits))
@@ -101,19 +97,18 @@ def kpi_table(orders: DataFrame, insp: DataFrame, oee: DataFrame) -> DataFrame:
                         text.alias("value_text"), status.alias("status"))
 
     rows = F.array(
-        row("Total Revenue (Delivered)", total_cr, fmt("₹%.1f Cr", total_cr, 1), F.lit("GREEN")),
-        row("Total Delivered Orders", n_orders, F.format_number(n_orders, 0), F.lit("BLUE")),
-        row("Avg OEE Score", avg_oee, fmt("%.1f%%", avg_oee, 1),
+        row(K.KPI_LABELS[0], total_cr, fmt("₹%.1f Cr", total_cr, 1), F.lit("GREEN")),
+        row(K.KPI_LABELS[1], n_orders, F.format_number(n_orders, 0), F.lit("BLUE")),
+        row(K.KPI_LABELS[2], avg_oee, fmt("%.1f%%", avg_oee, 1),
             F.when(avg_oee >= K.KPI_OEE_GREEN_PCT, "GREEN").otherwise("AMBER")),
-        row("Avg Defect Rate", avg_defect, fmt("%.2f%%", avg_defect, 2),
+        row(K.KPI_LABELS[3], avg_defect, fmt("%.2f%%", avg_defect, 2),
             F.when(avg_defect < K.KPI_DEFECT_GREEN_BELOW_PCT, "GREEN").otherwise("AMBER")),
-        row("Machines Below 70% OEE", red, red.cast("string"),
+        row(K.KPI_LABELS[4], red, red.cast("string"),
             F.when(red > K.KPI_RED_MACHINES_ABOVE, "RED").otherwise("AMBER")),
-        row("Avg Lead Time", avg_lead, fmt("%.1f days", avg_lead, 1),
+        row(K.KPI_LABELS[5], avg_lead, fmt("%.1f days", avg_lead, 1),
             F.when(avg_lead <= K.KPI_LEAD_GREEN_MAX_DAYS, "GREEN").otherwise("AMBER")),
     )
-    spark = orders.sparkSession
-    return spark.range(1).select(F.inline(rows))
+    return d.crossJoin(F.broadcast(o)).crossJoin(F.broadcast(q)).select(F.inline(rows))  # one row each
 
 
 _ORDER_SUMS = ("revenue", "line_count", "revenue_count", "lead_day_sum", "lead_day_count")
@@ -132,6 +127,10 @@ def dashboard_bundle(order_totals: DataFrame, insp: DataFrame, events_flat: Data
     * one pass over the events gives OEE per machine (materialised);
     * one pass over the inspections gives per-product sums (materialised).
 
+    The three small tables are checkpointed when the bundle is built (the one place
+    in the library that runs jobs while building), because up to four datasets
+    read each of them and are written one after the other.
+
     The same operators run on these partial sums: they read ``line_count`` /
     ``revenue_count`` / ``lead_day_*`` / ``defect_rate_*`` as weights, so every
     dataset equals the stand-alone panel query.
@@ -144,9 +143,8 @@ def dashboard_bundle(order_totals: DataFrame, insp: DataFrame, events_flat: Data
     by_day = both.where(F.col("_g") == 1).select("order_date", *_ORDER_SUMS, status)
     by_customer = both.where(F.col("_g") == 2).select(customer, *_ORDER_SUMS, status)
     oee = materialize(oee_by_machine(events_flat))
-    by_product = materialize(insp.groupBy("product").agg(
-        F.sum("defects_found").alias("defects_found"), F.sum("batch_size").alias("batch_size"),
-        F.sum("defect_rate").alias("defect_rate_sum"), F.count("defect_rate").alias("defect_rate_count")))
+    by_product = materialize(with_inspection_weights(insp).groupBy("product").agg(
+        *[F.sum(c).alias(c) for c in ("defects_found", "batch_size", "defect_rate_sum", "defect_rate_count")]))
     rolling = rolling_revenue(daily_revenue(by_day))
     return {
         "panel_monthly": panel_monthly(monthly_revenue_orders(by_day)),

@@ -10,7 +10,6 @@ from chainlens.functions import constants as K
 from chainlens.functions.classify import at_least_rag
 from chainlens.functions.dates import month_key
 from chainlens.functions.numeric import as_long, round_half_up
-from chainlens.session import materialize
 
 FLAT_EVENT_COLUMNS = ["event_id", "timestamp", "machine_id", "plant", "event_type", "operator_id", "shift",
                       "product_run", "oee_score", "duration_min", "alert_code", "temperature_c", "vibration_hz",
@@ -74,22 +73,15 @@ def sensor_anomaly_flags(events: DataFrame, sigmas: float = K.ANOMALY_SIGMAS,
                          sensors=K.SENSOR_COLUMNS) -> DataFrame:
     """Rows with all sensors present, each flagged 1 when |x - mean| > sigmas x sd.
 
-    Mean and sample sd are global: one aggregate pass computes all of them, and
-    they are inlined as constants through scalar subqueries — never an
-    ``OVER ()`` window over the raw rows, never a join.
+    Mean and sample sd are global: one aggregate pass computes all of them in
+    one row, which is put beside every event — never an ``OVER ()`` window over
+    the raw rows.
     """
     rows = events.dropna("any", subset=list(sensors))
-    # All means and sds come from one aggregate pass, materialised as a single
-    # row; each scalar subquery below then reads that one-row checkpoint (the
-    # optimizer would otherwise split a struct-valued subquery per field and
-    # scan the events once per statistic).
-    stats = materialize(rows.agg(*[x for c in sensors for x in (F.avg(c).alias(f"m_{c}"),
-                                                                F.stddev_samp(c).alias(f"s_{c}"))]))
-    flags = []
-    for c in sensors:
-        m, sd = stats.select(f"m_{c}").scalar(), stats.select(f"s_{c}").scalar()
-        flags.append((F.abs(F.col(c) - m) > F.lit(sigmas) * sd).cast("int").alias(f"{c}_anomaly"))
-    return rows.select("event_id", "machine_id", *sensors, *flags)
+    stats = rows.agg(*[x for c in sensors for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))])
+    flags = [(F.abs(F.col(c) - F.col(f"_m_{c}")) > F.lit(sigmas) * F.col(f"_s_{c}")).cast("int").alias(f"{c}_anomaly")
+             for c in sensors]
+    return rows.crossJoin(F.broadcast(stats)).select("event_id", "machine_id", *sensors, *flags)  # one row
 
 
 def sensor_anomaly_totals(flags: DataFrame, sensors=K.SENSOR_COLUMNS) -> DataFrame:

@@ -32,11 +32,11 @@ def sentiment_by_customer(flat: DataFrame, sentiments=K.SENTIMENTS) -> DataFrame
             .orderBy(F.col("neg_rate").desc_nulls_last(), "customer"))
 
 
-def tag_frequency(docs: DataFrame, keep_empty: bool = False) -> DataFrame:
+def tag_frequency(docs: DataFrame, keep_empty: bool = True) -> DataFrame:
     """tag, count over all documents, most frequent first.
 
-    ``keep_empty=True`` reproduces the join-then-split behaviour where a
-    document without tags contributes one empty tag.
+    As when the joined tags of a document are split again, a document without
+    tags contributes one empty tag; ``keep_empty=False`` leaves it out.
     """
     tags = F.col("tags")
     if keep_empty:

@@ -1,10 +1,9 @@
 """Supplier -> customer dependency network.
 
 The graph is kept as an edge DataFrame (supplier_id, customer, total_revenue):
-node and edge counts are distinct counts over it, degrees are group counts.
-Adjacency lists are materialised only as the final output of
-:func:`supplier_adjacency`; each list holds the distinct customers of one
-supplier, i.e. it is bounded by the customer domain, not by the order volume.
+node, edge and degree counts are group counts over it.  An adjacency is its edge
+rows (with the supplier's degree), never a list per supplier: a list would hold
+all customers of a supplier in one row.
 """
 
 from __future__ import annotations
@@ -25,31 +24,44 @@ def supplier_edges(orders: DataFrame, customer: str = "customer") -> DataFrame:
 
 
 def supplier_adjacency(edges: DataFrame) -> DataFrame:
-    """supplier_id, n_customers and the sorted customer list (``, ``-joined)."""
-    return (edges.groupBy("supplier_id")
-            .agg(as_long(F.count(F.lit(1))).alias("n_customers"),
-                 F.array_join(F.sort_array(F.collect_list(F.col("customer").cast("string"))), ", ").alias("customers"))
-            .orderBy("supplier_id"))
+    """One row per (supplier, customer) with the supplier's number of customers, ordered."""
+    degrees = edges.groupBy("supplier_id").agg(as_long(F.count(F.lit(1))).alias("n_customers"))
+    return (edges.select("supplier_id", F.col("customer").cast("string").alias("customer"))
+            .join(degrees, "supplier_id").select("supplier_id", "n_customers", "customer")
+            .orderBy("supplier_id", "customer"))
 
 
-def network_stats(edges: DataFrame) -> DataFrame:
-    """nodes = suppliers + customers, edges = distinct pairs, mean customers per supplier."""
-    g = edges.agg(F.countDistinct("supplier_id").alias("_s"), F.countDistinct("customer").alias("_c"),
-                  F.count(F.lit(1)).alias("_e"))
-    return g.select(as_long(F.col("_s") + F.col("_c")).alias("num_nodes"), as_long("_e").alias("num_edges"),
-                    as_long("_s").alias("num_suppliers"), as_long("_c").alias("num_customers"),
-                    round_half_up(ratio("_e", "_s"), 4).alias("avg_degree"))
+def network_stats(orders: DataFrame, customer: str = "customer") -> DataFrame:
+    """nodes = suppliers + customers of delivered orders (also customers whose orders name no
+    supplier), edges = distinct pairs, mean customers per supplier.
+
+    Suppliers, customers and pairs are each grouped first and then counted (one
+    row each), so no row is expanded for a distinct count.
+    """
+    d = delivered(orders)
+    pairs = d.where(F.col("supplier_id").isNotNull() & F.col(customer).isNotNull()).groupBy(
+        "supplier_id", customer).agg(F.lit(1).alias("_one"))
+    per_supplier = pairs.groupBy("supplier_id").agg(F.count(F.lit(1)).alias("_degree"))
+    s = per_supplier.agg(F.count(F.lit(1)).alias("_s"), F.coalesce(F.sum("_degree"), F.lit(0)).alias("_e"))
+    c = d.where(F.col(customer).isNotNull()).groupBy(customer).agg(F.lit(1).alias("_one")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    return s.crossJoin(F.broadcast(c)).select(  # one row each
+        as_long(F.col("_s") + F.col("_c")).alias("num_nodes"), as_long("_e").alias("num_edges"),
+        as_long("_s").alias("num_suppliers"), as_long("_c").alias("num_customers"),
+        round_half_up(ratio("_e", "_s"), 4).alias("avg_degree"))
 
 
 def critical_suppliers(edges: DataFrame, min_customers: int = K.CRITICAL_SUPPLIER_MIN_CUSTOMERS,
-                       with_list: bool = True) -> DataFrame:
-    """Suppliers serving at least ``min_customers`` customers (the degree is a plain
-    group count over the distinct edges; the list is optional)."""
-    aggs = [as_long(F.count(F.lit(1))).alias("n_customers")]
-    if with_list:
-        aggs.append(F.array_join(F.sort_array(F.collect_list(F.col("customer").cast("string"))), ", ").alias("customers"))
-    return (edges.groupBy("supplier_id").agg(*aggs)
-            .where(F.col("n_customers") >= min_customers).orderBy("supplier_id"))
+                       with_customers: bool = True) -> DataFrame:
+    """Suppliers serving at least ``min_customers`` customers (the degree is a plain group count),
+    with one row per customer or, without them, one per supplier."""
+    degrees = (edges.groupBy("supplier_id").agg(as_long(F.count(F.lit(1))).alias("n_customers"))
+               .where(F.col("n_customers") >= min_customers))
+    if not with_customers:
+        return degrees.orderBy("supplier_id")
+    return (edges.select("supplier_id", F.col("customer").cast("string").alias("customer"))
+            .join(degrees, "supplier_id").select("supplier_id", "n_customers", "customer")
+            .orderBy("supplier_id", "customer"))
 
 
 def supplier_dependency(edges: DataFrame, suppliers: DataFrame) -> DataFrame:

@@ -36,7 +36,8 @@ def plant_efficiency(order_heads: DataFrame, insp: DataFrame, dedupe_orders: boo
     # 3. one row per (plant, customer) (map-side combined, small shuffle), then
     #    distinct customers are a plain count per plant.
     lvl1 = (j.groupBy("plant", "order_id", "customer")
-            .agg(F.sum(F.col("revenue") * w).alias("_rev"), F.sum(w).alias("_w"), F.sum("_sdr").alias("_sdr"),
+            # AVG(revenue) ignores orders without revenue, so they weigh nothing
+            .agg(F.sum(F.col("revenue") * w).alias("_rev"), F.sum(F.when(F.col("revenue").isNotNull(), w)).alias("_w"), F.sum("_sdr").alias("_sdr"),
                  F.sum("_cdr").alias("_cdr"), F.sum("_failed").alias("_failed")))
     first = F.row_number().over(Window.partitionBy("plant", "order_id").orderBy("customer")) == 1
     lvl1 = lvl1.withColumn("_order", (first & F.col("order_id").isNotNull()).cast("long"))

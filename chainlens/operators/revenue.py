@@ -11,7 +11,6 @@ from chainlens.functions import constants as K
 from chainlens.functions.dates import month_key
 from chainlens.functions.numeric import as_double, as_long, col_, mean, pct, ratio, round_half_up
 from chainlens.functions.windows import running_sum
-from chainlens.session import materialize
 
 
 def delivered(orders: DataFrame) -> DataFrame:
@@ -55,22 +54,18 @@ def revenue_by_customer(orders: DataFrame, customer: str = "customer") -> DataFr
 
     Output: customer, total_orders, total_revenue (unrounded), avg_order_value,
     revenue_share_pct, running_total — by total_revenue descending.
-    The grand total is a scalar subquery over the aggregated rows (no
-    ``OVER ()`` window) and the running total is a distributed prefix sum, so
-    neither funnels the customers through one task.
+    The running total is a distributed prefix sum over the per-customer rows,
+    whose bucket totals also give the grand total, so neither funnels the
+    customers through one task and the orders are read once.
     """
     agg = (delivered(orders).groupBy(customer)
            .agg(order_count(orders).alias("total_orders"), F.sum("revenue").alias("_rev"),
                 revenue_mean(orders).alias("_avg")))
-    order = [F.col("_rev").desc_nulls_last(), F.col(customer).asc()]
-    # running_sum materialises the per-customer rows once; the grand total is
-    # then read from that materialisation rather than from a second fact scan.
-    ranked = running_sum(agg, F.col("_rev"), order, "_run")
-    grand = ranked.select(F.sum("_rev")).scalar()
+    ranked = running_sum(agg, "_rev", "_rev", "_run", descending=True, ties=[customer], total="_grand")
     return (ranked.select(
         customer, as_long("total_orders").alias("total_orders"), as_double("_rev").alias("total_revenue"),
         round_half_up("_avg", 2).alias("avg_order_value"),
-        round_half_up(pct("_rev", grand), 2).alias("revenue_share_pct"),
+        round_half_up(pct("_rev", "_grand"), 2).alias("revenue_share_pct"),
         round_half_up("_run", 2).alias("running_total"))
         .orderBy(F.col("total_revenue").desc_nulls_last(), F.col(customer)))
 
@@ -78,17 +73,16 @@ def revenue_by_customer(orders: DataFrame, customer: str = "customer") -> DataFr
 def revenue_share_by_customer(orders: DataFrame, customer: str = "customer") -> DataFrame:
     """Script variant: rounded total, average and share of the grand total.
 
-    The grand total is an uncorrelated scalar subquery over the per-customer
-    rows, which are materialised once (checkpoint) so the fact table is not
-    scanned a second time for it.
+    The grand total is one row, summed from the per-customer rows (the same
+    aggregation, whose shuffle is reused) and put beside each of them.
     """
-    agg = materialize(delivered(orders).groupBy(customer)
-                      .agg(order_count(orders).alias("_n"), F.sum("revenue").alias("_rev"),
-                           revenue_mean(orders).alias("_avg")))
-    grand = agg.select(F.sum("_rev")).scalar()
-    return (agg.select(customer, as_long("_n").alias("total_orders"), round_half_up("_rev", 2).alias("total_revenue"),
-                       round_half_up("_avg", 2).alias("avg_order_value"),
-                       round_half_up(pct("_rev", grand), 2).alias("revenue_share_pct"))
+    agg = (delivered(orders).groupBy(customer)
+           .agg(order_count(orders).alias("_n"), F.sum("revenue").alias("_rev"), revenue_mean(orders).alias("_avg")))
+    grand = agg.agg(F.sum("_rev").alias("_grand"))
+    return (agg.crossJoin(F.broadcast(grand))  # one row
+            .select(customer, as_long("_n").alias("total_orders"), round_half_up("_rev", 2).alias("total_revenue"),
+                    round_half_up("_avg", 2).alias("avg_order_value"),
+                    round_half_up(pct("_rev", "_grand"), 2).alias("revenue_share_pct"))
             .orderBy(F.col("total_revenue").desc_nulls_last(), F.col(customer)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from chainlens.functions.dates import lead_days, month_start
 from chainlens.functions.numeric import as_double, as_long, round_half_up
 from chainlens.functions.windows import exact_quantiles
 from chainlens.operators.revenue import delivered
-from chainlens.session import materialize
 
 SUMMARY_NAMES = ["min", "q1", "median", "q3", "max"]
 
@@ -106,27 +107,44 @@ def revenue_trend_fit(orders: DataFrame, digits: int = 4) -> DataFrame:
                     round_half_up("slope", digits).alias("monthly_trend"))
 
 
-def revenue_trend_pvalues(orders: DataFrame) -> DataFrame:
-    """Full coefficient table with p-values from MLlib's normal-equation solver.
+def two_sided_t_pvalue(t, df) -> "F.Column":
+    """P(|T| > |t|) for integer degrees of freedom, NULL where there are none.
+
+    With theta = atan(|t| / sqrt(df)) the Student-t probability of [-|t|, |t|] is
+    a finite sum of powers of cos(theta): for even df sin(theta) times the sum over
+    k < df / 2 of (1*3*..*(2k-1)) / (2*4*..*2k) cos(theta)**2k, for odd df
+    (2 / pi) (theta + sin(theta) cos(theta) times the sum over k < (df - 1) / 2 of
+    (2*4*..*2k) / (3*5*..*(2k+1)) cos(theta)**2k).
+    """
+    t, df = F.abs(t), df.cast("int")
+    theta = F.atan(t / F.sqrt(df.cast("double")))
+    c2 = F.cos(theta) * F.cos(theta)
+    odd = df % 2 == 1
+    terms = F.when(odd, (df - 1) / 2).otherwise(df / 2).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
+
+    def step(acc, k):
+        nxt = F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+        return F.struct((acc["term"] * nxt * c2).alias("term"), (acc["total"] + acc["term"]).alias("total"))
+
+    ks = F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(F.transform(ks, lambda k: k.cast("double")), start, step)["total"]
+    inside = F.when(odd, 2 / math.pi * (theta + F.sin(theta) * F.cos(theta) * total)).otherwise(F.sin(theta) * total)
+    return F.when(t.isNotNull() & (df > 0), F.greatest(F.lit(1.0) - inside, F.lit(0.0)))
+
 
-    Spark SQL has no Student-t CDF; ``LinearRegression(solver='normal')``
-    aggregates X'X distributively and its training summary carries standard
-    errors, t-values and p-values (intercept reported last; reordered here).
+def revenue_trend_pvalues(orders: DataFrame, digits: int = 4) -> DataFrame:
+    """Full coefficient table of revenue ~ t: estimate, standard error, t and two-sided p-value (8 places).
+
+    NULL errors and p-values where two months or fewer leave no degrees of freedom.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    # The fit and its summary make several passes over the input: materialise the
-    # monthly series (one row per month) once so they never re-read the orders.
-    m = materialize(monthly_series(orders).select(as_double("revenue").alias("revenue"), as_double("t").alias("t")))
-    data = VectorAssembler(inputCols=["t"], outputCol="features").transform(m)
-    model = LinearRegression(featuresCol="features", labelCol="revenue", solver="normal",
-                             regParam=0.0, standardization=False).fit(data)
-    sm = model.summary
-    est = [float(model.intercept), float(model.coefficients[0])]
-    se = list(sm.coefficientStandardErrors)
-    tv = list(sm.tValues)
-    pv = list(sm.pValues)
-    rows = [("(Intercept)", est[0], se[-1], tv[-1], pv[-1]), ("t", est[1], se[0], tv[0], pv[0])]
-    spark = orders.sparkSession
-    return spark.createDataFrame(rows, "term string, estimate double, std_error double, t_value double, p_value double")
+    s = _ols_moments(orders)
+    rows = F.array(*[
+        F.struct(F.lit(term).alias("term"), F.col(est).alias("estimate"), F.col(se).alias("std_error"),
+                 F.try_divide(F.col(est), F.col(se)).alias("t_value"), (F.col("n") - 2).alias("df"))
+        for term, est, se in (("(Intercept)", "intercept", "se_intercept"), ("t", "slope", "se_slope"))])
+    # the p-value in a step of its own: beside an alias of the same name, a column inside a
+    # higher-order function would resolve to that alias
+    e = s.select(F.inline(rows)).withColumn("p_value", two_sided_t_pvalue(F.col("t_value"), F.col("df")))
+    return e.select("term", *[round_half_up(c, digits).alias(c) for c in ("estimate", "std_error", "t_value")],
+                    round_half_up("p_value", 8).alias("p_value"))

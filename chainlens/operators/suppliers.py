@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
 
 from chainlens.functions import constants as K
 from chainlens.functions.classify import supplier_rag
 from chainlens.functions.dates import lead_days
 from chainlens.functions.numeric import as_double, as_long, ratio, round_half_up
 from chainlens.operators.revenue import delivered
-from chainlens.session import materialize
 
 _SUPPLIER_COLS = ["supplier_id", "supplier_name", "tier", "country", "on_time_rate", "quality_score", "avg_lead_days"]
 
@@ -83,25 +81,14 @@ def enrich_orders(orders: DataFrame, suppliers: DataFrame) -> DataFrame:
         as_double("quality_score").alias("supplier_quality"), as_double("on_time_rate").alias("supplier_ontime"))
 
 
-def portable_hash(cols, seed: int) -> "F.Column":
-    """Seeded pseudo-random BIGINT in [0, 2^31-1) from integer key columns.
+def sample_hash(cols, seed: int) -> "F.Column":
+    """Seeded pseudo-random text key of the key columns: the first 16 hex digits of an MD5 over their text forms.
 
-    Plain modular arithmetic (Park-Miller style multipliers), so any SQL engine
-    reproduces it exactly — unlike an engine-specific hash function.
+    One hash for integer and text keys (an order read from CSV gives the same
+    key), and any SQL engine reproduces it.
     """
-    p = F.lit(2147483647)
-    h = F.lit(seed).cast("long")
-    for i, c in enumerate(cols):
-        mult = F.lit([48271, 69621, 16807][i % 3])
-        h = ((h * mult) % p + (F.col(c) % p)) % p
-    return ((h * F.lit(48271)) % p).cast("long")
-
-
-def _sample_key(df: DataFrame, cols: list[str], seed: int) -> "F.Column":
-    """Portable modular hash for integer keys; Spark's seeded xxhash64 for text keys."""
-    if all(isinstance(df.schema[c].dataType, IntegralType) for c in cols):
-        return portable_hash(cols, seed)
-    return F.abs(F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 16)
 
 
 def sample_supplier_ids(orders: DataFrame, n: int = K.SAMPLE_SIZE, seed: int = K.SAMPLE_SEED) -> DataFrame:
@@ -112,32 +99,10 @@ def sample_supplier_ids(orders: DataFrame, n: int = K.SAMPLE_SIZE, seed: int = K
     """
     o = orders.where(F.col("supplier_id").isNotNull())
     key = _row_key(orders)
-    h = _sample_key(orders, key, seed)
-    return (o.select(h.alias("sample_key"), *key, "supplier_id")
+    return (o.select(sample_hash(key, seed).alias("sample_key"), *key, "supplier_id")
             .orderBy("sample_key", *key, "supplier_id").limit(n))
 
 
-def sample_supplier_ids_with_parent(lines: DataFrame, parent_keys: DataFrame, joined, n: int = K.SAMPLE_SIZE,
-                                    seed: int = K.SAMPLE_SEED, key: str = "order_id") -> DataFrame:
-    """The seeded sample of the rows of ``lines`` whose ``key`` exists in ``parent_keys``,
-    without joining the two tables.
-
-    The top-``n`` rows by the seeded hash are taken from ``lines`` alone
-    (TakeOrderedAndProject: no shuffle) and their at most ``n`` keys are looked
-    up in the parent with a broadcast semi-join (a proven bound of ``n``).  If
-    every candidate has its parent, they are exactly the top-``n`` of the
-    joined rows (a subset whose best rows are all present).  Otherwise the
-    sample is taken from ``joined()`` — the full join — so the result is exact
-    either way.
-    """
-    cand = materialize(sample_supplier_ids(lines, n, seed))
-    keys = cand.select(key).distinct()
-    present = parent_keys.join(F.broadcast(keys), key, "left_semi")
-    if cand.join(present, key, "left_semi").count() == cand.count():
-        return cand
-    return sample_supplier_ids(joined(), n, seed)
-
-
 def lookup_suppliers(lookups: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Batch point lookup: every lookup row with its supplier record (NULLs when absent)."""
     s = suppliers.select(F.col("supplier_id").alias("_sid"), "supplier_name", "tier", "quality_score", "on_time_rate")

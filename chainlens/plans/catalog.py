@@ -13,14 +13,17 @@ from chainlens.functions import constants as K
 from chainlens.functions.numeric import as_double
 from chainlens.operators import (checks, cohort, dashboard, events, feedback, network, plant, quality, revenue,
                                  rolling, sla, stats, suppliers)
+from chainlens.sources import readers
 from chainlens.sources import testdata as td
 from chainlens.sources.testdata import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 DELIVERED = K.DELIVERED
 
-# Cut-offs that split the test data into three non-empty classes (the default
-# thresholds put every product/plant in RED and no machine in GREEN).
+# Cut-offs chosen on the test data so that its classes are all non-empty (the
+# default thresholds put every product/plant in RED and no machine in GREEN).
+# The *_cutoffs queries are extra variants for the class rules, not analyses of
+# their own.
 DEFECT_CUTOFFS = (3.97, 4.02)
 OEE_CUTOFFS = (0.76, 0.73)
 CRITICAL_BY_KEY_MIN = 200
@@ -70,11 +73,10 @@ def _oee(t, cutoffs=(K.OEE_GREEN_FROM, K.OEE_AMBER_FROM)):
 
 
 def _sample(t):
-    # sample the line items alone, confirm the sampled order keys exist (exact; no fact join)
+    # an order line is a row of the line items, whether or not its order is known: no join
     lines = t["lineitem"].select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_number"),
                                  F.col("l_suppkey").alias("supplier_id"))
-    order_keys = t["orders"].select(F.col("o_orderkey").alias("order_id"))
-    return suppliers.sample_supplier_ids_with_parent(lines, order_keys, lambda: _lines(t, status=None, dims=()))
+    return suppliers.sample_supplier_ids(lines)
 
 
 def _supplier_agg(t):
@@ -113,25 +115,29 @@ def q_monthly_revenue_orders(spark, d):
 
 
 def q_defects_by_product_plant(spark, d):
-    return quality.defects_by_product_plant(td.inspections(_t(spark, d)))
+    return quality.defects_by_product_plant(td.inspection_totals(_t(spark, d)))
 
 
 def q_defects_by_product_plant_rounded(spark, d):
-    return quality.defects_by_product_plant_rounded(td.inspections(_t(spark, d)))
+    return quality.defects_by_product_plant_rounded(td.inspection_totals(_t(spark, d)))
 
 
 def q_defects_by_product_plant_cutoffs(spark, d):
-    return quality.defects_by_product_plant(td.inspections(_t(spark, d)), *DEFECT_CUTOFFS)
+    return quality.defects_by_product_plant(td.inspection_totals(_t(spark, d)), *DEFECT_CUTOFFS)
 
 
 def q_defects_by_product_plant_rounded_cutoffs(spark, d):
-    return quality.defects_by_product_plant_rounded(td.inspections(_t(spark, d)), *DEFECT_CUTOFFS)
+    return quality.defects_by_product_plant_rounded(td.inspection_totals(_t(spark, d)), *DEFECT_CUTOFFS)
 
 
 def q_top_products_per_customer(spark, d):
     return revenue.top_products_per_customer(_lines(_t(spark, d), dims=("customer", "product")))
 
 
+def q_top_products_per_customer_by_key(spark, d):
+    return revenue.top_products_per_customer(_lines(_t(spark, d), dims=("product",)), customer="c_custkey")
+
+
 def q_customer_months(spark, d):
     return cohort.customer_months_out(_totals(_t(spark, d), dims=("customer",)))
 
@@ -217,6 +223,11 @@ def q_tag_frequency(spark, d):
     return feedback.tag_frequency(td.customer_feedback(_t(spark, d)))
 
 
+def q_tag_frequency_sparse(spark, d):
+    # documents whose only possible tag is "clean": the others count one empty tag each
+    return feedback.tag_frequency(td.customer_feedback(_t(spark, d), sparse_tags=True))
+
+
 def q_resolution_summary(spark, d):
     return feedback.resolution_summary(_feedback_flat(_t(spark, d)))
 
@@ -271,8 +282,16 @@ def q_supplier_edges(spark, d):
     return _edges(_t(spark, d))
 
 
+def q_supplier_edges_by_key(spark, d):
+    return _edges(_t(spark, d), "c_custkey")
+
+
 def q_network_stats(spark, d):
-    return network.network_stats(_edges(_t(spark, d)))
+    return network.network_stats(_lines(_t(spark, d), dims=("customer",)))
+
+
+def q_network_stats_by_key(spark, d):
+    return network.network_stats(_lines(_t(spark, d), dims=()), "c_custkey")
 
 
 def q_critical_suppliers(spark, d):
@@ -280,7 +299,7 @@ def q_critical_suppliers(spark, d):
 
 
 def q_critical_suppliers_by_key(spark, d):
-    return network.critical_suppliers(_edges(_t(spark, d), "c_custkey"), CRITICAL_BY_KEY_MIN, with_list=False)
+    return network.critical_suppliers(_edges(_t(spark, d), "c_custkey"), CRITICAL_BY_KEY_MIN, with_customers=False)
 
 
 def q_supplier_dependency(spark, d):
@@ -288,6 +307,11 @@ def q_supplier_dependency(spark, d):
     return network.supplier_dependency(_edges(t), td.suppliers(t, dims=()))
 
 
+def q_supplier_dependency_by_key(spark, d):
+    t = _t(spark, d)
+    return network.supplier_dependency(_edges(t, "c_custkey"), td.suppliers(t, dims=()))
+
+
 def q_revenue_summary(spark, d):
     return stats.revenue_summary(_lines(_t(spark, d), dims=()))
 
@@ -305,7 +329,8 @@ def q_supplier_correlations(spark, d):
 
 
 def q_defect_stats_by_product(spark, d):
-    return quality.defect_stats_by_product(td.inspections(_t(spark, d), dims=("product",)), digits=6)
+    return quality.defect_stats_by_product(
+        td.inspection_totals(_t(spark, d), dims=("product",), by_rate=True), digits=6)
 
 
 def q_monthly_trend(spark, d):
@@ -333,7 +358,8 @@ def q_panel_oee(spark, d):
 
 
 def q_panel_defects(spark, d):
-    return dashboard.panel_defects(quality.defect_pct_by_product(td.inspections(_t(spark, d), dims=("product",))))
+    return dashboard.panel_defects(quality.defect_pct_by_product(
+        td.inspection_totals(_t(spark, d), dims=("product",))))
 
 
 def q_panel_rolling(spark, d):
@@ -350,12 +376,24 @@ def q_kpi_table(spark, d):
 
 
 def q_net_revenue(spark, d):
-    li = _t(spark, d)["lineitem"]
-    # TPC-H's extended price is already quantity x unit price, so quantity is 1 here.
-    return li.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_number"),
-                     as_double("l_quantity").alias("quantity"), as_double("l_extendedprice").alias("extended_price"),
-                     as_double("l_discount").alias("discount_pct"),
-                     as_double(revenue.net_revenue(F.lit(1), "l_extendedprice", "l_discount")).alias("net_revenue"))
+    t = _t(spark, d)
+    price = t["part"].select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("unit_price"))
+    li = t["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
+    return li.join(price, "l_partkey", "left").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_number"),
+        as_double("l_quantity").alias("quantity"), as_double("unit_price").alias("unit_price"),
+        as_double("l_discount").alias("discount_pct"),
+        as_double(revenue.net_revenue("l_quantity", "unit_price", "l_discount")).alias("net_revenue"))
+
+
+def q_sql_status_summary(spark, d):
+    # the same engine through SQL text over registered views
+    t = _t(spark, d)
+    readers.register(t["orders"], "chainlens_orders")
+    return readers.run_sql(spark, """
+        SELECT o_orderstatus AS status_code, COUNT(*) AS orders,
+               CAST(SUM(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS revenue
+        FROM chainlens_orders GROUP BY o_orderstatus ORDER BY revenue DESC""")
 
 
 def q_row_defect_rate(spark, d):
@@ -373,9 +411,9 @@ def q_check_pk(spark, d):
 
 def q_check_fk(spark, d):
     t = _t(spark, d)
-    return (checks.check_fk(_lines(t, status=None, dims=()), "supplier_id", td.suppliers(t, dims=()), "supplier_id",
-                            "orders.supplier_id->suppliers")
-            .unionByName(checks.check_fk(td.inspections(t, dims=()), "order_id", td.order_heads(t, dims=()), "order_id",
+    # each relation on its own two tables: a line's order must not decide whether its supplier is checked
+    return (checks.check_fk(t["lineitem"], "l_suppkey", t["supplier"], "s_suppkey", "orders.supplier_id->suppliers")
+            .unionByName(checks.check_fk(t["lineitem"], "l_orderkey", t["orders"], "o_orderkey",
                                          "quality_inspections.order_id->orders")))
 
 
@@ -398,11 +436,22 @@ def q_defaults_filled(spark, d):
     return checks.apply_defaults(heads, "orders")
 
 
+def q_defaults_suppliers(spark, d):
+    # the declared defaults fill tier and active, in their declared types
+    s = td.suppliers(_t(spark, d), dims=()).select("supplier_id", "supplier_name")
+    return checks.apply_defaults(s, "suppliers")
+
+
+def q_defaults_inspections(spark, d):
+    i = td.inspections(_t(spark, d), dims=()).select("order_id", "inspection_id", "batch_size")
+    return checks.apply_defaults(i, "quality_inspections")
+
+
 def q_table_row_counts(spark, d):
+    # the base tables: one order line and one inspection per line item
     t = _t(spark, d)
-    return checks.row_counts({"orders": _totals(t, status=None), "suppliers": td.suppliers(t),
-                              "quality_inspections": td.inspections(t, dims=()),
-                              "machine_events": td.machine_events(t), "customer_feedback": td.customer_feedback(t)})
+    return checks.row_counts({"orders": t["lineitem"], "suppliers": t["supplier"], "quality_inspections": t["lineitem"],
+                              "machine_events": t["events"], "customer_feedback": t["documents"]})
 
 
 def q_decimal_conformity(spark, d):

@@ -118,7 +118,7 @@ DOMAIN_QUERIES: dict[str, Callable[[Domain], DataFrame]] = {
     "lead_time_stats": lambda d: sla.lead_time_stats(d.orders),
     "supplier_adjacency": lambda d: network.supplier_adjacency(network.supplier_edges(d.orders)),
     "supplier_edges": lambda d: network.supplier_edges(d.orders),
-    "network_stats": lambda d: network.network_stats(network.supplier_edges(d.orders)),
+    "network_stats": lambda d: network.network_stats(d.orders),
     "critical_suppliers": lambda d: network.critical_suppliers(network.supplier_edges(d.orders)),
     "supplier_dependency": lambda d: network.supplier_dependency(network.supplier_edges(d.orders), d.suppliers),
     "revenue_summary": lambda d: stats.revenue_summary(d.orders),

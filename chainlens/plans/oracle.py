@@ -1,8 +1,8 @@
 """DuckDB SQL for every registered query — the independent check of the Spark plans.
 
-Each text starts from the raw test tables (pre-registered views) through the
-same adapter mapping as ``chainlens.sources.testdata``, written here as SQL
-CTEs, then states the analysis the way the reference's SQL does.  Rounded
+Each text starts from the raw test tables (pre-registered views) through views
+of the domain model, written here as SQL CTEs of their own (dimensions by LEFT
+JOIN: a row without its dimension stays), then states the analysis the way the reference's SQL does.  Rounded
 values use HALF_UP on ``DECIMAL(38,10)`` and are returned as DOUBLE, integer
 counts as BIGINT, exactly as the Spark side does.
 """
@@ -17,32 +17,32 @@ def R(expr: str, n: int) -> str:
 
 
 STATUS = ("CASE o.o_orderstatus WHEN 'F' THEN 'Delivered' WHEN 'O' THEN 'Pending' "
-          "WHEN 'P' THEN 'Cancelled' END")
+          "WHEN 'P' THEN 'Cancelled' ELSE o.o_orderstatus END")
 
 VIEWS = {
     "v_orders": f"""
     SELECT l.l_orderkey AS order_id, l.l_linenumber AS line_number,
            CAST(o.o_orderdate AS DATE) AS order_date, CAST(l.l_shipdate AS DATE) AS delivery_date,
-           c.c_custkey, c.c_mktsegment AS customer, p.p_type AS product, r.r_name AS plant,
+           o.o_custkey AS c_custkey, c.c_mktsegment AS customer, p.p_type AS product, r.r_name AS plant,
            l.l_suppkey AS supplier_id, l.l_quantity AS quantity,
            CAST(ROUND(CAST(l.l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l.l_discount AS DECIMAL(4,2))), 2)
                 AS DECIMAL(14,2)) AS revenue,
            {STATUS} AS status
-    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-    JOIN customer c ON o.o_custkey = c.c_custkey
-    JOIN part p ON l.l_partkey = p.p_partkey
-    JOIN nation n ON c.c_nationkey = n.n_nationkey
-    JOIN region r ON n.n_regionkey = r.r_regionkey""",
+    FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
+    LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+    LEFT JOIN part p ON l.l_partkey = p.p_partkey
+    LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+    LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""",
     "v_orders_table": f"""
     SELECT o.o_orderkey AS order_id, CAST(o.o_orderdate AS DATE) AS order_date, {STATUS} AS status
     FROM orders o""",
     "v_order_heads": f"""
-    SELECT o.o_orderkey AS order_id, CAST(o.o_orderdate AS DATE) AS order_date, c.c_custkey,
-           c.c_mktsegment AS customer, r.r_name AS plant, CAST(o.o_totalprice AS DECIMAL(14,2)) AS revenue,
+    SELECT o.o_orderkey AS order_id, CAST(o.o_orderdate AS DATE) AS order_date,
+           o.o_custkey AS c_custkey, c.c_mktsegment AS customer, r.r_name AS plant, CAST(o.o_totalprice AS DECIMAL(14,2)) AS revenue,
            {STATUS} AS status
-    FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-    JOIN nation n ON c.c_nationkey = n.n_nationkey
-    JOIN region r ON n.n_regionkey = r.r_regionkey""",
+    FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+    LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+    LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""",
     "v_inspections": """
     SELECT l.l_orderkey AS order_id,
            CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS inspection_id,
@@ -51,10 +51,10 @@ VIEWS = {
            CAST(CAST(l.l_quantity AS DECIMAL(4,0)) * CAST(l.l_tax AS DECIMAL(6,4)) AS DECIMAL(10,4)) AS defects_found,
            CAST(l.l_tax AS DECIMAL(6,4)) AS defect_rate,
            CASE WHEN l.l_returnflag = 'R' THEN 0 ELSE 1 END AS passed
-    FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
-    JOIN supplier s ON l.l_suppkey = s.s_suppkey
-    JOIN nation n ON s.s_nationkey = n.n_nationkey
-    JOIN region r ON n.n_regionkey = r.r_regionkey""",
+    FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey
+    LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
+    LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
+    LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""",
     "v_suppliers": """
     SELECT s.s_suppkey AS supplier_id, s.s_name AS supplier_name, n.n_name AS country,
            'Tier ' || CAST(s.s_suppkey % 3 + 1 AS VARCHAR) AS tier,
@@ -62,12 +62,12 @@ VIEWS = {
            CAST(3.2 + CAST(s.s_acctbal + 1000 AS DECIMAL(12,2)) * 0.00016 AS DECIMAL(3,2)) AS quality_score,
            CAST(5 + s.s_suppkey % 21 AS INTEGER) AS avg_lead_days,
            CASE WHEN s.s_suppkey % 4 = 0 THEN 0 ELSE 1 END AS active
-    FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey""",
+    FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey""",
     "v_events": """
     SELECT event_id, ts AS "timestamp", user_id AS machine_id, 'Plant_' || CAST(user_id % 4 AS VARCHAR) AS plant,
            CASE event_type WHEN 'click' THEN 'cycle_complete' WHEN 'error' THEN 'alert'
                 WHEN 'purchase' THEN 'downtime_start' WHEN 'signup' THEN 'downtime_end'
-                WHEN 'view' THEN 'maintenance' END AS event_type,
+                WHEN 'view' THEN 'maintenance' ELSE event_type END AS event_type,
            'OPR_' || lpad(CAST(user_id % 30 + 1 AS VARCHAR), 2, '0') AS operator_id,
            CASE WHEN hour(ts) < 8 THEN 'Night' WHEN hour(ts) < 16 THEN 'Morning' ELSE 'Afternoon' END AS shift,
            'RUN_' || lpad(CAST(event_id % 10 + 1 AS VARCHAR), 2, '0') AS product_run,
@@ -145,19 +145,17 @@ def _scorecard_join():
 
 
 def _cohort(where, cust="c_custkey"):
+    """One aggregate over the order lines, stated from the output columns."""
+    month = "strftime(order_date, '%Y-%m')"
     return sql(f"""
-    SELECT {cust}, CAST(active_months AS BIGINT) AS active_months, CAST(total_orders AS BIGINT) AS total_orders,
-           lifetime_value, avg_monthly_revenue, first_order_month, last_order_month,
-           CASE WHEN active_months >= 18 THEN 'Champion' WHEN active_months >= 12 THEN 'Loyal'
-                WHEN active_months >= 6 THEN 'Developing' ELSE 'New / At Risk' END AS customer_tier
-    FROM cs""",
-               ("cm", f"""SELECT {cust}, strftime(order_date, '%Y-%m') AS order_month,
-                     COUNT(order_id) AS orders_in_month, SUM(revenue) AS revenue_in_month
-                     FROM v_orders {where} GROUP BY 1, 2"""),
-               ("cs", f"""SELECT {cust}, COUNT(DISTINCT order_month) AS active_months,
-                     SUM(orders_in_month) AS total_orders, {R("SUM(revenue_in_month)", 2)} AS lifetime_value,
-                     {R("AVG(revenue_in_month)", 2)} AS avg_monthly_revenue, MIN(order_month) AS first_order_month,
-                     MAX(order_month) AS last_order_month FROM cm GROUP BY {cust}"""))
+    SELECT {cust}, CAST(COUNT(DISTINCT {month}) AS BIGINT) AS active_months, CAST(COUNT(order_id) AS BIGINT) AS total_orders,
+           {R("SUM(revenue)", 2)} AS lifetime_value,
+           {R(f"SUM(revenue) / COUNT(DISTINCT COALESCE({month}, '-')) FILTER (WHERE revenue IS NOT NULL)", 2)}
+               AS avg_monthly_revenue,
+           MIN({month}) AS first_order_month, MAX({month}) AS last_order_month,
+           CASE WHEN COUNT(DISTINCT {month}) >= 18 THEN 'Champion' WHEN COUNT(DISTINCT {month}) >= 12 THEN 'Loyal'
+                WHEN COUNT(DISTINCT {month}) >= 6 THEN 'Developing' ELSE 'New / At Risk' END AS customer_tier
+    FROM v_orders {where} GROUP BY {cust}""")
 
 
 def _plant(dedup: bool, slim: bool):
@@ -216,11 +214,9 @@ MONTHLY_ORDERS = ("mo", f"""SELECT month, revenue, orders,
     FROM (SELECT strftime(order_date, '%Y-%m') AS month, {R("SUM(revenue)", 2)} AS revenue,
                  CAST(COUNT(order_id) AS BIGINT) AS orders FROM v_orders WHERE {DEL} GROUP BY 1) m""")
 
-SAMPLE = ("smp", f"""SELECT sample_key, order_id, line_number, supplier_id FROM (
-    SELECT ((((((CAST(42 AS BIGINT) * 48271) % 2147483647 + order_id % 2147483647) % 2147483647) * 69621)
-             % 2147483647 + line_number % 2147483647) % 2147483647 * 48271) % 2147483647 AS sample_key,
-           order_id, line_number, supplier_id
-    FROM v_orders WHERE supplier_id IS NOT NULL) x
+SAMPLE = ("smp", """SELECT substring(md5('42|' || l_orderkey || '|' || l_linenumber), 1, 16) AS sample_key,
+           l_orderkey AS order_id, l_linenumber AS line_number, l_suppkey AS supplier_id
+    FROM lineitem WHERE l_suppkey IS NOT NULL
     ORDER BY sample_key, order_id, line_number, supplier_id LIMIT 1000""")
 
 SUPPLIER_AGG = ("sa", f"""SELECT a.supplier_id, s.tier, s.country, CAST(s.quality_score AS DOUBLE) AS quality_score,
@@ -247,6 +243,14 @@ OLS_CTES = [
 ]
 
 
+# Two-sided p-value of t with df degrees of freedom: the finite sum over powers of cos(theta), its
+# coefficients written with the gamma function.
+PVALUE = """greatest(0, 1 - CASE WHEN df % 2 = 0 THEN sin(theta) * list_sum(list_transform(range(df // 2),
+        lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos(theta), 2 * k)))
+    ELSE 2 / pi() * (theta + sin(theta) * cos(theta) * coalesce(list_sum(list_transform(range((df - 1) // 2),
+        lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * pow(cos(theta), 2 * k))), 0)) END)"""
+
+
 def _six(expr: str, where: str) -> str:
     x = f"CAST({expr} AS DOUBLE)"
     return sql(f"""SELECT {R(f"MIN({x})", 6)} AS "min", {R(f"quantile_cont({x}, 0.25)", 6)} AS q1,
@@ -272,6 +276,21 @@ def _top_customers(cust: str) -> str:
               GROUP BY {cust} ORDER BY revenue DESC, {cust} LIMIT 5) t""")
 
 
+def _network(cust: str) -> str:
+    return sql(f"""
+        SELECT CAST(ns + nc AS BIGINT) AS num_nodes, CAST(ne AS BIGINT) AS num_edges, CAST(ns AS BIGINT) AS num_suppliers,
+               CAST(nc AS BIGINT) AS num_customers, {R("ne * 1.0 / NULLIF(ns, 0)", 4)} AS avg_degree
+        FROM (SELECT (SELECT COUNT(DISTINCT supplier_id) FROM e) AS ns, (SELECT COUNT(*) FROM e) AS ne,
+                     (SELECT COUNT(DISTINCT {cust}) FROM v_orders WHERE {DEL}) AS nc) x""", EDGES(cust))
+
+
+def _dependency(cust: str) -> str:
+    return sql("""
+        SELECT e.supplier_id, e.customer, e.total_revenue,
+               CASE WHEN s.supplier_id IS NULL THEN 'Unknown' ELSE s.tier END AS tier
+        FROM e LEFT JOIN v_suppliers s ON e.supplier_id = s.supplier_id""", EDGES(cust))
+
+
 def _cohort_segment() -> str:
     return _cohort(f"WHERE {DEL}", "customer")
 
@@ -322,6 +341,12 @@ ORACLE: dict[str, str] = {
                  CAST(RANK() OVER (PARTITION BY customer ORDER BY rev DESC) AS BIGINT) AS product_rank_within_customer
           FROM (SELECT customer, product, SUM(revenue) AS rev FROM v_orders WHERE {DEL} GROUP BY 1, 2) g) r
         WHERE product_rank_within_customer <= 3"""),
+    "top_products_per_customer_by_key": sql(f"""
+        SELECT * FROM (
+          SELECT c_custkey, product, CAST(rev AS DOUBLE) AS product_revenue,
+                 CAST(RANK() OVER (PARTITION BY c_custkey ORDER BY rev DESC) AS BIGINT) AS product_rank_within_customer
+          FROM (SELECT c_custkey, product, SUM(revenue) AS rev FROM v_orders WHERE {DEL} GROUP BY 1, 2) g) r
+        WHERE product_rank_within_customer <= 3"""),
     "customer_months": sql(f"""
         SELECT customer, strftime(order_date, '%Y-%m') AS order_month, CAST(COUNT(order_id) AS BIGINT) AS orders_in_month,
                CAST(SUM(revenue) AS DOUBLE) AS revenue_in_month
@@ -369,6 +394,10 @@ ORACLE: dict[str, str] = {
     "tag_frequency": sql("""
         SELECT trim(tag) AS tag, CAST(COUNT(*) AS BIGINT) AS "count"
         FROM (SELECT unnest(tag_list) AS tag FROM v_feedback) u GROUP BY 1"""),
+    "tag_frequency_sparse": """
+        SELECT tag, CAST(COUNT(*) AS BIGINT) AS "count" FROM (
+          SELECT CASE WHEN lb.quality = 1 THEN 'clean' ELSE '' END AS tag
+          FROM documents d LEFT JOIN labels lb ON d.doc_id = lb.doc_id) x GROUP BY tag""",
     "resolution_summary": sql(f"""
         SELECT {R("AVG(CASE WHEN resolved THEN resolution_days END)", 6)} AS avg_resolution_days,
                CAST(COUNT(*) FILTER (WHERE resolved = false) AS BIGINT) AS unresolved_tickets FROM v_feedback"""),
@@ -400,26 +429,20 @@ ORACLE: dict[str, str] = {
         SELECT {R("AVG(lead_days)", 4)} AS avg_lead_days, {R("quantile_cont(lead_days, 0.95)", 4)} AS p95_lead_days
         FROM l""", ("l", f"SELECT {LEAD} AS lead_days FROM v_orders WHERE {DEL} AND {LEAD} IS NOT NULL")),
     "supplier_adjacency": sql("""
-        SELECT supplier_id, CAST(COUNT(*) AS BIGINT) AS n_customers,
-               array_to_string(list_sort(list(CAST(customer AS VARCHAR))), ', ') AS customers
-        FROM e GROUP BY supplier_id""", EDGES("customer")),
+        SELECT supplier_id, CAST(COUNT(*) OVER (PARTITION BY supplier_id) AS BIGINT) AS n_customers,
+               CAST(customer AS VARCHAR) AS customer FROM e""", EDGES("customer")),
     "supplier_edges": sql("SELECT * FROM e", EDGES("customer")),
-    "network_stats": sql(f"""
-        SELECT CAST(COUNT(DISTINCT supplier_id) + COUNT(DISTINCT customer) AS BIGINT) AS num_nodes,
-               CAST(COUNT(*) AS BIGINT) AS num_edges, CAST(COUNT(DISTINCT supplier_id) AS BIGINT) AS num_suppliers,
-               CAST(COUNT(DISTINCT customer) AS BIGINT) AS num_customers,
-               {R("COUNT(*) * 1.0 / COUNT(DISTINCT supplier_id)", 4)} AS avg_degree FROM e""", EDGES("customer")),
+    "supplier_edges_by_key": sql("SELECT * FROM e", EDGES("c_custkey")),
+    "network_stats": _network("customer"),
+    "network_stats_by_key": _network("c_custkey"),
     "critical_suppliers": sql("""
-        SELECT supplier_id, CAST(COUNT(*) AS BIGINT) AS n_customers,
-               array_to_string(list_sort(list(CAST(customer AS VARCHAR))), ', ') AS customers
-        FROM e GROUP BY supplier_id HAVING COUNT(*) >= 3""", EDGES("customer")),
+        SELECT * FROM (SELECT supplier_id, CAST(COUNT(*) OVER (PARTITION BY supplier_id) AS BIGINT) AS n_customers,
+                              CAST(customer AS VARCHAR) AS customer FROM e) x WHERE n_customers >= 3""", EDGES("customer")),
     "critical_suppliers_by_key": sql("""
         SELECT supplier_id, CAST(COUNT(*) AS BIGINT) AS n_customers FROM e GROUP BY supplier_id
         HAVING COUNT(*) >= 200""", EDGES("c_custkey")),
-    "supplier_dependency": sql("""
-        SELECT e.supplier_id, e.customer, e.total_revenue,
-               CASE WHEN s.supplier_id IS NULL THEN 'Unknown' ELSE s.tier END AS tier
-        FROM e LEFT JOIN v_suppliers s ON e.supplier_id = s.supplier_id""", EDGES("customer")),
+    "supplier_dependency": _dependency("customer"),
+    "supplier_dependency_by_key": _dependency("c_custkey"),
     "revenue_summary": _six("revenue", DEL),
     "lead_time_summary": _six(LEAD, DEL),
     "supplier_aggregate": sql("SELECT * FROM sa", SUPPLIER_AGG),
@@ -446,6 +469,13 @@ ORACLE: dict[str, str] = {
                {R("intercept / NULLIF(se_intercept, 0)", 4)} AS t_value FROM s4
         UNION ALL
         SELECT 't', {R("slope", 4)}, {R("se_slope", 4)}, {R("slope / NULLIF(se_slope, 0)", 4)} FROM s4""", *OLS_CTES),
+    "revenue_trend_pvalues": sql(f"""
+        SELECT term, {R("est", 4)} AS estimate, {R("se", 4)} AS std_error, {R("est / NULLIF(se, 0)", 4)} AS t_value,
+               {R(f"CASE WHEN df > 0 AND theta IS NOT NULL THEN {PVALUE} END", 8)} AS p_value FROM th""", *OLS_CTES,
+        ("cf", """SELECT '(Intercept)' AS term, intercept AS est, se_intercept AS se, n FROM s4
+                  UNION ALL SELECT 't', slope, se_slope, n FROM s4"""),
+        ("th", """SELECT *, CAST(n - 2 AS INTEGER) AS df, atan(abs(est / NULLIF(se, 0)) / sqrt(NULLIF(n - 2, 0))) AS theta
+                  FROM cf""")),
     "revenue_trend_fit": sql(f"""
         SELECT CAST(n AS BIGINT) AS n_months, {R("r_squared", 6)} AS r_squared, {R("slope", 4)} AS monthly_trend
         FROM s4""", *OLS_CTES),
@@ -492,10 +522,13 @@ ORACLE: dict[str, str] = {
                   (SELECT AVG({LEAD}) FROM dl) AS avg_lead""")),
     "net_revenue": """
         SELECT l_orderkey AS order_id, l_linenumber AS line_number, CAST(l_quantity AS DOUBLE) AS quantity,
-               CAST(l_extendedprice AS DOUBLE) AS extended_price, CAST(l_discount AS DOUBLE) AS discount_pct,
-               CAST(ROUND(CAST(1 AS DECIMAL(12,2)) * CAST(l_extendedprice AS DECIMAL(12,2))
+               CAST(p_retailprice AS DOUBLE) AS unit_price, CAST(l_discount AS DOUBLE) AS discount_pct,
+               CAST(ROUND(CAST(l_quantity AS DECIMAL(12,2)) * CAST(p_retailprice AS DECIMAL(12,2))
                           * (1 - CAST(l_discount AS DECIMAL(5,3))), 2) AS DOUBLE) AS net_revenue
-        FROM lineitem""",
+        FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""",
+    "sql_status_summary": """
+        SELECT o_orderstatus AS status_code, CAST(COUNT(*) AS BIGINT) AS orders,
+               CAST(SUM(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS revenue FROM orders GROUP BY 1""",
     "row_defect_rate": sql(f"""
         SELECT order_id, inspection_id, CAST(batch_size AS BIGINT) AS batch_size,
                CAST(defects_found AS DOUBLE) AS defects_found,
@@ -509,15 +542,13 @@ ORACLE: dict[str, str] = {
         UNION ALL
         SELECT 'quality_inspections', CAST(inspection_id AS VARCHAR), CAST(COUNT(*) AS BIGINT)
         FROM v_inspections GROUP BY inspection_id HAVING COUNT(*) > 1 OR inspection_id IS NULL"""),
-    "check_fk": sql("""
-        SELECT 'orders.supplier_id->suppliers' AS relation, CAST(o.supplier_id AS VARCHAR) AS key,
-               CAST(COUNT(*) AS BIGINT) AS n
-        FROM v_orders o WHERE o.supplier_id IS NOT NULL
-          AND NOT EXISTS (SELECT 1 FROM v_suppliers s WHERE s.supplier_id = o.supplier_id) GROUP BY o.supplier_id
+    "check_fk": """
+        SELECT 'orders.supplier_id->suppliers' AS relation, CAST(l_suppkey AS VARCHAR) AS key, CAST(COUNT(*) AS BIGINT) AS n
+        FROM lineitem WHERE l_suppkey IS NOT NULL AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY l_suppkey
         UNION ALL
-        SELECT 'quality_inspections.order_id->orders', CAST(i.order_id AS VARCHAR), CAST(COUNT(*) AS BIGINT)
-        FROM v_inspections i WHERE i.order_id IS NOT NULL
-          AND NOT EXISTS (SELECT 1 FROM v_orders_table h WHERE h.order_id = i.order_id) GROUP BY i.order_id"""),
+        SELECT 'quality_inspections.order_id->orders', CAST(l_orderkey AS VARCHAR), CAST(COUNT(*) AS BIGINT)
+        FROM lineitem WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+        GROUP BY l_orderkey""",
     "check_not_null": sql("""
         SELECT 'suppliers' AS table_name, 'supplier_name' AS column_name,
                CAST(COUNT(*) FILTER (WHERE supplier_name IS NULL) AS BIGINT) AS null_count FROM v_suppliers
@@ -534,17 +565,24 @@ ORACLE: dict[str, str] = {
         WHERE event_type IS NOT NULL AND event_type NOT IN ('cycle_complete', 'downtime_start', 'downtime_end',
               'maintenance', 'alert', 'shift_start', 'shift_end') GROUP BY event_type"""),
     "defaults_filled": sql("""
-        SELECT order_id, customer, plant, CAST(revenue AS DOUBLE) AS revenue, status, 0 AS discount_pct
+        SELECT order_id, customer, plant, CAST(revenue AS DOUBLE) AS revenue, status, CAST(0 AS DECIMAL(5,3)) AS discount_pct
         FROM v_order_heads"""),
-    "table_row_counts": sql("""
-        SELECT 'orders' AS table_name, CAST(COUNT(*) AS BIGINT) AS "rows" FROM v_orders
-        UNION ALL SELECT 'suppliers', CAST(COUNT(*) AS BIGINT) FROM v_suppliers
-        UNION ALL SELECT 'quality_inspections', CAST(COUNT(*) AS BIGINT) FROM v_inspections
-        UNION ALL SELECT 'machine_events', CAST(COUNT(*) AS BIGINT) FROM v_events
-        UNION ALL SELECT 'customer_feedback', CAST(COUNT(*) AS BIGINT) FROM v_feedback"""),
+    "defaults_suppliers": """
+        SELECT s_suppkey AS supplier_id, s_name AS supplier_name, 'Tier 2' AS tier, CAST(1 AS TINYINT) AS active FROM supplier""",
+    "defaults_inspections": """
+        SELECT l_orderkey AS order_id, l_orderkey || '-' || l_linenumber AS inspection_id,
+               CAST(l_quantity AS INTEGER) AS batch_size, CAST(0 AS INTEGER) AS defects_found,
+               CAST(0 AS DECIMAL(6,4)) AS defect_rate, CAST(1 AS TINYINT) AS passed FROM lineitem""",
+    "table_row_counts": """
+        SELECT 'orders' AS table_name, CAST(COUNT(*) AS BIGINT) AS "rows" FROM lineitem
+        UNION ALL SELECT 'suppliers', CAST(COUNT(*) AS BIGINT) FROM supplier
+        UNION ALL SELECT 'quality_inspections', CAST(COUNT(*) AS BIGINT) FROM lineitem
+        UNION ALL SELECT 'machine_events', CAST(COUNT(*) AS BIGINT) FROM events
+        UNION ALL SELECT 'customer_feedback', CAST(COUNT(*) AS BIGINT) FROM documents""",
     "decimal_conformity": " UNION ALL ".join(
         f"""SELECT 'lineitem' AS table_name, '{c}' AS column_name, 'DECIMAL({p},{s})' AS declared_type,
-               CAST(COUNT(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST({c} AS DECIMAL({p},{s})) IS NULL) AS BIGINT)
+               CAST(COUNT(*) FILTER (WHERE {c} IS NOT NULL AND (TRY_CAST({c} AS DECIMAL({p},{s})) IS NULL
+                 OR CAST(CAST({c} AS VARCHAR) AS DECIMAL(38,18)) <> CAST(TRY_CAST({c} AS DECIMAL({p},{s})) AS DECIMAL(38,18)))) AS BIGINT)
                AS non_conforming FROM lineitem"""
         for c, (p, s) in {"l_extendedprice": (10, 2), "l_discount": (5, 3), "l_tax": (6, 4),
                           "l_quantity": (4, 0)}.items()),

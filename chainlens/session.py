@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -61,8 +63,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make sure ``SparkContext`` has a reliable checkpoint directory.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; that setting
-    always wins.  Only when it is unset (unit tests, local runs) do we create a
-    scratch folder of our own.
+    always wins.  Only in a single process (a ``local`` master: unit tests, local
+    runs) do we create a scratch folder of our own; a cluster without the setting
+    is an error, as executors could not read each other's files.
     """
     try:
         sc = spark.sparkContext
@@ -73,16 +76,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="chainlens-ckpt-")
+        _remove_at_exit(configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def _remove_at_exit(folder: str) -> None:
+    """Scratch of a local run goes when the process ends."""
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+
+
 def materialize(df):
     """Reliable checkpoint of ``df`` (eager) in the session's checkpoint directory.
 
-    Used where two branches of a plan must read one identical materialisation
-    (e.g. partition ids of a range partitioning) and to cut long lineage.
+    Used only where several results are written one after the other from the
+    same rows (the dashboard bundle).
     Never a local checkpoint: the files live in the shared folder the cluster
     names in ``spark.checkpoint.dir``, so they survive the loss of an executor.
     """

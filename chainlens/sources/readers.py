@@ -31,10 +31,11 @@ def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
 def read_documents(spark: SparkSession, path: str, collection: str, multi_line: bool = True) -> DataFrame:
     """Read nested JSON documents (one array per file, or JSON Lines when ``multi_line=False``).
 
-    Missing keys and ``{}`` objects read as NULL fields of the declared struct.
+    Missing keys and ``{}`` objects read as NULL fields of the declared struct;
+    malformed JSON is an error, never an empty document.
     """
     return (spark.read.schema(schemas.BY_NAME[collection])
-            .option("multiLine", multi_line).option("mode", "PERMISSIVE")
+            .option("multiLine", multi_line).option("mode", "FAILFAST")
             .json(path))
 
 

@@ -8,8 +8,10 @@ them.  The same mapping exists as DuckDB SQL in ``chainlens.plans.oracle``.
 
 Two scale rules shape the builders:
 
-* only the dimension joins a query needs are made (``dims``): every extra
-  inner join of the fact table is one more shuffle of it at scale;
+* only the dimension joins a query needs are made (``dims``): every extra join
+  of the fact table is one more shuffle of it at scale.  All of them are LEFT
+  joins (a dimension row that is missing never removes a fact row), and order
+  attributes are joined at order grain, before the lines;
 * status / event-type filters are applied to the *source code* column, because
   Catalyst cannot invert a CASE mapping to push ``status = 'Delivered'`` into
   the Parquet scan (checked with ``explain``: the CASE filter stays above the
@@ -59,7 +61,7 @@ def _map(col: Column, mapping: dict) -> Column:
     out = None
     for src, dst in mapping.items():
         out = (F.when(col == src, dst) if out is None else out.when(col == src, dst))
-    return out
+    return out.otherwise(col)  # an unknown code stays visible (the ENUM check reports it)
 
 
 def _codes_for(values, mapping: dict) -> list:
@@ -72,9 +74,27 @@ def _dec(text: str) -> Column:
 
 
 def nation_regions(t: Tables) -> DataFrame:
-    """nation -> (nation name, region name); 25 rows by definition of the schema."""
-    return (t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("n_nationkey", "n_name", "r_name"))
+    """nation -> (nation name, region name); 25 rows by definition of the schema, so always broadcast."""
+    return F.broadcast(t["nation"].join(F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+                       .select("n_nationkey", "n_name", "r_name"))
+
+
+def _with_customer(t: Tables, orders: DataFrame, dims) -> DataFrame:
+    """Order-grain rows with the customer's segment and region; an order without its customer keeps NULLs."""
+    if not {"customer", "plant"} & set(dims):
+        return orders
+    c = t["customer"].select("c_custkey", F.col("c_mktsegment").alias("customer"), "c_nationkey")
+    df = orders.join(c, "c_custkey", "left")
+    if "plant" in dims:
+        nr = nation_regions(t).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("plant"))
+        df = df.join(nr, "c_nationkey", "left")
+    df = df.drop("c_nationkey")
+    return df if "customer" in dims else df.drop("customer")
+
+
+def _order_join(status) -> str:
+    """Lines of unknown orders have no status: kept (LEFT) unless a status is asked for."""
+    return "left" if status is None else "inner"
 
 
 def net_line_revenue() -> Column:
@@ -98,19 +118,10 @@ def orders_lines(t: Tables, status=None, dims=ALL_DIMS) -> DataFrame:
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_number"),
         "l_partkey", F.col("l_suppkey").alias("supplier_id"), F.col("l_quantity").alias("quantity"),
         F.to_date("l_shipdate").alias("delivery_date"), net_line_revenue().alias("revenue"))
-    df = li.join(o, "order_id")
-    if "customer" in dims or "plant" in dims:
-        c = t["customer"].select("c_custkey", F.col("c_mktsegment").alias("customer"), "c_nationkey")
-        df = df.join(c, "c_custkey")
-        if "plant" in dims:
-            nr = nation_regions(t).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("plant"))
-            df = df.join(nr, "c_nationkey")
-        df = df.drop("c_nationkey")
-        if "customer" not in dims:
-            df = df.drop("customer")
+    df = li.join(_with_customer(t, o, dims), "order_id", _order_join(status))
     if "product" in dims:
         p = t["part"].select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("product"))
-        df = df.join(p, "l_partkey")
+        df = df.join(p, "l_partkey", "left")
     return df.drop("l_partkey")
 
 
@@ -140,19 +151,12 @@ def order_totals(t: Tables, status=None, dims=("customer", "plant")) -> DataFram
                  F.to_date("o_orderdate").alias("order_date"),
                  _map(F.col("o_orderstatus"), STATUS_BY_CODE).alias("status"))
     # sum over lines of (ship day - order day) = sum(ship days) - n x order day: exact integers
-    df = (li.join(o, "order_id")
-          .withColumn("lead_day_sum", F.col("_ship_sum") - F.col("lead_day_count") * F.unix_date("order_date"))
-          .drop("_ship_sum"))
-    if "customer" in dims or "plant" in dims:
-        c = t["customer"].select("c_custkey", F.col("c_mktsegment").alias("customer"), "c_nationkey")
-        df = df.join(c, "c_custkey")
-        if "plant" in dims:
-            nr = nation_regions(t).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("plant"))
-            df = df.join(nr, "c_nationkey")
-        df = df.drop("c_nationkey")
-        if "customer" not in dims:
-            df = df.drop("customer")
-    return df
+    # (lines of an unknown order have no order day: they count no lead days)
+    dated = F.col("order_date").isNotNull()
+    return (li.join(_with_customer(t, o, dims), "order_id", _order_join(status))
+            .withColumn("lead_day_sum", F.col("_ship_sum") - F.col("lead_day_count") * F.unix_date("order_date"))
+            .withColumn("lead_day_count", F.when(dated, F.col("lead_day_count")).otherwise(F.lit(0).cast("long")))
+            .drop("_ship_sum"))
 
 
 def order_heads(t: Tables, status=None, dims=("customer", "plant")) -> DataFrame:
@@ -165,32 +169,12 @@ def order_heads(t: Tables, status=None, dims=("customer", "plant")) -> DataFrame
                  F.col("o_custkey").alias("c_custkey"),
                  F.col("o_totalprice").cast(DecimalType(14, 2)).alias("revenue"),
                  _map(F.col("o_orderstatus"), STATUS_BY_CODE).alias("status"))
-    if not dims:
-        return o
-    c = t["customer"].select("c_custkey", F.col("c_mktsegment").alias("customer"), "c_nationkey")
-    o = o.join(c, "c_custkey")
-    if "plant" in dims:
-        nr = nation_regions(t).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("plant"))
-        o = o.join(nr, "c_nationkey")
-    o = o.drop("c_nationkey")
-    return o if "customer" in dims else o.drop("customer")
+    return _with_customer(t, o, dims)
 
 
-def inspections(t: Tables, dims=("product", "plant")) -> DataFrame:
-    """One inspection per line: order_id, inspection_id (= ``order_id-line_number``),
-    line_number, supplier_id, inspection_date, batch_size, defects_found, defect_rate,
-    passed, plus the requested ``dims``
-    (product = part type, plant = supplier's region).
-
-    Each dimension is joined to the fact side as a plain scan first and only
-    then to the 25-row nation/region map: without CBO statistics Spark
-    estimates a joined dimension as the product of its inputs, which would
-    turn a broadcastable supplier table into a sort-merge join.
-    """
-    li = t["lineitem"].select(
-        F.col("l_orderkey").alias("order_id"),
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("inspection_id"),
-        F.col("l_linenumber").alias("line_number"),
+def _inspection_lines(t: Tables) -> DataFrame:
+    return t["lineitem"].select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_number"),
         "l_partkey", F.col("l_suppkey").alias("supplier_id"),
         F.to_date("l_shipdate").alias("inspection_date"),
         F.col("l_quantity").cast("int").alias("batch_size"),
@@ -198,15 +182,46 @@ def inspections(t: Tables, dims=("product", "plant")) -> DataFrame:
         .cast(DecimalType(10, 4)).alias("defects_found"),
         F.col("l_tax").cast(DecimalType(6, 4)).alias("defect_rate"),
         F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("passed"))
-    df = li
+
+
+def _inspection_dims(t: Tables, df: DataFrame, dims) -> DataFrame:
     if "product" in dims:
         p = t["part"].select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("product"))
-        df = df.join(p, "l_partkey")
+        df = df.join(p, "l_partkey", "left").drop("l_partkey")
     if "plant" in dims:
+        # the supplier as a plain scan first, then the 25-row map: without statistics Spark
+        # estimates a joined dimension as the product of its inputs
         s = t["supplier"].select(F.col("s_suppkey").alias("supplier_id"), F.col("s_nationkey").alias("n_nationkey"))
         nr = nation_regions(t).select("n_nationkey", F.col("r_name").alias("plant"))
-        df = df.join(s, "supplier_id").join(nr, "n_nationkey").drop("n_nationkey")
-    return df.drop("l_partkey")
+        df = df.join(s, "supplier_id", "left").join(nr, "n_nationkey", "left").drop("n_nationkey")
+    return df
+
+
+def inspections(t: Tables, dims=("product", "plant")) -> DataFrame:
+    """One inspection per line: order_id, inspection_id (= ``order_id-line_number``),
+    line_number, supplier_id, inspection_date, batch_size, defects_found, defect_rate,
+    passed, plus the requested ``dims``
+    (product = part type, plant = supplier's region)."""
+    li = _inspection_lines(t).withColumn("inspection_id", F.concat_ws(
+        "-", F.col("order_id").cast("string"), F.col("line_number").cast("string")))
+    return _inspection_dims(t, li, dims).drop("l_partkey")
+
+
+def inspection_totals(t: Tables, dims=("product", "plant"), by_rate: bool = False) -> DataFrame:
+    """Inspections combined per part and / or supplier *before* those tables are joined, for analyses
+    per product or plant: inspection_count, defects_found, batch_size, failed, defect_rate_sum,
+    defect_rate_count (sums), plus ``dims``; with ``by_rate`` one row per defect_rate, too.
+
+    The lines are combined map-side, so the shuffle and the joins see a row per
+    (part, supplier) instead of a row per line.
+    """
+    keys = [k for k, d in (("l_partkey", "product"), ("supplier_id", "plant")) if d in dims]
+    sums = (_inspection_lines(t).groupBy(*keys, *(["defect_rate"] if by_rate else []))
+            .agg(F.count(F.lit(1)).alias("inspection_count"), F.sum("defects_found").alias("defects_found"),
+                 F.sum("batch_size").alias("batch_size"),
+                 F.sum(F.when(F.col("passed") == 0, 1).otherwise(0)).alias("failed"),
+                 F.sum("defect_rate").alias("defect_rate_sum"), F.count("defect_rate").alias("defect_rate_count")))
+    return _inspection_dims(t, sums, dims).drop("supplier_id")
 
 
 def suppliers(t: Tables, dims=("country",)) -> DataFrame:
@@ -223,7 +238,7 @@ def suppliers(t: Tables, dims=("country",)) -> DataFrame:
     src, country = t["supplier"], []
     if "country" in dims:
         nr = t["nation"].select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("country"))
-        src, country = src.join(nr, "s_nationkey"), ["country"]
+        src, country = src.join(F.broadcast(nr), "s_nationkey", "left"), ["country"]
     return (src
             .select(k.alias("supplier_id"), F.col("s_name").alias("supplier_name"), *country,
                     F.concat(F.lit("Tier "), (k % 3 + 1).cast("string")).alias("tier"),
@@ -263,15 +278,19 @@ def machine_events(t: Tables, event_types=None) -> DataFrame:
         metadata.alias("metadata"))
 
 
-def customer_feedback(t: Tables) -> DataFrame:
+def customer_feedback(t: Tables, sparse_tags: bool = False) -> DataFrame:
     """Nested feedback documents (feedback_id, customer, product, date, channel, rating, tags[],
-    sentiment, follow_up_required, resolution{resolved, resolution_days, owner} or NULL)."""
+    sentiment, follow_up_required, resolution{resolved, resolution_days, owner} or NULL).
+
+    With ``sparse_tags`` a document has the tag "clean" or none.
+    """
     d = t["documents"].select("doc_id", "lang", "source", "n_chars")
     lab = t["labels"].select("doc_id", "quality", "toxic", F.lit(True).alias("_labelled"))
     j = d.join(lab, "doc_id", "left")
     doc = F.col("doc_id")
     clean = F.when(F.col("quality") == 1, F.array(F.lit("clean"))).otherwise(F.array().cast(ArrayType(StringType())))
-    tags = F.concat(F.array(F.col("lang"), F.when(F.col("n_chars") >= 2000, "long").otherwise("short")), clean)
+    tags = clean if sparse_tags else F.concat(
+        F.array(F.col("lang"), F.when(F.col("n_chars") >= 2000, "long").otherwise("short")), clean)
     resolution = F.when(F.col("_labelled"), F.struct(
         (F.col("quality") == 1).alias("resolved"),
         F.when(F.col("n_chars") % 10 >= 3, (F.col("n_chars") % 14 + 1).cast("int")).alias("resolution_days"),

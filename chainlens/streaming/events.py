@@ -24,9 +24,12 @@ def flat_events_query(stream: DataFrame, sink_path: str, checkpoint: str, fmt: s
             .option("checkpointLocation", checkpoint).option("path", sink_path).start())
 
 
-def oee_query(stream: DataFrame, query_name: str, checkpoint: str, sink: str = "memory") -> StreamingQuery:
+def oee_query(stream: DataFrame, query_name: str, checkpoint: str, sink: str) -> StreamingQuery:
     """Running OEE per machine (complete mode; state is one row per machine).
 
+    ``sink`` is any that accepts complete mode; ``memory`` holds the whole result
+    in the driver and is for tests.
+
     Exactly the batch operator: sorting after an aggregation is allowed in
     complete mode.
     """

@@ -53,8 +53,9 @@ def test_every_domain_analysis_runs(spark, domain_dir):
     d = domain.load(spark, domain_dir, json_lines=True)
     assert set(domain.DOMAIN_QUERIES) <= set(E.queries())
     for name, fn in domain.DOMAIN_QUERIES.items():
-        df = fn(d)
-        assert df.count() >= 0, name
+        n = fn(d).count()
+        # the violation reports may find nothing; every other analysis has rows
+        assert n > 0 or name in ("check_pk", "check_fk", "check_enum"), name
 
 
 @pytest.mark.parametrize("name", ["revenue_by_customer", "monthly_revenue_mom", "sla_breach", "oee_by_machine",

@@ -71,7 +71,7 @@ def test_exact_quantiles_match_numpy(spark):
     rows = [(rng.choice("abc"), rng.randint(0, 50)) for _ in range(2000)]
     df = spark.createDataFrame(rows, "g string, x int").repartition(5)
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = exact_quantiles(df, "x", probs, [f"q{i}" for i in range(len(probs))], by=["g"], num_partitions=4,
+    got = exact_quantiles(df, "x", probs, [f"q{i}" for i in range(len(probs))], by=["g"],
                           mean_name="m").collect()
     for r in got:
         xs = np.array([x for g, x in rows if g == r.g])
@@ -85,7 +85,7 @@ def test_running_sum_matches_single_partition_window(spark):
     rows = [(f"c{i}", rng.randint(0, 30)) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, v long").repartition(6)
     order = [F.col("v").desc(), F.col("k").asc()]
-    got = {r.k: r.run for r in running_sum(df, F.col("v"), order, "run", num_partitions=5).collect()}
+    got = {r.k: r.run for r in running_sum(df, "v", "v", "run", descending=True, ties=["k"]).collect()}
     want = {r.k: r.run for r in df.withColumn(
         "run", F.sum("v").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).collect()}
     assert got == want
@@ -142,7 +142,7 @@ def test_rank_keeps_ties(spark):
 
 def test_tags_empty_list(spark):
     docs = spark.createDataFrame([([],), (["x", "y"],)], "tags array<string>")
-    assert {r.tag for r in feedback.tag_frequency(docs).collect()} == {"x", "y"}
+    assert {r.tag for r in feedback.tag_frequency(docs, keep_empty=False).collect()} == {"x", "y"}
     assert {r.tag for r in feedback.tag_frequency(docs, keep_empty=True).collect()} == {"x", "y", ""}
 
 
@@ -173,11 +173,12 @@ def test_scorecard_supplier_without_orders(spark):
 def test_graph_stats(spark):
     o = orders(spark, [dict(supplier_id=1, customer=c) for c in "abc"] + [dict(supplier_id=2, customer="a")])
     e = network.supplier_edges(o)
-    st = network.network_stats(e).first()
+    st = network.network_stats(o).first()
     assert (st.num_nodes, st.num_edges, st.avg_degree) == (5, 4, 2.0)
-    assert [r.supplier_id for r in network.critical_suppliers(e).collect()] == [1]
-    adj = {r.supplier_id: r.customers for r in network.supplier_adjacency(e).collect()}
-    assert adj == {1: "a, b, c", 2: "a"}
+    assert [tuple(r) for r in network.critical_suppliers(e).collect()] == [(1, 3, c) for c in "abc"]
+    assert [tuple(r) for r in network.critical_suppliers(e, with_customers=False).collect()] == [(1, 3)]
+    adj = [tuple(r) for r in network.supplier_adjacency(e).collect()]
+    assert adj == [(1, 3, "a"), (1, 3, "b"), (1, 3, "c"), (2, 1, "a")]
 
 
 def test_sensor_outlier_flagged(spark):
@@ -258,13 +259,79 @@ def test_defect_stats_null_product_is_a_group(spark):
     assert got == {None: (0.02, 0.02, 20), "P": (0.02, 0.02, 10)}
 
 
-def test_sample_with_parent_is_exact_with_and_without_orphans(spark):
+def test_sample_is_the_same_for_integer_and_text_keys(spark):
     rows = [(o, ln, o % 7) for o in range(1, 400) for ln in (1, 2)]
-    lines = spark.createDataFrame(rows, "order_id long, line_number int, supplier_id long")
-    full = spark.createDataFrame([(o,) for o in range(1, 400)], "order_id long")
-    part = spark.createDataFrame([(o,) for o in range(1, 400) if o % 5], "order_id long")  # orphans
-    for parent in (full, part):
-        joined = lambda p=parent: lines.join(p, "order_id", "left_semi")
-        got = {tuple(r) for r in suppliers.sample_supplier_ids_with_parent(lines, parent, joined, n=50).collect()}
-        want = {tuple(r) for r in suppliers.sample_supplier_ids(joined(), n=50).collect()}
-        assert got == want and len(got) == 50
+    ints = spark.createDataFrame(rows, "order_id long, line_number int, supplier_id long")
+    texts = ints.select(F.col("order_id").cast("string"), F.col("line_number").cast("string"), "supplier_id")
+    a = [tuple(map(str, r)) for r in suppliers.sample_supplier_ids(ints, n=50).collect()]
+    b = [tuple(map(str, r)) for r in suppliers.sample_supplier_ids(texts.repartition(7), n=50).collect()]
+    assert sorted(a) == sorted(b) and len(a) == 50
+
+
+def test_average_order_value_ignores_missing_revenue(spark):
+    heads = orders(spark, [dict(order_id=1, revenue=Decimal("100.00")), dict(order_id=2, revenue=None)])
+    heads = heads.withColumn("plant", F.lit("X")).withColumn("customer", F.lit("c"))
+    r = plant.plant_efficiency(heads, _insp(spark, [dict(batch_size=10, defects_found=Decimal("1"))])).first()
+    assert r.avg_order_value == 100.0 and r.total_revenue == 100.0 and r.total_orders == 2
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_running_sum_with_nulls_is_that_of_sql(spark, coalesce):
+    rows = [("a", 5), ("b", None), ("c", 7), ("d", None), ("e", -2), ("f", 0), ("g", 11)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(3)
+    order = [F.col("v").desc_nulls_last(), F.col("k").asc()]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, coalesce)
+    try:
+        got = {r.k: r.run for r in running_sum(df, "v", "v", "run", descending=True, ties=["k"]).collect()}
+        only = running_sum(df.where("v is null"), "v", "v", "run", descending=True, ties=["k"]).collect()
+        r = revenue.revenue_by_customer(orders(spark, [dict(customer="a", revenue=Decimal("21.00")),
+                                                       dict(customer="b", revenue=None)])).collect()
+    finally:
+        spark.conf.set(key, before)
+    want = {r.k: r.run for r in df.withColumn(
+        "run", F.sum("v").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).collect()}
+    assert got == want and {x.run for x in only} == {None}
+    assert {x.customer: x.running_total for x in r} == {"a": 21.0, "b": 21.0}
+
+
+def test_defect_rate_sd_of_close_rates(spark):
+    ins = spark.createDataFrame([("P", 10, Decimal("1"), Decimal("0.0101"), "a", 1), ("P", 10, Decimal("1"), Decimal("0.0102"), "b", 1)],
+                                "product string, batch_size int, defects_found decimal(10,4), defect_rate decimal(6,4), "
+                                "inspection_id string, passed int")
+    assert quality.defect_stats_by_product(ins).first().sd_defect_rate == pytest.approx(7.0710678e-05, rel=1e-6)
+
+
+def test_pvalues_of_short_series_are_null(spark):
+    for months in (1, 2):
+        o = orders(spark, [dict(order_date=D(2023, m, 1), revenue=Decimal(m)) for m in range(1, months + 1)])
+        assert [r.p_value for r in stats.revenue_trend_pvalues(o).collect()] == [None, None]
+
+
+@pytest.mark.parametrize("df", [1, 2, 3, 4, 7, 10, 41, 78])
+def test_t_pvalue_against_numeric_integration(spark, df):
+    import math
+
+    import numpy as np
+
+    for t in (0.0, 0.3, 1.0, 2.5, 6.0):
+        n = 200_001
+        x = np.linspace(0, t, n)
+        c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+        want = 1 - 2 * np.trapezoid(c * (1 + x * x / df) ** (-(df + 1) / 2), x)
+        got = spark.createDataFrame([(t, df)], "t double, df int").select(
+            stats.two_sided_t_pvalue(F.col("t"), F.col("df")).alias("p")).first().p
+        assert got == pytest.approx(want, abs=1e-8)
+
+
+def test_decimal_conformity_sees_digits_after_the_point(spark):
+    df = spark.createDataFrame([(0.12345,), (0.123,), (123.0,), (None,)], "x double")
+    assert checks.decimal_conformity(df, {"x": (5, 3)}, "t").first().non_conforming == 2
+
+
+def test_network_counts_customers_without_suppliers(spark):
+    o = orders(spark, [dict(customer="a", supplier_id=1), dict(customer="b", supplier_id=None),
+                       dict(customer="a", supplier_id=2), dict(customer="a", supplier_id=1)])
+    r = network.network_stats(o).first()
+    assert (r.num_suppliers, r.num_customers, r.num_edges, r.num_nodes, r.avg_degree) == (2, 2, 2, 4, 1.0)

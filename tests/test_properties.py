@@ -13,12 +13,11 @@ SETTINGS = dict(max_examples=12, deadline=None, suppress_health_check=[HealthChe
 
 @settings(**SETTINGS)
 @given(values=st.lists(st.integers(-1000, 1000), min_size=1, max_size=300),
-       parts=st.integers(1, 9), in_parts=st.integers(1, 7))
-def test_running_sum_equals_serial_cumsum(spark, values, parts, in_parts):
+       in_parts=st.integers(1, 7))
+def test_running_sum_equals_serial_cumsum(spark, values, in_parts):
     rows = [(i, v) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "k long, v long").repartition(in_parts)
-    order = [F.col("v").desc(), F.col("k").asc()]
-    got = dict(running_sum(df, F.col("v"), order, "run", num_partitions=parts).select("k", "run").collect())
+    got = dict(running_sum(df, "v", "v", "run", descending=True, ties=["k"]).select("k", "run").collect())
     expect, acc = {}, 0
     for k, v in sorted(rows, key=lambda r: (-r[1], r[0])):
         acc += v
@@ -28,12 +27,11 @@ def test_running_sum_equals_serial_cumsum(spark, values, parts, in_parts):
 
 @settings(**SETTINGS)
 @given(values=st.lists(st.tuples(st.sampled_from("xyz"), st.integers(0, 40)), min_size=1, max_size=300),
-       probs=st.lists(st.floats(0, 1), min_size=1, max_size=4), parts=st.integers(1, 6))
-def test_grouped_quantiles_equal_numpy(spark, values, probs, parts):
+       probs=st.lists(st.floats(0, 1), min_size=1, max_size=4))
+def test_grouped_quantiles_equal_numpy(spark, values, probs):
     df = spark.createDataFrame(values, "g string, x long")
     names = [f"q{i}" for i in range(len(probs))]
-    got = {r.g: r for r in exact_quantiles(df, "x", probs, names, by=["g"], num_partitions=parts,
-                                           mean_name="m").collect()}
+    got = {r.g: r for r in exact_quantiles(df, "x", probs, names, by=["g"], mean_name="m").collect()}
     for g in {v[0] for v in values}:
         xs = np.array([x for gg, x in values if gg == g], dtype=float)
         for n, p in zip(names, probs):
@@ -49,20 +47,19 @@ def test_quantiles_ignore_nulls_and_empty(spark):
     assert exact_quantiles(empty, "x", [0.5], ["med"]).first().med is None
 
 
-def test_running_sum_with_coalesced_range_partitions(spark):
+def test_running_sum_with_coalesced_partitions(spark):
     import random
 
     rng = random.Random(11)
     rows = [(i, rng.randint(-50, 50)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, v long").repartition(7)
-    order = [F.col("v").asc(), F.col("k").desc()]
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     try:
-        got = dict(running_sum(df, F.col("v"), order, "run").select("k", "run").collect())
+        got = dict(running_sum(df, "v", "v", "run", ties=["k"]).select("k", "run").collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     expect, acc = {}, 0
-    for k, v in sorted(rows, key=lambda r: (r[1], -r[0])):
+    for k, v in sorted(rows, key=lambda r: (r[1], r[0])):
         acc += v
         expect[k] = acc
     assert got == expect

@@ -16,7 +16,7 @@ def test_streaming_oee_equals_batch(spark, tmpdir_fresh):
     src = os.path.join(tmpdir_fresh, "in")
     docs.withColumn("timestamp", docs["timestamp"].cast("string")).write.json(src)
     stream = read_event_stream(spark, src, max_files_per_trigger=2)
-    q = oee_query(stream, "oee_live", os.path.join(tmpdir_fresh, "ck1"))
+    q = oee_query(stream, "oee_live", os.path.join(tmpdir_fresh, "ck1"), sink="memory")
     q.processAllAvailable()
     q.stop()
     live = {tuple(r) for r in spark.sql("SELECT * FROM oee_live").collect()}
