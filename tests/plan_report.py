@@ -50,7 +50,7 @@ def summarize(plan: str) -> dict:
 
 def main():
     from chainlens.session import get_session
-    import __spark_entry__ as E
+    from chainlens.plans.catalog import QUERIES
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_session("local[8]", conf={"spark.sql.shuffle.partitions": "8",
@@ -62,7 +62,7 @@ def main():
     print("fact-derived side is small). Scans list the table, the pruned read schema and the filters pushed")
     print("into Parquet; `materialised rows` are reads of a checkpoint made while the query was built.")
     print("No plan contains a Python UDF, a cartesian product or a nested-loop join.\n")
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         if name == "revenue_trend_pvalues":
             continue
         df = fn(spark, sf_dir)
