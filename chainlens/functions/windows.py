@@ -38,6 +38,15 @@ _ZERO = 1100 * _PER_OCTAVE  # beyond the buckets of the smallest positive double
 _NULLS_LAST = 1 << 30
 
 
+def whole_row(df: DataFrame) -> Column:
+    """A value of all columns, never NULL.
+
+    A second branch over ``df`` that depends on it reads the same columns as the first one, so that
+    both have one plan up to their last shuffle and Spark runs it once (exchange reuse).
+    """
+    return F.xxhash64(*[F.col(c) for c in df.columns])
+
+
 def sort_bucket(value, descending: bool = False) -> Column:
     """Bucket of a numeric sort value: non-decreasing in sort order, NULL last."""
     v = col_(value).cast("double")
@@ -56,11 +65,13 @@ def running_sum(df: DataFrame, value, sort_by, out: str, descending: bool = Fals
     """
     v, by = col_(value), list(by)
     rows = df.withColumn(_BUCKET, sort_bucket(sort_by, descending))
+    seen = whole_row(df)
     order = col_(sort_by).desc_nulls_last() if descending else col_(sort_by).asc_nulls_last()
     inside = Window.partitionBy(*by, _BUCKET).orderBy(order, *[F.col(c).asc() for c in ties]).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = rows.withColumn("_cl_local", F.sum(v).over(inside))
-    sums = rows.groupBy(*by, _BUCKET).agg(F.sum(v).alias("_cl_ptot"))
+    sums = rows.groupBy(*by, _BUCKET).agg(F.sum(v).alias("_cl_sum"), F.max(seen).alias("_cl_seen")).select(
+        *by, _BUCKET, F.when(F.col("_cl_seen").isNotNull(), F.col("_cl_sum")).alias("_cl_ptot"))
     group = Window.partitionBy(*by)
     before = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*[F.col(b).alias(f"_cl_o_{b}") for b in by], F.col(_BUCKET).alias("_cl_o_bucket"),
@@ -77,21 +88,27 @@ def running_sum(df: DataFrame, value, sort_by, out: str, descending: bool = Fals
 
 
 def exact_quantiles(df: DataFrame, value, probs: Sequence[float], names: Sequence[str],
-                    by: Sequence[str] = (), mean_name: str | None = None, weight: str | None = None) -> DataFrame:
+                    by: Sequence[str] = (), mean_name: str | None = None, weight: str | None = None,
+                    carry: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
     """Exact linearly-interpolated quantiles of ``value`` (NULLs ignored).
 
     Returns one row per ``by`` group (one row overall when ``by`` is empty)
     with a DOUBLE column per name.  Work is proportional to the number of
-    distinct values; no task ever holds more than one range partition of
+    distinct values; no task ever holds more than a few buckets of
     them, and nothing is collected to the driver.  With ``weight`` the input
     is already a value -> count table (``weight`` holds the counts).
+
+    ``carry`` columns are summed per value (of the rows without a value, too, if
+    there is a ``weight``), and ``extra`` are aggregates over those sums and the
+    columns ``_cl_v`` (value) and ``_cl_c`` (count): statistics of the same rows
+    that need no second pass.
     """
     by = list(by)
     # Group on the exact value (integer / decimal), interpolate in DOUBLE.
-    tally = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    cols = [*by, col_(value).alias("_cl_v")] + ([F.col(weight)] if weight else [])
-    counts = (df.select(*cols).where(F.col("_cl_v").isNotNull())
-              .groupBy(*by, "_cl_v").agg(tally.alias("_cl_c")))
+    tally = F.count(F.lit(1)) if weight is None else F.sum(F.when(F.col("_cl_v").isNotNull(), F.col(weight)).otherwise(0))
+    cols = [*by, col_(value).alias("_cl_v")] + ([F.col(weight)] if weight else []) + list(carry)
+    counts = (df.select(*cols).where(F.col("_cl_v").isNotNull() | F.lit(weight is not None))
+              .groupBy(*by, "_cl_v").agg(tally.alias("_cl_c"), *[F.sum(c).alias(c) for c in carry]))
     # cumulative counts in value order inside every group; NULL is a group of its own (as in GROUP BY)
     ranked = running_sum(counts, "_cl_c", "_cl_v", "_cl_cum", by=by, total="_cl_n")
     # 0-based ranks covered by a distinct value: [cum - c, cum - 1].
@@ -109,7 +126,8 @@ def exact_quantiles(df: DataFrame, value, probs: Sequence[float], names: Sequenc
         # Exact sum of value x count over the distinct values, divided in DOUBLE.
         aggs.append(F.try_divide(F.sum(F.col("_cl_v") * F.col("_cl_c")).cast("double"),
                                  F.sum("_cl_c").cast("double")).alias(mean_name))
-    picked = ranked.groupBy(*by).agg(*aggs)
+    picked = ranked.groupBy(*by).agg(*aggs, *extra)
+    done = {*by, mean_name, *(a for i in range(len(probs)) for a in (f"_cl_lo{i}", f"_cl_hi{i}", f"_cl_fr{i}"))}
     outs = [(F.col(f"_cl_lo{i}") + (F.col(f"_cl_hi{i}") - F.col(f"_cl_lo{i}")) * F.col(f"_cl_fr{i}")).alias(name)
             for i, name in enumerate(names)]
-    return picked.select(*by, *outs, *([mean_name] if mean_name else []))
+    return picked.select(*by, *outs, *([mean_name] if mean_name else []), *[c for c in picked.columns if c not in done])

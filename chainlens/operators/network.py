@@ -35,16 +35,17 @@ def network_stats(orders: DataFrame, customer: str = "customer") -> DataFrame:
     """nodes = suppliers + customers of delivered orders (also customers whose orders name no
     supplier), edges = distinct pairs, mean customers per supplier.
 
-    Suppliers, customers and pairs are each grouped first and then counted (one
-    row each), so no row is expanded for a distinct count.
+    Lines are grouped to (supplier, customer) pairs once, NULLs included; suppliers
+    and customers are then grouped from the pairs and counted (one row each), so
+    no row is expanded for a distinct count.
     """
-    d = delivered(orders)
-    pairs = d.where(F.col("supplier_id").isNotNull() & F.col(customer).isNotNull()).groupBy(
-        "supplier_id", customer).agg(F.lit(1).alias("_one"))
-    per_supplier = pairs.groupBy("supplier_id").agg(F.count(F.lit(1)).alias("_degree"))
-    s = per_supplier.agg(F.count(F.lit(1)).alias("_s"), F.coalesce(F.sum("_degree"), F.lit(0)).alias("_e"))
-    c = d.where(F.col(customer).isNotNull()).groupBy(customer).agg(F.lit(1).alias("_one")).agg(
-        F.count(F.lit(1)).alias("_c"))
+    pairs = delivered(orders).groupBy("supplier_id", F.col(customer).alias("_customer")).agg(F.lit(1).alias("_one"))
+    per_supplier = pairs.groupBy("supplier_id").agg(F.count("_customer").alias("_degree"))
+    # a supplier counts if it has a pair, as in the edges
+    known = F.col("supplier_id").isNotNull() & (F.col("_degree") > 0)
+    s = per_supplier.agg(F.count_if(known).alias("_s"),
+                         F.coalesce(F.sum(F.when(known, F.col("_degree"))), F.lit(0)).alias("_e"))
+    c = pairs.groupBy("_customer").agg(F.count(F.lit(1)).alias("_n")).agg(F.count("_customer").alias("_c"))
     return s.crossJoin(F.broadcast(c)).select(  # one row each
         as_long(F.col("_s") + F.col("_c")).alias("num_nodes"), as_long("_e").alias("num_edges"),
         as_long("_s").alias("num_suppliers"), as_long("_c").alias("num_customers"),

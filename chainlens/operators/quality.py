@@ -66,30 +66,26 @@ def defect_stats_by_product(insp: DataFrame, digits: int | None = None) -> DataF
 
     The inspections (or their totals per rate) are combined to a (product, defect
     rate) -> count table that also carries the defect and unit sums (bounded by
-    products x the DECIMAL(6,4) domain); the median comes from the distributed
-    cumulative counts, mean and sd from moment sums over the rate in integer
+    products x the DECIMAL(6,4) domain); the median comes from its distributed
+    cumulative counts, and in the same pass mean and sd from moment sums over the rate in integer
     units of 10**-4, so no product of sums is cut to a decimal's scale.
     """
     weighted = with_inspection_weights(insp)
-    rate = F.col("defect_rate")
-    tally = (weighted.where(rate.isNotNull() | F.col("defects_found").isNotNull() | F.col("batch_size").isNotNull())
-             .groupBy("product", "defect_rate")
-             .agg(F.sum("defect_rate_count").alias("_c"), F.sum("defects_found").alias("_d"),
-                  F.sum("batch_size").alias("_u")))
-    c, v = F.col("_c").cast("decimal(18,0)"), F.round(rate * _RATE_UNIT).cast("decimal(10,0)")
+    weighted = weighted.where(F.col("defect_rate").isNotNull() | F.col("defects_found").isNotNull()
+                              | F.col("batch_size").isNotNull())
+    c, v = F.col("_cl_c").cast("decimal(18,0)"), F.round(F.col("_cl_v") * _RATE_UNIT).cast("decimal(10,0)")
     n, s1, s2 = F.col("_n"), F.col("_s1"), F.col("_s2")
-    sums = tally.groupBy("product").agg(
-        F.sum("_c").alias("_n"), F.sum((v * c).cast("decimal(28,0)")).cast("decimal(18,0)").alias("_s1"),
-        F.sum((v * v * c).cast("decimal(38,0)")).cast("decimal(19,0)").alias("_s2"),
-        F.sum("_d").alias("total_defects"), F.sum("_u").alias("total_units"))
+    sums = exact_quantiles(
+        weighted, "defect_rate", [0.5], ["median_defect_rate"], by=["product"], weight="defect_rate_count",
+        carry=["defects_found", "batch_size"], extra=[
+            F.sum("_cl_c").alias("_n"), F.sum((v * c).cast("decimal(28,0)")).cast("decimal(18,0)").alias("_s1"),
+            F.sum((v * v * c).cast("decimal(38,0)")).cast("decimal(19,0)").alias("_s2"),
+            F.sum("defects_found").alias("total_defects"), F.sum("batch_size").alias("total_units")])
     # sample variance = (n*S2 - S1^2) / (n*(n-1)); the numerator is an exact integer
     var = F.try_divide((n.cast("decimal(18,0)") * s2 - s1 * s1).cast("double"),
                        n.cast("double") * (n - F.lit(1)).cast("double"))
-    agg = sums.select("product", (ratio(s1, n) / _RATE_UNIT).alias("mean_defect_rate"),
-                      (F.sqrt(var) / _RATE_UNIT).alias("sd_defect_rate"), "total_defects", "total_units")
-    med = exact_quantiles(tally, "defect_rate", [0.5], ["median_defect_rate"], by=["product"], weight="_c")
-    med = med.withColumnRenamed("product", "_m_product")
-    j = agg.join(med, agg["product"].eqNullSafe(med["_m_product"]), "left").drop("_m_product")
+    j = sums.select("product", "median_defect_rate", (ratio(s1, n) / _RATE_UNIT).alias("mean_defect_rate"),
+                    (F.sqrt(var) / _RATE_UNIT).alias("sd_defect_rate"), "total_defects", "total_units")
     r = (lambda c: round_half_up(c, digits)) if digits is not None else as_double
     return (j.select("product", r("mean_defect_rate").alias("mean_defect_rate"),
                      r("median_defect_rate").alias("median_defect_rate"), r("sd_defect_rate").alias("sd_defect_rate"),

@@ -10,7 +10,7 @@ from pyspark.sql.types import DecimalType
 from chainlens.functions import constants as K
 from chainlens.functions.dates import month_key
 from chainlens.functions.numeric import as_double, as_long, col_, mean, pct, ratio, round_half_up
-from chainlens.functions.windows import running_sum
+from chainlens.functions.windows import running_sum, whole_row
 
 
 def delivered(orders: DataFrame) -> DataFrame:
@@ -78,7 +78,9 @@ def revenue_share_by_customer(orders: DataFrame, customer: str = "customer") ->
     """
     agg = (delivered(orders).groupBy(customer)
            .agg(order_count(orders).alias("_n"), F.sum("revenue").alias("_rev"), revenue_mean(orders).alias("_avg")))
-    grand = agg.agg(F.sum("_rev").alias("_grand"))
+    # (the same columns on both sides, so that the orders are read and shuffled once)
+    grand = agg.agg(F.sum("_rev").alias("_sum"), F.max(whole_row(agg)).alias("_seen")).select(
+        F.when(F.col("_seen").isNotNull(), F.col("_sum")).alias("_grand"))
     return (agg.crossJoin(F.broadcast(grand))  # one row
             .select(customer, as_long("_n").alias("total_orders"), round_half_up("_rev", 2).alias("total_revenue"),
                     round_half_up("_avg", 2).alias("avg_order_value"),
