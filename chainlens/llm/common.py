@@ -19,8 +19,17 @@ import chainlens
 from chainlens.session import ensure_checkpoint_dir
 
 
+#: whole texts go to the workers in batches of at most this many bytes (or one text)
+_BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the session's Python workers, so that they import it wherever they run."""
+    """Send this package to the session's Python workers, so that they import it wherever they run.
+
+    Where the session has Spark's default of 64 MiB for a batch of rows to a worker, it is lowered.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_chainlens_shipped", False):
         return
