@@ -133,6 +133,8 @@ class _Verifier:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.select("a", "b"), "pairs")
+        if pairs.isEmpty():
+            return pairs
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         for have in self.tables:
             ids = ids.join(have.select("id"), "id", "left_anti")

@@ -80,9 +80,12 @@ def pivot_classes(product: DataFrame, sizes: DataFrame, needed: Callable[[Column
         if labels is not None:
             links = _labelled(_labelled(links, labels, "a", "ca"), labels, "b", "cb").select(
                 F.col("ca").alias("a"), F.col("cb").alias("b"))
-        labels = _merged(labels, connected_components(links))
-        rows = _labelled(rows.drop("own"), labels, "node", "own")
-        rows = written(rows, "labelled")
+        found = connected_components(links)
+        if found.isEmpty():
+            labels = found if labels is None else labels
+            break  # what is left to find is found below
+        labels = _merged(labels, found)
+        rows = written(_labelled(rows.drop("own"), labels, "node", "own"), "labelled")
     pivots = rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("x"), "own")).alias("t")).select(
         "key", F.col("t.own").alias("main"))
     rows = written(rows.drop("weight").join(pivots, "key"), "labelled")
@@ -103,4 +106,5 @@ def pivot_classes(product: DataFrame, sizes: DataFrame, needed: Callable[[Column
     links = verified(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     links = _labelled(_labelled(links, labels, "a", "ca"), labels, "b", "cb").select(F.col("ca").alias("a"),
                                                                                     F.col("cb").alias("b"))
-    return _merged(labels, connected_components(links))
+    found = connected_components(links)
+    return labels if found.isEmpty() else _merged(labels, found)
