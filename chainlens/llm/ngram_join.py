@@ -173,7 +173,8 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     entries = (named.join(classes, (named["digest"] == classes["digest"]) & (named["id"] == classes["rep"]), "left_semi")
                .select(F.col("id").alias("node"), F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key")))
     found = pivot_classes(
-        shared_rows(entries), classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")),
+        shared_rows(entries),
+        written(classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "sizes"),
         lambda a, b: _needed(a, b, percent),
         lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent,
         _Verifier(rows, size, percent))

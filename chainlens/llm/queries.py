@@ -125,11 +125,11 @@ ORACLE = {
         doc AS (
             SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
             FROM documents),
-        at AS (
+        spot AS (
             SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS i
             FROM doc, (SELECT DISTINCT k FROM phrase) WHERE len(w) >= k),
         met AS (
-            SELECT a.doc_id, a.i, a.k, f.item_id FROM at a
+            SELECT a.doc_id, a.i, a.k, f.item_id FROM spot a
             JOIN phrase f ON f.k = a.k AND f.p = array_to_string(a.w[a.i + 1 : a.i + a.k], ' ')),
         hit AS (
             SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM met)
