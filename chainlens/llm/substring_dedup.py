@@ -8,7 +8,7 @@ wherever it stands.  A paragraph's or piece's content is its set of 5-word shing
 Equal word sequences are one node.  Contents of at least ``2 / (1 - t)`` shingles can differ inside and
 still have Jaccard >= t = ``percent`` / 100; they get ``bands`` MinHash keys of ``rows`` values.  The
 number of bands is the smallest that finds a pair of similarity t with probability ``recall``:
-``1 - (1 - t**rows)**bands``.  Colliding contents are compared by their exact Jaccard similarity and
+``1 - (1 - t**rows)**bands``; lines meet lines and pieces meet pieces.  Colliding contents are compared by their exact Jaccard similarity and
 joined into components (:mod:`chainlens.llm.pivots`).  Of a component the occurrence in the document
 with the smallest id stays (its first there); the others are removals.  Neighbouring removals of a
 document are merged, and spans of at least ``min_words`` words are removed.
@@ -21,6 +21,7 @@ and text count as one document; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ SHINGLE = 5
 
 def tuned_bands(percent: int, recall: float, rows: int = 1) -> int:
     """Bands needed to find a pair of the threshold's similarity with probability ``recall``."""
+    if percent >= 100:
+        return 1
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** rows)))
 
 
@@ -60,13 +63,13 @@ def _cuts(words: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def _units(data: np.ndarray, offsets: np.ndarray):
-    """``(words, starts of the texts, unit text, unit first word, unit end)`` of lines and their pieces."""
+    """``(words, starts of the texts, unit text, unit first word, unit end, is a line)`` of lines and their pieces."""
     words, starts = word_fingerprints(data, offsets)
     n_words = np.diff(starts)
     doc = np.repeat(np.arange(len(n_words)), n_words)
     if not len(words):
         none = np.zeros(0, dtype=np.int64)
-        return words, starts, none, none, none
+        return words, starts, none, none, none, none.astype(bool)
     # a word's line: line breaks before its first byte
     inside = NOT_SPACE[data]
     begins = inside.copy()
@@ -81,9 +84,10 @@ def _units(data: np.ndarray, offsets: np.ndarray):
         first.append(at[long])
         end.append(stop[long])
     # a line of one piece is one unit
-    both = np.unique(np.concatenate(first) * (len(words) + 1) + np.concatenate(end))
+    lines = first[0] * (len(words) + 1) + end[0]
+    both = np.unique(np.concatenate([lines, first[1] * (len(words) + 1) + end[1]]))
     first, end = both // (len(words) + 1), both % (len(words) + 1)
-    return words, starts, doc[first], first, end
+    return words, starts, doc[first], first, end, np.isin(both, lines)
 
 
 def _nodes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -124,7 +128,7 @@ def _unit_rows(percent: int, bands: int, rows: int):
     def scan(batches):
         for b in batches:
             for start, data, offsets in text_chunks(b.column("text")):
-                words, starts, doc, first, end = _units(data, offsets)
+                words, starts, doc, first, end, line = _units(data, offsets)
                 shingles, at = shingle_fingerprints(words, starts, SHINGLE)
                 large = np.flatnonzero(_large(first, end, percent))
                 # a large unit's shingles are one range; the least hash of each range, for each seed
@@ -136,7 +140,8 @@ def _unit_rows(percent: int, bands: int, rows: int):
                     for r in range(rows if len(large) else 0):
                         least = np.minimum.reduceat(mix(shingles ^ seeds[k * rows + r]), edges)[::2]
                         keys[:, k] = mix(keys[:, k] + least)
-                    keys[:, k] = mix(keys[:, k] ^ np.uint64(k + 1))
+                    # lines meet lines and pieces meet pieces: a piece needn't meet the line it is in
+                    keys[:, k] = mix(keys[:, k] ^ (2 * k + 1 + line[large]).astype(np.uint64))
                 n_keys = np.zeros(len(first), dtype=np.int32)
                 n_keys[large] = bands
                 k = len(offsets) - 1
@@ -159,7 +164,7 @@ def _contents(percent: int, wanted: np.ndarray):
     def rows(batches):
         for b in batches:
             for _, data, offsets in text_chunks(b.column("text")):
-                words, _, _, first, end = _units(data, offsets)
+                words, _, _, first, end, _ = _units(data, offsets)
                 nodes = _nodes(words, first, end)
                 some = np.flatnonzero(_large(first, end, percent)
                                       & np.asarray(may_be_wanted(wanted, pa.array(nodes, pa.int64()))))
@@ -231,7 +236,7 @@ def _spans(min_words: int):
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
-                      recall: float = 0.99, rows: int = 1, min_words: int = 20) -> DataFrame:
+                      recall: float = 0.99, rows: int = 2, min_words: int = 20) -> DataFrame:
     """One row per document: ``id_col``, ``n_words``, ``removed`` (word spans), ``removed_words``, ``repeated_words``,
     ``kept_in`` (ids of the documents that keep what was removed), ``text_hash``.
 
@@ -252,13 +257,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     product = written(shared_rows(entries).distinct(), "collisions")
     sizes = written(product.groupBy("node").agg(F.max("n").alias("n")), "sizes")
 
+    made: list = []  # tables of (node, shingle set), each node in one of them
+
     def verified(pairs):
         pairs = written(pairs.select("a", "b"), "pairs")
-        nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
-        if nodes.isEmpty():
+        if pairs.isEmpty():
             return pairs
-        sets = texts.select("text").mapInArrow(_contents(percent, key_filter(nodes)), "node bigint, set binary")
-        sets = written(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "contents")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        for have in made:
+            nodes = nodes.join(have.select("node"), "node", "left_anti")
+        nodes = written(nodes, "nodes")
+        if not nodes.isEmpty():
+            sets = texts.select("text").mapInArrow(_contents(percent, key_filter(nodes)), "node bigint, set binary")
+            made.append(written(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "contents"))
+        sets = reduce(DataFrame.union, made)
         whole = (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
                  .join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"))
         found = whole.select("a", "b", "set_a", "set_b").mapInArrow(

@@ -6,7 +6,7 @@ from . import fixtures as fx
 
 
 def test_bands():
-    assert tuned_bands(80, 0.99) == 3 and tuned_bands(80, 0.99, 2) == 5
+    assert tuned_bands(80, 0.99) == 3 and tuned_bands(80, 0.99, 2) == 5 and tuned_bands(100, 0.99) == 1
 
 
 def test_passages_are_found_and_clean_documents_left(spark):
