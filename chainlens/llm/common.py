@@ -54,15 +54,21 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back (cuts the lineage, survives executors)."""
+    """``df`` written as Parquet in the shared folder and read back (cuts the lineage, survives executors).
+
+    A table without a ``path`` of its own goes when the application ends.
+    """
     spark = df.sparkSession
-    path = path or shared_path(spark, name)
+    own, path = path is None, path or shared_path(spark, name)
     before = spark.conf.get(_CLEAN_UP, None)
     spark.conf.set(_CLEAN_UP, "true")
     try:
         df.write.mode("overwrite").parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
+    if own:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -67,20 +67,27 @@ def encode(symbols: np.ndarray, present: np.ndarray, freq: np.ndarray) -> list[d
     stream = np.zeros((n_blocks, cap), dtype=np.uint32)
     head = np.full(n_blocks, cap, dtype=np.int64)
     marks = []
+    limit, rest = f_of << _U(45), _U(1 << SCALE) - f_of
     for t in range(steps - 1, -1, -1):
-        s = grid[:, t, :]
-        f = f_of[s]
-        active = (t * LANES + lane)[None, :] < sizes[:, None]
-        emit = active & (x >= (f << _U(45)))
-        k = emit.sum(axis=1)
-        head -= k
-        if k.any():
+        # all blocks but the last are full; that one may have ended, or end inside this step
+        blocks = n_blocks if t * LANES < sizes[-1] else n_blocks - 1
+        s, y = grid[:blocks, t, :], x[:blocks]
+        part = blocks == n_blocks and (t + 1) * LANES > sizes[-1]
+        emit = y >= limit[s]
+        if part:
+            active = np.ones((blocks, LANES), dtype=bool)
+            active[-1] = t * LANES + lane < sizes[-1]
+            emit &= active
+        if emit.any():
+            rank = np.cumsum(emit, axis=1)
+            head[:blocks] -= rank[:, -1]
             rows, cols = np.nonzero(emit)
-            at = head[rows] + (np.cumsum(emit, axis=1) - 1)[rows, cols]
-            stream[rows, at] = x[rows, cols].astype(np.uint32)
-            x[rows, cols] >>= _U(32)
-        q = x // f
-        x = np.where(active, (q << _U(SCALE)) + (x - q * f) + c_of[s], x)
+            moved = y[rows, cols]
+            stream[rows, head[rows] + rank[rows, cols] - 1] = moved.astype(np.uint32)
+            y[rows, cols] = moved >> _U(32)
+        # (q << SCALE) + remainder + start = q * (2**SCALE - f) + y + start
+        z = (y // f_of[s]) * rest[s] + y + c_of[s]
+        x[:blocks] = np.where(active, z, y) if part else z
         if t % CHECKPOINT == 0:
             marks.append((t, x.copy(), head.copy()))
     out = []
