@@ -1,14 +1,14 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-Paragraphs are the lines of a text with at least ``SHORTEST`` words.  As passages also repeat inside
-longer lines, each line is cut further at content-defined places (a word whose fingerprint is the
-smallest among its ``REACH`` neighbours on both sides), so the same passage gives the same pieces
-wherever it stands.  A paragraph's or piece's content is its set of 5-word shingles.
+Paragraphs are the lines of a text; as passages also repeat inside longer lines, a line is cut further
+at content-defined places (a word whose fingerprint is the smallest among its ``REACH`` neighbours on
+both sides), so the same passage gives the same paragraphs wherever it stands.  Those of fewer than
+``SHORTEST`` words are passed over.  A paragraph's content is its set of 5-word shingles.
 
 Equal word sequences are one node.  Contents of at least ``2 / (1 - t)`` shingles can differ inside and
 still have Jaccard >= t = ``percent`` / 100; they get ``bands`` MinHash keys of ``rows`` values.  The
 number of bands is the smallest that finds a pair of similarity t with probability ``recall``:
-``1 - (1 - t**rows)**bands``; lines meet lines and pieces meet pieces.  Colliding contents are compared by their exact Jaccard similarity and
+``1 - (1 - t**rows)**bands``.  Colliding contents are compared by their exact Jaccard similarity and
 joined into components (:mod:`chainlens.llm.pivots`).  Of a component the occurrence in the document
 with the smallest id stays (its first there); the others are removals.  Neighbouring removals of a
 document are merged, and spans of at least ``min_words`` words are removed.
@@ -63,13 +63,13 @@ def _cuts(words: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def _units(data: np.ndarray, offsets: np.ndarray):
-    """``(words, starts of the texts, unit text, unit first word, unit end, is a line)`` of lines and their pieces."""
+    """``(words, starts of the texts, text of each paragraph, its first word, its end)``."""
     words, starts = word_fingerprints(data, offsets)
     n_words = np.diff(starts)
     doc = np.repeat(np.arange(len(n_words)), n_words)
     if not len(words):
         none = np.zeros(0, dtype=np.int64)
-        return words, starts, none, none, none, none.astype(bool)
+        return words, starts, none, none, none
     # a word's line: line breaks before its first byte
     inside = NOT_SPACE[data]
     begins = inside.copy()
@@ -77,17 +77,11 @@ def _units(data: np.ndarray, offsets: np.ndarray):
     edge = offsets[:-1][offsets[:-1] < len(data)]
     begins[edge] = inside[edge]
     line = np.cumsum(data == 10)[np.flatnonzero(begins)] + doc * (len(data) + 1)
-    first, end = [], []
-    for at in (np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])), np.flatnonzero(_cuts(words, line))):
-        stop = np.append(at[1:], len(words))
-        long = stop - at >= SHORTEST
-        first.append(at[long])
-        end.append(stop[long])
-    # a line of one piece is one unit
-    lines = first[0] * (len(words) + 1) + end[0]
-    both = np.unique(np.concatenate([lines, first[1] * (len(words) + 1) + end[1]]))
-    first, end = both // (len(words) + 1), both % (len(words) + 1)
-    return words, starts, doc[first], first, end, np.isin(both, lines)
+    first = np.flatnonzero(_cuts(words, line))
+    end = np.append(first[1:], len(words))
+    long = end - first >= SHORTEST
+    first, end = first[long], end[long]
+    return words, starts, doc[first], first, end
 
 
 def _nodes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -128,7 +122,7 @@ def _unit_rows(percent: int, bands: int, rows: int):
     def scan(batches):
         for b in batches:
             for start, data, offsets in text_chunks(b.column("text")):
-                words, starts, doc, first, end, line = _units(data, offsets)
+                words, starts, doc, first, end = _units(data, offsets)
                 shingles, at = shingle_fingerprints(words, starts, SHINGLE)
                 large = np.flatnonzero(_large(first, end, percent))
                 # a large unit's shingles are one range; the least hash of each range, for each seed
@@ -140,8 +134,7 @@ def _unit_rows(percent: int, bands: int, rows: int):
                     for r in range(rows if len(large) else 0):
                         least = np.minimum.reduceat(mix(shingles ^ seeds[k * rows + r]), edges)[::2]
                         keys[:, k] = mix(keys[:, k] + least)
-                    # lines meet lines and pieces meet pieces: a piece needn't meet the line it is in
-                    keys[:, k] = mix(keys[:, k] ^ (2 * k + 1 + line[large]).astype(np.uint64))
+                    keys[:, k] = mix(keys[:, k] ^ np.uint64(k + 1))
                 n_keys = np.zeros(len(first), dtype=np.int32)
                 n_keys[large] = bands
                 k = len(offsets) - 1
@@ -164,7 +157,7 @@ def _contents(percent: int, wanted: np.ndarray):
     def rows(batches):
         for b in batches:
             for _, data, offsets in text_chunks(b.column("text")):
-                words, _, _, first, end, _ = _units(data, offsets)
+                words, _, _, first, end = _units(data, offsets)
                 nodes = _nodes(words, first, end)
                 some = np.flatnonzero(_large(first, end, percent)
                                       & np.asarray(may_be_wanted(wanted, pa.array(nodes, pa.int64()))))
