@@ -73,14 +73,14 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 #: slots of a key filter for each key, and the bounds of their number (2**27 slots are 16 MiB)
-_SLOTS_PER_KEY, _LEAST_SLOTS, _MOST_SLOTS = 16, 1 << 16, 1 << 27
+_SLOTS_PER_KEY, _LEAST_SLOTS, _MOST_SLOTS = 8, 1 << 16, 1 << 27
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:
     """A bit for each slot that some key (the one bigint column, distinct or not, no NULLs) falls into.
 
     Rows without a wanted key are passed over with it before they are shuffled or worked on.  It holds
-    at most 16 MiB; where keys are more than it tells apart (about 2**25), it lets more rows through,
+    at most 16 MiB; where keys are more than it tells apart (about 2**26), it lets more rows through,
     which costs time and changes no result.
     """
     key = F.col(keys.columns[0])
