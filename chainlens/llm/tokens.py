@@ -21,7 +21,7 @@ _PIECE_BYTES = 200
 _CHUNK = 200
 
 #: a space after white space of any kind (also of characters that only some libraries count so)
-_UNSAFE = re.compile("[\\s\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿] ")
+_UNSAFE = re.compile("[\\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff] ")
 _loaded: dict = {}
 
 
