@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from chainlens.plans.catalog import QUERIES
 from chainlens.plans.oracle import ORACLE
 from tests.conftest import SF_SMALL
-from tests.oracle_check import TABLES, compare, duck
+from tests.oracle_check import TABLES, compare
 
 
 @pytest.fixture(scope="module")
