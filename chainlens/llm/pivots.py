@@ -10,7 +10,8 @@ found at the first of them in a common order (rarest key first), which for both
 but the last ``c - 1`` of the keys they share with anyone; other places aren't looked at.  The common
 keys of the pairs found are then counted.  So every pair that shares enough keys either ends in one
 component without being looked at, or is judged; pairs are about as many as the table's rows unless
-many nodes share many keys without being similar.
+many nodes share many keys without being similar.  For those a caller can give sketches of the nodes
+left, from which the join sees that a pair can't be similar.
 """
 
 from __future__ import annotations
@@ -49,13 +50,16 @@ def _merged(labels: DataFrame | None, more: DataFrame) -> DataFrame:
 
 
 def pivot_classes(product: DataFrame, sizes: DataFrame, needed: Callable[[Column, Column], Column],
-                  similar_sizes: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame]
-                  ) -> DataFrame:
+                  similar_sizes: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame],
+                  sketches: Callable[[DataFrame], DataFrame] | None = None,
+                  close: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``(node, component)`` of all nodes with links; ``component`` is the smallest node.
 
     ``product``: :func:`shared_rows`, without repeated rows; ``sizes``: ``node``, ``n``; ``needed(n_a, n_b)``
     is the least number of common keys of a similar pair (1 or more), ``similar_sizes(n_a, n_b)`` says
     whether the sizes allow one, and ``verified`` returns the similar ones of pairs (``a``, ``b``).
+    ``sketches`` gives (``node``, ``sketch``) of a table of ``node``, and ``close`` says whether two sketches
+    allow a similar pair; it must hold for every similar pair.
     """
     # every row with its node's weight (how many rows the node meets in all its keys), the number of keys
     # the node shares with anyone, and the key's place among them
@@ -89,13 +93,21 @@ def pivot_classes(product: DataFrame, sizes: DataFrame, needed: Callable[[Column
     pivots = rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("x"), "own")).alias("t")).select(
         "key", F.col("t.own").alias("main"))
     rows = written(rows.drop("weight").join(pivots, "key"), "labelled")
+    if sketches is None:
+        rows, close = rows.withColumn("sketch", F.lit(True)), lambda a, b: F.lit(True)
+    else:
+        # only keys that a stray has lead to pairs
+        left = rows.where("own <> main").select("key").distinct()
+        rows = written(rows.join(left, "key", "left_semi"), "strays")
+        of = sketches(written(rows.select("node").distinct(), "nodes"))
+        rows = written(rows.join(of, "node"), "sketched")
     strays = rows.where("own <> main").select(
         "key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("own").alias("cx"),
-        (F.col("held") - F.col("place") + 1).alias("leftx"))
+        (F.col("held") - F.col("place") + 1).alias("leftx"), F.col("sketch").alias("sx"))
     need = needed(F.col("nx"), F.col("n"))
     met = strays.join(rows, "key").where(
         (F.col("own") != F.col("cx")) & ((F.col("own") == F.col("main")) | (F.col("x") < F.col("node")))
-        & similar_sizes(F.col("nx"), F.col("n"))
+        & similar_sizes(F.col("nx"), F.col("n")) & close(F.col("sx"), F.col("sketch"))
         # from here on, this key included, both have keys enough left
         & (F.col("leftx") >= need) & (F.col("held") - F.col("place") + 1 >= need))
     pairs = met.select("x", F.col("node").alias("y"), "nx", F.col("n").alias("ny")).distinct()

@@ -1,15 +1,16 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-Paragraphs are the lines of a text; as passages also repeat inside longer lines, a line is cut further
-at content-defined places (a word whose fingerprint is the smallest among its ``REACH`` neighbours on
-both sides), so the same passage gives the same paragraphs wherever it stands.  Those of fewer than
-``SHORTEST`` words are passed over.  A paragraph's content is its set of 5-word shingles.
+Paragraphs are the lines of a text; as passages also repeat inside longer lines, a line's pieces between
+content-defined places (a word whose fingerprint is the smallest among its ``REACH`` neighbours on both
+sides) are paragraphs, too, so the same passage gives the same ones wherever it stands.  Those of fewer
+than ``SHORTEST`` words are passed over.  A paragraph's content is its set of 5-word shingles.
 
 Equal word sequences are one node.  Contents of at least ``2 / (1 - t)`` shingles can differ inside and
 still have Jaccard >= t = ``percent`` / 100; they get ``bands`` MinHash keys of ``rows`` values.  The
 number of bands is the smallest that finds a pair of similarity t with probability ``recall``:
 ``1 - (1 - t**rows)**bands``.  Colliding contents are compared by their exact Jaccard similarity and
-joined into components (:mod:`chainlens.llm.pivots`).  Of a component the occurrence in the document
+joined into components (:mod:`chainlens.llm.pivots`); pairs whose sets differ in too many parities
+aren't, as they can't be similar.  Of a component the occurrence in the document
 with the smallest id stays (its first there); the others are removals.  Neighbouring removals of a
 document are merged, and spans of at least ``min_words`` words are removed.
 
@@ -35,6 +36,7 @@ from chainlens.llm.pivots import pivot_classes, shared_rows
 SHORTEST = 5
 REACH = 4
 SHINGLE = 5
+PARITIES = 256
 
 
 def tuned_bands(percent: int, recall: float, rows: int = 1) -> int:
@@ -63,7 +65,7 @@ def _cuts(words: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def _units(data: np.ndarray, offsets: np.ndarray):
-    """``(words, starts of the texts, text of each paragraph, its first word, its end)``."""
+    """``(words, starts of the texts, text of each paragraph, its first word, its end)``: lines and their pieces."""
     words, starts = word_fingerprints(data, offsets)
     n_words = np.diff(starts)
     doc = np.repeat(np.arange(len(n_words)), n_words)
@@ -77,10 +79,15 @@ def _units(data: np.ndarray, offsets: np.ndarray):
     edge = offsets[:-1][offsets[:-1] < len(data)]
     begins[edge] = inside[edge]
     line = np.cumsum(data == 10)[np.flatnonzero(begins)] + doc * (len(data) + 1)
-    first = np.flatnonzero(_cuts(words, line))
-    end = np.append(first[1:], len(words))
-    long = end - first >= SHORTEST
-    first, end = first[long], end[long]
+    first, end = [], []
+    for at in (np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])), np.flatnonzero(_cuts(words, line))):
+        stop = np.append(at[1:], len(words))
+        long = stop - at >= SHORTEST
+        first.append(at[long])
+        end.append(stop[long])
+    # a line of one piece is one unit
+    both = np.unique(np.concatenate(first) * (len(words) + 1) + np.concatenate(end))
+    first, end = both // (len(words) + 1), both % (len(words) + 1)
     return words, starts, doc[first], first, end
 
 
@@ -171,6 +178,40 @@ def _contents(percent: int, wanted: np.ndarray):
     return rows
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """A set's size and the parities of its members over ``PARITIES`` slots, as 64-bit words.
+
+    Each member that only one of two sets has changes one parity, so the parities of two sets differ in
+    no more places than the sets.
+    """
+    slot = (mix(shingles ^ np.uint64(_ODD)) >> np.uint64(32)) % np.uint64(PARITIES)
+    odd = np.bincount(slot.astype(np.int64), minlength=PARITIES) & 1
+    return np.append(len(shingles), np.packbits(odd.astype(np.uint8)).view(np.int64))
+
+
+def _sketches(percent: int, wanted: np.ndarray):
+    """The parities of the contents of :func:`_contents`."""
+    def rows(batches):
+        for b in _contents(percent, wanted)(batches):
+            sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in b.column("set")]
+            sketch = np.array([_parities(s) for s in sets], dtype=np.int64).reshape(len(sets), 1 + PARITIES // 64)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel()), sketch.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column("node"), flat.cast(pa.list_(pa.int64()))], ["node", "sketch"])
+
+    return rows
+
+
+def _close(percent: int):
+    """Whether two sketches allow Jaccard >= t: the sets differ in at most (1 - t) / (1 + t) of their sizes' sum."""
+    def holds(a, b):
+        n, m = a[0], b[0]
+        apart = reduce(lambda x, y: x + y, [F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, 1 + PARITIES // 64)])
+        return ((F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+                & (apart * (100 + percent) <= (n + m) * (100 - percent)))
+
+    return holds
+
+
 def _rows_of(wanted: np.ndarray):
     """Units whose node may be wanted."""
     def rows(batches):
@@ -270,7 +311,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             _jaccard, "a bigint, b bigint, inter bigint, `union` bigint")
         return found.where(F.col("inter") * 100 >= F.col("union") * percent).select("a", "b")
 
-    classes = pivot_classes(product, sizes, lambda a, b: F.lit(1), lambda a, b: F.lit(True), verified)
+    def sketches(nodes):
+        found = texts.select("text").mapInArrow(_sketches(percent, key_filter(nodes)), "node bigint, sketch array<bigint>")
+        return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+    classes = pivot_classes(product, sizes, lambda a, b: F.lit(1), lambda a, b: F.lit(True), verified, sketches,
+                            _close(percent))
 
     # Contents that stand in more than one place (a row repeated with one id and text is one place) ...
     places = units.select("id", "text_hash", "u.first", F.col("u.node").alias("node")).groupBy("node").agg(

@@ -54,6 +54,53 @@ def test_a_changed_paragraph_is_found_by_its_bands(spark):
     assert found >= 11 and not any(got[2 * i].removed for i in range(12))
 
 
+def test_lines_with_changes_inside_are_found(spark):
+    """Line pairs of Jaccard 0.80 to 0.90 by brute force, with the query's parameters."""
+    rng = random.Random(7)
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    pairs = []
+    while len(pairs) < 100:
+        n = rng.randrange(50, 151)
+        w = fx.prose(rng, n, 10**6).split()
+        v = list(w)
+        for _ in range(rng.randrange(1, 4)):
+            v[rng.randrange(6, n - 6)] = f"e{rng.randrange(10**6)}"
+        a, b = " ".join(w), " ".join(v)
+        j = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        if 0.8 <= j <= 0.9:
+            pairs.append((a, b))
+    data = [(2 * i + k, pair[k], "a") for i, pair in enumerate(pairs) for k in (0, 1)]
+    got = {r.doc_id: r for r in repeated_passages(fx.frame(spark, data)).collect()}
+    whole = sum(got[2 * i + 1].removed_words == got[2 * i + 1].n_words and got[2 * i + 1].kept_in == [2 * i]
+                for i in range(len(pairs)))
+    assert whole >= 0.9 * len(pairs) and not any(got[2 * i].removed for i in range(len(pairs)))
+
+
+def test_sketches_leave_out_no_similar_pair(spark):
+    """Sets of Jaccard >= 0.8 pass for certain; far ones hardly ever."""
+    import numpy as np
+
+    from chainlens.llm import substring_dedup as s
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(300):
+        n = int(rng.integers(4, 120))
+        members = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+        common = int(rng.integers(0, n + 1))
+        x, y = members[:n], np.concatenate([members[:common], members[n:2 * n - common]])
+        rows.append((s._parities(x).tolist(), s._parities(y).tolist(), common * 100 >= (2 * n - common) * 80,
+                     common < n // 2))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, similar boolean, far boolean")
+    got = df.select(s._close(80)(df.a, df.b).alias("passes"), "similar", "far").collect()
+    assert all(r.passes for r in got if r.similar) and any(r.similar for r in got)
+    assert sum(r.passes for r in got if r.far) <= 0.02 * sum(r.far for r in got)
+
+
 def chunk(text):
     import numpy as np
 
