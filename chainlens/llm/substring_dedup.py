@@ -2,8 +2,10 @@
 
 Paragraphs are the lines of a text; as passages also repeat inside longer lines, a line's pieces between
 content-defined places (a word whose fingerprint is the smallest among its ``REACH`` neighbours on both
-sides) are paragraphs, too, so the same passage gives the same ones wherever it stands.  Those of fewer
-than ``SHORTEST`` words are passed over.  A paragraph's content is its set of 5-word shingles.
+sides) are paragraphs, too, so the same passage gives the same ones wherever it stands.  Neighbouring
+lines of fewer than ``SHORTEST`` words are one line; one that is still shorter stands in two paragraphs,
+with the last piece before it and with the first one after it, so only a text of fewer words has none.
+A paragraph's content is its set of 5-word shingles.
 
 Equal word sequences are one node.  Contents of at least ``2 / (1 - t)`` shingles can differ inside and
 still have Jaccard >= t = ``percent`` / 100; they get ``bands`` MinHash keys of ``rows`` values.  The
@@ -59,11 +61,23 @@ def _cuts(words: np.ndarray, line: np.ndarray) -> np.ndarray:
         low[:-k] &= same
         low[:k] = False
         low[n - k:] = False
+    # nor does a line begin with a piece below SHORTEST
+    low[SHORTEST:] &= line[SHORTEST:] == line[:-SHORTEST]
+    low[:SHORTEST] = False
     low[:1] = True
     low[1:] |= line[1:] != line[:-1]
     return low
 
 
+def _joined(line: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Each word's line, where a text's neighbouring lines below ``SHORTEST`` words are one line."""
+    at = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    short = np.diff(np.append(at, len(line))) < SHORTEST
+    begins = np.ones(len(at), dtype=bool)
+    begins[1:] = ~(short[1:] & short[:-1]) | (doc[at[1:]] != doc[at[:-1]])
+    return np.repeat(np.cumsum(begins), np.diff(np.append(at, len(line))))
+
+
 def _units(data: np.ndarray, offsets: np.ndarray):
     """``(words, starts of the texts, text of each paragraph, its first word, its end)``: lines and their pieces."""
     words, starts = word_fingerprints(data, offsets)
@@ -79,12 +93,25 @@ def _units(data: np.ndarray, offsets: np.ndarray):
     edge = offsets[:-1][offsets[:-1] < len(data)]
     begins[edge] = inside[edge]
     line = np.cumsum(data == 10)[np.flatnonzero(begins)] + doc * (len(data) + 1)
+    line = _joined(line, doc)
+    pieces = np.flatnonzero(_cuts(words, line))
     first, end = [], []
-    for at in (np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])), np.flatnonzero(_cuts(words, line))):
+    for at in (np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])), pieces):
         stop = np.append(at[1:], len(words))
         long = stop - at >= SHORTEST
         first.append(at[long])
         end.append(stop[long])
+    # what is still short goes with the last piece before it and with the first one after it
+    stop = np.append(pieces[1:], len(words))
+    of = doc[pieces]
+    lone = np.flatnonzero(stop - pieces < SHORTEST)
+    before = lone[(lone > 0) & (of[lone] == of[lone - 1])]
+    first.append(pieces[before - 1])
+    end.append(stop[before])
+    after = lone[lone + 1 < len(pieces)]
+    after = after[of[after] == of[after + 1]]
+    first.append(pieces[after])
+    end.append(stop[after + 1])
     # a line of one piece is one unit
     both = np.unique(np.concatenate(first) * (len(words) + 1) + np.concatenate(end))
     first, end = both // (len(words) + 1), both % (len(words) + 1)

@@ -79,6 +79,36 @@ def test_lines_with_changes_inside_are_found(spark):
     assert whole >= 0.9 * len(pairs) and not any(got[2 * i].removed for i in range(len(pairs)))
 
 
+def test_passages_of_short_lines_are_found(spark):
+    """Verse, lists and tables: 60 words in lines of 3 or 4, and lines of 15 and 3 words by turns."""
+    rng = random.Random(9)
+
+    def lines(sizes):
+        return "\n".join(fx.prose(rng, k, 10**6) for k in sizes)
+
+    passages = [lines([4] * 15), lines([3] * 20), lines([15, 3] * 4), lines([3, 15] * 4)]
+    data = []
+    for i, p in enumerate(passages):
+        data += [(10 * i + k, f"{fx.prose(rng, 30, 10**6)}\n{p}\n{fx.prose(rng, 30, 10**6)}", "a") for k in (0, 1)]
+    got = {r.doc_id: r for r in repeated_passages(fx.frame(spark, data)).collect()}
+    for i, p in enumerate(passages):
+        n = len(p.split())
+        assert [(s.start, s.end) for s in got[10 * i + 1].removed] == [(30, 30 + n)]
+        assert got[10 * i].removed == [] and got[10 * i + 1].kept_in == [10 * i]
+
+
+def test_every_word_is_in_a_paragraph():
+    from chainlens.llm import substring_dedup as s
+
+    rng = random.Random(10)
+    for _ in range(300):
+        sizes = [rng.choice([1, 2, 4, 5, 9, 40]) for _ in range(rng.randrange(1, 12))]
+        if sum(sizes) >= s.SHORTEST:
+            _, _, _, first, end = s._units(*chunk("\n".join(fx.prose(rng, k, 10**6) for k in sizes)))
+            inside = {w for a, z in zip(first.tolist(), end.tolist()) for w in range(a, z)}
+            assert inside == set(range(sum(sizes))) and (end - first).min() >= s.SHORTEST
+
+
 def test_sketches_leave_out_no_similar_pair(spark):
     """Sets of Jaccard >= 0.8 pass for certain; far ones hardly ever."""
     import numpy as np
