@@ -7,7 +7,7 @@ lines of fewer than ``SHORTEST`` words are one line; one that is still shorter s
 with the last piece before it and with the first one after it, so only a text of fewer words has none.
 A paragraph's content is its set of 5-word shingles.
 
-Equal word sequences are one node.  Contents of at least ``2 / (1 - t)`` shingles can differ inside and
+Equal word sequences are one node.  Contents of at least ``t / (1 - t)`` shingles can differ and
 still have Jaccard >= t = ``percent`` / 100; they get ``bands`` MinHash keys of ``rows`` values.  The
 number of bands is the smallest that finds a pair of similarity t with probability ``recall``:
 ``1 - (1 - t**rows)**bands``.  Colliding contents are compared by their exact Jaccard similarity and
@@ -145,8 +145,8 @@ def _power(exponent: np.ndarray) -> np.ndarray:
 
 
 def _large(first: np.ndarray, end: np.ndarray, percent: int) -> np.ndarray:
-    """Units with shingles enough that two different ones can be similar after a change inside them."""
-    least = 2 * math.ceil(100 / (100 - percent)) if percent < 100 else 1 << 30
+    """Units with shingles enough that one more or less leaves two different ones similar."""
+    least = math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 30
     return end - first - SHINGLE + 1 >= least
 
 

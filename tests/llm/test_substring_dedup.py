@@ -79,6 +79,21 @@ def test_lines_with_changes_inside_are_found(spark):
     assert whole >= 0.9 * len(pairs) and not any(got[2 * i].removed for i in range(len(pairs)))
 
 
+def test_small_lines_that_differ_at_their_end_are_found(spark):
+    """Lists of 8- to 13-word lines with a word more at each end (Jaccard 4/5 to 9/10), or of 13 with another last word."""
+    rng = random.Random(11)
+    data = []
+    for i in range(40):
+        sizes = [rng.randrange(8, 14) for _ in range(6)] if i % 2 else [13] * 6
+        lines = [fx.prose(rng, k, 10**6).split() for k in sizes]
+        other = [v + ["more"] if i % 2 else v[:-1] + [f"e{rng.randrange(10**6)}"] for v in lines]
+        data += [(2 * i + k, "\n".join(" ".join(v) for v in text), "a") for k, text in enumerate((lines, other))]
+    got = {r.doc_id: r for r in repeated_passages(fx.frame(spark, data)).collect()}
+    later = [got[2 * i + 1] for i in range(40)]
+    assert sum(r.removed_words for r in later) >= 0.95 * sum(r.n_words for r in later)
+    assert not any(got[2 * i].removed for i in range(40))
+
+
 def test_passages_of_short_lines_are_found(spark):
     """Verse, lists and tables: 60 words in lines of 3 or 4, and lines of 15 and 3 words by turns."""
     rng = random.Random(9)
