@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from chainlens.llm.centroid_clusters import centroid_clusters
 from chainlens.llm.decontaminate import benchmark_verdicts
 from chainlens.llm.exact_dedup import exact_dedup
+from chainlens.llm.merkle import manifest
 from chainlens.llm.mixing import mix_sources
 from chainlens.llm.ngram_join import ngram_jaccard_classes
 from chainlens.llm.quality import quality_scores
@@ -67,6 +71,14 @@ def op10_quality(spark, sf_dir):
     return quality_scores(_table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clusters(spark, sf_dir):
+    return centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return manifest(_table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_dedup": op2_exact_dedup,
@@ -78,10 +90,99 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
     "op10_quality": op10_quality,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _clusters(k: int = 40, dims: int = 64, rounds: int = 5) -> str:
+    """SQL of op12: each round is an assignment of long rows (vector, component) and a new table of centroids."""
+    ctes = [f"""
+        kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS v, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+            FROM embeddings WHERE len(embedding) = {dims}
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        part AS MATERIALIZED (SELECT v, unnest(range({dims})) AS j, unnest(x) AS x FROM kept),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, v FROM kept
+            QUALIFY c < {k}),
+        m0 AS MATERIALIZED (SELECT c, j, x FROM c0 JOIN part USING (v))"""]
+    for r in range(rounds + 1):
+        ctes.append(f"""
+        a{r} AS MATERIALIZED (
+            SELECT v, min({{'d': d, 'c': c}}) AS near FROM (
+                SELECT v, c, sum((p.x - m.x) * (p.x - m.x)) AS d FROM part p JOIN m{r} m USING (j) GROUP BY v, c)
+            GROUP BY v)""")
+        if r < rounds:
+            ctes.append(f"""
+        m{r + 1} AS MATERIALIZED (
+            SELECT m.c, m.j, coalesce(s.t // s.n - CASE WHEN s.t % s.n < 0 THEN 1 ELSE 0 END, m.x) AS x FROM m{r} m
+            LEFT JOIN (SELECT near.c AS c, j, sum(x)::BIGINT AS t, count(*) AS n FROM a{r} JOIN part USING (v) GROUP BY ALL) s
+            ON s.c = m.c AND s.j = m.j)""")
+    return f"""WITH {",".join(ctes)},
+        named AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS sha FROM m{rounds} GROUP BY c)
+        SELECT vec_id, near.c::INT AS cluster, near.d::BIGINT AS distance,
+               sum(near.d) OVER (PARTITION BY near.c)::BIGINT AS cluster_inertia, sum(near.d) OVER ()::BIGINT AS inertia,
+               sha AS centroid_sha256
+        FROM a{rounds} JOIN kept USING (v) JOIN named ON named.c = near.c"""
+
+
+def _framed(*fields: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
+#: CRC-32 of an ASCII text, bit by bit
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)),
+            lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)),
+                lambda a, i: xor(a >> 1, (a & 1) * 3988292384))), 4294967295)"""
+
+_MERKLE = f"""
+        WITH RECURSIVE leaves AS MATERIALIZED (
+            SELECT row_number() OVER () AS d, doc_id, lang, {_framed("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+                   CASE WHEN {_CRC.format("doc_id::VARCHAR")} % 3 = 0 THEN {_framed("doc_id", "source", "lang", "n_chars",
+                        "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+            FROM documents),
+        placed AS MATERIALIZED (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+                   count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+        node AS (
+            SELECT lang, 0 AS level, place, n, leaf AS h FROM placed
+            UNION ALL
+            SELECT lang, level + 1, place // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY place))
+            FROM node WHERE n > 1 GROUP BY lang, level, place // 8, n),
+        low AS MATERIALIZED (SELECT * FROM node),
+        sub AS MATERIALIZED (
+            SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n, level
+            FROM low WHERE n = 1),
+        peak AS (
+            SELECT 0 AS level, place, n, subroot AS h FROM sub
+            UNION ALL
+            SELECT level + 1, place // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY place))
+            FROM peak WHERE n > 1 GROUP BY level, place // 8, n),
+        high AS MATERIALIZED (SELECT * FROM peak),
+        steps AS (
+            SELECT p.d, s.level, coalesce(string_agg(s.h, '' ORDER BY s.place) FILTER (s.place < p.place >> (3 * s.level)), '') AS l,
+                   coalesce(string_agg(s.h, '' ORDER BY s.place) FILTER (s.place > p.place >> (3 * s.level)), '') AS r
+            FROM placed p JOIN low s ON s.lang IS NOT DISTINCT FROM p.lang AND s.n > 1
+             AND s.place // 8 = p.place >> (3 * s.level + 3) GROUP BY p.d, s.level, p.place
+            UNION ALL
+            SELECT p.d, sub.level + s.level,
+                   coalesce(string_agg(s.h, '' ORDER BY s.place) FILTER (s.place < sub.place >> (3 * s.level)), ''),
+                   coalesce(string_agg(s.h, '' ORDER BY s.place) FILTER (s.place > sub.place >> (3 * s.level)), '')
+            FROM placed p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang JOIN high s ON s.n > 1
+             AND s.place // 8 = sub.place >> (3 * s.level + 3) GROUP BY p.d, sub.level, s.level, sub.place),
+        path AS MATERIALIZED (
+            SELECT p.d, any_value(p.doc_id) AS doc_id, any_value(p.lang) AS lang, any_value(p.leaf) AS leaf,
+                   sha256(coalesce(string_agg(s.l || s.r, '' ORDER BY s.level), '')) AS proof_sha256,
+                   list_reduce(list_prepend([coalesce(any_value(p.changed), any_value(p.leaf))],
+                       coalesce(list([s.l, s.r] ORDER BY s.level) FILTER (s.level IS NOT NULL), [])),
+                       lambda a, s: [sha256(s[1] || a[1] || s[2])])[1] AS folded_root
+            FROM placed p LEFT JOIN steps s ON s.d = p.d GROUP BY p.d)
+        SELECT doc_id, leaf, subroot, top.h AS root, proof_sha256, folded_root, folded_root = top.h AS verified
+        FROM path JOIN sub ON sub.lang IS NOT DISTINCT FROM path.lang, (SELECT h FROM high WHERE n = 1) AS top"""
+
 #: the queries that SQL can express (op3, op5, op6, op7, op9 and op10 have models or libraries in them)
 ORACLE = {
     "op1_ngram_jaccard": rf"""
@@ -141,4 +242,6 @@ ORACLE = {
                sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
         FROM doc d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
+    "op12_centroid_clusters": _clusters(),
+    "op13_merkle_manifest": _MERKLE,
 }
