@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chainlens.llm.centroid_clusters import centroid_clusters
 from chainlens.llm.decontaminate import benchmark_verdicts
 from chainlens.llm.exact_dedup import exact_dedup
+from chainlens.llm.language_id import language_id
 from chainlens.llm.merkle import manifest
 from chainlens.llm.mixing import mix_sources
 from chainlens.llm.ngram_join import ngram_jaccard_classes
@@ -71,6 +72,10 @@ def op10_quality(spark, sf_dir):
     return quality_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark, sf_dir):
+    return language_id(_table(spark, sf_dir, "documents"), held_out=F.crc32(F.col("doc_id").cast("string")) % 3 == 1)
+
+
 def op12_centroid_clusters(spark, sf_dir):
     return centroid_clusters(_table(spark, sf_dir, "embeddings"))
 
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
     "op10_quality": op10_quality,
+    "op11_language_id": op11_language_id,
     "op12_centroid_clusters": op12_centroid_clusters,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -183,7 +189,7 @@ _MERKLE = f"""
         SELECT doc_id, leaf, subroot, top.h AS root, proof_sha256, folded_root, folded_root = top.h AS verified
         FROM path JOIN sub ON sub.lang IS NOT DISTINCT FROM path.lang, (SELECT h FROM high WHERE n = 1) AS top"""
 
-#: the queries that SQL can express (op3, op5, op6, op7, op9 and op10 have models or libraries in them)
+#: the queries that SQL can express (op3, op5, op6, op7, op9, op10 and op11 have models or libraries in them)
 ORACLE = {
     "op1_ngram_jaccard": rf"""
         WITH RECURSIVE words AS (

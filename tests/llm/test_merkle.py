@@ -92,7 +92,7 @@ def test_empty(spark):
 
 def test_blocks_and_stored_levels(spark):
     """A stored row holds at most 512 nodes, and only every ``STRIDE``-th level is stored."""
-    data = docs(1500, ["en", "en", "de"])
+    data = docs(1000, ["en"]) + docs(300, ["de"])
     leaves = spark.createDataFrame([(r[2], r[0], leaf(r)) for r in data], "tree string, id long, leaf string")
     stored = m.build(m.numbered(leaves, ["id"]), ["id"])
     assert [s.selectExpr("max(size(members)) n").first().n for s in stored] == [512, 2]
