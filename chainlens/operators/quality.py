@@ -68,11 +68,10 @@ def defect_stats_by_product(insp: DataFrame, digits: int | None = None) -> DataF
     rate) -> count table that also carries the defect and unit sums (bounded by
     products x the DECIMAL(6,4) domain); the median comes from its distributed
     cumulative counts, and in the same pass mean and sd from moment sums over the rate in integer
-    units of 10**-4, so no product of sums is cut to a decimal's scale.
+    units of 10**-4, so no product of sums is cut to a decimal's scale.  A product whose
+    inspections are all NULL keeps its row.
     """
     weighted = with_inspection_weights(insp)
-    weighted = weighted.where(F.col("defect_rate").isNotNull() | F.col("defects_found").isNotNull()
-                              | F.col("batch_size").isNotNull())
     c, v = F.col("_cl_c").cast("decimal(18,0)"), F.round(F.col("_cl_v") * _RATE_UNIT).cast("decimal(10,0)")
     n, s1, s2 = F.col("_n"), F.col("_s1"), F.col("_s2")
     sums = exact_quantiles(

@@ -1,5 +1,7 @@
 """Physical-plan properties the design relies on."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -132,3 +134,25 @@ def test_order_totals_reuse_partitioning_for_the_join(spark):
     agg = next(i for i in range(smj, len(lines)) if "HashAggregate(keys=[order_id" in lines[i])
     # only a local Sort may sit between the join and the per-order aggregate
     assert all("Exchange" not in line for line in lines[smj:agg]), p
+
+
+@pytest.mark.parametrize("name", ["network_stats", "network_stats_by_key", "revenue_summary", "lead_time_summary",
+                                  "lead_time_stats", "defect_stats_by_product", "revenue_by_customer",
+                                  "revenue_by_customer_key", "revenue_by_customer_share"])
+def test_facts_are_scanned_once(spark, no_broadcast, name):
+    """In the final adaptive plan, where reused exchanges stand without what is below them."""
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final
+    for table in ("lineitem", "orders", "part", "customer"):
+        assert len(re.findall(rf"FileScan parquet.*/{table}\.parquet", final)) <= 1, table
+
+
+def test_prefix_sum_joins_on_the_window_partitioning(spark, no_broadcast):
+    """The rows are shuffled once to their buckets: the join with the offsets adds no exchange to them."""
+    df = QUERIES["revenue_summary"](spark, SF)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # to the buckets: the rows, their sums, and the offsets
+    assert "isnull(_cl_bucket" not in final and len(re.findall(r"hashpartitioning\(_cl_(?:o__cl_)?bucket", final)) == 3

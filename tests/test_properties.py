@@ -120,3 +120,39 @@ def test_grouped_quantiles_keep_null_group(spark):
     df = spark.createDataFrame([(None, 1), (None, 3), ("a", 5)], "g string, x long")
     got = {r.g: r.med for r in exact_quantiles(df, "x", [0.5], ["med"], by=["g"]).collect()}
     assert got == {None: 2.0, "a": 5.0}
+
+
+def _serial(rows, key, descending):
+    expect, acc = {}, None
+    nulls = sorted((r for r in rows if r[1] is None), key=key)
+    some = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1] if descending else r[1], key(r)))
+    for r in some + nulls:
+        if r[1] is not None:
+            acc = r[1] + (acc or 0)
+        expect[r[0]] = acc
+    return expect
+
+
+@settings(**SETTINGS)
+@given(values=st.lists(st.sampled_from([0, 0, 0, 5, 5, 6, -3, None, None, 1000]), min_size=1, max_size=200),
+       descending=st.booleans(), hot=st.integers(1, 40), text=st.booleans())
+def test_running_sum_with_hot_values(spark, values, descending, hot, text):
+    """Values that many rows hold are cut into slices by their ties; the sums stay those of one sorted pass."""
+    name = lambda i: f"customer-{i * 7919 % 1009}" if text else i * 7919 % 1009
+    rows = [(name(i), v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, f"k {'string' if text else 'long'}, v long").repartition(3)
+    got = dict(running_sum(df, "v", "v", "run", descending=descending, ties=["k"], hot_rows=hot).select("k", "run").collect())
+    assert got == _serial(rows, lambda r: r[0], descending)
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_hot_values_bound_a_window_partition(spark, text):
+    """A third of the rows zero, a third NULL: no window partition holds more than a few times ``hot_rows``."""
+    from chainlens.functions import windows as w
+
+    key = F.format_string("C%09d", "id") if text else F.col("id")
+    df = spark.range(9000).select(key.alias("k"), F.when(F.col("id") % 3 == 0, 0.0).when(
+        F.col("id") % 3 == 1, F.col("id") / 7).alias("v"))
+    rows = w._sliced(df.withColumn(w._BUCKET, w.sort_bucket("v")), w.whole_row(df), F.col("v"), False, "k", [], 100)
+    most = rows.groupBy(w._BUCKET, w._PLACE, w._SLICE).count().agg(F.max("count")).first()[0]
+    assert most <= 1200 if text else most <= 200
