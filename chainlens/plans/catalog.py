@@ -8,11 +8,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from chainlens.functions import constants as K
 from chainlens.functions.numeric import as_double
-from chainlens.operators import (checks, cohort, dashboard, events, feedback, network, plant, quality, revenue,
-                                 rolling, sla, stats, suppliers)
+from chainlens.operators import (checks, cohort, dashboard, distinct, documents, events, feedback, incremental, network,
+                                 plant, quality, revenue, rolling, sketches, sla, stats, suppliers)
 from chainlens.sources import readers
 from chainlens.sources import testdata as td
 from chainlens.sources.testdata import Tables
@@ -460,5 +461,83 @@ def q_decimal_conformity(spark, d):
     return checks.decimal_conformity(li, spec, "lineitem")
 
 
+def q_events_flat_variant(spark, d):
+    # the documents as JSON text, parsed once each to VARIANT and read by path
+    docs = td.machine_events(_t(spark, d))
+    parsed = documents.parse_documents(td.document_texts(docs, F.struct(F.col("plant").alias("plant"))))
+    return events.flatten_events(documents.structured(parsed, td.document_schema(docs)))
+
+
+def q_feedback_flat_variant(spark, d):
+    docs = td.customer_feedback(_t(spark, d))
+    parsed = documents.parse_documents(td.document_texts(docs))
+    return feedback.flatten_feedback(documents.structured(parsed, td.document_schema(docs)))
+
+
+def q_document_unknown_keys(spark, d):
+    # feedback documents against a schema that declares neither their tags nor the resolution's owner
+    docs = td.customer_feedback(_t(spark, d))
+    parsed = documents.parse_documents(td.document_texts(docs))
+    known = StructType([StructField(f.name, StructType([x for x in f.dataType.fields if x.name != "owner"]))
+                        if f.name == "resolution" else f for f in docs.schema.fields if f.name != "tags"])
+    return documents.unknown_key_summary(documents.unknown_keys(parsed, known, "$.feedback_id"))
+
+
+SKETCH_PROBS, SKETCH_NAMES = (0.25, 0.5, 0.75, 0.95), ("q1", "median", "q3", "p95")
+
+
+def _revenue_sketches(t):
+    return sketches.value_sketches(_lines(t, dims=()), ["order_date"], "revenue")
+
+
+def _year_sketches(t):
+    return sketches.roll_up(_revenue_sketches(t), [F.year("order_date").alias("year")])
+
+
+def q_revenue_sketch_quantiles(spark, d):
+    # a sketch per day, merged to years; no value is read twice
+    return sketches.sketch_quantiles(_year_sketches(_t(spark, d)), SKETCH_PROBS, SKETCH_NAMES).orderBy("year")
+
+
+def q_revenue_sketch_audit(spark, d):
+    # exact counts and extremes from the same sketch rows, and whether each quantile's true rank is within 2 %
+    t = _t(spark, d)
+    q = sketches.sketch_quantiles(_year_sketches(t), SKETCH_PROBS, SKETCH_NAMES)
+    facts = _lines(t, dims=()).withColumn("year", F.year("order_date"))
+    off = sketches.rank_errors(facts, q, ["year"], "revenue", SKETCH_PROBS, SKETCH_NAMES)
+    ok = off.select(F.col("year").alias("_y"), *[(F.col(n) <= 0.02).alias(f"{n}_within") for n in SKETCH_NAMES])
+    return (q.join(ok, F.col("year").eqNullSafe(F.col("_y"))).select(
+        F.col("year").cast("long").alias("year"), F.col("n").alias("lines"), as_double("total").alias("total_revenue"),
+        as_double("smallest").alias("smallest"), as_double("largest").alias("largest"),
+        *[f"{n}_within" for n in SKETCH_NAMES]).orderBy("year"))
+
+
+def q_distinct_customers_calendar(spark, d):
+    return distinct.calendar_distinct(revenue.delivered(td.order_heads(_t(spark, d), DELIVERED, dims=())),
+                                      "order_date", "c_custkey", "customers")
+
+
+def q_distinct_parties_by_month(spark, d):
+    # several distinct counts per group from bitmaps: no row is expanded for the shuffle
+    lines = _lines(_t(spark, d), dims=()).withColumn("month", F.date_format("order_date", "yyyy-MM"))
+    return distinct.distinct_columns(lines, ["month"], {"customers": "c_custkey", "suppliers": "supplier_id",
+                                                         "orders": "order_id"}).orderBy("month")
+
+
+def _incremental_days(t):
+    load, gone, fresh = td.corrected_lines(t)
+    state = incremental.daily_changes(load)
+    return incremental.days(incremental.merge(state, incremental.daily_changes(incremental.signed(gone, -1)),
+                                              incremental.daily_changes(incremental.signed(fresh, 1))))
+
+
+def q_monthly_revenue_incremental(spark, d):
+    return revenue.monthly_revenue_mom(_incremental_days(_t(spark, d)))
+
+
+def q_rolling_30d_incremental(spark, d):
+    return rolling.rolling_revenue(revenue.daily_revenue(_incremental_days(_t(spark, d))))
+
+
 QUERIES: dict[str, Query] = {name[2:]: fn for name, fn in list(globals().items())
                              if name.startswith("q_") and callable(fn)}

@@ -587,3 +587,32 @@ ORACLE: dict[str, str] = {
         for c, (p, s) in {"l_extendedprice": (10, 2), "l_discount": (5, 3), "l_tax": (6, 4),
                           "l_quantity": (4, 0)}.items()),
 }
+
+_WITHIN = ", ".join(f"TRUE AS {n}_within" for n in ("q1", "median", "q3", "p95"))
+
+# other ways to the same analyses, and analyses over the mergeable forms
+ORACLE |= {
+    "events_flat_variant": ORACLE["events_flat"],
+    "feedback_flat_variant": ORACLE["feedback_flat"],
+    "document_unknown_keys": sql("""
+        SELECT '$.tags' AS path, 'ARRAY<STRING>' AS kind, CAST(COUNT(*) AS BIGINT) AS documents FROM v_feedback HAVING COUNT(*) > 0
+        UNION ALL
+        SELECT '$.resolution.owner', 'STRING', CAST(COUNT(owner) AS BIGINT) FROM v_feedback HAVING COUNT(owner) > 0"""),
+    "revenue_sketch_audit": sql(f"""
+        SELECT CAST(year(order_date) AS BIGINT) AS year, CAST(COUNT(revenue) AS BIGINT) AS lines,
+               CAST(SUM(revenue) AS DOUBLE) AS total_revenue, CAST(MIN(revenue) AS DOUBLE) AS smallest,
+               CAST(MAX(revenue) AS DOUBLE) AS largest, {_WITHIN}
+        FROM v_orders WHERE {DEL} GROUP BY 1"""),
+    "distinct_customers_calendar": sql(f"""
+        SELECT strftime(order_date, '%Y-%m') AS period, COUNT(DISTINCT c_custkey) AS customers FROM v_order_heads
+        WHERE {DEL} GROUP BY 1 HAVING COUNT(c_custkey) > 0
+        UNION ALL SELECT strftime(order_date, '%Y'), COUNT(DISTINCT c_custkey) FROM v_order_heads WHERE {DEL} GROUP BY 1
+        HAVING COUNT(c_custkey) > 0
+        UNION ALL SELECT 'all', COUNT(DISTINCT c_custkey) FROM v_order_heads WHERE {DEL} HAVING COUNT(c_custkey) > 0"""),
+    "distinct_parties_by_month": sql(f"""
+        SELECT strftime(order_date, '%Y-%m') AS month, COUNT(DISTINCT c_custkey) AS customers,
+               COUNT(DISTINCT supplier_id) AS suppliers, COUNT(DISTINCT order_id) AS orders
+        FROM v_orders WHERE {DEL} GROUP BY 1"""),
+    "monthly_revenue_incremental": ORACLE["monthly_revenue_mom"],
+    "rolling_30d_incremental": ORACLE["rolling_30d_revenue"],
+}

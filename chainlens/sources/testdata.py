@@ -24,7 +24,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DecimalType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DecimalType, DoubleType, StringType, StructField, StructType
 
 from chainlens.functions import constants as K
 
@@ -306,3 +306,30 @@ def customer_feedback(t: Tables, sparse_tags: bool = False) -> DataFrame:
         .otherwise("neutral").alias("sentiment"),
         (doc % 2 == 0).alias("follow_up_required"),
         resolution.alias("resolution"))
+
+
+def document_texts(docs: DataFrame, extra: Column | None = None) -> DataFrame:
+    """Documents as JSON text (``text``), as a collection's export has them: absent values have no key, times
+    are ISO text; ``extra`` adds a key ``source`` that the declared schema doesn't know."""
+    cols = [F.date_format(c.name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c.name)
+            if c.dataType.simpleString().startswith("timestamp") else F.col(c.name) for c in docs.schema.fields]
+    return docs.select(F.to_json(F.struct(*cols, *([extra.alias("source")] if extra is not None else []))).alias("text"))
+
+
+def document_schema(docs: DataFrame) -> StructType:
+    """The declared schema of such texts: times are text."""
+    return StructType([StructField(f.name, StringType()) if f.dataType.simpleString().startswith("timestamp") else f
+                       for f in docs.schema.fields])
+
+
+def corrected_lines(t: Tables):
+    """Order lines as a load and the changes after it: ``(first load, retractions, insertions)``.
+
+    The first load has the odd lines, line 1 with a wrong price; then line 1 is taken back and put right, and the even lines arrive.
+    """
+    lines = orders_lines(t, dims=())
+    odd, first = F.col("line_number") % 2 == 1, F.col("line_number") == 1
+    wrong = F.when(first, F.col("revenue") + F.col("quantity").cast("int")).otherwise(F.col("revenue"))
+    load = lines.where(odd).withColumn("revenue", wrong.cast("decimal(14,2)"))
+    # each of the three reads whole tables; together they are every line
+    return load, load.where(first), lines.where(first | ~odd)
