@@ -28,7 +28,10 @@ def main(argv=None) -> int:
     src.add_argument("--sf-dir")
     ap.add_argument("--out", required=True)
     ap.add_argument("--format", choices=["csv", "parquet", "json"], default="csv")
-    ap.add_argument("--json-lines", action="store_true", help="documents are JSON Lines, not one array per file")
+    ap.add_argument("--json-arrays", action="store_true",
+                    help="documents are one JSON array per file (each read by one task), not JSON Lines")
+    ap.add_argument("--json-lines", action="store_true", help="documents are JSON Lines (the default)")
+    ap.add_argument("--publish", metavar="RUN_ID", help="verify each result and switch to it under this run id")
     ap.add_argument("--master", default=None)
     ap.add_argument("--dashboard", action="store_true",
                     help="write the six dashboard datasets from one pass over each source")
@@ -41,7 +44,7 @@ def main(argv=None) -> int:
     if a.data_dir:
         from chainlens.plans import domain
 
-        d = domain.load(spark, a.data_dir, json_lines=a.json_lines)
+        d = domain.load(spark, a.data_dir, json_lines=not a.json_arrays)
         run = {k: (lambda f=f: f(d)) for k, f in domain.DOMAIN_QUERIES.items()}
         bundle_inputs = lambda: (d.orders, d.inspections, d.events)
     else:
@@ -61,6 +64,10 @@ def main(argv=None) -> int:
         built = dashboard_bundle(*bundle_inputs())
         run = {k: (lambda v=v: v) for k, v in built.items()}
     writer = {"csv": sinks.write_csv, "parquet": sinks.write_parquet, "json": sinks.write_json}[a.format]
+    if a.publish:
+        from chainlens.sources.published import publish
+
+        writer = lambda df, path: publish(df, path, a.publish, a.format)
     for name in (a.names or list(run)):
         t0 = time.perf_counter()
         writer(run[name](), f"{a.out.rstrip('/')}/{name}")

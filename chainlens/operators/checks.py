@@ -4,7 +4,7 @@ violating keys or per-column counts; every check is one distributed job."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlens.functions import constants as K
@@ -18,14 +18,14 @@ def check_pk(df: DataFrame, key, table: str) -> DataFrame:
     form ``a-b`` is built only for the violating keys.
     """
     cols = [key] if isinstance(key, str) else list(key)
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_cl_n"))
     any_null = None
     for c in cols:
         any_null = F.col(c).isNull() if any_null is None else (any_null | F.col(c).isNull())
     text = (F.col(cols[0]).cast("string") if len(cols) == 1
             else F.concat_ws("-", *[F.col(c).cast("string") for c in cols]))
-    return g.where((F.col("n") > 1) | any_null).select(
-        F.lit(table).alias("table_name"), text.alias("key"), F.col("n").cast("long").alias("n"))
+    return g.where((F.col("_cl_n") > 1) | any_null).select(
+        F.lit(table).alias("table_name"), text.alias("key"), F.col("_cl_n").cast("long").alias("n"))
 
 
 def check_fk(child: DataFrame, fk: str, parent: DataFrame, pk: str, relation: str) -> DataFrame:
@@ -73,20 +73,21 @@ def with_load_timestamp(df: DataFrame, column: str = "created_at") -> DataFrame:
     return df.withColumn(column, F.current_timestamp())
 
 
+def decimal_misfit(c: str, precision: int, scale: int) -> Column:
+    """Whether DECIMAL(p,s) can't hold a value as it is: it has too many digits before the point (``try_cast``
+    gives NULL) or after it (the cast differs from the value)."""
+    cast = F.col(c).try_cast(f"decimal({precision},{scale})")
+    exact = F.col(c).try_cast("decimal(38,18)")
+    return F.col(c).isNotNull() & (cast.isNull() | (cast.cast("decimal(38,18)") != exact))
+
+
 def decimal_conformity(df: DataFrame, spec: dict, table: str) -> DataFrame:
-    """Per column: values that DECIMAL(p,s) can't hold as they are, by too many digits before the point
-    (``try_cast`` gives NULL) or after it (the cast differs from the value).
+    """Per column: values that DECIMAL(p,s) can't hold as they are.
 
     Output: table, column_name, declared_type, non_conforming.
     """
     names = list(spec)
-
-    def misfit(c, p, s):
-        cast = F.col(c).try_cast(f"decimal({p},{s})")
-        exact = F.col(c).try_cast("decimal(38,18)")
-        return F.col(c).isNotNull() & (cast.isNull() | (cast.cast("decimal(38,18)") != exact))
-
-    counts = df.agg(*[F.count_if(misfit(c, p, s)).cast("long").alias(c) for c, (p, s) in spec.items()])
+    counts = df.agg(*[F.count_if(decimal_misfit(c, p, s)).cast("long").alias(c) for c, (p, s) in spec.items()])
     types = F.create_map(*[x for c, (p, s) in spec.items() for x in (F.lit(c), F.lit(f"DECIMAL({p},{s})"))])
     return (counts.unpivot([], names, "column_name", "non_conforming")
             .select(F.lit(table).alias("table_name"), "column_name",
@@ -100,3 +101,21 @@ def row_counts(tables: dict) -> DataFrame:
         c = df.agg(F.count(F.lit(1)).cast("long").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
         out = c if out is None else out.unionByName(c)
     return out
+
+
+_V1_SOURCES = "spark.sql.sources.useV1SourceList"
+
+
+def footer_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Row count per named Parquet folder: table_name, rows, from the files' footers alone.
+
+    The count is pushed into the (version 2) Parquet source, which adds up the row groups' counts and reads no
+    column; tables of bucketed or other formats are counted by :func:`row_counts`.
+    """
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")  # read when the plan is made
+    before = spark.conf.get(_V1_SOURCES)
+    spark.conf.set(_V1_SOURCES, ",".join(s for s in before.split(",") if s != "parquet"))
+    try:
+        return row_counts({name: spark.read.parquet(path) for name, path in paths.items()})
+    finally:
+        spark.conf.set(_V1_SOURCES, before)

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from chainlens.functions import constants as K
+from chainlens.functions import sqlrules
 from chainlens.functions.numeric import as_double
-from chainlens.operators import (checks, cohort, dashboard, distinct, documents, events, feedback, incremental, network,
+from chainlens.operators import (checks, cohort, constraints, dashboard, distinct, documents, events, feedback, incremental, network,
                                  plant, quality, revenue, rolling, sketches, sla, stats, suppliers)
 from chainlens.sources import readers
 from chainlens.sources import testdata as td
@@ -455,6 +456,44 @@ def q_table_row_counts(spark, d):
                               "machine_events": t["events"], "customer_feedback": t["documents"]})
 
 
+def q_table_row_counts_footer(spark, d):
+    return checks.footer_counts(spark, {name: f"{d.rstrip('/')}/{table}.parquet" for name, table in (
+        ("orders", "lineitem"), ("suppliers", "supplier"), ("quality_inspections", "lineitem"),
+        ("machine_events", "events"), ("customer_feedback", "documents"))})
+
+
+def line_rules(t: Tables) -> constraints.Rules:
+    """All declared constraints of a line item (an order line and its inspection)."""
+    return constraints.Rules(
+        "lineitem", ("l_orderkey", "l_linenumber"),
+        {"l_suppkey": (t["supplier"], "s_suppkey"), "l_orderkey": (t["orders"], "o_orderkey")},
+        ("l_orderkey", "l_shipdate", "l_quantity"), {"l_returnflag": ("R", "A"), "l_linestatus": ("O", "F")},
+        {"l_extendedprice": (10, 2), "l_discount": (5, 3), "l_tax": (6, 4), "l_quantity": (4, 0)})
+
+
+def q_constraint_report(spark, d):
+    # every rule of the line items from one scan of them
+    t = _t(spark, d)
+    return constraints.constraint_report(t["lineitem"], line_rules(t))
+
+
+def q_check_fk_bitmaps(spark, d):
+    t = _t(spark, d)
+    return (constraints.check_reference_by_bitmaps(t["lineitem"], "l_suppkey", t["supplier"], "s_suppkey",
+                                                   "orders.supplier_id->suppliers")
+            .unionByName(constraints.check_reference_by_bitmaps(t["lineitem"], "l_orderkey", t["orders"], "o_orderkey",
+                                                                "quality_inspections.order_id->orders")))
+
+
+def q_supplier_scorecard_sql(spark, d):
+    # the scorecard as SQL text over views, with the rules as SQL functions and a parameter marker
+    t = _t(spark, d)
+    sqlrules.register_rules(spark)
+    readers.register(td.suppliers(t), "cl_suppliers")
+    readers.register(_lines(t, status=None, dims=()), "cl_orders")
+    return readers.run_sql(spark, sqlrules.SCORECARD, {"active": 1})
+
+
 def q_decimal_conformity(spark, d):
     li = _t(spark, d)["lineitem"]
     spec = {"l_extendedprice": (10, 2), "l_discount": (5, 3), "l_tax": (6, 4), "l_quantity": (4, 0)}
@@ -494,11 +533,6 @@ def _year_sketches(t):
     return sketches.roll_up(_revenue_sketches(t), [F.year("order_date").alias("year")])
 
 
-def q_revenue_sketch_quantiles(spark, d):
-    # a sketch per day, merged to years; no value is read twice
-    return sketches.sketch_quantiles(_year_sketches(_t(spark, d)), SKETCH_PROBS, SKETCH_NAMES).orderBy("year")
-
-
 def q_revenue_sketch_audit(spark, d):
     # exact counts and extremes from the same sketch rows, and whether each quantile's true rank is within 2 %
     t = _t(spark, d)

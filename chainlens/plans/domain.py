@@ -48,7 +48,7 @@ class Domain:
         return self.spark.read.option("header", True).csv(f"{self.data_dir}/{FILES[table]}")
 
 
-def load(spark: SparkSession, data_dir: str, json_lines: bool = False) -> Domain:
+def load(spark: SparkSession, data_dir: str, json_lines: bool = True) -> Domain:
     d = data_dir.rstrip("/")
     return Domain(
         spark, d,

@@ -615,4 +615,19 @@ ORACLE |= {
         FROM v_orders WHERE {DEL} GROUP BY 1"""),
     "monthly_revenue_incremental": ORACLE["monthly_revenue_mom"],
     "rolling_30d_incremental": ORACLE["rolling_30d_revenue"],
+    "table_row_counts_footer": ORACLE["table_row_counts"],
+    "check_fk_bitmaps": ORACLE["check_fk"],
+    "supplier_scorecard_sql": ORACLE["supplier_scorecard"],
+    "constraint_report": "SELECT 'lineitem' AS table_name, * FROM (" + " UNION ALL ".join([
+        """SELECT 'primary_key' AS rule, 'l_orderkey-l_linenumber' AS column_name, CAST(COUNT(*) AS BIGINT) AS violations FROM (
+           SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1 OR l_orderkey IS NULL
+           OR l_linenumber IS NULL)""",
+        *[f"""SELECT 'reference', '{fk}', CAST(COUNT(*) AS BIGINT) FROM lineitem WHERE {fk} IS NOT NULL
+              AND NOT EXISTS (SELECT 1 FROM {parent} WHERE {pk} = {fk})"""
+          for fk, parent, pk in (("l_suppkey", "supplier", "s_suppkey"), ("l_orderkey", "orders", "o_orderkey"))],
+        *[f"SELECT 'not_null', '{c}', CAST(COUNT(*) AS BIGINT) FROM lineitem WHERE {c} IS NULL"
+          for c in ("l_orderkey", "l_shipdate", "l_quantity")],
+        *[f"SELECT 'enum', '{c}', CAST(COUNT(*) AS BIGINT) FROM lineitem WHERE {c} NOT IN ({domain})"
+          for c, domain in (("l_returnflag", "'R', 'A'"), ("l_linestatus", "'O', 'F'"))],
+        f"SELECT 'decimal', column_name, non_conforming FROM ({ORACLE['decimal_conformity']})"]) + ")",
 }

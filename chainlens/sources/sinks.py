@@ -7,7 +7,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 
 
 # Text formats keep microseconds (Spark's default writes milliseconds).
-_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def _assert_flat(df: DataFrame) -> None:
@@ -19,7 +19,7 @@ def _assert_flat(df: DataFrame) -> None:
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Headed CSV without an index column, one file per task."""
     _assert_flat(df)
-    df.write.mode(mode).options(**_TIMES).option("header", True).csv(path)
+    df.write.mode(mode).options(**TIMES).option("header", True).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> None:
@@ -31,4 +31,4 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON Lines (splittable) — nested documents keep their structure."""
-    df.write.mode(mode).options(**_TIMES).json(path)
+    df.write.mode(mode).options(**TIMES).json(path)

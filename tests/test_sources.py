@@ -49,7 +49,7 @@ def test_json_documents_flatten(spark, tmpdir_fresh):
              "metadata": {"shift": "Morning", "product_run": "Gear Box", "sensor_readings": {}}}]
     with open(p, "w") as f:
         json.dump(docs, f)
-    flat = events.flatten_events(readers.read_documents(spark, p, "machine_events"))
+    flat = events.flatten_events(readers.read_documents(spark, p, "machine_events", multi_line=True))
     rows = flat.orderBy("event_id").collect()
     assert len(flat.columns) == 16
     assert rows[0].temperature_c == 70.1 and rows[0].month == "2023-03"
