@@ -151,7 +151,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def text_chunks(batch_texts: pa.Array, max_bytes: int = 2 << 20):
+def text_chunks(batch_texts: pa.Array, max_bytes: int = 512 << 10):
     """Slices of a string array with about ``max_bytes`` each (a longer text is a slice alone).
 
     Yields ``(first row, byte buffer, offsets)``; NULL counts as empty.

@@ -170,7 +170,7 @@ N_WEIGHTS = _SIZE + len(STATISTICS) * BUCKETS + 1
 GAIN = 8.0  # weight of the mean over trigrams against the buckets
 
 
-def _scan(max_bytes: int = 2 << 20):
+def _scan(max_bytes: int = 512 << 10):
     """batches -> ``(batch, first row, data, offsets, stats, n_words)`` per chunk."""
     def chunks(batches):
         for b in batches:
