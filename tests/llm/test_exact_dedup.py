@@ -39,5 +39,25 @@ def test_directory_splits_only_overfull_buckets(spark):
     assert [(r.depth, r.entries) for r in bucket_directory(same, 4).collect()] == [(63, 9)]
 
 
+def test_lookups_go_through_the_directory(spark, monkeypatch):
+    """The directory splits on ordinary tables, and a wrong one gives a wrong result."""
+    from chainlens.llm import exact_dedup as x
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    depths = {r.bucket_depth for r in exact_dedup(docs).select("bucket_depth").distinct().collect()}
+    assert min(depths) >= 4 and len(depths) > 1
+    data = fx.rows()
+    whole = x.bucket_directory
+
+    def without_one(*a):
+        found = whole(*a)
+        first = found.orderBy("depth", "prefix").first()
+        return found.where(f"not (depth = {first.depth} and prefix = {first.prefix})")
+
+    monkeypatch.setattr(x, "bucket_directory", without_one)
+    got = fx.collected(exact_dedup(fx.frame(spark, data), capacity=5), *COLS)
+    assert 0 < len(got) < len(data) and set(got) < set(brute(data))
+
+
 def test_empty_table(spark):
     assert exact_dedup(fx.frame(spark, [])).count() == 0
