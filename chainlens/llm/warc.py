@@ -63,6 +63,11 @@ def _record(headers: list, block):
     return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(_END), block)
 
 
+#: (largest payload, records of a file): 10,000 captures of 32 KB, or as many bytes of larger ones; a payload above
+#: the last bound is alone in its file
+SIZE_CLASSES = ((32 << 10, 30_000), (1 << 20, 960), (32 << 20, 30), (None, 3))
+
+
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
                min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 30_000) -> None:
     """Write gzip-compressed archives to ``path``; payloads below ``min_bytes`` are never revisited."""
@@ -71,13 +76,12 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.regexp_replace(F.regexp_replace(F.col(url_col).cast("string"), "\r", "%0D"), "\n", "%0A").alias("url"),
         text_or_empty(payload_col).alias("payload"))
     rows = with_sha1_base32(rows, "payload", "digest").withColumn("size", F.octet_length("payload"))
-    first = (rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page").alias("response"))
-             .where(F.col("response").isNotNull()))
-    # the record id of a response is made from its own url
-    named = written(rows.select("page", "url", "digest", "size").join(first, ["digest", "size"])
-                    .where("page = response").groupBy("digest", "size", "page").agg(F.max("url").alias("url"))
-                    .select("digest", "size", F.col("page").alias("response"),
-                            _record_id("response").alias("response_id")), "responses")
+    # the largest page of a payload is its response, whose record id is made from its own url; one combined
+    # aggregate, so a payload that a third of the pages share is one row a task
+    first = (rows.where((F.col("size") >= min_bytes) & F.col("page").isNotNull()).groupBy("digest", "size")
+             .agg(F.max(F.struct("page", "url")).alias("top")).select("digest", "size", "top.*"))
+    named = written(first.select("digest", "size", F.col("page").alias("response"),
+                                 _record_id("response").alias("response_id")), "responses")
     rows = rows.join(named, ["digest", "size"], "left")
     revisit = F.col("response").isNotNull() & ~F.col("page").eqNullSafe(F.col("response"))
     rows = rows.withColumn("revisit", revisit).withColumn(
@@ -102,9 +106,17 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                       F.lit("payload-bytes: "), F.col("size").cast("string"), F.lit("\r\n"))
     metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _record_id("metadata")), stamp, target,
                         concurrent, ("Content-Type", "application/warc-fields")], fields)
-    (rows.select(F.explode(F.array(request, F.when(F.col("revisit"), again).otherwise(response), metadata)))
-     .write.mode("overwrite").option("lineSep", _END).option("compression", "gzip")
-     .option("maxRecordsPerFile", records_per_file).text(path))
+    # payloads of one size class go to files of their own, so that a file is bounded by its bytes, too
+    size_class = F.size(F.filter(F.array(*[F.lit(most) for most, _ in SIZE_CLASSES[:-1]]), lambda m: F.col("size") > m))
+    found = sorted(r[0] for r in pages.select(F.octet_length(text_or_empty(payload_col)).alias("size"))
+                   .select(size_class.alias("c")).distinct().collect())  # at most the classes
+    fs_path = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    fs_path.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).delete(fs_path, True)  # archives of an earlier write
+    for c in found or [0]:
+        (rows.where(size_class == c)
+         .select(F.explode(F.array(request, F.when(F.col("revisit"), again).otherwise(response), metadata)))
+         .write.mode("overwrite").option("lineSep", _END).option("compression", "gzip")
+         .option("maxRecordsPerFile", min(records_per_file, SIZE_CLASSES[c][1])).text(f"{path}/payloads-{c}"))
 
 
 _RECORDS = ("type string, record_id string, concurrent_to string, refers_to string, target_uri string, "
@@ -165,7 +177,7 @@ def _parsed(payloads: bool):
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """One row per record of the archives below ``path``; payload bytes only on demand."""
     ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInArrow(_parsed(payloads), _RECORDS)
 
 

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import random
 
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def test_round_trip(spark):
 def test_archives_are_valid_and_whole(spark, tmpdir_fresh):
     write_warc(frame(spark, PAGES), tmpdir_fresh, records_per_file=4)
     kinds, payloads = [], {}
-    for f in spark.read.format("binaryFile").load(tmpdir_fresh).select("content").collect():
+    for f in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(tmpdir_fresh).select("content").collect():
         for headers, block in parse_warc(io.BytesIO(gzip.decompress(bytes(f.content)))):
             kinds.append(headers["warc-type"])
             if kinds[-1] == "response":
@@ -58,3 +59,20 @@ def test_archives_are_valid_and_whole(spark, tmpdir_fresh):
     assert bytes(one.capture.payload) == b"z" * 300_000 and one.request.record_id and one.metadata.fields
     assert captures.where(F.col("request").isNull() | F.col("metadata").isNull()).count() == 0
     assert captures.where("page_id = 6").first().capture.target_uri == "http://a%0D%0AX: y"
+
+
+def test_files_are_bounded_by_bytes(spark, tmpdir_fresh, monkeypatch):
+    """Large payloads go to files of their own with few records; no capture is lost."""
+    from chainlens.llm import warc
+
+    monkeypatch.setattr(warc, "SIZE_CLASSES", ((1000, 30_000), (100_000, 6), (None, 3)))
+    rng = random.Random(3)
+    pages = [(i, f"http://a/{i}", "".join(rng.choice("abcdefgh") for _ in range(rng.choice([10, 1000, 1001, 60_000, 150_000]))))
+             for i in range(60)]
+    got = fx.collected(warc_round_trip(frame(spark, pages), tmpdir_fresh), *COLS)
+    assert got == brute(pages)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(tmpdir_fresh).collect()
+    sizes = [len(gzip.decompress(bytes(f.content))) for f in files]
+    assert max(sizes) < 2 * 100_000 + 5000 and len(files) > 10
+    # written again, nothing of the old archives is left
+    assert fx.collected(warc_round_trip(frame(spark, pages[:5]), tmpdir_fresh), *COLS) == brute(pages[:5])
