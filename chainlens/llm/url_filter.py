@@ -1,7 +1,7 @@
 """URL filter: rules first, gradient-boosted trees on lexical features for the rest (DataFrame functions only).
 
 A rule is (action, host, path): it fits its host and all subdomains when the url's path starts with
-its path; of several the longest rule wins.  URLs that no rule decides are judged by a boosted
+its path; of several the longest rule wins, of equally long ones the later in the list.  URLs that no rule decides are judged by a boosted
 ensemble trained from labelled URLs (by default those the rules decide).  Features are binned at
 fixed thresholds, so training works on counts of distinct bin vectors; every tree level is one
 aggregate to a histogram of (node, feature, bin), at most ``2**depth * features * bins`` rows, from
@@ -44,6 +44,8 @@ BINS = {
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _UNIT = 1_000_000_000
+#: folds of the labelled hosts for the suffix rates, and the name of all of them together
+FOLDS, WHOLE = 5, -1
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -92,13 +94,22 @@ def _binned(value: Column, name: str) -> Column:
 
 
 def suffix_statistics(labelled: DataFrame, smooth: float = 20.0) -> DataFrame:
-    """``suffix`` (last label of the host), its smoothed block rate and its share of the labelled rows."""
-    per = labelled.groupBy("suffix").agg(F.sum(F.col("blocked").cast("long")).alias("b"),
-                                         F.count(F.lit(1)).alias("n"))
-    total = per.agg(F.sum("b").alias("tb"), F.sum("n").alias("tn"))
-    return per.crossJoin(F.broadcast(total)).select(  # total is one row
-        "suffix", ((F.col("b") + smooth * F.col("tb") / F.col("tn")) / (F.col("n") + smooth)).alias("rate"),
-        (F.col("n") / F.col("tn")).alias("share"))
+    """``suffix`` (last label of the host), its smoothed block rate and its share of the labelled rows, for
+    each ``fold`` of the hosts without that fold's labels, and with all of them as fold ``WHOLE``.
+
+    A training row gets the rate of the other folds, so neither its own label nor another one of its host is among its
+    features.
+    """
+    per = labelled.groupBy("suffix", "fold").agg(F.sum(F.col("blocked").cast("long")).alias("b"),
+                                                 F.count(F.lit(1)).alias("n"))
+    whole = per.groupBy("suffix").agg(F.sum("b").alias("wb"), F.sum("n").alias("wn"))
+    total = whole.agg(F.sum("wb").alias("tb"), F.sum("wn").alias("tn"))
+    left = per.join(whole, "suffix").select("suffix", "fold", (F.col("wb") - F.col("b")).alias("b"),
+                                            (F.col("wn") - F.col("n")).alias("n"), "wn")
+    rows = left.union(whole.select("suffix", F.lit(WHOLE), "wb", "wn", "wn"))
+    return rows.crossJoin(F.broadcast(total)).select(  # total is one row
+        "suffix", "fold", ((F.col("b") + smooth * F.col("tb") / F.col("tn")) / (F.col("n") + smooth)).alias("rate"),
+        (F.col("wn") / F.col("tn")).alias("share"))
 
 
 def train_trees(binned: DataFrame, trees: int = 12, depth: int = 3, rate: float = 0.3, ridge: float = 1.0,
@@ -190,12 +201,12 @@ def margin(prior: float, trees: list) -> Column:
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelled: DataFrame | None = None,
-                id_col: str = "page_id", url_col: str = "url", train_rows: int = 50_000, **training) -> DataFrame:
+                id_col: str = "page_id", url_col: str = "url", train_rows: int = 50_000, suffixes: bool = True, **training) -> DataFrame:
     """One row per input row: ``id_col``, ``host``, ``path``, ``rule``, ``verdict``, ``block_odds``.
 
     ``labelled`` has ``url`` and ``blocked`` (boolean); without it the rows that a rule decides are the
     labels.  About ``train_rows`` of them, chosen by the hash of the url, train the trees; the suffix
-    statistics are of all.
+    statistics are of all.  With ``suffixes=False`` the trees see no suffix statistics.
     """
     def described(df, url):
         df = df.withColumn("_u", url)
@@ -212,10 +223,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelle
     else:
         known = described(labelled.where("blocked is not null").select("blocked", F.col("url").alias("_u")),
                           F.col("_u"))
-    suffixes = written(suffix_statistics(known), "suffixes")
+    known = known.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
+    statistics = written(suffix_statistics(known).where(F.lit(suffixes)), "suffixes")
 
     def binned(df):
-        df = df.join(suffixes, "suffix", "left")
+        df = df.join(statistics, ["suffix", "fold"], "left")
         features = lexical_features(F.col("_u"), F.col("host"), F.col("path"))
         features["suffix_block_rate"] = F.coalesce("rate", F.lit(0.5))
         features["suffix_share"] = F.coalesce("share", F.lit(0.0))
@@ -227,6 +239,6 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelle
         known = known.where(F.pmod(F.xxhash64("_u"), F.lit(2**31 - 1)) < int(train_rows / n * (2**31 - 1)))
     counts = written(binned(known).groupBy("blocked", *BINS).agg(F.count(F.lit(1)).alias("n")), "url-train")
     prior, trees = train_trees(counts, **training)
-    judged = binned(rows).withColumn("block_odds", margin(prior, trees))
+    judged = binned(rows.withColumn("fold", F.lit(WHOLE))).withColumn("block_odds", margin(prior, trees))
     verdict = F.coalesce("action", F.when(F.col("block_odds") > 0, BLOCK).otherwise(ALLOW))
     return judged.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "block_odds")

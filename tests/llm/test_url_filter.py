@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from chainlens.llm.queries import URL_RULES
@@ -41,7 +42,24 @@ def test_rules_equal_brute_force(spark):
         assert got[i].verdict == (action or got[i].verdict) and got[i].verdict in ("allow", "block")
 
 
-def test_trees_learn_lexical_patterns(spark):
+def test_equally_long_rules(spark):
+    rules = (("block", "a.net", "/x"), ("allow", "a.net", "/x"))
+    assert filter_urls(frame(spark, ["http://a.net/x1"]), rules, trees=1).first().verdict == "allow"
+
+
+def test_suffix_rates_are_out_of_fold(spark):
+    """A label steers no rate of its own fold: where one host has all labels of a suffix, it gets the prior."""
+    from chainlens.llm.url_filter import WHOLE, suffix_statistics
+
+    rows = [("one", 0, True)] * 8 + [("two", 1, True)] * 4 + [("two", 2, False)] * 4
+    got = {(r.suffix, r.fold): r.rate for r in suffix_statistics(
+        spark.createDataFrame(rows, "suffix string, fold int, blocked boolean"), smooth=4.0).collect()}
+    assert got["one", 0] == 0.75 and got["one", WHOLE] == (8 + 3) / 12
+    assert got["two", 1] == (0 + 3) / 8 and got["two", 2] == (4 + 3) / 8 and got["two", WHOLE] == (4 + 3) / 12
+
+
+@pytest.mark.parametrize("suffixes", [True, False])
+def test_trees_learn_lexical_patterns(spark, suffixes):
     """Held-out accuracy on urls whose class shows in depth, digits and parameters, not in one feature alone."""
     rng = random.Random(4)
 
@@ -56,7 +74,7 @@ def test_trees_learn_lexical_patterns(spark):
     label = [bool(rng.randrange(2)) for _ in range(900)]
     urls = [url(b) for b in label]
     train = spark.createDataFrame(list(zip(urls[:600], label[:600])), "url string, blocked boolean")
-    got = filter_urls(frame(spark, urls[600:]), (), train, trees=6).collect()
+    got = filter_urls(frame(spark, urls[600:]), (), train, trees=6, suffixes=suffixes).collect()
     right = sum((r.verdict == "block") == label[600 + r.page_id] for r in got)
     assert right >= 0.95 * len(got)
     again = filter_urls(frame(spark, urls[600:]).repartition(9), (), train.repartition(7), trees=6).collect()
