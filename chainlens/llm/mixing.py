@@ -12,7 +12,7 @@ Rates are then rounded into whole copies.  Per source one systematic sequence ru
 from large to small: a size class gets the copies ``round(R) - round(R_before)`` of its running rate
 R, so neighbouring sizes balance each other, and a few single copies are then added or taken where
 that brings the source nearer to its target.  Inside a class the copies are spread evenly by the
-documents' places in it.  Running sums are made of counts per (source, size) and 256 slices of each,
+documents' places in it, in order of a hash of id and text.  Running sums are made of counts per (source, size) and 256 slices of each,
 never by passing a source through one task.  All sums are of integers, so reruns agree to the copy.
 
 Defined results: a NULL text has size 0; a NULL source is a source of its own and comes last; ids
@@ -34,7 +34,7 @@ from chainlens.llm.common import text_or_empty, written
 _ONE = 1 << 32  # rates are multiples of 2**-32
 _SCALE = 1e6  # words and their derivatives are summed in millionths
 SLICES = 256
-MAX_STEPS = 60
+NEWTON_STEPS = 60
 CORRECTIONS = 3
 
 
@@ -76,15 +76,17 @@ def _rate(lam, size, mean, cap: float):
 def balanced_rates(histogram: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     """Dual variables ``lam`` per source (``skey``): Newton steps inside a shrinking bracket.
 
-    ``histogram``: ``skey``, ``size``, ``n``.  A source at its cap or without words needs no solution.
+    ``histogram``: ``skey``, ``size``, ``n``.  A source at its cap or without words needs no solution.  What
+    ``NEWTON_STEPS`` steps leave open is bisected to convergence: until the words meet the target, the bracket is as
+    narrow as a double can tell, or all rates are at their bounds.
     """
     open_ = (F.col("target") > 0) & (F.col("target") < cap * F.col("source_size"))
     state = written(targets.where(open_).select(
         "skey", "target", F.col("mean"), F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("low"),
         F.lit(None).cast("double").alias("high"), F.lit(False).alias("done")), "dual")
-    for _ in range(MAX_STEPS):
-        if state.where(~F.col("done")).isEmpty():
-            break
+    step = 0
+    while not state.where(~F.col("done")).isEmpty():
+        step += 1
         r = _rate(F.col("lam"), F.col("size"), F.col("mean"), cap)
         words = F.sum(F.round(F.col("n") * F.col("size") * r * _SCALE).cast("decimal(38,0)")).cast("double") / _SCALE
         slope = F.sum(F.round(F.col("n") * F.col("size") * F.col("size") / F.col("mean") * r * (1 - r / cap) * _SCALE)
@@ -102,7 +104,11 @@ def balanced_rates(histogram: DataFrame, targets: DataFrame, cap: float) -> Data
                    .when(F.col("low2").isNull(), F.col("lam") - reach)
                    .when(F.col("high2").isNull(), F.col("lam") + reach)
                    .otherwise((F.col("low2") + F.col("high2")) / 2))
-        close = F.abs(gap) <= F.col("target") * 1e-9 + 0.01
+        if step > NEWTON_STEPS:
+            guarded = (F.when(F.col("low2").isNull(), F.col("lam") - reach).when(F.col("high2").isNull(), F.col("lam") + reach)
+                       .otherwise((F.col("low2") + F.col("high2")) / 2))
+        narrow = F.coalesce(F.col("high2") - F.col("low2") <= F.abs("lam") * 1e-15 + 1e-300, F.lit(False))
+        close = (F.abs(gap) <= F.col("target") * 1e-9 + 0.01) | narrow | (F.abs("lam") > 1e12)
         state = written(state.join(sums, "skey").withColumn("low2", low).withColumn("high2", high).select(
             "skey", "target", "mean",
             F.when(close | F.col("done"), F.col("lam")).otherwise(guarded).alias("lam"),
@@ -133,7 +139,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     source = F.col(source_col).cast("string")
     rows = docs.select(
         F.col(id_col), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("skey"),
-        word_count(text_or_empty(text_col)).alias("size"), F.xxhash64(F.col(id_col)).alias("h"),
+        word_count(text_or_empty(text_col)).alias("size"), F.xxhash64(F.col(id_col), text_or_empty(text_col)).alias("h"),
         *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []))
     rows = rows.withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int"))
     slices = written(rows.groupBy("skey", "source", "size", "slice").agg(F.count(F.lit(1)).alias("n")), "slices")
@@ -164,6 +170,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     places = (slices.select("skey", "size", "slice",
                             F.coalesce(F.sum("n").over(within), F.lit(0)).alias("skip"))
               .join(sizes, ["skey", "size"]))
+    # rows with NULL or one repeated id are dealt to the slices by their texts, too
     nth = Window.partitionBy("skey", "size", "slice").orderBy("h", F.col(id_col))
     ranked = rows.join(places, ["skey", "size", "slice"]).withColumn("j", F.col("skip") + F.row_number().over(nth) - 1)
     turns = [F.expr(f"(j + {k}) * total div docs") for k in (1, 0)]

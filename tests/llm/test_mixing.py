@@ -78,3 +78,27 @@ def test_carry_keeps_the_row(spark):
 def test_word_count(spark, text):
     got = spark.createDataFrame([(text,)], "t string").select(word_count(F.col("t"))).first()[0]
     assert got == len(fx.words(text))
+
+
+def test_duals_converge_without_newton(spark, monkeypatch):
+    """What Newton steps leave open is bisected to the same rates."""
+    from chainlens.llm import mixing
+
+    want = fx.collected(mixing.mix_sources(fx.frame(spark, fx.rows())), "doc_id", "size", "target", "taken")
+    monkeypatch.setattr(mixing, "NEWTON_STEPS", 0)
+    got = fx.collected(mixing.mix_sources(fx.frame(spark, fx.rows())), "doc_id", "size", "target", "taken")
+    assert got == want
+
+
+def test_rows_without_ids_are_dealt_to_many_slices(spark):
+    """A third of the rows under NULL and a third under one id: each window holds a small part, and reruns agree."""
+    from chainlens.llm import mixing
+
+    rng = random.Random(12)
+    data = [((None, 7, i)[i % 3], " ".join(f"w{rng.randrange(10**6)}" for _ in range(20)), "a") for i in range(3000)]
+    df = fx.frame(spark, data)
+    a, b = (fx.collected(mixing.mix_sources(d, carry=True).select("row.text", "copies"), "text", "copies")
+            for d in (df, df.repartition(2)))
+    assert a == b  # which text is repeated doesn't depend on the partitions
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(mixing.SLICES))
+    assert df.groupBy(h).count().agg(F.max("count")).first()[0] <= 40
