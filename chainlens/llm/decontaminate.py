@@ -193,21 +193,24 @@ def benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_
     for k in range(n_blocks):
         block = phrases.where(F.pmod(F.xxhash64("phrase", "item"), F.lit(n_blocks)) == k)
         block = [tuple(r) for r in block.collect()]  # about block_rows rows
-        if block:
-            passes.append(rows.mapInArrow(_search(block, shard_words), _SPANS))
-    if len(passes) == 1:
-        return passes[0]
-    return _merged(reduce(DataFrame.union, passes), len(passes))
-
-
-def _merged(every: DataFrame, passes: int) -> DataFrame:
-    """One row per document from the rows of all passes; overlapping spans become one."""
-    return (every.groupBy("id", "row").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.count(F.lit(1)).alias("n"))
-        # identical rows met in one group: as many come out as went in
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.expr(f"cast(n / {passes} as int)"))))
-        .select("id", "row", "n_words", F.expr("""
+        found = rows.mapInArrow(_search(block, shard_words), _SPANS) if block else None
+        if n_blocks == 1:
+            return found
+        if found is not None:  # its hits are written, and the block goes, before the next one comes
+            passes.append(written(found.where(F.size("spans") > 0).dropDuplicates(["id", "row"]), "hits"))
+    hits = _merged(reduce(DataFrame.union, passes))
+    counted = rows.mapInArrow(_count_words, "id bigint, row bigint, n_words bigint")
+    return counted.join(hits, counted["id"].eqNullSafe(hits["_id"]) & (counted["row"] == hits["_row"]), "left").select(
+        "id", "row", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _merged(every: DataFrame) -> DataFrame:
+    """One row per document and text from the hits of all passes (one each); overlapping spans become one."""
+    return (every.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        .select("_id", "_row", F.expr("""
             aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) ->
               if(size(acc) > 0 and acc[size(acc) - 1].end >= x.start,
                  concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', acc[size(acc) - 1].start,
