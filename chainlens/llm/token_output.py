@@ -78,8 +78,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     """Write the ids of every document, each followed by ``end_id``, to ``path``."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    ordered = (rows.repartitionByRange(F.col("id").asc_nulls_first())
-               .sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text")))
+    # the text's hash and a salt deal rows with NULL or one repeated id to several partitions
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("salt", F.rand(17))
+    keys = [F.col("id").asc_nulls_first(), F.col("h"), F.col("salt")]
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "text")
     ordered.mapInArrow(_segments(tokenizer, end_id, segment_tokens), _FILE).write.mode("overwrite").parquet(path)
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from chainlens.llm import rans, tokens
 from chainlens.llm.token_cache import cached_token_counts
@@ -118,3 +119,21 @@ def test_token_files(spark, tmpdir_fresh):
     assert sorted(map(str, ((r.doc_id, r.ids) for r in back))) == sorted(
         str((i, w)) for i, own in ids.items() for w in own)
     assert token_output(fx.frame(spark, []), "byte_bpe_50k.json", 2).count() == 0
+
+
+def test_rows_without_ids_are_dealt_to_many_partitions(spark, tmpdir_fresh):
+    """A third of the rows under NULL: they are encoded in several tasks, in order, and come back whole."""
+    from chainlens.llm.token_output import token_file_index, write_token_files
+
+    data = [(None if i % 3 == 0 else i, f"text number {i % 400} of many", "a") for i in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with more rows
+    try:
+        write_token_files(fx.frame(spark, data), tmpdir_fresh, "byte_bpe_50k.json", 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = spark.read.parquet(tmpdir_fresh)
+    holding = files.where(F.exists("doc_ids", lambda i: i.isNull())).select("part").distinct().count()
+    assert holding >= 2
+    rows = token_file_index(spark, tmpdir_fresh).orderBy("start").collect()
+    assert len(rows) == 3000 and [r.doc_id for r in rows] == sorted((i for i, _, _ in data), key=lambda i: (i is not None, i or 0))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
