@@ -5,8 +5,9 @@
    maximisation on the counts estimates the classes' share and each labeller's vote probabilities
    given the class.  This gives every pattern the posterior probability of a good document.
 3. A linear scorer over hashed features (byte trigrams of the text, buckets of the statistics) is
-   fitted to the posteriors of a bounded sample: documents whose id hashes below
-   ``train_rows / rows``, so about ``train_rows`` of them at any size.
+   fitted to the posteriors of a bounded sample of ``train_rows`` documents, half of them bad ones as far as there
+   are so many: of either kind those with the lowest hash of id and text.  Rows with one id and text count once,
+   and NULL ids are told apart by their texts.
 4. The scorer scores all documents; those below ``threshold`` are rejected.
 
 Defined results: a NULL or empty text gets abstentions only and the score of the average document
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chainlens.llm.common import ship, text_chunks, text_or_empty, word_fingerprints, written
 
@@ -182,7 +184,8 @@ def _scan(max_bytes: int = 512 << 10):
 
 def _vote_rows(batches):
     for b, first, data, offsets, stats, n_words in _scan()(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(votes(stats, n_words), pa.int64())], ["code"])
+        yield pa.RecordBatch.from_arrays([b.column("h").slice(first, len(n_words)), pa.array(votes(stats, n_words), pa.int32())],
+                                         ["h", "code"])
 
 
 def _features(posterior: dict):
@@ -276,7 +279,10 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(docs.sparkSession)
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    patterns = rows.mapInArrow(_vote_rows, "code bigint").groupBy("code").count().collect()  # at most 3**8 rows
+    hashed = rows.withColumn("h", F.xxhash64("id", "text"))
+    # a hash and a vote pattern of every document
+    voted = written(hashed.select("h", "text").mapInArrow(_vote_rows, "h bigint, code int"), "votes")
+    patterns = voted.groupBy("code").count().collect()  # at most 3**8 rows
     patterns.sort()
     codes = np.array([r[0] for r in patterns], dtype=np.int64)
     counts = np.array([r[1] for r in patterns], dtype=np.int64)
@@ -286,8 +292,14 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if total:
         post, _, _ = fit_label_model(codes, counts)
         posterior = dict(zip(codes.tolist(), post.tolist()))
-        cut = int(min(1.0, train_rows / total) * (2**31 - 1))
-        sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(2**31 - 1)) <= cut)
+        bad = F.col("code").isin([c for c, p in posterior.items() if p < 0.5])
+        kinds = voted.select("h", bad.alias("bad")).distinct().withColumn(
+            "nth", F.row_number().over(Window.partitionBy("bad").orderBy("h"))).where(F.col("nth") <= train_rows)
+        kinds = written(kinds, "sample")  # every task passes on at most train_rows hashes of a kind
+        n_bad, n_good = (kinds.where(F.col("bad") == b).count() for b in (True, False))
+        n_bad = min(n_bad, max(train_rows // 2, train_rows - n_good))
+        keys = kinds.where(F.col("nth") <= F.when(F.col("bad"), n_bad).otherwise(train_rows - n_bad)).select("h")
+        sample = hashed.join(F.broadcast(keys), "h").dropDuplicates(["h"]).select("id", "text")  # train_rows keys
         features = written(sample.mapInArrow(_features(posterior), "posterior double, idx binary, val binary"),
                            "features")
         model = features.coalesce(1).mapInArrow(_fit(), "weights binary, rows bigint").collect()

@@ -34,6 +34,55 @@ def test_em_recovers_accuracies():
     assert (guess == y).mean() > 0.97
 
 
+def test_sample_is_bounded(spark, monkeypatch):
+    """A third of the rows without an id, a third under one: never more than ``train_rows`` documents are fitted."""
+    kept = {}
+    written = q.written
+
+    def spy(df, name, *a):
+        kept[name] = written(df, name, *a)
+        return kept[name]
+
+    monkeypatch.setattr(q, "written", spy)
+    data = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"plain words of text number {i % 200} stand here", "a")
+            for i in range(600)]
+    q.quality_scores(fx.frame(spark, data), train_rows=50).count()
+    assert kept["features"].count() == 50
+    q.quality_scores(fx.frame(spark, [(None, "the same words again and again", "a")] * 300), train_rows=50).count()
+    assert kept["features"].count() == 1
+
+
+def test_scores_equal_the_plain_form(spark, monkeypatch):
+    """The scorer's margin by a loop over trigrams and buckets, from the fitted weights."""
+    seen = {}
+    scores = q._scores
+
+    def spy(weights, posterior, fitted):
+        seen["w"], seen["p"] = weights, posterior
+        return scores(weights, posterior, fitted)
+
+    monkeypatch.setattr(q, "_scores", spy)
+    data = [(i, t, s) for i, t, s in fx.rows() if i is not None]
+    got = q.quality_scores(fx.frame(spark, data), train_rows=40).collect()
+    w = seen["w"]
+    want = []
+    for i, t, _ in data:
+        raw = np.frombuffer((t or "").encode(), dtype=np.uint8)
+        stats, n = q.statistics(raw, np.array([0, len(raw)]))
+        z = sum(w[b] for b in q._buckets(stats)[0]) + w[-1]
+        grams = [(int(a) << 16 | int(b) << 8 | int(c)) * 2654435761 % 2 ** 32 >> (32 - q.HASH_BITS)
+                 for a, b, c in zip(raw, raw[1:], raw[2:])]
+        if grams:
+            z += q.GAIN * sum(w[g] for g in grams) / len(grams)
+        post = seen["p"][int(q.votes(stats, n)[0])]
+        want.append((i, post, 1 / (1 + np.exp(-z)), int(n[0]) == 0))
+    assert len(got) == len(want)
+    key = lambda r: (r[0], r[1], round(r[2], 6))
+    for a, b in zip(sorted(((r.doc_id, r.posterior, r.score, r.kept) for r in got), key=key), sorted(want, key=key)):
+        assert a[0] == b[0] and a[1] == b[1] and abs(a[2] - b[2]) < 1e-6
+        assert a[3] == (b[3] or a[2] >= 0.5)
+
+
 def test_statistics():
     def one(text):
         data = np.frombuffer(text.encode(), dtype=np.uint8)
