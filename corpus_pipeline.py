@@ -34,9 +34,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
                        F.xxhash64(text_or_empty("text")).alias("_h"))
     met = rows.join(stay, rows["_id"].eqNullSafe(stay["_id"]) & (rows["_h"] == stay["_h"])).select(
         "row", rows["_id"], rows["_h"], "_one")
-    # rows repeated with one id and text are one group, too
+    # rows repeated with one id and text are one group, too: every task passes on one row of each
+    alone = F.col("_one") & F.col("_id").isNotNull()
     nth = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(0)))
-    return (met.withColumn("_n", nth).where("_n = 1 or not _one or _id is null").select("row.*"))
+    once = met.where(alone).withColumn("_n", nth).where("_n = 1")
+    return met.where(~alone).select("row.*").union(once.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
