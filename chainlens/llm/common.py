@@ -76,28 +76,50 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 _SLOTS_PER_KEY, _LEAST_SLOTS, _MOST_SLOTS = 8, 1 << 16, 1 << 27
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bit for each slot that some key (the one bigint column, distinct or not, no NULLs) falls into.
+def _slot_of(key, slots: int):
+    folded = key.bitwiseXOR(F.shiftrightunsigned(key, 32)).bitwiseXOR(F.shiftrightunsigned(key, 15))
+    return folded.bitwiseAND(F.lit(slots - 1))
 
-    Rows without a wanted key are passed over with it before they are shuffled or worked on.  It holds
-    at most 16 MiB; where keys are more than it tells apart (about 2**26), it lets more rows through,
-    which costs time and changes no result.
-    """
-    key = F.col(keys.columns[0])
-    slots = _LEAST_SLOTS
-    wanted = min(_SLOTS_PER_KEY * keys.count(), _MOST_SLOTS)
+
+def _slot_number(keys: int) -> int:
+    slots, wanted = _LEAST_SLOTS, min(_SLOTS_PER_KEY * keys, _MOST_SLOTS)
     while slots < wanted:
         slots *= 2
-    folded = key.bitwiseXOR(F.shiftrightunsigned(key, 32)).bitwiseXOR(F.shiftrightunsigned(key, 15))
-    words = (keys.select(folded.bitwiseAND(F.lit(slots - 1)).alias("slot"))
-             .groupBy(F.shiftright("slot", 5).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 AS int))")).alias("bits")))
+    return slots
+
+
+def _slot_bits(slot: DataFrame, slots: int) -> np.ndarray:
+    """A bit for each of the slots (column ``slot``), as 32-bit words."""
+    words = slot.groupBy(F.shiftright("slot", 5).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 AS int))")).alias("bits"))
     found = words.toArrow()  # at most slots / 32 rows
     out = np.zeros(slots // 32, dtype=np.uint32)
     out[np.asarray(found.column("word"), dtype=np.int64)] = np.asarray(found.column("bits"), dtype=np.int64).astype(np.uint32)
     return out
 
 
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit for each slot that some key (the one bigint column, distinct or not, no NULLs) falls into.
+
+    Rows without a wanted key are passed over with it before they are shuffled or worked on.  It holds
+    at most 16 MiB; where keys are more than it tells apart (about 2**26), it lets more rows through,
+    which costs time and changes no result.
+    """
+    slots = _slot_number(keys.count())
+    return _slot_bits(keys.select(_slot_of(F.col(keys.columns[0]), slots).alias("slot")), slots)
+
+
+def repeated_key_filter(keys: DataFrame) -> np.ndarray:
+    """As :func:`key_filter`, a bit for each slot that at least two of the keys fall into.
+
+    Every key that occurs twice has its bit; a key that occurs once may have it by a slot in common.  What is shuffled are slot
+    numbers with their counts, combined in the task.
+    """
+    slots = _slot_number(keys.count())
+    met = keys.select(_slot_of(F.col(keys.columns[0]), slots).alias("slot")).groupBy("slot").count().where("count > 1")
+    return _slot_bits(met.select("slot"), slots)
+
+
 def may_be_wanted(bits: np.ndarray, keys: pa.Array) -> pa.Array:
     """For an Arrow bigint column without NULLs: whether each key may be among the filter's."""
     k = np.asarray(keys).astype(np.int64).view(np.uint64)

@@ -12,13 +12,19 @@ still have Jaccard >= t = ``percent`` / 100; they get ``bands`` MinHash keys of
 number of bands is the smallest that finds a pair of similarity t with probability ``recall``:
 ``1 - (1 - t**rows)**bands``.  Colliding contents are compared by their exact Jaccard similarity and
 joined into components (:mod:`chainlens.llm.pivots`); pairs whose sets differ in too many parities
-aren't, as they can't be similar.  Of a component the occurrence in the document
-with the smallest id stays (its first there); the others are removals.  Neighbouring removals of a
-document are merged, and spans of at least ``min_words`` words are removed.
+aren't, as they can't be similar.  Keys are shuffled only if they may stand in more than one place: a first
+pass counts slots of keys, and a bit for every slot met twice tells the second pass which keys to pass on.
+
+Of a component the occurrence in the document with the smallest (id, text hash) stays (its first there); the
+others are removals.  Neighbouring removals of a document are merged to runs, whose edges are then
+compared word by word with the place that stays: words that are equal there, too, join the run (at most
+``CONTEXT`` on a side, more than a paragraph's unmatched edge has), and a similar paragraph's outermost words that
+the other one hasn't leave it.  Spans of at least ``min_words`` words are removed.
 
 Defined results: a NULL or empty text has no paragraphs; rows with NULL ids are removed against
 others but never stand for them (a component without any id keeps all); rows repeated with one id
-and text count as one document; an empty table gives an empty result; other columns are ignored.
+and text count as one document, one id on different texts as several; a text of fewer than ``SHORTEST``
+words has no paragraph, so its repeats aren't found; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import (NOT_SPACE, key_filter, may_be_wanted, mix, shingle_fingerprints, ship, text_chunks,
-                                  text_or_empty, word_fingerprints, written)
+from chainlens.llm.common import (NOT_SPACE, _powers, key_filter, may_be_wanted, mix, repeated_key_filter,
+                                  shingle_fingerprints, ship, text_chunks, text_or_empty, word_fingerprints, written)
 from chainlens.llm.pivots import pivot_classes, shared_rows
 
 SHORTEST = 5
 REACH = 4
 SHINGLE = 5
 PARITIES = 256
+CONTEXT = 64
 
 
 def tuned_bands(percent: int, recall: float, rows: int = 1) -> int:
@@ -123,25 +130,24 @@ def _nodes(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     if not len(first):
         return np.zeros(0, dtype=np.int64)
     # sum of word * base**position over the unit, from running sums of word * base**index
-    index = np.arange(len(words), dtype=np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _power(index), dtype=np.uint64)])
-    value = (total[end] - total[first]) * _power((-first).astype(np.uint64))
+    n = len(words) + 1
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _power_table(_ODD, n)[:-1], dtype=np.uint64)])
+    value = (total[end] - total[first]) * _power_table(_INVERSE, n)[first]
     return mix(value + mix((end - first).astype(np.uint64))).view(np.int64)
 
 
 _ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 1 << 64)
+_tables: dict = {}
 
 
-def _power(exponent: np.ndarray) -> np.ndarray:
-    """``_ODD ** exponent`` modulo 2**64, element by element; exponents modulo 2**62, the order of an odd number."""
-    out, base = np.ones(len(exponent), dtype=np.uint64), _ODD
-    left = exponent & np.uint64((1 << 62) - 1)
-    while left.any():
-        odd = (left & np.uint64(1)).astype(bool)
-        out[odd] *= np.uint64(base)
-        base = base * base % (1 << 64)
-        left = left >> np.uint64(1)
-    return out
+def _power_table(base: int, n: int) -> np.ndarray:
+    """``base ** 0 .. base ** (n - 1)`` modulo 2**64."""
+    if n > 1 << 18:  # a very long text
+        return _powers(np.uint64(base), n)
+    if base not in _tables:
+        _tables[base] = _powers(np.uint64(base), 1 << 18)
+    return _tables[base][:n]
 
 
 def _large(first: np.ndarray, end: np.ndarray, percent: int) -> np.ndarray:
@@ -169,61 +175,106 @@ def _unit_rows(percent: int, bands: int, rows: int):
                         least = np.minimum.reduceat(mix(shingles ^ seeds[k * rows + r]), edges)[::2]
                         keys[:, k] = mix(keys[:, k] + least)
                     keys[:, k] = mix(keys[:, k] ^ np.uint64(k + 1))
-                n_keys = np.zeros(len(first), dtype=np.int32)
-                n_keys[large] = bands
                 k = len(offsets) - 1
+                nodes = _nodes(words, first, end)
                 units = pa.StructArray.from_arrays([
                     pa.array((first - starts[doc]).astype(np.int32)), pa.array((end - starts[doc]).astype(np.int32)),
-                    pa.array(_nodes(words, first, end)),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_keys)]).astype(np.int32)),
-                                             pa.array(keys.ravel().view(np.int64)))], ["first", "end", "node", "keys"])
-                cut = np.searchsorted(doc, np.arange(k + 1)).astype(np.int32)
+                    pa.array(nodes)], ["first", "end", "node"])
+                # the large ones with their keys, in a column that later passes don't read
+                keyed = pa.StructArray.from_arrays([
+                    pa.array(nodes[large]), pa.array((end - first)[large].astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(large) + 1, bands, dtype=np.int32)),
+                                             pa.array(keys.ravel().view(np.int64)))], ["node", "n", "keys"])
+                at_doc = np.arange(k + 1)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id").slice(start, k), b.column("text_hash").slice(start, k),
-                     pa.array(np.diff(starts), pa.int64()), pa.ListArray.from_arrays(pa.array(cut), units)],
-                    ["id", "text_hash", "n_words", "units"])
+                     pa.array(np.diff(starts), pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, at_doc).astype(np.int32)), units),
+                     pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[large], at_doc).astype(np.int32)), keyed)],
+                    ["id", "text_hash", "n_words", "units", "keyed"])
 
     return scan
 
 
+def _entries(wanted: np.ndarray):
+    """``(key, node, n)`` of the keys that may stand in more than one place."""
+    def rows(batches):
+        for b in batches:
+            flat = b.column("keys").flatten()
+            parent = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(b.column("keys").offsets)))
+            some = np.flatnonzero(np.asarray(may_be_wanted(wanted, flat)))
+            of = pa.array(parent[some])
+            yield pa.RecordBatch.from_arrays([flat.take(pa.array(some)), b.column("node").take(of), b.column("n").take(of)],
+                                             ["key", "node", "n"])
+
+    return rows
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(range number, position)`` of all positions of the ranges ``first .. first + size``."""
+    of = np.repeat(np.arange(len(first)), size)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+
+
+def _wanted_sets(data, offsets, percent: int, wanted: np.ndarray):
+    """``(nodes, number of the node, its distinct shingles in ascending order)`` of a chunk's large units that may be wanted."""
+    words, starts, doc, first, end = _units(data, offsets)
+    nodes = _nodes(words, first, end)
+    some = np.flatnonzero(_large(first, end, percent) & np.asarray(may_be_wanted(wanted, pa.array(nodes, pa.int64()))))
+    _, once = np.unique(nodes[some], return_index=True)
+    some = some[once]
+    shingles, at = shingle_fingerprints(words, starts, SHINGLE)
+    of, place = _ranges(at[doc[some]] + first[some] - starts[doc[some]], end[some] - first[some] - SHINGLE + 1)
+    value = shingles[place]
+    order = np.lexsort((value, of))
+    of, value = of[order], value[order]
+    new = np.ones(len(of), dtype=bool)
+    new[1:] = (of[1:] != of[:-1]) | (value[1:] != value[:-1])
+    return nodes[some], of[new], value[new]
+
+
 def _contents(percent: int, wanted: np.ndarray):
     """The shingle sets of the large units whose node may be wanted, each once per chunk."""
     def rows(batches):
         for b in batches:
             for _, data, offsets in text_chunks(b.column("text")):
-                words, _, _, first, end = _units(data, offsets)
-                nodes = _nodes(words, first, end)
-                some = np.flatnonzero(_large(first, end, percent)
-                                      & np.asarray(may_be_wanted(wanted, pa.array(nodes, pa.int64()))))
-                _, once = np.unique(nodes[some], return_index=True)
-                some = some[once]
-                sets = [np.unique(shingle_fingerprints(words[a:z], np.array([0, z - a]), SHINGLE)[0]).tobytes()
-                        for a, z in zip(first[some], end[some])]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[some], pa.int64()), pa.array(sets, pa.binary())],
-                                                 ["node", "set"])
+                nodes, of, value = _wanted_sets(data, offsets, percent, wanted)
+                cut = (8 * np.searchsorted(of, np.arange(len(nodes) + 1))).astype(np.int32)
+                sets = pa.Array.from_buffers(pa.binary(), len(nodes), [None, pa.py_buffer(cut), pa.py_buffer(value.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), sets], ["node", "set"])
 
     return rows
 
 
-def _parities(shingles: np.ndarray) -> np.ndarray:
-    """A set's size and the parities of its members over ``PARITIES`` slots, as 64-bit words.
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return ((mix(shingles ^ np.uint64(_ODD)) >> np.uint64(32)) % np.uint64(PARITIES)).astype(np.int64)
+
+
+def _parity_rows(of: np.ndarray, shingles: np.ndarray, n: int) -> np.ndarray:
+    """Sets' sizes and the parities of their members over ``PARITIES`` slots, as 64-bit words: a row per set.
 
     Each member that only one of two sets has changes one parity, so the parities of two sets differ in
     no more places than the sets.
     """
-    slot = (mix(shingles ^ np.uint64(_ODD)) >> np.uint64(32)) % np.uint64(PARITIES)
-    odd = np.bincount(slot.astype(np.int64), minlength=PARITIES) & 1
-    return np.append(len(shingles), np.packbits(odd.astype(np.uint8)).view(np.int64))
+    odd = (np.bincount(of * PARITIES + _slots(shingles), minlength=n * PARITIES) & 1).astype(np.uint8)
+    words = np.packbits(odd).view(np.int64).reshape(n, PARITIES // 64)
+    return np.concatenate([np.bincount(of, minlength=n)[:, None], words], axis=1)
+
+
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """:func:`_parity_rows` of one set."""
+    return _parity_rows(np.zeros(len(shingles), dtype=np.int64), shingles, 1)[0]
 
 
 def _sketches(percent: int, wanted: np.ndarray):
-    """The parities of the contents of :func:`_contents`."""
+    """The parities of the wanted contents."""
     def rows(batches):
-        for b in _contents(percent, wanted)(batches):
-            sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in b.column("set")]
-            sketch = np.array([_parities(s) for s in sets], dtype=np.int64).reshape(len(sets), 1 + PARITIES // 64)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel()), sketch.shape[1])
-            yield pa.RecordBatch.from_arrays([b.column("node"), flat.cast(pa.list_(pa.int64()))], ["node", "sketch"])
+        for b in batches:
+            for _, data, offsets in text_chunks(b.column("text")):
+                nodes, of, value = _wanted_sets(data, offsets, percent, wanted)
+                sketch = _parity_rows(of, value, len(nodes)).astype(np.int64)
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel()), 1 + PARITIES // 64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), flat.cast(pa.list_(pa.int64()))], ["node", "sketch"])
 
     return rows
 
@@ -248,54 +299,179 @@ def _rows_of(wanted: np.ndarray):
     return rows
 
 
+def _members(sets) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, member)`` of a binary column of 64-bit members."""
+    sets = sets.combine_chunks() if isinstance(sets, pa.ChunkedArray) else sets
+    cut = np.frombuffer(sets.buffers()[1], dtype=np.int32, count=len(sets) + 1 + sets.offset)[sets.offset:]
+    raw = sets.buffers()[2]
+    value = np.frombuffer(raw, dtype=np.uint8)[cut[0]:cut[-1]].copy().view(np.uint64) if raw is not None else np.zeros(0, np.uint64)
+    return np.repeat(np.arange(len(sets)), np.diff(cut) // 8), value
+
+
 def _jaccard(batches):
     for b in batches:
-        inter, union = [], []
-        for x, y in zip(b.column("set_a"), b.column("set_b")):
-            s, t = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-            k = len(np.intersect1d(s, t, assume_unique=True))
-            inter.append(k)
-            union.append(len(s) + len(t) - k)
+        (row_a, a), (row_b, z) = _members(b.column("set_a")), _members(b.column("set_b"))
+        row, value = np.concatenate([row_a, row_b]), np.concatenate([a, z])
+        order = np.lexsort((value, row))
+        row, value = row[order], value[order]
+        twice = (row[1:] == row[:-1]) & (value[1:] == value[:-1])  # a set has a member once
+        inter = np.bincount(row[1:][twice], minlength=b.num_rows)
+        union = np.bincount(row, minlength=b.num_rows) - inter
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(inter, pa.int64()),
                                           pa.array(union, pa.int64())], ["a", "b", "inter", "union"])
 
 
+def _merged(units) -> list:
+    """Touching and overlapping ``(first, end)`` as ``[first, end]``."""
+    out = []
+    for a, z in sorted(units):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
+        else:
+            out.append([a, z])
+    return out
+
+
+_KEEPER = "struct<id:bigint,text_hash:bigint,first:int,end:int,node:bigint>"
+_EDGE = "struct<pos:bigint,other:bigint,other_pos:bigint>"
+_RUNS = (f"id bigint, text_hash bigint, runs array<struct<start:bigint,end:bigint,left:{_EDGE},right:{_EDGE},"
+         "sources:array<bigint>>>, repeated_words bigint")
+
+
+def _runs(min_words: int):
+    """A document's runs of removals, and for each edge where the same place is in the document that stays."""
+    def edge(units, doc, side):
+        """The unit that ends the run there: the smallest one, of equal words if there is one."""
+        best = min(units, key=lambda u: (u["node"] != u["keeper"]["node"], u["end"] - u["first"], u["node"]))
+        k = best["keeper"]
+        if (k["id"], k["text_hash"]) == doc:  # a repeat inside the document keeps its edges
+            return None
+        return {"pos": best[side], "other": k["text_hash"], "other_pos": k[side]}
+
+    def run(batches):
+        for b in batches:
+            runs, repeated = [], []
+            for i, h, units in zip(*(b.column(c).to_pylist() for c in ("id", "text_hash", "units"))):
+                gone = [u for u in units if u["keeper"]["id"] is not None and
+                        (i, h, u["first"]) != (u["keeper"]["id"], u["keeper"]["text_hash"], u["keeper"]["first"])]
+                found = []
+                for a, z in _merged((u["first"], u["end"]) for u in gone):
+                    if 2 * (z - a) < min_words:
+                        continue
+                    inside = [u for u in gone if a <= u["first"] and u["end"] <= z]
+                    found.append({"start": a, "end": z,
+                                  "left": edge([u for u in inside if u["first"] == a], (i, h), "first"),
+                                  "right": edge([u for u in inside if u["end"] == z], (i, h), "end"),
+                                  "sources": sorted({u["keeper"]["id"] for u in inside if u["keeper"]["id"] != i})})
+                runs.append(found)
+                repeated.append(sum(z - a for a, z in _merged((u["first"], u["end"]) for u in units) if z - a >= min_words))
+            schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("runs", _RUN_TYPE), ("repeated_words", pa.int64())])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), pa.array(runs, _RUN_TYPE),
+                                              pa.array(repeated, pa.int64())], schema=schema)
+
+    return run
+
+
+_EDGE_TYPE = pa.struct([("pos", pa.int64()), ("other", pa.int64()), ("other_pos", pa.int64())])
+_RUN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("left", _EDGE_TYPE), ("right", _EDGE_TYPE),
+                                ("sources", pa.list_(pa.int64()))]))
+
+
+def _texts_of(wanted: np.ndarray):
+    """Texts whose hash may be wanted."""
+    def rows(batches):
+        for b in batches:
+            yield b.filter(may_be_wanted(wanted, b.column("text_hash")))
+
+    return rows
+
+
+def _contexts(batches):
+    """The fingerprints of ``CONTEXT`` words before and after each of a text's positions."""
+    for b in batches:
+        positions, hashes = b.column("positions").to_pylist(), b.column("text_hash").to_pylist()
+        out = [[], [], [], []]
+        for first, data, offsets in text_chunks(b.column("text")):
+            words, starts = word_fingerprints(data, offsets)
+            for d in range(len(offsets) - 1):
+                own = words[starts[d]:starts[d + 1]]
+                for p in positions[first + d]:
+                    out[0].append(hashes[first + d])
+                    out[1].append(p)
+                    out[2].append(own[max(0, p - CONTEXT):p].tobytes())
+                    out[3].append(own[p:p + CONTEXT].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
+                                          pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())],
+                                         ["h", "p", "before", "after"])
+
+
+def _moved(mine_in, mine_out, other_in, other_out) -> int:
+    """How far an edge moves out (or, below 0, in); words in order from the edge, inside the run and outside it."""
+    if len(mine_in) and len(other_in) and mine_in[0] != other_in[0]:
+        alien = ~np.isin(mine_in, other_in)
+        return -(int(np.argmin(alien)) if not alien.all() else len(alien))
+    n = min(len(mine_out), len(other_out))
+    differ = np.flatnonzero(mine_out[:n] != other_out[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def _compared(batches):
+    for b in batches:
+        moved = []
+        part = {c: [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in b.column(c)] for c in ("before", "after", "o_before", "o_after")}
+        for k, right in enumerate(b.column("right_side").to_pylist()):
+            m, o = [part["before"][k][::-1], part["after"][k]], [part["o_before"][k][::-1], part["o_after"][k]]
+            moved.append(_moved(m[0], m[1], o[0], o[1]) if right else _moved(m[1], m[0], o[1], o[0]))
+        yield pa.RecordBatch.from_arrays(
+            [*(b.column(c) for c in ("h", "pos", "other", "other_pos", "right_side")), pa.array(moved, pa.int64())],
+            ["h", "pos", "other", "other_pos", "right_side", "moved"])
+
+
 def _spans(min_words: int):
-    """Merge a document's removals and repeats into spans."""
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-
-    def merged(units):
-        out = []
-        for a, z in sorted(units):
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], z)
-            else:
-                out.append([a, z])
-        return [s for s in out if s[1] - s[0] >= min_words]
+    """The runs with their edges moved, as removal spans."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for b in batches:
-            removed, repeated, sources = [], [], []
-            for i, units in zip(b.column("id").to_pylist(), b.column("units").to_pylist()):
-                seen, gone = set(), []
-                for u in sorted(units, key=lambda u: (u["first"], u["end"])):
-                    first_here = u["component"] not in seen
-                    seen.add(u["component"])
-                    if u["keeper"] is not None and not (u["keeper"] == i and first_here):
-                        gone.append(u)
-                spans = merged([(u["first"], u["end"]) for u in gone])
-                inside = [u for u in gone if any(a <= u["first"] and u["end"] <= z for a, z in spans)]
-                removed.append([{"start": a, "end": z} for a, z in spans])
-                repeated.append(sum(z - a for a, z in merged([(u["first"], u["end"]) for u in units])))
-                sources.append(sorted({u["keeper"] for u in inside if u["keeper"] != i}))
+            removed, sources = [], []
+            for runs, edges in zip(b.column("runs").to_pylist(), b.column("edges").to_pylist()):
+                moved = {(e["pos"], e["other"], e["other_pos"], e["right_side"]): e["moved"] for e in edges or ()}
+                step = lambda e, right: moved.get((e["pos"], e["other"], e["other_pos"], right), 0) if e else 0
+                placed = [(r["start"] - step(r["left"], False), r["end"] + step(r["right"], True), r["sources"]) for r in runs]
+                found = [s for s in _merged((a, z) for a, z, _ in placed if a < z) if s[1] - s[0] >= min_words]
+                removed.append([{"start": a, "end": z} for a, z in found])
+                sources.append(sorted({i for a, z, ids in placed if any(x <= a and z <= y for x, y in found) for i in ids}))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("text_hash"), pa.array(removed, pa.list_(span)),
-                 pa.array(repeated, pa.int64()), pa.array(sources, pa.list_(pa.int64()))],
-                ["id", "text_hash", "removed", "repeated_words", "kept_in"])
+                [b.column("id"), b.column("text_hash"), pa.array(removed, span), b.column("repeated_words"),
+                 pa.array(sources, pa.list_(pa.int64()))], ["id", "text_hash", "removed", "repeated_words", "kept_in"])
 
     return run
 
 
+def _edges_moved(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """``text_hash`` and its ``edges``: how far every edge of its runs moves."""
+    run = runs.select("text_hash", F.explode("runs").alias("r"))
+    edges = run.select("text_hash", F.explode(F.array(
+        F.struct(F.col("r.left").alias("e"), F.lit(False).alias("right_side")),
+        F.struct(F.col("r.right").alias("e"), F.lit(True).alias("right_side")))).alias("x"))
+    edges = written(edges.where("x.e is not null").select(
+        F.col("text_hash").alias("h"), "x.e.pos", "x.e.other", "x.e.other_pos", "x.right_side").distinct(), "edges")
+    places = edges.select("h", "pos").union(edges.select("other", "other_pos")).distinct().groupBy("h").agg(
+        F.collect_set("pos").alias("positions"))  # at most a text's paragraphs
+    places = written(places, "edge-places")
+    some = texts.select("text_hash", "text").mapInArrow(_texts_of(key_filter(places.select("h"))), "text_hash bigint, text string")
+    asked = some.dropDuplicates(["text_hash"]).join(places, F.col("text_hash") == F.col("h")).select("text_hash", "text", "positions")
+    found = written(asked.mapInArrow(_contexts, "h bigint, p bigint, before binary, after binary"), "contexts")
+    other = found.select(F.col("h").alias("oh"), F.col("p").alias("op"), F.col("before").alias("o_before"),
+                         F.col("after").alias("o_after"))
+    both = (edges.join(found.withColumnRenamed("h", "mh"), (F.col("h") == F.col("mh")) & (F.col("pos") == F.col("p")))
+            .join(other, (F.col("other") == F.col("oh")) & (F.col("other_pos") == F.col("op"))))
+    moved = written(both.select("h", "pos", "other", "other_pos", "right_side", "before", "after", "o_before", "o_after").mapInArrow(
+        _compared, "h bigint, pos bigint, other bigint, other_pos bigint, right_side boolean, moved bigint"), "moved")
+    return moved.where("moved <> 0").groupBy(F.col("h").alias("text_hash")).agg(F.collect_list(F.struct(
+        "pos", "other", "other_pos", "right_side", "moved")).alias("edges"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
                       recall: float = 0.99, rows: int = 2, min_words: int = 20) -> DataFrame:
     """One row per document: ``id_col``, ``n_words``, ``removed`` (word spans), ``removed_words``, ``repeated_words``,
@@ -307,15 +483,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     bands = tuned_bands(percent, recall, rows)
-    schema = ("id bigint, text_hash bigint, n_words bigint, "
-              "units array<struct<first:int,end:int,node:bigint,keys:array<bigint>>>")
+    schema = ("id bigint, text_hash bigint, n_words bigint, units array<struct<first:int,end:int,node:bigint>>, "
+              "keyed array<struct<node:bigint,n:int,keys:array<bigint>>>")
     table = written(texts.mapInArrow(_unit_rows(percent, bands, rows), schema), "units")
     # rows repeated with one id and text are one document
     units = table.select("id", "text_hash", F.explode("units").alias("u"))
 
-    entries = units.select(F.col("u.node").alias("node"), (F.col("u.end") - F.col("u.first")).alias("n"),
-                           F.explode("u.keys").alias("key"))
-    product = written(shared_rows(entries).distinct(), "collisions")
+    keyed = table.select(F.explode("keyed").alias("k")).select("k.*")
+    met = repeated_key_filter(keyed.select(F.explode("keys").alias("key")))
+    entries = written(keyed.mapInArrow(_entries(met), "key bigint, node bigint, n int").distinct(), "entries")
+    product = shared_rows(entries)
     sizes = written(product.groupBy("node").agg(F.max("n").alias("n")), "sizes")
 
     made: list = []  # tables of (node, shingle set), each node in one of them
@@ -346,24 +523,30 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                             _close(percent))
 
     # Contents that stand in more than one place (a row repeated with one id and text is one place) ...
-    places = units.select("id", "text_hash", "u.first", F.col("u.node").alias("node")).groupBy("node").agg(
-        F.min("id").alias("id0"), F.max("id").alias("id1"), F.count("id").alias("ids"), F.count(F.lit(1)).alias("n"),
-        F.min("text_hash").alias("text0"), F.max("text_hash").alias("text1"),
-        F.min("first").alias("first0"), F.max("first").alias("first1"))
+    here = F.struct("id", "text_hash", F.col("u.first").alias("first"), F.col("u.end").alias("end"), F.col("u.node").alias("node"))
+    places = units.groupBy(F.col("u.node").alias("node")).agg(
+        F.min(F.when(F.col("id").isNotNull(), here)).alias("keeper"), F.count("id").alias("ids"), F.count(F.lit(1)).alias("n"),
+        *[f(c).alias(f"{c}{k}") for c in ("id", "text_hash") for k, f in enumerate((F.min, F.max))],
+        F.min("u.first").alias("first0"), F.max("u.first").alias("first1"))
     places = places.join(classes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
-    many = ((F.col("id0") != F.col("id1")) | (F.col("text0") != F.col("text1")) | (F.col("first0") != F.col("first1"))
+    many = ((F.col("id0") != F.col("id1")) | (F.col("text_hash0") != F.col("text_hash1")) | (F.col("first0") != F.col("first1"))
             | ((F.col("ids") > 0) & (F.col("ids") < F.col("n"))))
     places = written(places.where(many | F.col("component").isNotNull()).select(
-        "node", F.coalesce("component", "node").alias("component"), F.col("id0").alias("keeper")), "places")
-    heads = places.groupBy("component").agg(F.min("keeper").alias("keeper"))
+        "node", F.coalesce("component", "node").alias("component"), "keeper"), "places")
+    heads = places.groupBy("component").agg(F.min(F.when(F.col("keeper.id").isNotNull(), F.col("keeper"))).alias("keeper"))
     heads = written(places.select("node", "component").join(heads, "component"), "heads")
     # ... and where they do.
     hit = units.select("id", "text_hash", "u.first", "u.end", F.col("u.node").alias("node"))
     hit = hit.mapInArrow(_rows_of(key_filter(heads.select("node"))),
                          "id bigint, text_hash bigint, first int, end int, node bigint")
-    grouped = (hit.join(heads, "node").groupBy("id", "text_hash").agg(
-        F.collect_set(F.struct("first", "end", "component", "keeper")).alias("units")))
-    found = written(grouped.mapInArrow(
+    none = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("id", "long"), ("text_hash", "long"), ("first", "int"),
+                                                                ("end", "int"), ("node", "long"))])
+    grouped = (hit.join(heads, "node").groupBy("id", "text_hash").agg(F.collect_set(F.struct(
+        "first", "end", "node", F.coalesce("keeper", none).alias("keeper"))).alias("units")))
+    runs = written(grouped.mapInArrow(_runs(min_words), _RUNS), "runs")
+    edges = _edges_moved(texts, runs).withColumnRenamed("text_hash", "_e")
+    moved = runs.join(edges, F.col("text_hash") == F.col("_e"), "left").select("id", "text_hash", "runs", "edges", "repeated_words")
+    found = written(moved.mapInArrow(
         _spans(min_words), "id bigint, text_hash bigint, removed array<struct<start:bigint,end:bigint>>, "
                            "repeated_words bigint, kept_in array<bigint>"), "removals")
     found = found.withColumnRenamed("id", "_id").withColumnRenamed("text_hash", "_h")

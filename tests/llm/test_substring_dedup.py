@@ -157,3 +157,65 @@ def test_awkward_rows(spark):
     got = repeated_passages(fx.frame(spark, data)).collect()
     assert sorted(str((r.doc_id, r.n_words)) for r in got) == sorted(str((i, len(fx.words(t)))) for i, t, _ in data)
     assert repeated_passages(fx.frame(spark, [])).count() == 0
+
+
+def test_passages_inside_lines_by_brute_force(spark):
+    """Passages of more than 50 words at any place of a line: the whole result, word by word."""
+    rng = random.Random(21)
+    passages = [fx.prose(rng, n, 10**6).split() for n in (51, 58, 60, 75, 90, 120, 52, 200)]
+    data, where = [], {}
+    for k, p in enumerate(passages):
+        for i in rng.sample(range(1000), 7):
+            a, z = rng.randrange(0, 60), rng.randrange(0, 60)
+            text = fx.prose(rng, a, 10**6).split() + p + fx.prose(rng, z, 10**6).split()
+            doc = 1000 * k + i
+            where[doc] = (k, a, a + len(p))
+            data.append((doc, " ".join(text), "a"))
+    rng.shuffle(data)
+    first = {k: min(d for d, w in where.items() if w[0] == k) for k in range(len(passages))}
+    got = {r.doc_id: r for r in repeated_passages(fx.frame(spark, data)).collect()}
+    right = total = 0
+    for d, (k, a, z) in where.items():
+        spans = [(s.start, s.end) for s in got[d].removed]
+        if d == first[k]:
+            assert spans == []
+            continue
+        assert all(a <= s and e <= z for s, e in spans), (d, spans, a, z)  # no word outside the passage
+        assert not spans or set(got[d].kept_in) <= {o for o, w in where.items() if w[0] == k and o < d}
+        right += sum(e - s for s, e in spans)
+        total += z - a
+    assert right >= 0.97 * total
+
+
+def test_one_id_on_different_texts(spark):
+    """The keeper is a document (id and text): of two texts under one id that share a line, one loses it."""
+    rng = random.Random(22)
+    line = fx.prose(rng, 60, 10**6)
+    data = [(1, f"{line}\n{fx.prose(rng, 30, 10**6)}", "a"), (1, f"{fx.prose(rng, 30, 10**6)}\n{line}", "a"),
+            (2, f"{fx.prose(rng, 30, 10**6)}\n{line}", "a")]
+    got = repeated_passages(fx.frame(spark, data)).collect()
+    assert sorted(r.removed_words for r in got if r.doc_id == 1) == [0, 60]
+    assert [r.removed_words for r in got if r.doc_id == 2] == [60]
+
+
+def test_edges_stop_where_words_differ():
+    import numpy as np
+
+    from chainlens.llm.substring_dedup import _moved
+
+    w = lambda *x: np.array(x, dtype=np.uint64)
+    assert _moved(w(1, 2), w(3, 4, 5), w(1, 9), w(3, 4, 6)) == 2
+    assert _moved(w(1, 2), w(3), w(1, 2), w(3, 4)) == 1 and _moved(w(1), w(), w(1), w(2)) == 0
+    assert _moved(w(7, 1, 2), w(3), w(8, 1, 2), w(3)) == -1  # a word that the other has not
+    assert _moved(w(7, 8), w(3), w(1, 2), w(3)) == -2
+
+
+def test_keys_are_filtered_before_they_are_shuffled(spark):
+    from chainlens.llm.common import may_be_wanted, repeated_key_filter
+    import pyarrow as pa
+
+    keys = spark.range(20000).selectExpr("case when id % 100 = 0 then 7 + id % 300 else id * 7919 * 104729 end AS key")
+    bits = repeated_key_filter(keys)
+    assert all(may_be_wanted(bits, pa.array([7, 107, 207])).to_pylist())
+    lone = [i * 7919 * 104729 for i in range(20000) if i % 100]
+    assert sum(may_be_wanted(bits, pa.array(lone)).to_pylist()) < 0.25 * len(lone)
