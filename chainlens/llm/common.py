@@ -20,7 +20,7 @@ from chainlens.session import ensure_checkpoint_dir
 
 
 #: whole texts go to the workers in batches of at most this many bytes (or one text)
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
