@@ -26,7 +26,8 @@ def main(argv=None) -> int:
     src = ap.add_mutually_exclusive_group(required=True)
     src.add_argument("--data-dir")
     src.add_argument("--sf-dir")
-    ap.add_argument("--out", required=True)
+    ap.add_argument("--out")
+    ap.add_argument("--show", metavar="ROWS", help="print the first ROWS rows of each result, or with `all` every row")
     ap.add_argument("--format", choices=["csv", "parquet", "json"], default="csv")
     ap.add_argument("--json-arrays", action="store_true",
                     help="documents are one JSON array per file (each read by one task), not JSON Lines")
@@ -37,6 +38,8 @@ def main(argv=None) -> int:
                     help="write the six dashboard datasets from one pass over each source")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args(argv)
+    if not (a.out or a.show):
+        ap.error("--out or --show is needed")
 
     from chainlens.session import get_session
 
@@ -70,7 +73,12 @@ def main(argv=None) -> int:
         writer = lambda df, path: publish(df, path, a.publish, a.format)
     for name in (a.names or list(run)):
         t0 = time.perf_counter()
-        writer(run[name](), f"{a.out.rstrip('/')}/{name}")
+        result = run[name]()
+        if a.show:
+            print(f"== {name}")
+            sinks.preview(result, None if a.show == "all" else int(a.show))
+        if a.out:
+            writer(result, f"{a.out.rstrip('/')}/{name}")
         print(f"{name}\t{time.perf_counter() - t0:.2f}s", file=sys.stderr)
     return 0
 

@@ -32,3 +32,16 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON Lines (splittable) — nested documents keep their structure."""
     df.write.mode(mode).options(**TIMES).json(path)
+
+
+def preview(df: DataFrame, rows: int | None = None, out=None) -> int:
+    """Print ``rows`` rows as tab-separated text, or with None the whole result; returns their number.
+
+    A head is a limit in the plan; the whole result comes partition by partition, so the driver holds one at a time.
+    """
+    shown = 0
+    print("\t".join(df.columns), file=out)
+    for row in (df if rows is None else df.limit(rows)).toLocalIterator():
+        print("\t".join("NULL" if v is None else str(v) for v in row), file=out)
+        shown += 1
+    return shown

@@ -81,6 +81,24 @@ def test_cli_exports(spark, domain_dir, tmp_path):
     assert os.path.isdir(f"{out}/events_flat")
 
 
+def test_cli_shows_heads_and_whole_results(spark, domain_dir, capsys):
+    assert cli.main(["--data-dir", domain_dir, "--show", "2", "revenue_by_customer"]) == 0
+    head = capsys.readouterr().out.splitlines()
+    assert head[0] == "== revenue_by_customer" and head[1].startswith("customer\t") and len(head) == 4
+    assert cli.main(["--data-dir", domain_dir, "--show", "all", "revenue_by_customer"]) == 0
+    whole = capsys.readouterr().out.splitlines()
+    assert whole[:4] == head and len(whole) == 7
+
+
+def test_cli_publishes(spark, domain_dir, tmp_path):
+    from chainlens.sources.published import read_published
+
+    out = str(tmp_path / "pub")
+    for _ in range(2):
+        assert cli.main(["--data-dir", domain_dir, "--out", out, "--format", "parquet", "--publish", "run-1", "kpi_table"]) == 0
+    assert read_published(spark, f"{out}/kpi_table").count() == 6
+
+
 def test_domain_dashboard_bundle(spark, domain_dir, tmp_path):
     from chainlens.operators import dashboard
 
