@@ -69,7 +69,21 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     if own:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path if own else None
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing will read again (those with a path of their own stay).
+
+    Whatever was made from them must have been written, too: it can't be computed again.
+    """
+    for table in tables:
+        if getattr(table, "written_path", None):
+            spark = table.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 #: slots of a key filter for each key, and the bounds of their number (2**27 slots are 16 MiB)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chainlens.llm.common import written
+from chainlens.llm.common import discard, written
 from chainlens.llm.components import connected_components
 
 ROUNDS = 3
@@ -35,6 +35,13 @@ def shared_rows(entries: DataFrame) -> DataFrame:
     return written(entries.join(columns, "key"), "product")
 
 
+def _replaced(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """``new`` written, and ``old``, which it was made from, deleted."""
+    table = written(new, name)
+    discard(old)
+    return table
+
+
 def _labelled(df: DataFrame, labels: DataFrame, col: str, name: str) -> DataFrame:
     s = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     return df.join(s, F.col(col) == F.col("_n"), "left").withColumn(name, F.coalesce("_c", col)).drop("_n", "_c")
@@ -89,18 +96,18 @@ def pivot_classes(product: DataFrame, sizes: DataFrame, needed: Callable[[Column
             labels = found if labels is None else labels
             break  # what is left to find is found below
         labels = _merged(labels, found)
-        rows = written(_labelled(rows.drop("own"), labels, "node", "own"), "labelled")
+        rows = _replaced(rows, _labelled(rows.drop("own"), labels, "node", "own"), "labelled")
     pivots = rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("x"), "own")).alias("t")).select(
         "key", F.col("t.own").alias("main"))
-    rows = written(rows.drop("weight").join(pivots, "key"), "labelled")
+    rows = _replaced(rows, rows.drop("weight").join(pivots, "key"), "labelled")
     if sketches is None:
         rows, close = rows.withColumn("sketch", F.lit(True)), lambda a, b: F.lit(True)
     else:
         # only keys that a stray has lead to pairs
         left = rows.where("own <> main").select("key").distinct()
-        rows = written(rows.join(left, "key", "left_semi"), "strays")
+        rows = _replaced(rows, rows.join(left, "key", "left_semi"), "strays")
         of = sketches(written(rows.select("node").distinct(), "nodes"))
-        rows = written(rows.join(of, "node"), "sketched")
+        rows = _replaced(rows, rows.join(of, "node"), "sketched")
     strays = rows.where("own <> main").select(
         "key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("own").alias("cx"),
         (F.col("held") - F.col("place") + 1).alias("leftx"), F.col("sketch").alias("sx"))
@@ -119,4 +126,5 @@ def pivot_classes(product: DataFrame, sizes: DataFrame, needed: Callable[[Column
     links = _labelled(_labelled(links, labels, "a", "ca"), labels, "b", "cb").select(F.col("ca").alias("a"),
                                                                                     F.col("cb").alias("b"))
     found = connected_components(links)
+    discard(rows)
     return labels if found.isEmpty() else _merged(labels, found)

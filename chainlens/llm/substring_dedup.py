@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import (NOT_SPACE, _powers, key_filter, may_be_wanted, mix, repeated_key_filter,
+from chainlens.llm.common import (NOT_SPACE, _powers, discard, key_filter, may_be_wanted, mix, repeated_key_filter,
                                   shingle_fingerprints, ship, text_chunks, text_or_empty, word_fingerprints, written)
 from chainlens.llm.pivots import pivot_classes, shared_rows
 
@@ -156,7 +156,24 @@ def _large(first: np.ndarray, end: np.ndarray, percent: int) -> np.ndarray:
     return end - first - SHINGLE + 1 >= least
 
 
-def _unit_rows(percent: int, bands: int, rows: int):
+def _unit_rows(batches):
+    """Every text's paragraphs."""
+    for b in batches:
+        for start, data, offsets in text_chunks(b.column("text")):
+            words, starts, doc, first, end = _units(data, offsets)
+            k = len(offsets) - 1
+            units = pa.StructArray.from_arrays([
+                pa.array((first - starts[doc]).astype(np.int32)), pa.array((end - starts[doc]).astype(np.int32)),
+                pa.array(_nodes(words, first, end))], ["first", "end", "node"])
+            cut = np.searchsorted(doc, np.arange(k + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id").slice(start, k), b.column("text_hash").slice(start, k),
+                 pa.array(np.diff(starts), pa.int64()), pa.ListArray.from_arrays(pa.array(cut), units)],
+                ["id", "text_hash", "n_words", "units"])
+
+
+def _keyed_rows(percent: int, bands: int, rows: int):
+    """The large paragraphs' MinHash keys, equal ones once per chunk."""
     seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(_ODD))
 
     def scan(batches):
@@ -164,7 +181,9 @@ def _unit_rows(percent: int, bands: int, rows: int):
             for start, data, offsets in text_chunks(b.column("text")):
                 words, starts, doc, first, end = _units(data, offsets)
                 shingles, at = shingle_fingerprints(words, starts, SHINGLE)
+                nodes = _nodes(words, first, end)
                 large = np.flatnonzero(_large(first, end, percent))
+                large = large[np.unique(nodes[large], return_index=True)[1]]
                 # a large unit's shingles are one range; the least hash of each range, for each seed
                 low = at[doc[large]] + first[large] - starts[doc[large]]
                 edges = np.stack([low, low + end[large] - first[large] - SHINGLE + 1], axis=1).ravel()
@@ -175,23 +194,10 @@ def _unit_rows(percent: int, bands: int, rows: int):
                         least = np.minimum.reduceat(mix(shingles ^ seeds[k * rows + r]), edges)[::2]
                         keys[:, k] = mix(keys[:, k] + least)
                     keys[:, k] = mix(keys[:, k] ^ np.uint64(k + 1))
-                k = len(offsets) - 1
-                nodes = _nodes(words, first, end)
-                units = pa.StructArray.from_arrays([
-                    pa.array((first - starts[doc]).astype(np.int32)), pa.array((end - starts[doc]).astype(np.int32)),
-                    pa.array(nodes)], ["first", "end", "node"])
-                # the large ones with their keys, in a column that later passes don't read
-                keyed = pa.StructArray.from_arrays([
-                    pa.array(nodes[large]), pa.array((end - first)[large].astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(large) + 1, bands, dtype=np.int32)),
-                                             pa.array(keys.ravel().view(np.int64)))], ["node", "n", "keys"])
-                at_doc = np.arange(k + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(start, k), b.column("text_hash").slice(start, k),
-                     pa.array(np.diff(starts), pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, at_doc).astype(np.int32)), units),
-                     pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[large], at_doc).astype(np.int32)), keyed)],
-                    ["id", "text_hash", "n_words", "units", "keyed"])
+                    [pa.array(nodes[large]), pa.array((end - first)[large].astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(large) + 1, bands, dtype=np.int32)),
+                                              pa.array(keys.ravel().view(np.int64)))], ["node", "n", "keys"])
 
     return scan
 
@@ -468,6 +474,7 @@ def _edges_moved(texts: DataFrame, runs: DataFrame) -> DataFrame:
             .join(other, (F.col("other") == F.col("oh")) & (F.col("other_pos") == F.col("op"))))
     moved = written(both.select("h", "pos", "other", "other_pos", "right_side", "before", "after", "o_before", "o_after").mapInArrow(
         _compared, "h bigint, pos bigint, other bigint, other_pos bigint, right_side boolean, moved bigint"), "moved")
+    discard(found, places, edges)
     return moved.where("moved <> 0").groupBy(F.col("h").alias("text_hash")).agg(F.collect_list(F.struct(
         "pos", "other", "other_pos", "right_side", "moved")).alias("edges"))
 
@@ -483,16 +490,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     bands = tuned_bands(percent, recall, rows)
-    schema = ("id bigint, text_hash bigint, n_words bigint, units array<struct<first:int,end:int,node:bigint>>, "
-              "keyed array<struct<node:bigint,n:int,keys:array<bigint>>>")
-    table = written(texts.mapInArrow(_unit_rows(percent, bands, rows), schema), "units")
-    # rows repeated with one id and text are one document
-    units = table.select("id", "text_hash", F.explode("units").alias("u"))
-
-    keyed = table.select(F.explode("keyed").alias("k")).select("k.*")
+    keyed = written(texts.select("text").mapInArrow(_keyed_rows(percent, bands, rows), "node bigint, n int, keys array<bigint>"),
+                    "keyed")
     met = repeated_key_filter(keyed.select(F.explode("keys").alias("key")))
     entries = written(keyed.mapInArrow(_entries(met), "key bigint, node bigint, n int").distinct(), "entries")
+    discard(keyed)
     product = shared_rows(entries)
+    discard(entries)
     sizes = written(product.groupBy("node").agg(F.max("n").alias("n")), "sizes")
 
     made: list = []  # tables of (node, shingle set), each node in one of them
@@ -522,28 +526,36 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = pivot_classes(product, sizes, lambda a, b: F.lit(1), lambda a, b: F.lit(True), verified, sketches,
                             _close(percent))
 
+    discard(product, sizes, *made)
+    table = written(texts.mapInArrow(_unit_rows, "id bigint, text_hash bigint, n_words bigint, "
+                                                 "units array<struct<first:int,end:int,node:bigint>>"), "units")
+    # rows repeated with one id and text are one document
+    units = table.select("id", "text_hash", F.explode("units").alias("u"))
+
     # Contents that stand in more than one place (a row repeated with one id and text is one place) ...
-    here = F.struct("id", "text_hash", F.col("u.first").alias("first"), F.col("u.end").alias("end"), F.col("u.node").alias("node"))
     places = units.groupBy(F.col("u.node").alias("node")).agg(
-        F.min(F.when(F.col("id").isNotNull(), here)).alias("keeper"), F.count("id").alias("ids"), F.count(F.lit(1)).alias("n"),
+        F.count("id").alias("ids"), F.count(F.lit(1)).alias("n"),
         *[f(c).alias(f"{c}{k}") for c in ("id", "text_hash") for k, f in enumerate((F.min, F.max))],
         F.min("u.first").alias("first0"), F.max("u.first").alias("first1"))
     places = places.join(classes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
     many = ((F.col("id0") != F.col("id1")) | (F.col("text_hash0") != F.col("text_hash1")) | (F.col("first0") != F.col("first1"))
             | ((F.col("ids") > 0) & (F.col("ids") < F.col("n"))))
     places = written(places.where(many | F.col("component").isNotNull()).select(
-        "node", F.coalesce("component", "node").alias("component"), "keeper"), "places")
-    heads = places.groupBy("component").agg(F.min(F.when(F.col("keeper.id").isNotNull(), F.col("keeper"))).alias("keeper"))
-    heads = written(places.select("node", "component").join(heads, "component"), "heads")
+        "node", F.coalesce("component", "node").alias("component")), "places")
     # ... and where they do.
     hit = units.select("id", "text_hash", "u.first", "u.end", F.col("u.node").alias("node"))
-    hit = hit.mapInArrow(_rows_of(key_filter(heads.select("node"))),
+    hit = hit.mapInArrow(_rows_of(key_filter(places.select("node"))),
                          "id bigint, text_hash bigint, first int, end int, node bigint")
+    hits = written(hit.join(places, "node"), "hits")
+    here = F.struct("id", "text_hash", "first", "end", "node")
+    heads = written(hits.where("id is not null").groupBy("component").agg(F.min(here).alias("keeper")), "heads")
     none = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("id", "long"), ("text_hash", "long"), ("first", "int"),
                                                                 ("end", "int"), ("node", "long"))])
-    grouped = (hit.join(heads, "node").groupBy("id", "text_hash").agg(F.collect_set(F.struct(
+    placed = hits.join(heads.withColumnRenamed("component", "_c"), F.col("component") == F.col("_c"), "left")
+    grouped = (placed.groupBy("id", "text_hash").agg(F.collect_set(F.struct(
         "first", "end", "node", F.coalesce("keeper", none).alias("keeper"))).alias("units")))
     runs = written(grouped.mapInArrow(_runs(min_words), _RUNS), "runs")
+    discard(hits, heads, places)
     edges = _edges_moved(texts, runs).withColumnRenamed("text_hash", "_e")
     moved = runs.join(edges, F.col("text_hash") == F.col("_e"), "left").select("id", "text_hash", "runs", "edges", "repeated_words")
     found = written(moved.mapInArrow(
