@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -187,6 +188,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def release_memory() -> None:
+    """Give a worker's freed memory back to the system; workers live on between stages, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library: its allocator decides
+    _trim = None
+
+
 def text_chunks(batch_texts: pa.Array, max_bytes: int = 512 << 10):
     """Slices of a string array with about ``max_bytes`` each (a longer text is a slice alone).
 
@@ -206,6 +220,7 @@ def text_chunks(batch_texts: pa.Array, max_bytes: int = 512 << 10):
         j = min(max(j, i + 1), len(arr))
         yield i, data[off[i]:off[j]], off[i:j + 1] - off[i]
         i = j
+    release_memory()
 
 
 def word_fingerprints(data: np.ndarray, offsets: np.ndarray, mask: np.ndarray = NOT_SPACE):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chainlens.llm.common import ship, text_chunks, text_or_empty, word_fingerprints, written
+from chainlens.llm.common import release_memory, ship, text_chunks, text_or_empty, word_fingerprints, written
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 
@@ -238,8 +238,11 @@ def _fit(epochs: int = 60, rate: float = 0.5, decay: float = 1e-4):
                 grad[-1] += g.sum()
                 seen += grad * grad
                 w -= rate * grad / np.sqrt(seen)
+        n = len(post)
+        post = idx = val = y = x = f = row = weight = None
+        release_memory()
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary()),
-                                          pa.array([len(post)], pa.int64())], ["weights", "rows"])
+                                          pa.array([n], pa.int64())], ["weights", "rows"])
 
     return train
 
