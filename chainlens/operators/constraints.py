@@ -95,8 +95,10 @@ def check_reference_by_bitmaps(child: DataFrame, fk: str, parent: DataFrame, pk:
 
     Both tables' keys become bitmaps in the tasks that read them, so what is shuffled first is 4 KB per 32,768 keys.  A bucket whose
     child bits are all among its parent bits holds no orphan; only the keys of the other buckets (candidates) are
-    shuffled as rows, to name and count the orphans exactly.  A Bloom filter in place of the bitmaps would be no exact
-    test here: its false positives are orphans that look like children with a parent.
+    shuffled as rows, to name and count the orphans exactly.  The candidates' numbers (one for each 32,768 keys of a
+    range with orphans) are broadcast, as rows joined by their bucket would all meet in one task: a few
+    thousand suppliers are one bucket, whatever the number of lines.  A Bloom filter in place of the bitmaps would be
+    no exact test here: its false positives are orphans that look like children with a parent.
     """
     for df, c in ((child, fk), (parent, pk)):
         if not isinstance(df.schema[c].dataType, IntegralType):
@@ -107,7 +109,7 @@ def check_reference_by_bitmaps(child: DataFrame, fk: str, parent: DataFrame, pk:
     both = want.select(BUCKET, F.explode(F.array("_have", BITMAP)).alias("b"), "_have").where(F.col("b").isNotNull())
     added = both.groupBy(BUCKET).agg(F.bitmap_count(F.bitmap_or_agg("b")).alias("_all"),
                                      F.max(F.coalesce(F.bitmap_count("_have"), F.lit(0))).alias("_have"))
-    suspect = added.where(F.col("_all") > F.col("_have")).select(F.col(BUCKET).alias("_b"))
+    suspect = F.broadcast(added.where(F.col("_all") > F.col("_have")).select(F.col(BUCKET).alias("_b")))
     bucket = lambda c: F.bitmap_bucket_number(F.col(c).cast("long"))
     keys = (child.select(F.col(fk).alias("_k")).where(F.col("_k").isNotNull()).join(suspect, bucket("_k") == F.col("_b"), "left_semi")
             .groupBy("_k").agg(F.count(F.lit(1)).cast("long").alias("n")))

@@ -80,6 +80,22 @@ def test_clean_buckets_send_no_rows(spark):
     assert "LeftSemi" in plan.toString() and "bitmap_construct_agg" in plan.toString()
 
 
+def test_rows_are_not_shuffled_by_bucket(spark):
+    """All children of one bucket of parents would meet in one task, whose memory would grow with the table."""
+    child = spark.range(20_000).select((F.col("id") % 50).alias("p"))
+    parent = spark.range(50).where("id <> 7").select("id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = constraints.check_reference_by_bitmaps(child, "p", parent, "id", "r")
+        assert [(r.key, r.n) for r in df.collect()] == [("7", 400)]
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+        assert len(semi) == 2 and all("BroadcastHashJoin" in line for line in semi)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_footer_counts(spark):
     df = QUERIES["table_row_counts_footer"](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
