@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import (key_filter, may_be_wanted, shingle_fingerprints,
+from chainlens.llm.common import (discard, key_filter, may_be_wanted, shingle_fingerprints,
                                   ship, text_chunks, text_or_empty, word_fingerprints, written)
 from chainlens.llm.pivots import pivot_classes, shared_rows
 
@@ -172,14 +172,17 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = written(named.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
     entries = (named.join(classes, (named["digest"] == classes["digest"]) & (named["id"] == classes["rep"]), "left_semi")
                .select(F.col("id").alias("node"), F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key")))
+    product = shared_rows(entries)
+    heads = written(matrix.select("id", "text_hash", "n", "digest"), "heads")
+    discard(matrix)  # the prefixes are in the product now
     found = pivot_classes(
-        shared_rows(entries),
+        product,
         written(classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "sizes"),
         lambda a, b: _needed(a, b, percent),
         lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent,
         _Verifier(rows, size, percent))
     final = (classes.join(found, F.col("rep") == F.col("node"), "left")
              .select("digest", F.coalesce("component", "rep").alias("component")))
-    return (matrix.select("id", "text_hash", "n", "digest").join(final, "digest", "left")
+    return (heads.join(final, "digest", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), "text_hash"))

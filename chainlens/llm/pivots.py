@@ -62,7 +62,7 @@ def pivot_classes(product: DataFrame, sizes: DataFrame, needed: Callable[[Column
                   close: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``(node, component)`` of all nodes with links; ``component`` is the smallest node.
 
-    ``product``: :func:`shared_rows`, without repeated rows; ``sizes``: ``node``, ``n``; ``needed(n_a, n_b)``
+    ``product``: :func:`shared_rows`, without repeated rows, deleted once it is read; ``sizes``: ``node``, ``n``; ``needed(n_a, n_b)``
     is the least number of common keys of a similar pair (1 or more), ``similar_sizes(n_a, n_b)`` says
     whether the sizes allow one, and ``verified`` returns the similar ones of pairs (``a``, ``b``).
     ``sketches`` gives (``node``, ``sketch``) of a table of ``node``, and ``close`` says whether two sketches
@@ -74,6 +74,7 @@ def pivot_classes(product: DataFrame, sizes: DataFrame, needed: Callable[[Column
     rows = written(product.select(
         "key", "node", "n", F.sum("rows").over(own).alias("weight"), F.count(F.lit(1)).over(own).alias("held"),
         F.row_number().over(own.orderBy("rows", "key")).alias("place"), F.col("node").alias("own")), "weighted")
+    discard(product)
     labels = None
     for k in range(ROUNDS):
         # the first time the heaviest node of a key, then pseudo-random ones

@@ -526,7 +526,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = pivot_classes(product, sizes, lambda a, b: F.lit(1), lambda a, b: F.lit(True), verified, sketches,
                             _close(percent))
 
-    discard(product, sizes, *made)
+    discard(sizes, *made)
     table = written(texts.mapInArrow(_unit_rows, "id bigint, text_hash bigint, n_words bigint, "
                                                  "units array<struct<first:int,end:int,node:bigint>>"), "units")
     # rows repeated with one id and text are one document

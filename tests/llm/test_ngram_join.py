@@ -64,6 +64,22 @@ def test_near_copies_passages_and_chains(spark):
     assert sorted(tuple(r)[:3] for r in got) == brute(data)
 
 
+def test_prefixes_go_once_they_are_read(spark):
+    """The matrix and the product, the largest tables, don't lie beside those that the join makes of them."""
+    from pathlib import Path
+
+    from chainlens.llm.common import shared_path
+
+    folder = Path(shared_path(spark, "x").removeprefix("file:")).parent
+    tables = lambda: {p for k in ("matrix", "product") for p in folder.glob(f"{k}-*")}
+    before = tables()
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "alone here")], "doc_id long, text string")
+    got = ngram_jaccard_classes(df)
+    assert tables() == before
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_empty_table(spark):
     out = ngram_jaccard_classes(fx.frame(spark, []))
     assert out.columns[:3] == ["doc_id", "n_shingles", "component_id"] and out.count() == 0
