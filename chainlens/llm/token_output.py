@@ -40,8 +40,9 @@ def _segments(tokenizer: str, end_id: int, segment_tokens: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def write(batches):
-        part = TaskContext.get().partitionId()
-        enc = tokens.Encoder(tokenizer)
+        task = TaskContext.get()
+        part = task.partitionId()
+        enc = tokens.stage_encoder(tokenizer, task.stageId())
         number, ids, parts, held = 0, [], [], 0
 
         def segment():
@@ -86,6 +87,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
 
 
 def _decoded(batches):
+    tokens.forget()
     for b in batches:
         out = {"part": [], "segment": [], "doc_tokens": [], "befores": [], "crcs": [], "ids": []}
         for i in range(b.num_rows):

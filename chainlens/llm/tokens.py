@@ -3,16 +3,22 @@
 The library encodes at about 3 MB/s a core.  Both vocabulary kinds used here split a text at white
 space before anything else, so a text cut before a single ASCII space that follows a character
 which is no white space encodes to the concatenation of its parts.  Each task keeps the parts it
-has met (two generations of at most ``CACHE_PIECES``, gone with the task) and gives only new ones to the library; a text for which the
-cut isn't safe goes to the library whole.  ``tests/llm`` compares both on whole texts.
+has met (two generations of at most ``CACHE_PIECES``, gone with the task or, from :func:`stage_encoder`, with the stage)
+and gives only new ones to the library; a text for which the cut isn't safe goes to the library whole.  Byte-level
+vocabularies also split between Latin letters, digits, ASCII marks and white space, so there whole batches of texts are cut at
+once and only their distinct parts are looked up.  ``tests/llm`` compares both on whole texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 import numpy as np
+import pyarrow as pa
+
+from chainlens.llm.common import release_memory
 
 CACHE_PIECES = 400_000
 #: bytes the kept pieces may take, by the estimate of ``_PIECE_BYTES`` and their length
@@ -23,6 +29,7 @@ _CHUNK = 200
 #: a space after white space of any kind (also of characters that only some libraries count so)
 _UNSAFE = re.compile("[\\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff] ")
 _loaded: dict = {}
+_held: dict = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -121,19 +128,138 @@ class _Pieces(dict):
             self.bytes = 0
 
 
+#: byte classes of :class:`_ByteLevel`: a space, other white space, letters (A-Z, a-z, U+00C0 to U+024F), digits, marks, others
+_SPACE, _WHITE, _LETTER, _DIGIT, _MARK, _OTHER = range(6)
+_CLASS = np.full(256, _OTHER, dtype=np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[0x80:0xC0] = _CLASS[0xC3:0xCA] = _LETTER
+_CLASS[9:14] = _WHITE
+_CLASS[32] = _SPACE
+
+
+class _ByteLevel:
+    """Encodes texts by the parts that the byte-level expression splits always, each distinct one of a batch once.
+
+    A part begins where the class of the byte changes, a space stands before the part it leads, and what follows an
+    apostrophe belongs to it (``'s``).  Texts with other characters, white space behind white space or an added token aren't cut.
+    """
+
+    def __init__(self, tok):
+        self.tok, self.known, self.last, self.bytes = tok, {}, {}, 0
+        self.added = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
+
+    @staticmethod
+    def fits(tok) -> bool:
+        """Whether the vocabulary splits texts by the byte-level expression alone."""
+        spec = json.loads(tok.to_str())
+        split = spec.get("pre_tokenizer") or {}
+        return (spec.get("normalizer") is None and spec.get("post_processor") is None and split.get("type") == "ByteLevel"
+                and split.get("use_regex") is True and split.get("add_prefix_space") is False)
+
+    def encode(self, texts: list) -> list:
+        """The ids of each text, None for those that aren't cut."""
+        if not texts:
+            return []
+        raw = [t.encode() for t in texts]
+        whole = b"\0".join(raw)
+        met = [t for t in self.added if t in whole]
+        safe = self._safe(raw) & np.array([not any(t in r for t in met) for r in raw], dtype=bool)
+        out: list = [None] * len(texts)
+        some = np.flatnonzero(safe).tolist()
+        for i, ids in zip(some, self._ids([raw[i] for i in some])):
+            out[i] = ids
+        return out
+
+    @staticmethod
+    def _safe(raw: list) -> np.ndarray:
+        data = np.frombuffer(b"\0".join(raw) + b"\0", dtype=np.uint8)
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        kind = _CLASS[data]
+        bad = kind == _OTHER
+        bad[ends - 1] = False  # what stands between the texts
+        white = kind <= _WHITE
+        bad[1:] |= white[1:] & white[:-1]
+        bad[1:] |= (data[:-1] == 0xC9) & (data[1:] >= 0x90)
+        bad[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # two signs among the letters
+        safe = np.ones(len(raw), dtype=bool)
+        safe[np.searchsorted(ends, np.flatnonzero(bad), side="right")] = False
+        return safe
+
+    def _ids(self, raw: list) -> list:
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)])
+        if not offsets[-1]:
+            return [b""] * len(raw)
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        kind = _CLASS[data]
+        begins = np.ones(len(data), dtype=bool)
+        begins[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE) & (data[:-1] != 39) | (kind[1:] <= _WHITE)
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(begins)
+        at = np.append(starts, len(data)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        which = np.asarray(parts.indices)
+        values = self._values(parts.dictionary.to_pylist())
+        size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        flat, first, each = np.frombuffer(b"".join(values), dtype="<u4"), np.cumsum(size) - size, size[which]
+        ends = np.cumsum(each)
+        ids = flat[np.arange(ends[-1]) + np.repeat(first[which] - (ends - each), each)].tobytes()
+        cut = (4 * np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]).tolist()
+        return [ids[a:z] for a, z in zip(cut, cut[1:])]
+
+    def _values(self, parts: list) -> list:
+        """The ids of distinct parts."""
+        if len(self.known) > CACHE_PIECES or self.bytes > CACHE_BYTES:
+            self.last, self.known, self.bytes = self.known, {}, 0
+        known, last = self.known, self.last
+        new = [p for p in parts if p not in known]
+        self.bytes += sum(map(len, new)) + _PIECE_BYTES * len(new)
+        if last:
+            known.update((p, last[p]) for p in new if p in last)
+            new = [p for p in new if p not in known]
+        # one word of the library each: led by a space, or with a line break before it
+        plain = [p for p in new if b"'" not in p and not p.isspace()]
+        self._together([p for p in plain if p[0] == 32], "", 1)
+        self._together([p for p in plain if p[0] != 32], "\n", 2)
+        alone = [p for p in new if p not in known]
+        for i in range(0, len(alone), 256):
+            some = alone[i:i + 256]
+            for p, e in zip(some, self.tok.encode_batch([p.decode() for p in some], add_special_tokens=False)):
+                known[p] = _as_bytes(e.ids)
+        return [known[p] for p in parts]
+
+    def _together(self, parts: list, before: str, step: int) -> None:
+        """Encode many parts in one call and cut the ids at every ``step``-th word (where there are as many as there should be)."""
+        for i in range(0, len(parts), _CHUNK):
+            some = parts[i:i + _CHUNK]
+            e = self.tok.encode("".join([before + p.decode() for p in some]), add_special_tokens=False)
+            at = np.asarray(e.word_ids)
+            cut = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+            if len(cut) == step * len(some) + 1:
+                ids = _as_bytes(e.ids)
+                self.known.update((p, ids[4 * a:4 * z]) for p, a, z in zip(some, cut[step - 1::step], cut[step::step]))
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids (bytes), or counts their tokens."""
 
     def __init__(self, name: str, counts: bool = False):
         self.tok, self.counts = load(name), counts
+        self.byte_level = _ByteLevel(self.tok) if _ByteLevel.fits(self.tok) else None
         self.spaced = _Pieces(self.tok, counts, " ")
         self.first = _Pieces(self.tok, counts, "")
 
     def encode(self, texts: list) -> list:
         """The ids or the count of each text."""
         out: list = [None] * len(texts)
+        if self.byte_level is not None:
+            out = self.byte_level.encode(texts)
+            if self.counts:
+                out = [None if ids is None else len(ids) // 4 for ids in out]
         which, size = [], 0
         for i, t in enumerate(texts):
+            if out[i] is not None:
+                continue
             if t.startswith(" ") or _UNSAFE.search(t):
                 out[i] = self.spaced.value(self.tok.encode(t, add_special_tokens=False).ids)
                 continue
@@ -165,3 +291,19 @@ class Encoder:
             for j in m:
                 v[j] = self.spaced[p[j]] if j else self.first[p[0]]
             out[i] = sum(v) if self.counts else b"".join(v)
+
+
+def stage_encoder(name: str, stage: int) -> Encoder:
+    """The :class:`Encoder` of a stage: its tasks in one worker share the pieces met."""
+    key = (name, stage)
+    if key not in _held:
+        forget()
+        _held[key] = Encoder(name)
+    return _held[key]
+
+
+def forget() -> None:
+    """Let go of the pieces of :func:`stage_encoder`, as a stage that follows in the worker does."""
+    if _held:
+        _held.clear()
+        release_memory()

@@ -51,6 +51,35 @@ def test_generations_of_the_piece_cache(monkeypatch):
         assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == w
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_parts_inside_words_equal_the_library(name):
+    rng = random.Random(5)
+    some = ["a", "Bc", "é", "ɏ", "ɐ", "×", "÷", "9", "12", " ", " ", "\n", "\t", ".", ",", "!?", "'", "'s", "'re", "<", "_", "\x7f",
+            "\0", "\u00a0", "<|endoftext|>", "ñandú", "字"]
+    for kinds in (some[:16], some[:22], some):
+        texts = ["".join(rng.choice(kinds) for _ in range(rng.randrange(60))) for _ in range(400)]
+        want = [e.ids for e in tokens.load(name).encode_batch(texts, add_special_tokens=False)]
+        enc = tokens.Encoder(name)
+        for _ in range(2):
+            assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == want
+
+
+def test_a_word_with_marks_is_no_new_one():
+    enc = tokens.Encoder("byte_bpe_50k.json")
+    enc.encode(["word, word. (word)\nword! it's", " word"])
+    assert set(enc.byte_level.known) == {b"word", b",", b" word", b".", b" (", b")", b"\n", b"!", b" it", b"'s"}
+    assert not enc.spaced and not enc.first
+
+
+def test_tasks_of_a_stage_share_their_pieces():
+    tokens.forget()
+    enc = tokens.stage_encoder("byte_bpe_50k.json", 3)
+    assert tokens.stage_encoder("byte_bpe_50k.json", 3) is enc
+    assert tokens.stage_encoder("byte_bpe_50k.json", 4) is not enc and len(tokens._held) == 1
+    tokens.forget()
+    assert not tokens._held
+
+
 def test_counts_and_cache(spark, tmpdir_fresh):
     data = fx.rows()
     tok = tokens.load("word_bpe_49k.json")
