@@ -96,8 +96,8 @@ def _slot_of(key, slots: int):
     return folded.bitwiseAND(F.lit(slots - 1))
 
 
-def _slot_number(keys: int) -> int:
-    slots, wanted = _LEAST_SLOTS, min(_SLOTS_PER_KEY * keys, _MOST_SLOTS)
+def _slot_number(keys: int, per_key: int = _SLOTS_PER_KEY) -> int:
+    slots, wanted = _LEAST_SLOTS, min(per_key * keys, _MOST_SLOTS)
     while slots < wanted:
         slots *= 2
     return slots
@@ -113,14 +113,14 @@ def _slot_bits(slot: DataFrame, slots: int) -> np.ndarray:
     return out
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
+def key_filter(keys: DataFrame, per_key: int = _SLOTS_PER_KEY) -> np.ndarray:
     """A bit for each slot that some key (the one bigint column, distinct or not, no NULLs) falls into.
 
     Rows without a wanted key are passed over with it before they are shuffled or worked on.  It holds
     at most 16 MiB; where keys are more than it tells apart (about 2**26), it lets more rows through,
     which costs time and changes no result.
     """
-    slots = _slot_number(keys.count())
+    slots = _slot_number(keys.count(), per_key)
     return _slot_bits(keys.select(_slot_of(F.col(keys.columns[0]), slots).alias("slot")), slots)
 
 

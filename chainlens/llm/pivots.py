@@ -26,6 +26,8 @@ from chainlens.llm.common import discard, written
 from chainlens.llm.components import connected_components
 
 ROUNDS = 3
+#: with sketches, no further round is made if pairs of a key's rows in different components are at most so many times the rows
+PAIRS_A_ROW = 4
 
 
 def shared_rows(entries: DataFrame) -> DataFrame:
@@ -56,13 +58,22 @@ def _merged(labels: DataFrame | None, more: DataFrame) -> DataFrame:
     return written(_labelled(known, more, "component", "top").select("node", F.col("top").alias("component")), "labels")
 
 
-def pivot_classes(product: DataFrame, sizes: DataFrame, needed: Callable[[Column, Column], Column],
+def _few_apart(rows: DataFrame) -> bool:
+    """Whether the pairs of a key's rows that are in different components are about as many as the rows."""
+    same = rows.groupBy("key", "own").agg(F.count(F.lit(1)).alias("c"))
+    of = same.groupBy("key").agg(F.sum("c").alias("r"), F.sum(F.col("c") * F.col("c")).alias("within"))
+    r, apart = of.agg(F.sum("r"), F.sum((F.col("r").cast("double") * F.col("r") - F.col("within")) / 2)).first()
+    return not r or apart <= PAIRS_A_ROW * r
+
+
+def pivot_classes(product: DataFrame, sizes: DataFrame | None, needed: Callable[[Column, Column], Column],
                   similar_sizes: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame],
                   sketches: Callable[[DataFrame], DataFrame] | None = None,
-                  close: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+                  close: Callable[[Column, Column], Column] | None = None, known: DataFrame | None = None) -> DataFrame:
     """``(node, component)`` of all nodes with links; ``component`` is the smallest node.
 
-    ``product``: :func:`shared_rows`, without repeated rows, deleted once it is read; ``sizes``: ``node``, ``n``; ``needed(n_a, n_b)``
+    ``product``: :func:`shared_rows`, without repeated rows, deleted once it is read; ``sizes``: ``node``, ``n`` (None
+    if no pair depends on them); ``known``: links (``a``, ``b``) found before, which may be the only ones of their nodes; ``needed(n_a, n_b)``
     is the least number of common keys of a similar pair (1 or more), ``similar_sizes(n_a, n_b)`` says
     whether the sizes allow one, and ``verified`` returns the similar ones of pairs (``a``, ``b``).
     ``sketches`` gives (``node``, ``sketch``) of a table of ``node``, and ``close`` says whether two sketches
@@ -76,7 +87,14 @@ def pivot_classes(product: DataFrame, sizes: DataFrame, needed: Callable[[Column
         F.row_number().over(own.orderBy("rows", "key")).alias("place"), F.col("node").alias("own")), "weighted")
     discard(product)
     labels = None
+    if known is not None:
+        found = connected_components(known)
+        if not found.isEmpty():
+            labels = found
+            rows = _replaced(rows, _labelled(rows.drop("own"), labels, "node", "own"), "labelled")
     for k in range(ROUNDS):
+        if k and sketches is not None and _few_apart(rows):
+            break
         # the first time the heaviest node of a key, then pseudo-random ones
         first = F.struct("weight", (-F.col("node")).alias("x")) if k == 0 else F.struct(
             F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("x"))
@@ -86,7 +104,9 @@ def pivot_classes(product: DataFrame, sizes: DataFrame, needed: Callable[[Column
         shared = met.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
         nearest = shared.groupBy("node").agg(F.max(F.struct("c", "pivot", "n")).alias("best")).select("node", "best.*")
         # ``c`` may miss keys here; what this leaves out is met again below
-        near = nearest.join(sizes.select(F.col("node").alias("pivot"), F.col("n").alias("np")), "pivot").where(
+        near = nearest.withColumn("np", F.col("n")) if sizes is None else nearest.join(
+            sizes.select(F.col("node").alias("pivot"), F.col("n").alias("np")), "pivot")
+        near = near.where(
             (F.col("c") >= needed(F.col("n"), F.col("np"))) & similar_sizes(F.col("n"), F.col("np")))
         links = verified(near.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         if labels is not None:
@@ -102,22 +122,26 @@ def pivot_classes(product: DataFrame, sizes: DataFrame, needed: Callable[[Column
         "key", F.col("t.own").alias("main"))
     rows = _replaced(rows, rows.drop("weight").join(pivots, "key"), "labelled")
     if sketches is None:
-        rows, close = rows.withColumn("sketch", F.lit(True)), lambda a, b: F.lit(True)
+        rows, close = rows.withColumn("sketch", F.lit(True)).withColumn("keys", F.lit(None)), lambda a, b: F.lit(True)
     else:
         # only keys that a stray has lead to pairs
         left = rows.where("own <> main").select("key").distinct()
         rows = _replaced(rows, rows.join(left, "key", "left_semi"), "strays")
         of = sketches(written(rows.select("node").distinct(), "nodes"))
-        rows = _replaced(rows, rows.join(of, "node"), "sketched")
+        held = rows.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most those of one node's prefix
+        rows = _replaced(rows, rows.join(of, "node").join(held, "node"), "sketched")
     strays = rows.where("own <> main").select(
         "key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("own").alias("cx"),
-        (F.col("held") - F.col("place") + 1).alias("leftx"), F.col("sketch").alias("sx"))
+        (F.col("held") - F.col("place") + 1).alias("leftx"), F.col("sketch").alias("sx"),
+        F.col("keys").alias("hx"))
+    # with few keys a pair is met at the smallest one of those it shares; at each, one of the two is a stray
+    once = F.lit(True) if sketches is None else F.col("_key") == F.array_min(F.array_intersect("hx", "keys"))
     need = needed(F.col("nx"), F.col("n"))
-    met = strays.join(rows, "key").where(
+    met = strays.join(rows.withColumn("_key", F.col("key")), "key").where(
         (F.col("own") != F.col("cx")) & ((F.col("own") == F.col("main")) | (F.col("x") < F.col("node")))
         & similar_sizes(F.col("nx"), F.col("n")) & close(F.col("sx"), F.col("sketch"))
         # from here on, this key included, both have keys enough left
-        & (F.col("leftx") >= need) & (F.col("held") - F.col("place") + 1 >= need))
+        & (F.col("leftx") >= need) & (F.col("held") - F.col("place") + 1 >= need) & once)
     pairs = met.select("x", F.col("node").alias("y"), "nx", F.col("n").alias("ny")).distinct()
     keys = rows.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most those of one node's prefix
     pairs = (pairs.join(keys.select(F.col("node").alias("x"), F.col("keys").alias("kx")), "x")

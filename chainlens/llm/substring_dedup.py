@@ -12,8 +12,9 @@ still have Jaccard >= t = ``percent`` / 100; they get ``bands`` MinHash keys of
 number of bands is the smallest that finds a pair of similarity t with probability ``recall``:
 ``1 - (1 - t**rows)**bands``.  Colliding contents are compared by their exact Jaccard similarity and
 joined into components (:mod:`chainlens.llm.pivots`); pairs whose sets differ in too many parities
-aren't, as they can't be similar.  Keys are shuffled only if they may stand in more than one place: a first
-pass counts slots of keys, and a bit for every slot met twice tells the second pass which keys to pass on.
+aren't, as they can't be similar.  Overlapping paragraphs of one text share many keys: two that alone share one in
+a chunk of texts are compared there.  Keys are shuffled as packed (key, node) pairs, a block for each bucket of keys, and
+each bucket is searched for keys of several nodes in whole arrays; so are the paragraphs for those of several places.
 
 Of a component the occurrence in the document with the smallest (id, text hash) stays (its first there); the
 others are removals.  Neighbouring removals of a document are merged to runs, whose edges are then
@@ -37,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import (NOT_SPACE, _powers, discard, key_filter, may_be_wanted, mix, repeated_key_filter,
-                                  shingle_fingerprints, ship, text_chunks, text_or_empty, word_fingerprints, written)
-from chainlens.llm.pivots import pivot_classes, shared_rows
+from chainlens.llm.common import (NOT_SPACE, _powers, discard, key_filter, may_be_wanted, mix, shingle_fingerprints,
+                                  ship, text_chunks, text_or_empty, word_fingerprints, written)
+from chainlens.llm.pivots import pivot_classes
 
 SHORTEST = 5
 REACH = 4
@@ -156,24 +157,64 @@ def _large(first: np.ndarray, end: np.ndarray, percent: int) -> np.ndarray:
     return end - first - SHINGLE + 1 >= least
 
 
-def _unit_rows(batches):
-    """Every text's paragraphs."""
-    for b in batches:
-        for start, data, offsets in text_chunks(b.column("text")):
-            words, starts, doc, first, end = _units(data, offsets)
-            k = len(offsets) - 1
-            units = pa.StructArray.from_arrays([
-                pa.array((first - starts[doc]).astype(np.int32)), pa.array((end - starts[doc]).astype(np.int32)),
-                pa.array(_nodes(words, first, end))], ["first", "end", "node"])
-            cut = np.searchsorted(doc, np.arange(k + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id").slice(start, k), b.column("text_hash").slice(start, k),
-                 pa.array(np.diff(starts), pa.int64()), pa.ListArray.from_arrays(pa.array(cut), units)],
-                ["id", "text_hash", "n_words", "units"])
+def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(range number, position)`` of all positions of the ranges ``first .. first + size``."""
+    of = np.repeat(np.arange(len(first)), size)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+
+
+def _least(values: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The least of ``values`` in each range ``low .. low + size`` (of 1 or more): of the two spans of the power of 2 below."""
+    level = np.frexp(size)[1] - 1  # 2**level <= size
+    out = np.empty(len(low), dtype=values.dtype)
+    for k in range(int(level.max(initial=-1)) + 1):
+        of = np.flatnonzero(level == k)
+        out[of] = np.minimum(values[low[of]], values[low[of] + size[of] - (1 << k)])
+        values = np.minimum(values[:-(1 << k)], values[1 << k:])
+    return out
+
+
+def _distinct(of: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(set, member)`` in ascending order, each once."""
+    order = np.lexsort((value, of))
+    of, value = of[order], value[order]
+    new = np.ones(len(of), dtype=bool)
+    new[1:] = (of[1:] != of[:-1]) | (value[1:] != value[:-1])
+    return of[new], value[new]
+
 
+def _similar(shingles: np.ndarray, low: np.ndarray, size: np.ndarray, pairs: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (rows of two range numbers) have Jaccard >= t."""
+    of, place = _ranges(low[pairs].ravel(), size[pairs].ravel())
+    of, value = _distinct(of, shingles[place])
+    order = np.lexsort((value, of // 2))
+    row, value = of[order] // 2, value[order]
+    twice = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
+    inter = np.bincount(row[1:][twice], minlength=len(pairs))
+    union = np.bincount(row, minlength=len(pairs)) - inter
+    return inter * 100 >= union * percent
 
-def _keyed_rows(percent: int, bands: int, rows: int):
-    """The large paragraphs' MinHash keys, equal ones once per chunk."""
+
+def _lone_pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(places in keys.ravel() of each first row, of each second)`` of the keys that exactly two rows of ``keys`` have."""
+    flat = keys.ravel()
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    begins = np.flatnonzero(np.concatenate([np.ones(min(len(flat), 1), dtype=bool), flat[1:] != flat[:-1]]))
+    two = begins[np.diff(np.append(begins, len(flat))) == 2]
+    return order[two], order[two + 1]
+
+
+_UNIT = np.dtype([("node", "<i8"), ("first", "<i4"), ("end", "<i4")])
+
+
+def _scanned(percent: int, bands: int, rows: int):
+    """Every text's paragraphs, and once per chunk (in its first row) the large ones' MinHash keys and the links found at once.
+
+    ``units`` holds a text's paragraphs as ``_UNIT``, ``keys`` the distinct large units' nodes, then ``bands`` keys of each.
+    Units of one text often overlap and so share keys: where exactly two units of a chunk do, they are compared here.
+    The second one's key has 1 as its lowest bit, other keys 0.  ``links`` holds the pairs that are similar.
+    """
     seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(_ODD))
 
     def scan(batches):
@@ -185,41 +226,138 @@ def _keyed_rows(percent: int, bands: int, rows: int):
                 large = np.flatnonzero(_large(first, end, percent))
                 large = large[np.unique(nodes[large], return_index=True)[1]]
                 # a large unit's shingles are one range; the least hash of each range, for each seed
-                low = at[doc[large]] + first[large] - starts[doc[large]]
-                edges = np.stack([low, low + end[large] - first[large] - SHINGLE + 1], axis=1).ravel()
-                shingles = np.append(shingles, np.uint64(0))
+                low, size = at[doc[large]] + first[large] - starts[doc[large]], (end - first)[large] - SHINGLE + 1
                 keys = np.zeros((len(large), bands), dtype=np.uint64)
-                for k in range(bands):
-                    for r in range(rows if len(large) else 0):
-                        least = np.minimum.reduceat(mix(shingles ^ seeds[k * rows + r]), edges)[::2]
-                        keys[:, k] = mix(keys[:, k] + least)
+                for k in range(bands if len(large) else 0):
+                    for r in range(rows):
+                        keys[:, k] = mix(keys[:, k] + _least(mix(shingles ^ seeds[k * rows + r]), low, size))
                     keys[:, k] = mix(keys[:, k] ^ np.uint64(k + 1))
+                keys &= ~np.uint64(1)
+                one, other = _lone_pairs(keys)
+                pairs = np.unique(np.stack([one // bands, other // bands], axis=1), axis=0)
+                pairs = pairs[_similar(shingles, low, size, pairs, percent)] if len(pairs) else pairs
+                keys.ravel()[other] |= np.uint64(1)
+                k = len(offsets) - 1
+                units = np.empty(len(nodes), dtype=_UNIT)
+                units["first"], units["end"], units["node"] = first - starts[doc], end - starts[doc], nodes
+                cut = (_UNIT.itemsize * np.searchsorted(doc, np.arange(k + 1))).astype(np.int32)
+                units = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(cut), pa.py_buffer(units.tobytes())])
+                packed = [[x.tobytes()] + [None] * (k - 1) if x.size else [None] * k for x in
+                          (np.concatenate([nodes[large].view(np.uint64), keys.ravel()]), nodes[large][pairs])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes[large]), pa.array((end - first)[large].astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(large) + 1, bands, dtype=np.int32)),
-                                              pa.array(keys.ravel().view(np.int64)))], ["node", "n", "keys"])
+                    [b.column("id").slice(start, k), b.column("text_hash").slice(start, k),
+                     pa.array(np.diff(starts), pa.int64()), units,
+                     *[pa.array(x, pa.binary()) for x in packed]],
+                    ["id", "text_hash", "n_words", "units", "keys", "links"])
 
     return scan
 
 
-def _entries(wanted: np.ndarray):
-    """``(key, node, n)`` of the keys that may stand in more than one place."""
-    def rows(batches):
+def _link_rows(batches):
+    for b in batches:
+        for v in b.column("links"):
+            pair = np.frombuffer(v.as_buffer(), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+
+def _key_nodes(bands: int):
+    """A batch's ``(key, node)``."""
+    def pairs(b):
+        for v in b.column("keys"):
+            flat = np.frombuffer(v.as_buffer(), dtype=np.uint64)
+            m = len(flat) // (1 + bands)
+            yield np.stack([flat[m:], np.repeat(flat[:m], bands)], axis=1)
+
+    return pairs
+
+
+def _flat_units(b):
+    """``(row of the batch, first, end, node)`` of a batch's units."""
+    units = b.column("units")
+    cut = np.frombuffer(units.buffers()[1], dtype=np.int32, count=len(units) + 1 + units.offset)[units.offset:]
+    raw = units.buffers()[2] if cut[-1] > cut[0] else b""
+    flat = np.frombuffer(raw, dtype=np.uint8)[cut[0]:cut[-1]].copy().view(_UNIT)
+    return (np.repeat(np.arange(b.num_rows), np.diff(cut) // _UNIT.itemsize),
+            *(np.ascontiguousarray(flat[c]) for c in ("first", "end", "node")))
+
+
+def _node_places(b):
+    """A batch's ``(node, place)``: a place is a document (id and text) and a first word."""
+    row, first, _, node = _flat_units(b)
+    ids = b.column("id")
+    doc = mix(np.asarray(ids.fill_null(0)).view(np.uint64) + np.asarray(ids.is_null()).astype(np.uint64) * np.uint64(_ODD))
+    doc = mix(doc ^ np.asarray(b.column("text_hash")).view(np.uint64))
+    yield np.stack([node.view(np.uint64), mix(doc[row] + first.astype(np.uint64))], axis=1)
+
+
+_HELD = 1 << 20  # pairs that a task holds before it passes them on
+
+
+def _blocks(pairs_of, buckets: int):
+    """Pairs of 64-bit numbers (key, value) as blocks of those whose keys fall into one bucket."""
+    def block(held):
+        pairs = np.concatenate(held)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        new = np.ones(len(pairs), dtype=bool)
+        new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+        pairs = pairs[new]
+        bucket = ((pairs[:, 0] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascends with the key
+        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        cut = (16 * np.append(at, len(pairs))).astype(np.int32)
+        rows = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cut), pa.py_buffer(pairs.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), rows], ["bucket", "pairs"])
+
+    def scan(batches):
+        held = []
         for b in batches:
-            flat = b.column("keys").flatten()
-            parent = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(b.column("keys").offsets)))
-            some = np.flatnonzero(np.asarray(may_be_wanted(wanted, flat)))
-            of = pa.array(parent[some])
-            yield pa.RecordBatch.from_arrays([flat.take(pa.array(some)), b.column("node").take(of), b.column("n").take(of)],
-                                             ["key", "node", "n"])
+            for pairs in pairs_of(b):
+                if len(pairs):
+                    held.append(pairs)
+            if sum(map(len, held)) >= _HELD:
+                yield block(held)
+                held = []
+        if held:
+            yield block(held)
 
-    return rows
+    return scan
 
 
-def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(range number, position)`` of all positions of the ranges ``first .. first + size``."""
-    of = np.repeat(np.arange(len(first)), size)
-    return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+def _met(marked: bool):
+    """``(key, value, rows, seen)`` of the keys of all blocks that have at least two values, each pair once.
+
+    If keys are ``marked``, their lowest bit is a mark and no part of them; ``seen`` says whether some row of the key has it.
+    """
+    mark = np.uint64(1 if marked else 0)
+
+    def search(batches):
+        parts = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for b in batches for v in b.column("pairs")]
+        if not parts:
+            return
+        pairs = np.concatenate(parts).reshape(-1, 2)
+        parts.clear()
+        key, value, seen = pairs[:, 0] & ~mark, pairs[:, 1], pairs[:, 0] & mark
+        order = np.lexsort((value, key))
+        key, value, seen = key[order], value[order], seen[order].astype(np.int64)
+        group = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        seen = np.maximum.reduceat(seen, group) == 1
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (value[1:] != value[:-1])
+        rows = np.add.reduceat(new.astype(np.int64), group)
+        of = np.repeat(np.arange(len(group)), np.diff(np.append(group, len(key))))
+        some = np.flatnonzero(new & (rows > 1)[of])
+        for k in range(0, len(some), 1 << 16):
+            part = some[k:k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[part].view(np.int64)), pa.array(value[part].view(np.int64)), pa.array(rows[of[part]]),
+                 pa.array(seen[of[part]])], ["key", "value", "rows", "seen"])
+
+    return search
+
+
+def _met_values(table: DataFrame, pairs_of, buckets: int, marked: bool = False) -> DataFrame:
+    """:func:`_met` of a table whose batches hold pairs."""
+    blocks = table.mapInArrow(_blocks(pairs_of, buckets), "bucket int, pairs binary")
+    return blocks.repartition(buckets, "bucket").mapInArrow(_met(marked), "key bigint, value bigint, rows bigint, seen boolean")
 
 
 def _wanted_sets(data, offsets, percent: int, wanted: np.ndarray):
@@ -231,25 +369,7 @@ def _wanted_sets(data, offsets, percent: int, wanted: np.ndarray):
     some = some[once]
     shingles, at = shingle_fingerprints(words, starts, SHINGLE)
     of, place = _ranges(at[doc[some]] + first[some] - starts[doc[some]], end[some] - first[some] - SHINGLE + 1)
-    value = shingles[place]
-    order = np.lexsort((value, of))
-    of, value = of[order], value[order]
-    new = np.ones(len(of), dtype=bool)
-    new[1:] = (of[1:] != of[:-1]) | (value[1:] != value[:-1])
-    return nodes[some], of[new], value[new]
-
-
-def _contents(percent: int, wanted: np.ndarray):
-    """The shingle sets of the large units whose node may be wanted, each once per chunk."""
-    def rows(batches):
-        for b in batches:
-            for _, data, offsets in text_chunks(b.column("text")):
-                nodes, of, value = _wanted_sets(data, offsets, percent, wanted)
-                cut = (8 * np.searchsorted(of, np.arange(len(nodes) + 1))).astype(np.int32)
-                sets = pa.Array.from_buffers(pa.binary(), len(nodes), [None, pa.py_buffer(cut), pa.py_buffer(value.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), sets], ["node", "set"])
-
-    return rows
+    return (nodes[some], *_distinct(of, shingles[place]))
 
 
 def _slots(shingles: np.ndarray) -> np.ndarray:
@@ -272,15 +392,18 @@ def _parities(shingles: np.ndarray) -> np.ndarray:
     return _parity_rows(np.zeros(len(shingles), dtype=np.int64), shingles, 1)[0]
 
 
-def _sketches(percent: int, wanted: np.ndarray):
-    """The parities of the wanted contents."""
+def _contents(percent: int, wanted: np.ndarray):
+    """The shingle sets of the large units whose node may be wanted and their parities, each once per chunk."""
     def rows(batches):
         for b in batches:
             for _, data, offsets in text_chunks(b.column("text")):
                 nodes, of, value = _wanted_sets(data, offsets, percent, wanted)
+                cut = (8 * np.searchsorted(of, np.arange(len(nodes) + 1))).astype(np.int32)
+                sets = pa.Array.from_buffers(pa.binary(), len(nodes), [None, pa.py_buffer(cut), pa.py_buffer(value.tobytes())])
                 sketch = _parity_rows(of, value, len(nodes)).astype(np.int64)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel()), 1 + PARITIES // 64)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), flat.cast(pa.list_(pa.int64()))], ["node", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), sets, flat.cast(pa.list_(pa.int64()))],
+                                                 ["node", "set", "sketch"])
 
     return rows
 
@@ -296,11 +419,16 @@ def _close(percent: int):
     return holds
 
 
-def _rows_of(wanted: np.ndarray):
+def _hit_rows(wanted: np.ndarray):
     """Units whose node may be wanted."""
     def rows(batches):
         for b in batches:
-            yield b.filter(may_be_wanted(wanted, b.column("node")))
+            row, first, end, node = _flat_units(b)
+            some = np.flatnonzero(np.asarray(may_be_wanted(wanted, pa.array(node, pa.int64()))))
+            of = pa.array(row[some])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id").take(of), b.column("text_hash").take(of), pa.array(first[some]), pa.array(end[some]),
+                 pa.array(node[some])], ["id", "text_hash", "first", "end", "node"])
 
     return rows
 
@@ -344,36 +472,64 @@ _RUNS = (f"id bigint, text_hash bigint, runs array<struct<start:bigint,end:bigin
          "sources:array<bigint>>>, repeated_words bigint")
 
 
+def _grouped(row: np.ndarray, first: np.ndarray, end: np.ndarray):
+    """:func:`_merged` of many rows: the units' order, their span's number in that order, and the spans' rows, starts and ends."""
+    order = np.lexsort((end, first, row))
+    wide = int(end.max(initial=0)) + 1
+    reach = np.maximum.accumulate(end[order] + row[order] * wide)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (first[order] + row[order] * wide)[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    rows = row[order][at]
+    last = np.append(at[1:], len(order))[:len(at)] - 1
+    return order, np.cumsum(new) - 1, rows, first[order][at], reach[last] - rows * wide
+
+
 def _runs(min_words: int):
     """A document's runs of removals, and for each edge where the same place is in the document that stays."""
-    def edge(units, doc, side):
-        """The unit that ends the run there: the smallest one, of equal words if there is one."""
-        best = min(units, key=lambda u: (u["node"] != u["keeper"]["node"], u["end"] - u["first"], u["node"]))
-        k = best["keeper"]
-        if (k["id"], k["text_hash"]) == doc:  # a repeat inside the document keeps its edges
-            return None
-        return {"pos": best[side], "other": k["text_hash"], "other_pos": k[side]}
-
     def run(batches):
         for b in batches:
-            runs, repeated = [], []
-            for i, h, units in zip(*(b.column(c).to_pylist() for c in ("id", "text_hash", "units"))):
-                gone = [u for u in units if u["keeper"]["id"] is not None and
-                        (i, h, u["first"]) != (u["keeper"]["id"], u["keeper"]["text_hash"], u["keeper"]["first"])]
-                found = []
-                for a, z in _merged((u["first"], u["end"]) for u in gone):
-                    if 2 * (z - a) < min_words:
-                        continue
-                    inside = [u for u in gone if a <= u["first"] and u["end"] <= z]
-                    found.append({"start": a, "end": z,
-                                  "left": edge([u for u in inside if u["first"] == a], (i, h), "first"),
-                                  "right": edge([u for u in inside if u["end"] == z], (i, h), "end"),
-                                  "sources": sorted({u["keeper"]["id"] for u in inside if u["keeper"]["id"] != i})})
-                runs.append(found)
-                repeated.append(sum(z - a for a, z in _merged((u["first"], u["end"]) for u in units) if z - a >= min_words))
+            units, ids = b.column("units"), b.column("id")
+            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(units.offsets)))
+            flat = units.flatten()
+            first, end, node = (np.asarray(flat.field(c)).astype(np.int64) for c in ("first", "end", "node"))
+            keeper = dict(zip(("id", "text_hash", "first", "end", "node"), flat.field("keeper").flatten()))
+            kept = np.asarray(keeper["id"].is_valid())
+            keeper = {c: np.asarray(v.fill_null(0)).astype(np.int64) for c, v in keeper.items()}
+            own_id = np.asarray(ids.is_valid())[row] & kept & (np.asarray(ids.fill_null(0))[row] == keeper["id"])
+            own = own_id & (np.asarray(b.column("text_hash"))[row] == keeper["text_hash"])
+            _, _, rows, start, stop = _grouped(row, first, end)
+            repeated = np.zeros(b.num_rows, dtype=np.int64)
+            np.add.at(repeated, rows, np.where(stop - start >= min_words, stop - start, 0))
+
+            gone = np.flatnonzero(kept & ~(own & (first == keeper["first"])))
+            order, of, rows, start, stop = _grouped(row[gone], first[gone], end[gone])
+            gone = gone[order]
+            long = 2 * (stop - start) >= min_words
+            place = np.cumsum(long) - 1
+            gone, of = gone[long[of]], place[of[long[of]]]
+            rows, start, stop = rows[long], start[long], stop[long]
+
+            def edge(at, side):
+                """The unit that ends the run there: the smallest one, of equal words if there is one."""
+                best, run_of = gone[at], of[at]
+                by = np.lexsort((node[best], (end - first)[best], node[best] != keeper["node"][best], run_of))
+                best = best[by][np.unique(run_of[by], return_index=True)[1]]
+                # a repeat inside the document keeps its edges
+                return pa.StructArray.from_arrays(
+                    [pa.array(x[best]) for x in ((first if side == "first" else end), keeper["text_hash"], keeper[side])],
+                    fields=list(_EDGE_TYPE), mask=pa.array(own[best]))
+
+            left, right = edge(first[gone] == start[of], "first"), edge(end[gone] == stop[of], "end")
+            other = gone[~own_id[gone]]
+            source_of, source = _distinct(of[~own_id[gone]], keeper["id"][other])
+            sources = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(source_of, np.arange(len(rows) + 1)).astype(np.int32)), pa.array(source))
+            found = pa.StructArray.from_arrays([pa.array(start), pa.array(stop), left, right, sources],
+                                               fields=list(_RUN_TYPE.value_type))
+            runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(b.num_rows + 1)).astype(np.int32)), found)
             schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("runs", _RUN_TYPE), ("repeated_words", pa.int64())])
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), pa.array(runs, _RUN_TYPE),
-                                              pa.array(repeated, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, b.column("text_hash"), runs.cast(_RUN_TYPE), pa.array(repeated)], schema=schema)
 
     return run
 
@@ -490,62 +646,48 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     bands = tuned_bands(percent, recall, rows)
-    keyed = written(texts.select("text").mapInArrow(_keyed_rows(percent, bands, rows), "node bigint, n int, keys array<bigint>"),
-                    "keyed")
-    met = repeated_key_filter(keyed.select(F.explode("keys").alias("key")))
-    entries = written(keyed.mapInArrow(_entries(met), "key bigint, node bigint, n int").distinct(), "entries")
-    discard(keyed)
-    product = shared_rows(entries)
-    discard(entries)
-    sizes = written(product.groupBy("node").agg(F.max("n").alias("n")), "sizes")
-
-    made: list = []  # tables of (node, shingle set), each node in one of them
+    table = written(texts.mapInArrow(_scanned(percent, bands, rows), "id bigint, text_hash bigint, n_words bigint, "
+                                     "units binary, keys binary, links binary"), "scanned")
+    # a bucket of pairs is worked on at once: about as many as 2 million words have
+    n_words = table.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_words >> 21)
+    met = _met_values(table.select("keys").where("keys is not null"), _key_nodes(bands), buckets, marked=True)
+    # one common key is enough for a pair, whatever the sizes; two nodes that were compared where they met are left out
+    product = written(met.where("rows > 2 or not seen").select("key", F.col("value").alias("node"), F.lit(1).alias("n"), "rows"),
+                      "product")
+    known = written(table.select("links").where("links is not null").mapInArrow(_link_rows, "a bigint, b bigint"), "known")
+    scanned, table = table, written(table.drop("keys", "links"), "units")
+    discard(scanned)
+    nodes = written(product.select("node").distinct(), "nodes")
+    contents = texts.select("text").mapInArrow(_contents(percent, key_filter(nodes, 64)), "node bigint, set binary, sketch array<bigint>")
+    contents = written(contents.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "contents")
+    discard(nodes)
 
     def verified(pairs):
         pairs = written(pairs.select("a", "b"), "pairs")
         if pairs.isEmpty():
             return pairs
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        for have in made:
-            nodes = nodes.join(have.select("node"), "node", "left_anti")
-        nodes = written(nodes, "nodes")
-        if not nodes.isEmpty():
-            sets = texts.select("text").mapInArrow(_contents(percent, key_filter(nodes)), "node bigint, set binary")
-            made.append(written(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "contents"))
-        sets = reduce(DataFrame.union, made)
-        whole = (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-                 .join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"))
+        whole = (pairs.join(contents.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+                 .join(contents.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"))
         found = whole.select("a", "b", "set_a", "set_b").mapInArrow(
             _jaccard, "a bigint, b bigint, inter bigint, `union` bigint")
         return found.where(F.col("inter") * 100 >= F.col("union") * percent).select("a", "b")
 
     def sketches(nodes):
-        found = texts.select("text").mapInArrow(_sketches(percent, key_filter(nodes)), "node bigint, sketch array<bigint>")
-        return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
-
-    classes = pivot_classes(product, sizes, lambda a, b: F.lit(1), lambda a, b: F.lit(True), verified, sketches,
-                            _close(percent))
+        return contents.select("node", "sketch").join(nodes, "node", "left_semi")
 
-    discard(sizes, *made)
-    table = written(texts.mapInArrow(_unit_rows, "id bigint, text_hash bigint, n_words bigint, "
-                                                 "units array<struct<first:int,end:int,node:bigint>>"), "units")
-    # rows repeated with one id and text are one document
-    units = table.select("id", "text_hash", F.explode("units").alias("u"))
+    classes = pivot_classes(product, None, lambda a, b: F.lit(1), lambda a, b: F.lit(True), verified, sketches,
+                            _close(percent), known)
+    discard(contents, known)
 
     # Contents that stand in more than one place (a row repeated with one id and text is one place) ...
-    places = units.groupBy(F.col("u.node").alias("node")).agg(
-        F.count("id").alias("ids"), F.count(F.lit(1)).alias("n"),
-        *[f(c).alias(f"{c}{k}") for c in ("id", "text_hash") for k, f in enumerate((F.min, F.max))],
-        F.min("u.first").alias("first0"), F.max("u.first").alias("first1"))
-    places = places.join(classes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
-    many = ((F.col("id0") != F.col("id1")) | (F.col("text_hash0") != F.col("text_hash1")) | (F.col("first0") != F.col("first1"))
-            | ((F.col("ids") > 0) & (F.col("ids") < F.col("n"))))
-    places = written(places.where(many | F.col("component").isNotNull()).select(
-        "node", F.coalesce("component", "node").alias("component")), "places")
+    units = table.select("id", "text_hash", "units")
+    several = _met_values(units, _node_places, buckets).select(F.col("key").alias("node")).distinct()
+    places = classes.select(F.col("node").alias("_n"), "component").join(several, F.col("node") == F.col("_n"), "full")
+    places = written(places.select(F.coalesce("node", "_n").alias("node"), F.coalesce("component", "node").alias("component")), "places")
     # ... and where they do.
-    hit = units.select("id", "text_hash", "u.first", "u.end", F.col("u.node").alias("node"))
-    hit = hit.mapInArrow(_rows_of(key_filter(places.select("node"))),
-                         "id bigint, text_hash bigint, first int, end int, node bigint")
+    hit = units.mapInArrow(_hit_rows(key_filter(places.select("node"))),
+                           "id bigint, text_hash bigint, first int, end int, node bigint")
     hits = written(hit.join(places, "node"), "hits")
     here = F.struct("id", "text_hash", "first", "end", "node")
     heads = written(hits.where("id is not null").groupBy("component").agg(F.min(here).alias("keeper")), "heads")
