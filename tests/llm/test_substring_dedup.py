@@ -219,3 +219,61 @@ def test_keys_are_filtered_before_they_are_shuffled(spark):
     assert all(may_be_wanted(bits, pa.array([7, 107, 207])).to_pylist())
     lone = [i * 7919 * 104729 for i in range(20000) if i % 100]
     assert sum(may_be_wanted(bits, pa.array(lone)).to_pylist()) < 0.25 * len(lone)
+
+
+def test_units_that_overlap_in_one_text_are_compared_there(spark, monkeypatch):
+    """Texts without repeats: no key goes into the join of texts, though a line shares keys with its pieces."""
+    from chainlens.llm import substring_dedup as s
+
+    met, classes = [], s.pivot_classes
+    monkeypatch.setattr(s, "pivot_classes", lambda product, *a: met.append(product.count()) or classes(product, *a))
+    rng = random.Random(31)
+    got = repeated_passages(fx.frame(spark, [(i, fx.prose(rng, 150, 10**6), "a") for i in range(60)])).collect()
+    assert met == [0] and len(got) == 60 and not any(r.removed for r in got)
+
+
+def test_least_of_ranges_and_pairs_that_share_a_key_alone():
+    import numpy as np
+
+    from chainlens.llm import substring_dedup as s
+
+    rng = np.random.default_rng(32)
+    values = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    low = rng.integers(0, 400, 300)
+    size = rng.integers(1, 101, 300)
+    assert s._least(values, low, size).tolist() == [min(values[a:a + n].tolist()) for a, n in zip(low, size)]
+    keys = np.array([[2, 4], [2, 6], [8, 6], [8, 10], [8, 12]], dtype=np.uint64)
+    one, other = s._lone_pairs(keys)  # 8 is a key of three
+    assert sorted(zip((one // 2).tolist(), (other // 2).tolist())) == [(0, 1), (1, 2)]
+
+
+def test_keys_of_several_values_are_met():
+    import numpy as np
+    import pyarrow as pa
+
+    from chainlens.llm import substring_dedup as s
+
+    big = 1 << 63
+    rows = [(big + 2, 1), (big + 3, 5), (big + 2, 1), (8, 4), (8, 4), (10, 1), (10, 2), (11, 3), (13, 9)]
+    blocks = list(s._blocks(lambda b: [np.array(rows, dtype=np.uint64)], 4)([None]))
+    assert sum(len(b) for b in blocks) == 2  # two buckets
+    met = lambda marked: sorted((r["key"] % 2**64, r["value"], r["rows"], r["seen"])
+                                for b in s._met(marked)(blocks) for r in b.to_pylist())
+    assert met(True) == [(10, 1, 3, True), (10, 2, 3, True), (10, 3, 3, True), (big + 2, 1, 2, True), (big + 2, 5, 2, True)]
+    assert met(False) == [(10, 1, 2, False), (10, 2, 2, False)]
+    assert list(s._met(True)([])) == [] and isinstance(blocks[0], pa.RecordBatch)
+
+
+def test_spans_of_many_rows_are_those_of_each():
+    import numpy as np
+
+    from chainlens.llm import substring_dedup as s
+
+    rng = np.random.default_rng(33)
+    row, first = rng.integers(0, 40, 300), rng.integers(0, 200, 300)
+    end = first + rng.integers(1, 20, 300)
+    _, of, rows, start, stop = s._grouped(row, first, end)
+    want = [(r, a, z) for r in range(40) for a, z in s._merged(zip(first[row == r].tolist(), end[row == r].tolist()))]
+    assert list(zip(rows.tolist(), start.tolist(), stop.tolist())) == want and of.max() == len(want) - 1
+    none = np.zeros(0, dtype=np.int64)
+    assert all(len(x) == 0 for x in s._grouped(none, none, none))
