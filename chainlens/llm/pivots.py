@@ -26,8 +26,6 @@ from chainlens.llm.common import discard, written
 from chainlens.llm.components import connected_components
 
 ROUNDS = 3
-#: with sketches, no further round is made if pairs of a key's rows in different components are at most so many times the rows
-PAIRS_A_ROW = 4
 
 
 def shared_rows(entries: DataFrame) -> DataFrame:
@@ -58,14 +56,6 @@ def _merged(labels: DataFrame | None, more: DataFrame) -> DataFrame:
     return written(_labelled(known, more, "component", "top").select("node", F.col("top").alias("component")), "labels")
 
 
-def _few_apart(rows: DataFrame) -> bool:
-    """Whether the pairs of a key's rows that are in different components are about as many as the rows."""
-    same = rows.groupBy("key", "own").agg(F.count(F.lit(1)).alias("c"))
-    of = same.groupBy("key").agg(F.sum("c").alias("r"), F.sum(F.col("c") * F.col("c")).alias("within"))
-    r, apart = of.agg(F.sum("r"), F.sum((F.col("r").cast("double") * F.col("r") - F.col("within")) / 2)).first()
-    return not r or apart <= PAIRS_A_ROW * r
-
-
 def pivot_classes(product: DataFrame, sizes: DataFrame | None, needed: Callable[[Column, Column], Column],
                   similar_sizes: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame],
                   sketches: Callable[[DataFrame], DataFrame] | None = None,
@@ -93,8 +83,6 @@ def pivot_classes(product: DataFrame, sizes: DataFrame | None, needed: Callable[
             labels = found
             rows = _replaced(rows, _labelled(rows.drop("own"), labels, "node", "own"), "labelled")
     for k in range(ROUNDS):
-        if k and sketches is not None and _few_apart(rows):
-            break
         # the first time the heaviest node of a key, then pseudo-random ones
         first = F.struct("weight", (-F.col("node")).alias("x")) if k == 0 else F.struct(
             F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("x"))
